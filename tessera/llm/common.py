@@ -183,3 +183,18 @@ def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     after[:-1] = word[1:]
     ends = np.flatnonzero(word & (~after | edge[1:])) + 1
     return starts, ends, np.searchsorted(starts, off)
+
+
+def loose(column):
+    """The column with every nested field nullable, as Spark declares what Python returns."""
+
+    def kind(t):
+        if pa.types.is_struct(t):
+            return pa.struct([pa.field(f.name, kind(f.type)) for f in t])
+        if pa.types.is_list(t):
+            return pa.list_(pa.field("element", kind(t.value_type)))
+        if pa.types.is_map(t):
+            return pa.map_(kind(t.key_type), kind(t.item_type))
+        return t
+
+    return column.cast(kind(column.type))

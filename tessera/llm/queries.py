@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import debruijn_dedup, suffix_dedup
 from .exact_dedup import exact_groups
 from .packing import pack
 from .warc import round_trip
@@ -13,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -25,7 +30,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_exact_dedup, op7_warc, op8_packing)}
+def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op6_exact_dedup, op7_warc, op8_packing, op10_debruijn_dedup)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
