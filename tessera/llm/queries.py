@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import debruijn_dedup, suffix_dedup
 from .exact_dedup import exact_groups
 from .packing import pack
+from .simhash import near_groups
 from .warc import round_trip
 
 
@@ -18,6 +19,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -34,7 +39,7 @@ def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op6_exact_dedup, op7_warc, op8_packing, op10_debruijn_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_simhash, op6_exact_dedup, op7_warc, op8_packing, op10_debruijn_dedup)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
