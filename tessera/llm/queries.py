@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import debruijn_dedup, suffix_dedup
 from .exact_dedup import exact_groups
+from .langid import identify
 from .packing import pack
 from .simhash import near_groups
 from .warc import round_trip
@@ -35,11 +36,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_simhash, op6_exact_dedup, op7_warc, op8_packing, op10_debruijn_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_simhash, op6_exact_dedup, op7_warc, op8_packing, op9_language_id, op10_debruijn_dedup)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
