@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn_dedup, suffix_dedup
+from . import debruijn_dedup, ppm, suffix_dedup
 from .exact_dedup import exact_groups
 from .langid import identify
 from .packing import pack
@@ -20,6 +20,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_simhash, op6_exact_dedup, op7_warc, op8_packing, op9_language_id, op10_debruijn_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ppm, op5_simhash, op6_exact_dedup, op7_warc, op8_packing, op9_language_id, op10_debruijn_dedup)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
