@@ -3,21 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import debruijn_dedup, exact_dedup, langid, packing, simhash
 from tessera.llm.common import shared_dir
-from tessera.llm.exact_dedup import keep_one
-from tessera.llm.packing import pack
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: those that are null or have no letter go."""
+    return langid.without_rejects(docs)
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with the same text, the one with the largest id stays."""
+    return exact_dedup.keep_one(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("packing", packing)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints chain up, the one with the smallest id stays."""
+    return simhash.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of windows that start earlier in the corpus are cut; no document goes."""
+    out = debruijn_dedup.without_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("language ID", identify_language), ("exact dedup", drop_copies), ("SimHash near-dedup", drop_near_copies), ("substring dedup", cut_repeats), ("best-fit packing", pack)]
+
+#: No SQL has the classifier, the fingerprints' hash or the tokenizer: tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

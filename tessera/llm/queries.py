@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn_dedup, ppm, suffix_dedup
+from . import bpe, debruijn_dedup, ppm, suffix_dedup
 from .ann import nearest
 from .exact_dedup import exact_groups
 from .langid import identify
@@ -25,6 +25,10 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0").drop("deep")
 
@@ -53,7 +57,7 @@ def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ppm, op4_nearest, op5_simhash, op6_exact_dedup, op7_warc, op8_packing, op9_language_id, op10_debruijn_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ppm, op3_bpe, op4_nearest, op5_simhash, op6_exact_dedup, op7_warc, op8_packing, op9_language_id, op10_debruijn_dedup)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
