@@ -211,14 +211,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     path = C.shared_dir(df.sparkSession, "exact-groups")
     found.filter("group_size > 1").write.parquet(path)
     found = df.sparkSession.read.schema(found.schema).parquet(path)
-    named = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")]
-    kept = found.filter("kept").select(*named)
-    goes = found.filter("not kept").select(*named).distinct().join(kept, ["_id", "_sha"], "left_anti")
-    repeated = found.groupBy(*named).count().filter("count > 1").select("_id", "_sha").join(kept, ["_id", "_sha"], "left_semi")
-    own = df.withColumn("_key_id", F.col(id_col).cast("bigint")).withColumn("_key_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    def meets(other):
-        return own["_key_id"].eqNullSafe(other["_id"]) & (own["_key_sha"] == other["_sha"])
-
-    out = own.join(goes, meets(goes), "left_anti")
-    once = out.join(repeated, meets(repeated), "left_semi").dropDuplicates(["_key_id", "_key_sha"])
-    return out.join(repeated, meets(repeated), "left_anti").unionByName(once).select(*df.columns)
+    # the key of a row: its id, null or not, and its text's digest
+    key = lambda i, sha: F.concat_ws("|", F.coalesce(i.cast("bigint").cast("string"), F.lit("-")), sha)
+    rows = found.select(key(F.col("doc_id"), F.col("text_sha256")).alias("_key"), "kept")
+    kept = rows.filter("kept").select("_key")
+    goes = rows.filter("not kept").select("_key").distinct().join(kept, "_key", "left_anti")
+    repeated = rows.groupBy("_key").count().filter("count > 1").select("_key").join(kept, "_key", "left_semi")
+    out = df.withColumn("_key", key(F.col(id_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))).join(goes, "_key", "left_anti")
+    once = out.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+    return out.join(repeated, "_key", "left_anti").unionByName(once).select(*df.columns)
