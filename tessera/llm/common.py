@@ -28,6 +28,9 @@ def prepare(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    # rows may be long texts: batches to Python of Spark's default number of rows would be tens of MB
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -54,9 +57,10 @@ def slots(spark: SparkSession) -> int:
 
 
 def block_count(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks of block_bytes that the column's bytes make; at least one.  One pass over one column."""
+    """Blocks of block_bytes at most that the column's bytes make on average: smaller ones where the session has
+    more shuffle partitions, down to an eighth.  One pass over one column."""
     n = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return max(1, -(-n // block_bytes))
+    return max(1, -(-n // block_bytes), min(slots(df.sparkSession), -(-8 * n // block_bytes)))
 
 
 def rows_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -68,4 +68,21 @@ ORACLE_SQL = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op10_debruijn_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), p AS (
+            SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM w
+        ), k AS (
+            SELECT doc_id, pos, ws[pos] AS word, CASE WHEN pos + 19 <= len(ws) THEN array_to_string(ws[pos:pos + 19], ' ') END AS win FROM p
+        ), f AS (
+            SELECT doc_id, pos, word, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) > 1 AS again FROM k
+        ), c AS (
+            SELECT doc_id, pos, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f
+        ), g AS (
+            SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
+    """,
 }
