@@ -105,14 +105,18 @@ def in_order(table: pa.Table) -> pa.Table:
     return table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
 
 
-def slices(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The given pieces of buf, concatenated, and their offsets."""
+def slices(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The given pieces of buf, concatenated, and their offsets.  Index arrays are made for `most` items at a time."""
     off = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(lengths, out=off[1:])
-    if not off[-1]:
-        return np.zeros(0, np.uint8), off
-    at = np.arange(off[-1]) + np.repeat(starts - off[:-1], lengths)
-    return buf[at], off
+    out = np.empty(off[-1], buf.dtype)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+        a, z = off[at], off[to]
+        out[a:z] = buf[np.arange(z - a) + np.repeat(starts[at:to] - (off[at:to] - a), lengths[at:to])]
+        at = to
+    return out, off
 
 
 def binary(buf: np.ndarray, off: np.ndarray) -> pa.Array:

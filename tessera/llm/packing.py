@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,16 +62,50 @@ class Packer:
 
 def word_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     """Ids of strings without special tokens.  Spaces part tokens, so words may be encoded one by one."""
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = True
-    return lambda words: [e.ids for e in found.encode_batch_fast(words, add_special_tokens=False)]
+    # in strips: what the library returns for a word takes far more memory than its ids
+    return lambda words: [e.ids for a in range(0, len(words), 4096) for e in found.encode_batch_fast(words[a : a + 4096], add_special_tokens=False)]
 
 
 #: What the tokenizer's pattern and Python both take as white space beyond the ASCII kinds is left inside a
 #: word here; the tokenizer then parts it itself.
-_KNOWN_WORDS = 1 << 17
+_KNOWN_WORDS = 600_000
+#: Of this Python worker, by vocabulary: tasks that it runs one after the other know each other's words.
+_WORDS: dict = {}
+
+
+#: A byte of these at a word's end, after a letter, is a token of its own.
+MARKS = np.zeros(256, bool)
+MARKS[list(b",.;:!?")] = True
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123)]] = True
+
+
+def parts_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray):
+    """The words in smaller parts where these are sure to be encoded apart: a mark after a last letter.
+
+    Returns starts, ends and how many parts stand before each text's end.  Letters are ASCII's and those of the
+    Latin-1 block (two bytes, the first 0xC3, but for the signs 0xD7 and 0xF7); with nothing but the mark behind
+    the letter, no rule of letter case or composition reaches across.
+    """
+    if not len(starts):
+        return starts, ends, before
+    last = buf[ends - 1]
+    c, lead = buf[np.maximum(ends - 2, 0)], buf[np.maximum(ends - 3, 0)]
+    letter = ((ends - starts > 1) & LETTERS[c]) | ((ends - starts > 2) & (lead == 0xC3) & (c >= 0x80) & (c != 0x97) & (c != 0xB7))
+    cut = MARKS[last] & letter
+    more = np.append(0, np.cumsum(cut))
+    at = np.arange(len(starts)) + more[:-1]
+    a, z = np.empty(len(starts) + more[-1], np.int64), np.empty(len(starts) + more[-1], np.int64)
+    a[at], z[at] = starts, ends - cut
+    a[at[cut] + 1], z[at[cut] + 1] = ends[cut] - 1, ends[cut]
+    return a, z, before + more[before]
 
 
 class Words:
@@ -78,31 +113,40 @@ class Words:
 
     def __init__(self, encode):
         self.encode = encode
-        self.names = pa.array([], pa.large_binary())
-        self.ids = np.zeros(0, np.uint32)
-        self.off = np.zeros(1, np.int64)
+        self.forget()
+
+    def forget(self):
+        self.places: dict[bytes, int] = {}
+        self.ids, self.off, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+
+    def learn(self, new: list[bytes]) -> None:
+        got = self.encode([x.decode("utf-8") for x in new])
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        n, more = len(self.places), int(sizes.sum())
+        while n + len(new) + 1 > len(self.off):
+            self.off = np.concatenate([self.off, np.zeros_like(self.off)])
+        while self.used + more > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + more] = np.fromiter(chain.from_iterable(got), np.uint32, more)
+        self.off[n + 1 : n + 1 + len(new)] = self.used + np.cumsum(sizes)
+        self.used += more
+        self.places.update(zip(new, range(n, n + len(new)), strict=True))
 
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, each ended by END_ID."""
-        import pyarrow.compute as pc
-
-        starts, ends, before = C.words_of(buf, off)
-        words = C.binary(*C.slices(buf, starts, ends - starts)).dictionary_encode()
-        code, names = words.indices.to_numpy(zero_copy_only=False), words.dictionary
-        at = pc.index_in(names, self.names)
-        new = names.filter(pc.is_null(at))
-        if len(new):
-            got = self.encode([x.decode("utf-8") for x in new.to_pylist()])
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            if len(self.names) + len(new) > _KNOWN_WORDS:  # keep what this batch needs
-                known = pc.drop_null(at).to_numpy(zero_copy_only=False)
-                self.ids, self.off = C.slices(self.ids, self.off[known], np.diff(self.off)[known])
-                self.names = names.filter(pc.is_valid(at))
-            self.names = pa.concat_arrays([self.names, new])
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))])
-            at = pc.index_in(names, self.names)
-        at = at.to_numpy(zero_copy_only=False)[code] if len(names) else np.zeros(0, np.int64)
+        starts, ends, before = parts_of(buf, *C.words_of(buf, off))
+        text, at = C.slices(buf, starts, ends - starts)
+        # the tokenizer lowers case; in words of ASCII alone that may be done before
+        wide = np.append(0, np.cumsum(text >= 0x80, dtype=np.int32))
+        text = np.where(np.repeat(wide[at[1:]] == wide[at[:-1]], np.diff(at)), C.LOWER[text], text)
+        words = C.binary(text, at).dictionary_encode()
+        code, names = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
+        new = [x for x in names if x not in self.places]
+        if len(self.places) + len(new) > _KNOWN_WORDS:
+            self.forget()
+            new = names
+        self.learn(new)
+        at = np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))[code]
         # the end is one more word after each text's last
         n = len(off) - 1
         place = before[1:] + np.arange(n)
@@ -110,8 +154,9 @@ class Words:
         other = np.ones(len(which), bool)
         other[place] = False
         which[other] = at
-        table, table_off = np.append(self.ids, np.uint32(END_ID)), np.append(self.off, self.off[-1] + 1)
-        which[place] = len(self.off) - 1
+        known = len(self.places)
+        table, table_off = np.append(self.ids[: self.used], np.uint32(END_ID)), np.append(self.off[: known + 1], self.used + 1)
+        which[place] = known
         ids, word_off = C.slices(table, table_off[which], np.diff(table_off)[which])
         return ids, word_off[np.append(0, place + 1)]
 
@@ -123,7 +168,8 @@ def _pack(path: str, length: int, most: int):
         from .exact_dedup import by_bytes
 
         top = TaskContext.get().partitionId() << 40
-        packer, words = Packer(length, most), Words(word_encoder(path))
+        packer = Packer(length, most)
+        words = _WORDS.get(path) or _WORDS.setdefault(path, Words(word_encoder(path)))
         for batch in batches:
             out: list[tuple] = []
             for part, buf, off in by_bytes(batch):

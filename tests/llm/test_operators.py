@@ -178,7 +178,7 @@ def test_packing(odd, spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path("word_bpe_49k.json"))
-    data = [*texts(), (7000, "İstanbul ΑΣ Σ.x '  x 123 don't"), (7001, "word " * 9000)]
+    data = [*texts(), (7000, "İstanbul ΑΣ Σ.x '  x 123 don't Don't, A.Σ ΑΣ. J\u030c J\u030c, É, é. × ×, a×. x… x…, 'S, 'r, W.! ,. a,, «É»,"), (7001, "word " * 9000)]
     found = packing.pack(spark.createDataFrame(data, "doc_id long, text string")).collect()
     want = []
     for i, text in data:
