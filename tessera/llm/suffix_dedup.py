@@ -260,15 +260,15 @@ def _finished(length, buckets, texts_too):
                 lengths.append(count[which[less]])
             starts, lengths = np.concatenate(starts), np.concatenate(lengths)
         gone = covered(len(buf), starts, lengths + length - 1)
-        before = np.append(0, np.cumsum(gone))
+        before = np.append(np.int32(0), np.cumsum(gone, dtype=np.int32))
         head = gone.copy()
         head[1:] &= ~gone[:-1]
         inner = off[:-1][np.diff(off) > 0]
         head[inner] = gone[inner]
-        heads = np.append(0, np.cumsum(head))
+        heads = np.append(np.int32(0), np.cumsum(head, dtype=np.int32))
         kept, left = buf[~gone], off - before[off]
         digests = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(left[:-1], left[1:], strict=True)]
-        out = {"doc_id": C.ids_back(block.ids), "n_bytes": np.diff(off), "n_removed": np.diff(before[off]), "n_spans": np.diff(heads[off]), "kept_sha256": pa.array(digests, pa.string())}
+        out = {"doc_id": C.ids_back(block.ids), "n_bytes": np.diff(off), "n_removed": np.diff(before[off]).astype(np.int64), "n_spans": np.diff(heads[off]).astype(np.int64), "kept_sha256": pa.array(digests, pa.string())}
         if texts_too:
             out["kept"] = C.binary(kept, left).cast(pa.binary())
         return pa.table(out)
