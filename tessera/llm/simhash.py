@@ -31,6 +31,8 @@ BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the code.
 GENERATOR = 0xAE3
+#: Bytes of key rows that one bucket should hold.
+BUCKET_BYTES = 16 << 20
 #: Shingles hashed at a time.
 STEP = 1 << 16
 
@@ -284,7 +286,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     found = spark.read.schema("doc_id long, fp long").parquet(path)
     # copies are one fingerprint from here on
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    buckets = buckets or C.slots(spark)
+    # a fingerprint's rows are up to 129 keys of some 17 bytes; a bucket is to hold a few MB of them
+    buckets = buckets or max(C.slots(spark), found.count() * 129 * 17 // BUCKET_BYTES)
     links = nodes.select("fp").mapInArrow(_keyed(buckets), "bucket int, body binary").groupBy("bucket").applyInArrow(_linked(bits), "a long, b long")
     roots = components(links)
     labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
