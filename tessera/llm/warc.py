@@ -122,19 +122,28 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     C.prepare(df.sparkSession)
     system, path = _filesystem(folder)
     system.create_dir(path, recursive=True)
-    payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
-    rows = df.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload").cast("bigint")})
-    tops = rows.filter(F.col("size") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("copies"))
-    joined = rows.join(tops, "sha1", "left")
-    alone = F.col("copies").isNull() | (F.col("copies") == 1)
-    mine = F.col("page_id").eqNullSafe(F.col("top"))
-    one = F.row_number().over(Window.partitionBy("sha1", "size").orderBy("url")) == 1
-    typed = joined.filter(alone).withColumn("first", F.lit(True)).unionByName(joined.filter(~alone & mine).withColumn("first", one)).unionByName(joined.filter(~alone & ~mine).withColumn("first", F.lit(False)))
-    sent = typed.select("page_id", "url", F.when(F.col("first"), F.col("payload")).alias("payload"), F.col("sha1").alias("digest"), "size", "top", F.when(F.col("first"), "response").otherwise("revisit").alias("record_type"))
+    sent = typed_records(df, id_col, url_col, html_col, least_bytes)
     return sent.mapInArrow(_based(_writer(folder, date, level)), "name string, records long").agg(F.sum("records")).first()[0] or 0
 
 
+def typed_records(df: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
+    """Each row as a response, with its payload, or as a revisit of its payload's largest id."""
+    payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
+    rows = df.select(F.col(id_col).cast("bigint").alias("own_id"), F.col(url_col).cast("string").alias("own_url"), payload.alias("payload"))
+    rows = rows.withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload").cast("bigint")})
+    by_page = rows.groupBy("sha1", "own_id").agg(F.count(F.lit(1)).alias("n"))
+    tops = by_page.groupBy("sha1").agg(F.max("own_id").alias("top"), F.sum("n").alias("copies"))
+    # every branch is the same inner join, so that the payloads are shuffled once and the exchange is used again:
+    # conditions that one side could take, or that could become another join key, would set the branches apart, as
+    # would aliases that the optimizer finds redundant in one branch only (so the names are new)
+    joined = rows.join(tops, "sha1")
+    alone = F.greatest((F.col("size") < least_bytes).cast("int"), (F.col("copies") == 1).cast("int")) == 1
+    mine = F.coalesce(F.col("own_id") >= F.col("top"), F.col("own_id").isNull() & F.col("top").isNull())
+    one = F.row_number().over(Window.partitionBy("sha1", "size").orderBy("own_url")) == 1
+    typed = joined.filter(alone | ~mine).withColumn("first", alone).unionByName(joined.filter(~alone & mine).withColumn("first", one))
+    return typed.select(F.col("own_id").alias("page_id"), F.col("own_url").alias("url"), F.when(F.col("first"), F.col("payload")).alias("payload"), F.col("sha1").alias("digest"), "size", "top", F.when(F.col("first"), "response").otherwise("revisit").alias("record_type"))
+
+
 def _based(write):
     """SHA-1 from the hexadecimal digits that Spark gives to base32."""
 
