@@ -1,9 +1,9 @@
 """Byte-level BPE with the merge ranks of a public vocabulary.
 
 Text is parted by the vocabulary's pattern in the JVM.  The distinct parts ("words") are encoded by Spark
-higher-order functions: a word is an array of byte strings (as hexadecimal digits, so that pieces concatenate)
-and beside it the ranks of its neighbouring pairs; a fold merges the pair of lowest rank, one a step, with ranks
-from a literal map in buckets by CRC-32.  Decoding concatenates the ids' binary pieces.
+higher-order functions: a word is an array of byte strings (as hexadecimal digits, so that pieces concatenate);
+a fold merges the neighbours whose joined bytes have the lowest rank, one pair a step, with ranks from a literal
+map in buckets by CRC-32.  Decoding concatenates the ids' binary pieces.
 
 A dictionary of words that a bounded sample of rows holds is encoded once and sent to all tasks.  It only saves
 work: a task numbers the words that it lacks, passes each new one once to the same fold, and fits the results
@@ -27,8 +27,8 @@ from . import common as C
 
 BUCKETS = 8192
 #: Rows whose words make the dictionary, words that it holds at most, and bytes of a word in it at most.
-SAMPLE_ROWS = 16_384
-DICTIONARY = 1 << 20
+SAMPLE_ROWS = 32_768
+DICTIONARY = 3 << 18
 DICTIONARY_BYTES = 64
 #: A longer word (in bytes) is merged with a heap: the fold takes time with the square of the length.
 LONGEST_FOLD = 256
@@ -45,14 +45,18 @@ def read_ranks(path: str) -> list[bytes]:
     return [out[i] for i in range(len(out))]
 
 
-def rank_of(pieces: list[bytes]):
-    """A function from a column of hexadecimal digits to the rank of these bytes, or null."""
+def rank_table(pieces: list[bytes]) -> Column:
+    """Ranks by hexadecimal digits, as one literal: an array of small maps, by CRC-32 of the digits."""
     maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for rank, piece in enumerate(pieces):
         key = piece.hex().upper()
         maps[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    table = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
-    return lambda key: F.element_at(F.get(table, F.pmod(F.crc32(key.cast("binary")), F.lit(BUCKETS)).cast("int")), key)
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+
+
+def lookup(table: Column, key: Column) -> Column:
+    """The rank of these bytes, or null."""
+    return F.element_at(F.get(table, F.pmod(F.crc32(key.cast("binary")), F.lit(BUCKETS)).cast("int")), key)
 
 
 def let(value: Column, use) -> Column:
@@ -60,31 +64,30 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def fold(word: Column, rank) -> Column:
-    """The ranks of a word's pieces after all merges (array<int>), for a non-empty string column."""
-    digits = F.hex(word.cast("binary"))
-    n = (F.length(digits) / 2).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, 2 * i + 1, F.lit(2)))
-    pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.substring(digits, 2 * i + 1, F.lit(4))))
-    no = F.array().cast("array<int>")
-    start = F.struct(parts.alias("p"), F.when(n > 1, pairs).otherwise(no).alias("r"))
+def fold(word: Column, table: Column) -> Column:
+    """The ranks of a word's pieces after all merges (array<int>), for a non-empty string column.
+
+    Values that several places use are bound by let(): lambdas evaluate what they hold again for each element.
+    """
+
+    return let(table, lambda bound: let(F.hex(word.cast("binary")), lambda digits: _pieces(digits, lambda key: lookup(bound, key))))
+
 
-    def step(state, _):
-        p, r = state["p"], state["r"]
+def _pieces(digits: Column, rank) -> Column:
+    def step(parts, _):
+        pairs = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x, i: rank(F.concat(x, F.get(parts, i + 1))))
 
-        def merge(i):  # counted from one: the pair of p[i-1] and p[i]
-            both = F.concat(F.get(p, i - 1), F.get(p, i))
-            left = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), both)))).otherwise(no)
-            right = F.when(i < F.size(r), F.array(rank(F.concat(both, F.get(p, i + 1))))).otherwise(no)
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), i - 1), F.array(both), F.slice(p, i + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(p))).alias("r"),
-            )
+        def merge(i):  # counted from one
+            both = F.array(F.concat(F.get(parts, i - 1), F.get(parts, i)))
+            return F.concat(F.slice(parts, F.lit(1), i - 1), both, F.slice(parts, i + 2, F.size(parts)))
 
-        return let(F.array_min(r), lambda low: F.when(low.isNull(), state).otherwise(let(F.array_position(r, low).cast("int"), merge)))
+        lowest = lambda r: let(F.array_min(r), lambda low: F.when(low.isNull(), parts).otherwise(let(F.array_position(r, low).cast("int"), merge)))
+        return F.when(F.size(parts) < 2, parts).otherwise(let(pairs, lowest))
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step)
-    return F.coalesce(F.when(rank(digits).isNotNull(), F.array(rank(digits))), F.transform(folded["p"], rank))
+    n = (F.length(digits) / 2).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, 2 * i + 1, F.lit(2)))
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), parts, step)
+    return let(rank(digits), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, rank)))
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -121,7 +124,7 @@ def _numbered(known):
     """Words as numbers; those beyond the dictionary get the next numbers and go along once."""
 
     def run(batches):
-        names = pa.ipc.open_stream(known.value).read_all()["word"].combine_chunks().cast(pa.large_binary())
+        names = pa.ipc.open_stream(known.value).read_all()["word"].combine_chunks()
         more: dict[bytes, int] = {}
         for batch in batches:
             words = batch.column("words")
@@ -178,8 +181,7 @@ def _joined(known, path):
     """Numbers back to words' ids, with the fold's results for the words that came along."""
 
     def run(batches):
-        table = pa.ipc.open_stream(known.value).read_all()
-        table = _Table(*_lists(table["ids"].combine_chunks()))
+        table = _Table(*_lists(pa.ipc.open_stream(known.value).read_all()["ids"].combine_chunks()))
         ranks: dict[bytes, int] = {}
         for batch in batches:
             new, sizes = batch.column("ids"), pc.list_value_length(batch.column("fresh")).to_numpy(zero_copy_only=False)
@@ -208,6 +210,15 @@ def _distinct(batches):
         yield pa.RecordBatch.from_arrays([pc.unique(batch.column("words").flatten())], ["word"])
 
 
+def _broadcast(spark, name: str, column):
+    """One column as Arrow's stream bytes, which workers read without a copy."""
+    sink = pa.BufferOutputStream()
+    table = pa.table({name: column}).combine_chunks()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
 def encode(df: DataFrame, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per row of df: doc_id, ids (array<int>).  A null text is empty and has no ids.
 
@@ -219,7 +230,7 @@ def encode(df: DataFrame, ranks: str | None = None, pattern: str | None = None,
     spark = df.sparkSession
     C.prepare(spark)
     path, pattern = ranks or public.path("byte_bpe_50k.tiktoken"), pattern or public.PATTERN
-    rank = rank_of(read_ranks(path))
+    table = rank_table(read_ranks(path))
     rows = C.rows_of(df, id_col, text_col)
     # (?U): white space as Unicode has it
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), F.lit(0)).alias("words")
@@ -228,16 +239,15 @@ def encode(df: DataFrame, ranks: str | None = None, pattern: str | None = None,
     some = rows if n <= sample_rows else rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample_rows / n * (1 << 30)))
     found = some.select(words).mapInArrow(_distinct, "word string").filter(F.octet_length("word") <= DICTIONARY_BYTES).distinct().limit(DICTIONARY)
     # the fold costs far more than its rows' bytes say: many small partitions
-    found = found.repartition(C.slots(spark), "word").select("word", fold(F.col("word"), rank).alias("ids"))
-    table = found.toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table.combine_chunks())
-    known = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    numbered = parted.mapInArrow(_numbered(known), "doc_id long, codes array<int>, fresh array<string>")
-    one = lambda w: F.when(F.octet_length(w) <= LONGEST_FOLD, fold(w, rank)).otherwise(F.array().cast("array<int>"))
+    found = found.repartition(C.slots(spark), "word").select("word", fold(F.col("word"), table).alias("ids"))
+    got = found.toArrow()
+    # one task needs the words, the next their ids: neither gets both
+    words_sent = _broadcast(spark, "word", got["word"].cast(pa.large_binary()))
+    ids_sent = _broadcast(spark, "ids", got["ids"])
+    numbered = parted.mapInArrow(_numbered(words_sent), "doc_id long, codes array<int>, fresh array<string>")
+    one = lambda w: F.when(F.octet_length(w) <= LONGEST_FOLD, fold(w, table)).otherwise(F.array().cast("array<int>"))
     merged = numbered.select("doc_id", "codes", "fresh", F.transform("fresh", one).alias("ids"))
-    return merged.mapInArrow(_joined(known, path), "doc_id long, ids array<int>")
+    return merged.mapInArrow(_joined(ids_sent, path), "doc_id long, ids array<int>")
 
 
 def _decoded(path):
