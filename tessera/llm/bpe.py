@@ -27,8 +27,8 @@ from . import common as C
 
 BUCKETS = 8192
 #: Rows whose words make the dictionary, words that it holds at most, and bytes of a word in it at most.
-SAMPLE_ROWS = 32_768
-DICTIONARY = 3 << 18
+SAMPLE_ROWS = 16_384
+DICTIONARY = 1 << 19
 DICTIONARY_BYTES = 64
 #: A longer word (in bytes) is merged with a heap: the fold takes time with the square of the length.
 LONGEST_FOLD = 256
