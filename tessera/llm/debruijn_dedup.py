@@ -89,7 +89,7 @@ class Block:
         k = len(least)
         starts, counts = A.split_runs(least, row[:k], row[:k] == row[words - 1 : words - 1 + k])
         close = np.zeros(len(h) + 1, np.int64)
-        for d in range(1, span):
+        for d in range(1, span + 1):  # in a run the least gram stands at most span words on
             close[1:][: max(0, len(h) - d)] += h[: max(0, len(h) - d)] == h[d:]
         close = np.cumsum(close)
         again = close[np.minimum(starts + counts + span - 1, len(h))] > close[starts]
