@@ -121,21 +121,28 @@ class Model:
 
 
 def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, chars: int = SAMPLE_CHARS, rows: int = SAMPLE_ROWS) -> dict[str, str]:
-    """Labelled text by language, bounded: whole texts of the rows of least hash, as many as fit."""
+    """Labelled text by language, bounded: whole texts of the rows of least hash, as many as fit, then stretches
+    of equal length from the start of texts that are longer than the bound."""
     named = df.filter(F.col(lang_col).isNotNull())
     sizes = named.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
     if not sizes:
         return {}
     spread = F.pmod(F.xxhash64(F.col(id_col).cast("bigint"), F.lit("sample")), F.lit(1 << 40))
     share = F.create_map(*(x for r in sizes for x in (F.lit(r["l"]), F.lit(int(min(1.0, rows / r["count"]) * (1 << 40))))))
-    got = named.filter(spread < share[F.col(lang_col)]).select(F.col(lang_col).alias("l"), spread.alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    got = got.filter(F.length("t").between(1, chars)).orderBy("h", "i").limit(2 * rows * len(sizes)).collect()
+    got = named.filter(spread < share[F.col(lang_col)]).select(F.col(lang_col).alias("l"), spread.alias("h"), F.col(id_col).alias("i"), F.substring(F.col(text_col), 1, chars + 1).alias("t"))
+    got = got.filter(F.length("t") >= 1).orderBy("h", "i").limit(2 * rows * len(sizes)).collect()
     out: dict[str, list[str]] = {r["l"]: [] for r in sizes}
-    held = dict.fromkeys(out, 0)
+    held, longer = dict.fromkeys(out, 0), {k: [] for k in out}
     for r in got:
-        if held[r["l"]] + len(r["t"]) <= chars:
+        if len(r["t"]) > chars:
+            longer[r["l"]].append(r["t"])
+        elif held[r["l"]] + len(r["t"]) <= chars:
             out[r["l"]].append(r["t"])
             held[r["l"]] += len(r["t"]) + 1
+    for k, texts in longer.items():
+        part = max(SEGMENT, (chars - held[k]) // max(1, len(texts)) - 1)
+        for t in texts[: max(0, chars - held[k]) // (part + 1)]:
+            out[k].append(t[:part])
     return {k: "\n".join(v) for k, v in out.items() if v}
 
 
@@ -145,7 +152,8 @@ def _predict(samples):
         for batch in batches:
             texts = batch.columns[-1].to_pylist()
             found: list[tuple] = [("und", 0.0)] * len(texts)
-            asked = [i for i, t in enumerate(texts) if t and model and any(map(str.isalpha, t))]
+            letters = [bool(t) and any(map(str.isalpha, t)) for t in texts]
+            asked = [i for i, x in enumerate(letters) if x and model]
             at = 0
             while at < len(asked):
                 to, size = at, 0
@@ -159,7 +167,7 @@ def _predict(samples):
                 for i, k, o in zip(asked[at:to], best, odds, strict=True):
                     found[i] = (model.names[k], 1 / float(o))
                 at = to
-            yield pa.RecordBatch.from_arrays([*map(C.loose, batch.columns[:-1]), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*map(C.loose, batch.columns[:-1]), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()), pa.array(letters, pa.bool_())], [*batch.schema.names[:-1], "lang_pred", "score", "letters"])
 
     return run
 
@@ -186,14 +194,14 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def _with_predictions(rows: DataFrame, kinds: str, samples: dict[str, str]) -> DataFrame:
-    """The rows with lang_pred and score in place of the last column, the text."""
-    return rows.mapInArrow(_predict(rows.sparkSession.sparkContext.broadcast(samples)), f"{kinds}, lang_pred string, score double")
+    """The rows with lang_pred, score and letters (whether it has any) in place of the last column, the text."""
+    return rows.mapInArrow(_predict(rows.sparkSession.sparkContext.broadcast(samples)), f"{kinds}, lang_pred string, score double, letters boolean")
 
 
 def without_rejects(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """df without the rows whose language can't be told (`und`): texts that are null or have no letter."""
+    """df without the rows whose language can't be told: texts that are null or have no letter, whatever was learned."""
     C.prepare(df.sparkSession)
     samples = sample(df.filter(~held_out(id_col)), id_col, text_col, lang_col)
     packed = df.select(F.struct(*map(F.col, df.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
     found = _with_predictions(packed, f"row {packed.schema['row'].dataType.simpleString()}", samples)
-    return found.filter("lang_pred != 'und'").select(*(F.col("row").getField(c).alias(c) for c in df.columns))
+    return found.filter("letters").select(*(F.col("row").getField(c).alias(c) for c in df.columns))

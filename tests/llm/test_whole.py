@@ -1,8 +1,11 @@
 """Rows that an operator once left out or got wrong."""
 
+import random
+import zlib
+
 import pytest
 
-from tessera.llm import debruijn_dedup
+from tessera.llm import debruijn_dedup, langid
 from tests.llm import helpers as H
 
 
@@ -13,3 +16,23 @@ def test_debruijn_period(spark, period):
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = debruijn_dedup.remove_repeats(df, texts=False).collect()
     assert sorted((tuple(r) for r in got), key=str) == H.word_repeats(data)
+
+
+@pytest.mark.parametrize("langs", [[None] * 4, [None, "en", None, None]])
+def test_language_without_labels(spark, langs):
+    texts = ["some words", "more words here", None, "12 34"]
+    ids = [1, next(i for i in range(2, 99) if zlib.crc32(str(i).encode()) % 3 == 1), 100, 101]  # the labelled row is held out
+    df = spark.createDataFrame(list(zip(ids, texts, langs, strict=True)), "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in langid.without_rejects(df).collect()) == ids[:2]
+
+
+def test_language_of_long_texts(spark):
+    rng = random.Random(3)
+    ids = [i for i in range(99) if zlib.crc32(str(i).encode()) % 3 != 1][:9]
+    some = lambda of, n: " ".join(rng.choice(of) for _ in range(n))
+    a, b = ["the", "house", "of", "water"], ["und", "zwölf", "jäger", "kochen"]
+    data = [(i, some(a, 50), "en") for i in ids[:4]] + [(i, some(b, 9000), "de") for i in ids[4:8]] + [(ids[8], some(b, 60), None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = langid.sample(df, "doc_id", "text", "lang")
+    assert all(0 < len(t) <= langid.SAMPLE_CHARS for t in got.values()) and len(got["de"]) > 0.99 * langid.SAMPLE_CHARS
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).collect()} == {i: "en" if i in ids[:4] else "de" for i in ids}
