@@ -289,14 +289,8 @@ def key_sets(t):
 
 @query("G4 G10", "SELECT event_id, user_id, value, row_number() OVER (ORDER BY user_id, event_id) AS place FROM events WHERE event_type <> 'error' AND user_id < 3")
 def sort_lists(t):
-    from pyspark.sql import Window
-
     rows = t.events.filter("event_type <> 'error' AND user_id < 3")
-    # places over several lists: each list's own places, after the sizes of the lists before it
-    own = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    sizes = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.user_id") < F.col("a.user_id"), "left").groupBy(F.col("a.user_id").alias("user_id")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
-    return rows.withColumn("own", own).join(before, "user_id").select("event_id", "user_id", "value", (F.col("own") + F.col("base")).cast("bigint").alias("place"))
+    return windows.places(rows, "user_id", ["event_id"]).select("event_id", "user_id", "value", "place")
 
 
 @query("J14 A14", "WITH b AS (SELECT *, rank() OVER (PARTITION BY experiment_id ORDER BY inserted_at DESC) AS k FROM {batches} WHERE status <> 'completed'), s AS (SELECT batch_id, count(reward) AS n, sum(reward) AS t FROM {results} GROUP BY batch_id) SELECT experiment_id, count(*) AS batches, coalesce(CAST(sum(n) AS BIGINT), 0) AS results, round(sum(t) / sum(n) / 30, 7) AS mean FROM b LEFT JOIN s ON s.batch_id = b.batch_id WHERE k = 1 GROUP BY experiment_id")
