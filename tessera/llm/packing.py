@@ -60,17 +60,20 @@ class Packer:
         return number, self.length - space
 
 
-def word_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of strings without special tokens.  Spaces part tokens, so words may be encoded one by one."""
+def word_encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], list[bytes]]:
+    """Ids of strings, no special tokens around them, and the literals of added tokens in lower case.
+
+    Spaces part tokens and no literal has one, so words may be encoded one by one.
+    """
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
     # in strips: what the library returns for a word takes far more memory than its ids
-    return lambda words: [e.ids for a in range(0, len(words), 4096) for e in found.encode_batch_fast(words[a : a + 4096], add_special_tokens=False)]
+    encode = lambda words: [e.ids for a in range(0, len(words), 4096) for e in found.encode_batch_fast(words[a : a + 4096], add_special_tokens=False)]
+    return encode, [t.content.encode().lower() for t in found.get_added_tokens_decoder().values()]
 
 
 #: What the tokenizer's pattern and Python both take as white space beyond the ASCII kinds is left inside a
@@ -111,8 +114,8 @@ def parts_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.n
 class Words:
     """Encodes texts by their distinct words, remembering those of earlier batches up to a bound."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, literals: list[bytes]):
+        self.encode, self.literals = encode, literals
         self.forget()
 
     def forget(self):
@@ -132,13 +135,26 @@ class Words:
         self.used += more
         self.places.update(zip(new, range(n, n + len(new)), strict=True))
 
+    def literal(self, low: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Numbers of the words that may hold an added token's literal, in any case of letters."""
+        data, found = low.tobytes(), []
+        for x in self.literals:
+            i = data.find(x)
+            while i >= 0:
+                found.append(i)
+                i = data.find(x, i + 1)
+        return np.searchsorted(at, np.array(found, np.int64), "right") - 1
+
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, each ended by END_ID."""
         starts, ends, before = parts_of(buf, *C.words_of(buf, off))
         text, at = C.slices(buf, starts, ends - starts)
-        # the tokenizer lowers case; in words of ASCII alone that may be done before
+        # the tokenizer lowers case; in words of ASCII alone that may be done before, but it takes an added
+        # token's literal in its own case only
         wide = np.append(0, np.cumsum(text >= 0x80, dtype=np.int32))
-        text = np.where(np.repeat(wide[at[1:]] == wide[at[:-1]], np.diff(at)), C.LOWER[text], text)
+        low, lowers = C.LOWER[text], wide[at[1:]] == wide[at[:-1]]
+        lowers[self.literal(low, at)] = False
+        text = np.where(np.repeat(lowers, np.diff(at)), low, text)
         words = C.binary(text, at).dictionary_encode()
         code, names = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
         new = [x for x in names if x not in self.places]
@@ -169,7 +185,7 @@ def _pack(path: str, length: int, most: int):
 
         top = TaskContext.get().partitionId() << 40
         packer = Packer(length, most)
-        words = _WORDS.get(path) or _WORDS.setdefault(path, Words(word_encoder(path)))
+        words = _WORDS.get(path) or _WORDS.setdefault(path, Words(*word_encoder(path)))
         for batch in batches:
             out: list[tuple] = []
             for part, buf, off in by_bytes(batch):
@@ -191,7 +207,7 @@ def _pack(path: str, length: int, most: int):
 def pack(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, open_bins: int = OPEN_BINS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Each row's text (null: empty) becomes its ids and END_ID; only texts of more than `length` ids are cut.
+    Each row's text (null: empty) becomes its ids, an added token's literal that token's, and END_ID; only texts of more than `length` ids are cut.
     Repeated rows and equal or null ids are packed row by row.  An empty table gives an empty result; other
     columns of df are ignored.
     """

@@ -3,9 +3,10 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
-from tessera.llm import debruijn_dedup, langid
+from tessera.llm import debruijn_dedup, langid, packing
 from tests.llm import helpers as H
 
 
@@ -36,3 +37,14 @@ def test_language_of_long_texts(spark):
     got = langid.sample(df, "doc_id", "text", "lang")
     assert all(0 < len(t) <= langid.SAMPLE_CHARS for t in got.values()) and len(got["de"]) > 0.99 * langid.SAMPLE_CHARS
     assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).collect()} == {i: "en" if i in ids[:4] else "de" for i in ids}
+
+
+def test_packing_literals(spark):
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    texts = ["hello <|endoftext|> world", "<|ENDOFTEXT|> <|EndOfText|>", "A<|endoftext|>. B", "X<|startoftext|><|endoftext|>É ", "<|endof text|> <|endoftext|", "e<|endoftext|>\u0301 <|endoftext|>\n\t<|endoftext|>s", "plain Text."]
+    found = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = [np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4") for x in texts]
+    assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in found) == [(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(want)]
