@@ -21,8 +21,6 @@ from . import common as C
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes that the reader asks for at a time.
 READ = 1 << 16
-#: A WARC or HTTP head longer than this is malformed.
-LONGEST_HEAD = 1 << 20
 
 
 def digest(data: bytes) -> str:
@@ -66,7 +64,7 @@ def fields(lines: list[str]) -> dict[str, str]:
 
 def parse(member: bytes) -> dict:
     """A record's fields, and whether its digests hold."""
-    at = member.find(b"\r\n\r\n", 0, LONGEST_HEAD)
+    at = member.find(b"\r\n\r\n")
     if at < 0 or not member.startswith(b"WARC/"):
         raise ValueError("no WARC head")
     head = fields(member[:at].decode("utf-8").split("\r\n")[1:])
@@ -74,7 +72,7 @@ def parse(member: bytes) -> dict:
     block = member[at + 4 : at + 4 + size]
     if len(block) != size or member[at + 4 + size :] != b"\r\n\r\n":
         raise ValueError(f"Content-Length {size} doesn't frame the block of {head.get('warc-record-id')}")
-    cut = block.find(b"\r\n\r\n", 0, LONGEST_HEAD)
+    cut = block.find(b"\r\n\r\n")
     http = fields(block[:cut].decode("latin-1").split("\r\n")[1:])
     payload, kind = block[cut + 4 :], head["warc-type"]
     said = head["warc-payload-digest"].partition(":")[2]

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tessera.llm import debruijn_dedup, langid, packing
+from tessera.llm import debruijn_dedup, langid, packing, warc
 from tests.llm import helpers as H
 
 
@@ -48,3 +48,12 @@ def test_packing_literals(spark):
     found = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     want = [np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4") for x in texts]
     assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in found) == [(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(want)]
+
+
+@pytest.mark.parametrize("url", ["http://x/" + "u" * (3 << 20), "http://x/" + " " * 400_000])
+def test_warc_long_url(spark, tmp_path, url):
+    df = spark.createDataFrame([(1, url, "page"), (2, url, "page"), (3, "u", "other")], "page_id long, url string, html string")
+    got = warc.round_trip(df, f"file://{tmp_path}/w").collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == [(1, 4, "revisit", 2), (2, 4, "response", None), (3, 5, "response", None)]
+    said = {r["target_uri"] for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()}
+    assert said == {url.replace(" ", "%20"), "u"}
