@@ -293,7 +293,7 @@ def sort_lists(t):
     return windows.places(rows, "user_id", ["event_id"]).select("event_id", "user_id", "value", "place")
 
 
-@query("J14 A14", "WITH b AS (SELECT *, rank() OVER (PARTITION BY experiment_id ORDER BY inserted_at DESC) AS k FROM {batches} WHERE status <> 'completed'), s AS (SELECT batch_id, count(reward) AS n, sum(reward) AS t FROM {results} GROUP BY batch_id) SELECT experiment_id, count(*) AS batches, coalesce(CAST(sum(n) AS BIGINT), 0) AS results, round(sum(t) / sum(n) / 30, 7) AS mean FROM b LEFT JOIN s ON s.batch_id = b.batch_id WHERE k = 1 GROUP BY experiment_id")
+@query("A14", "WITH b AS (SELECT *, rank() OVER (PARTITION BY experiment_id ORDER BY inserted_at DESC) AS k FROM {batches} WHERE status <> 'completed'), s AS (SELECT batch_id, count(reward) AS n, sum(reward) AS t FROM {results} GROUP BY batch_id) SELECT experiment_id, count(*) AS batches, coalesce(CAST(sum(n) AS BIGINT), 0) AS results, round(sum(t) / sum(n) / 30, 7) AS mean FROM b LEFT JOIN s ON s.batch_id = b.batch_id WHERE k = 1 GROUP BY experiment_id")
 def aggregate_payload(t):
     last = windows.latest(t.batches().filter("status <> 'completed'"), ["experiment_id"], "inserted_at")
     s = aggregates.summary(t.results()).select("batch_id", "n", "total")

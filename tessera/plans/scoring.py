@@ -134,7 +134,7 @@ def horizon_clamp(t):
     return g.withColumn("k", traces.feasible_horizon(F.col("n"), F.col("h").cast("int"), F.col("budget")).cast("bigint"))
 
 
-@query("L4 L5", "WITH RECURSIVE s AS (SELECT i AS state FROM range(16) r(i)), m AS (SELECT state, (state * 2 + b) % 16 AS nxt, CASE WHEN (state * 7 + b * 3) % 5 = 0 THEN 1.5::DOUBLE ELSE 0.25::DOUBLE * b END AS r FROM s, range(2) q(b)), v AS (SELECT 0 AS d, state, state AS at, 0.0::DOUBLE AS total FROM s UNION ALL SELECT d + 1, v.state, m.nxt, total + m.r FROM v JOIN m ON m.state = v.at WHERE d < 4) SELECT CAST(state AS BIGINT) AS state, max(total) AS value FROM v WHERE d = 4 GROUP BY state")
+@query("L4", "WITH RECURSIVE s AS (SELECT i AS state FROM range(16) r(i)), m AS (SELECT state, (state * 2 + b) % 16 AS nxt, CASE WHEN (state * 7 + b * 3) % 5 = 0 THEN 1.5::DOUBLE ELSE 0.25::DOUBLE * b END AS r FROM s, range(2) q(b)), v AS (SELECT 0 AS d, state, state AS at, 0.0::DOUBLE AS total FROM s UNION ALL SELECT d + 1, v.state, m.nxt, total + m.r FROM v JOIN m ON m.state = v.at WHERE d < 4) SELECT CAST(state AS BIGINT) AS state, max(total) AS value FROM v WHERE d = 4 GROUP BY state")
 def value_iteration(t):
     s = t.spark.range(16).withColumnRenamed("id", "state")
     moves = s.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(1)))).select("state", F.expr("(state * 2 + b) % 16").alias("next_state"), F.expr("CASE WHEN (state * 7 + b * 3) % 5 = 0 THEN 1.5D ELSE 0.25D * b END").alias("reward"))
