@@ -1,19 +1,21 @@
 """Byte-level BPE with the merge ranks of a public vocabulary.
 
-Text is parted by the vocabulary's pattern in the JVM.  The distinct parts ("words") are encoded by Spark
-higher-order functions: a word is an array of byte strings (as hexadecimal digits, so that pieces concatenate);
-a fold merges the neighbours whose joined bytes have the lowest rank, one pair a step, with ranks from a literal
-map in buckets by CRC-32.  Decoding concatenates the ids' binary pieces.
-
-A dictionary of words that a bounded sample of rows holds is encoded once and sent to all tasks.  It only saves
-work: a task numbers the words that it lacks, passes each new one once to the same fold, and fits the results
-into the rows that follow.  Nothing is shuffled, and no row is encoded from a part of its words.
+Text is parted by the vocabulary's pattern in the JVM.  Each distinct part ("word") of the corpus is encoded once, by
+Spark higher-order functions: its bytes become an array of ranks, and a fold merges the neighbours of lowest rank until
+none are left.  Ranks of merges come from a literal map (in buckets) by the ranks of the two neighbours.
+
+1. Tasks cut their rows into chunks of some MB, number the distinct words of a chunk, and write for each chunk its
+   words and, for its rows, the words' numbers (compressed) to the shared folder.
+2. Words are dealt by word.  Of each, one goes through the fold, and a join hands the result to all chunks that have it.
+3. Each chunk's rows meet the ids of the chunk's words.  Decoding concatenates the ids' binary pieces.
+
+Only numbers and distinct words are shuffled, no text is, and a word's rows are as many as chunks have it.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
+import hashlib
 import json
 import zlib
 
@@ -25,13 +27,12 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BUCKETS = 8192
-#: Rows whose words make the dictionary, words that it holds at most, and bytes of a word in it at most.
-SAMPLE_ROWS = 16_384
-DICTIONARY = 1 << 19
-DICTIONARY_BYTES = 64
-#: A longer word (in bytes) is merged with a heap: the fold takes time with the square of the length.
-LONGEST_FOLD = 256
+#: Buckets of the literal map; a prime, so that close keys fall apart.
+BUCKETS = 32_749
+#: Bytes of text that a chunk should have, and words in a row of its word list.
+CHUNK_BYTES, LIST = 16 << 20, 16_384
+#: Up to so many bytes a step of the fold merges one pair; in longer words, all places of the lowest pair.
+SHORT = 64
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -45,233 +46,286 @@ def read_ranks(path: str) -> list[bytes]:
     return [out[i] for i in range(len(out))]
 
 
-def rank_table(pieces: list[bytes]) -> Column:
-    """Ranks by hexadecimal digits, as one literal: an array of small maps, by CRC-32 of the digits."""
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for rank, piece in enumerate(pieces):
-        key = piece.hex().upper()
-        maps[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+def symbol(rank: int) -> str:
+    """The character that stands for a rank; their order is the ranks' (no surrogates, no zero)."""
+    return chr(rank + 1 if rank < 0xD7FF else rank + 0x801)
+
+
+def rank_of(char: Column) -> Column:
+    code = F.ascii(char)
+    return code - F.when(code < 0xD800, F.lit(1)).otherwise(F.lit(0x801))
+
+
+def literal(value, kind: str) -> Column:
+    """A constant of any type, which the optimizer parses once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+class Ranks:
+    """The vocabulary as literals: symbols by byte, and by the symbols of two neighbours that of their merge."""
 
+    def __init__(self, pieces: list[bytes]):
+        ranks = {p: i for i, p in enumerate(pieces)}
+        maps: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+        for piece, rank in ranks.items():
+            for i in range(1, len(piece)):
+                a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
+                if a is not None and b is not None:
+                    pair = symbol(a) + symbol(b)
+                    maps[zlib.crc32(pair.encode()) % BUCKETS][pair] = symbol(rank)
+        self.bytes = literal([symbol(ranks[bytes([i])]) for i in range(256)], "array<string>")
+        self.merges = literal([m or None for m in maps], "array<map<string,string>>")
+        # a piece that its own merges don't reach is still one token where it is a whole word
+        whole = {p: r for p, r in ranks.items() if _merged(p, ranks) != [r]}
+        self.whole = F.lit(None).cast("int")
+        for p, r in whole.items():
+            self.whole = F.coalesce(self.whole, F.when(F.col("word").cast("binary") == F.lit(p), F.lit(r)))
 
-def lookup(table: Column, key: Column) -> Column:
-    """The rank of these bytes, or null."""
-    return F.element_at(F.get(table, F.pmod(F.crc32(key.cast("binary")), F.lit(BUCKETS)).cast("int")), key)
+
+def _merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The merges of a short word one after the other, without a look at the whole."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        low, i = min((ranks.get(a + b, len(ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if low == len(ranks):
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
 
 
 def let(value: Column, use) -> Column:
-    """use(value), with value worked out once."""
+    """use(value), with value worked out once: lambdas evaluate what they hold again for each element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def fold(word: Column, table: Column) -> Column:
-    """The ranks of a word's pieces after all merges (array<int>), for a non-empty string column.
+def lookup(merges: Column, pair: Column) -> Column:
+    """The symbol that two neighbours merge to, or null."""
+    return F.element_at(F.get(merges, F.pmod(F.crc32(pair.cast("binary")), F.lit(BUCKETS)).cast("int")), pair)
 
-    Values that several places use are bound by let(): lambdas evaluate what they hold again for each element.
-    """
 
-    return let(table, lambda bound: let(F.hex(word.cast("binary")), lambda digits: _pieces(digits, lambda key: lookup(bound, key))))
+def steps(n: Column, state: Column, step) -> Column:
+    """The state after as many steps as a word of n bytes can have merges."""
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), state, lambda s, _: step(s))
 
 
-def _pieces(digits: Column, rank) -> Column:
-    def step(parts, _):
-        pairs = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x, i: rank(F.concat(x, F.get(parts, i + 1))))
+def fold_short(symbols: Column, merges: Column) -> Column:
+    """A step merges one pair: the leftmost of the lowest.
+
+    State: the symbols, a null before and behind them, and for each what it and its right neighbour merge to.  Only
+    the two merges around the new symbol are looked up anew.
+    """
+    two = lambda a, b: lookup(merges, F.concat(a, b))
 
-        def merge(i):  # counted from one
-            both = F.array(F.concat(F.get(parts, i - 1), F.get(parts, i)))
-            return F.concat(F.slice(parts, F.lit(1), i - 1), both, F.slice(parts, i + 2, F.size(parts)))
+    def step(s):
+        parts, found = s["parts"], s["found"]
 
-        lowest = lambda r: let(F.array_min(r), lambda low: F.when(low.isNull(), parts).otherwise(let(F.array_position(r, low).cast("int"), merge)))
-        return F.when(F.size(parts) < 2, parts).otherwise(let(pairs, lowest))
+        def merge(low):
+            def at(i):  # counted from one
+                new = F.array(two(F.get(parts, i - 2), low), two(low, F.get(parts, i + 1)))
+                return F.struct(
+                    F.concat(F.slice(parts, F.lit(1), i - 1), F.array(low), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
+                    F.concat(F.slice(found, F.lit(1), i - 2), new, F.slice(found, i + 2, F.size(parts))).alias("found"),
+                )
 
-    n = (F.length(digits) / 2).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, 2 * i + 1, F.lit(2)))
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), parts, step)
-    return let(rank(digits), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, rank)))
+            return F.when(low.isNull(), s).otherwise(let(F.array_position(found, low).cast("int"), at))
 
+        return let(F.array_min(found), merge)
 
-def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """What fold() gives, in time n log n."""
-    if word in ranks:
-        return [ranks[word]]
-    n = len(word)
-    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    alive, heap = [True] * n, []
+    none = F.array(F.lit(None).cast("string"))
+    start = let(F.concat(none, symbols, none), lambda p: F.struct(p.alias("parts"), F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), two).alias("found")))
+    return let(steps(F.size(symbols), start, step)["parts"], lambda p: F.slice(p, F.lit(2), F.size(p) - 2))
 
-    def offer(i):
-        if after[i] < n:
-            rank = ranks.get(word[i : end[after[i]]])
-            if rank is not None:
-                heapq.heappush(heap, (rank, i, end[i], end[after[i]]))
 
-    for i in range(n):
-        offer(i)
-    while heap:
-        _, i, middle, to = heapq.heappop(heap)
-        if not alive[i] or end[i] != middle or after[i] >= n or end[after[i]] != to:
-            continue
-        j = after[i]
-        alive[j], end[i], after[i] = False, to, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
-    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
+def fold_long(symbols: Column, merges: Column) -> Column:
+    """A step merges all places of the lowest pair, from the left; the symbols are one string.
 
+    That is what merging them one by one gives, unless a merge brings about a pair that is lower still: then the
+    step merges the leftmost place only.
+    """
 
-def _numbered(known):
-    """Words as numbers; those beyond the dictionary get the next numbers and go along once."""
+    def looked(s):
+        """The string with its lowest merge (low, pair)."""
+        pairs = lambda c: F.array_distinct(F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c)), lambda a, b: F.concat(a, b)))
+        found = let(F.split(s, ""), lambda c: F.transform(pairs(c), lambda p: F.struct(lookup(merges, p).alias("low"), p.alias("pair"))))
+        return F.struct(s.alias("s"), F.array_min(F.filter(found, lambda x: x["low"].isNotNull())).alias("next"))
+
+    def step(state):
+        s, low, pair = state["s"], state["next"]["low"], state["next"]["pair"]
+        first = lambda i: F.concat(F.substring(s, F.lit(1), i - 1), low, F.substring(s, i + 2, F.length(s)))
+        higher = lambda x: F.coalesce(x > low, F.lit(True))
+        safe = lambda x: higher(x["next"]["low"]) & higher(lookup(merges, F.concat(low, F.substring(pair, 1, 1))))
+        both = let(let(F.replace(s, pair, low), looked), lambda x: F.when(safe(x), x).otherwise(let(let(F.instr(s, pair), first), looked)))
+        return F.when(state["next"].isNull(), state).otherwise(both)
+
+    return F.split(steps(F.size(symbols), let(F.array_join(symbols, ""), looked), step)["s"], "")
+
+
+def fold(word: Column, ranks: Ranks) -> Column:
+    """The ranks of a word's pieces after all merges (array<int>), for a non-empty string column named word."""
+    symbols = let(ranks.bytes, lambda table: F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(table, F.ascii(c))))
+    folded = lambda x, m: F.when(F.size(x) <= SHORT, fold_short(x, m)).otherwise(fold_long(x, m))
+    parts = let(ranks.merges, lambda m: let(symbols, lambda x: folded(x, m)))
+    return F.when(ranks.whole.isNotNull(), F.array(ranks.whole)).otherwise(F.transform(parts, rank_of))
+
+
+def _numbered(chunk_bytes):
+    """Rows' words as numbers within a chunk; the chunk's distinct words, in lists, after its rows."""
+
+    def chunk(number, held):
+        flat = pa.concat_arrays([b.column("words").flatten() for b in held]).dictionary_encode()
+        codes, at = flat.indices.to_numpy(zero_copy_only=False), 0
+        for b in held:
+            counts = pc.list_value_length(b.column("words")).to_numpy(zero_copy_only=False).astype(np.int32)
+            n = int(counts.sum())
+            body = C.squeeze(C.ids_of(b.column("doc_id")), pc.is_null(b.column("doc_id")).to_numpy(zero_copy_only=False).astype(np.uint8), counts, codes[at : at + n])
+            yield number, None, body, None
+            at += n
+        for a in range(0, len(flat.dictionary), LIST):
+            yield number, a, None, flat.dictionary[a : a + LIST]
+
+    def rows(found):
+        number, start, body, words = zip(*found, strict=True)
+        lists = [w if w is not None else pa.array([], pa.string()) for w in words]
+        off = np.append(0, np.cumsum([len(w) for w in lists]))
+        arrays = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.concat_arrays(lists), mask=pa.array([w is None for w in words]))
+        return pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(start, pa.int32()), pa.array(body, pa.binary()), arrays], ["chunk", "start", "body", "words"])
 
     def run(batches):
-        names = pa.ipc.open_stream(known.value).read_all()["word"].combine_chunks()
-        more: dict[bytes, int] = {}
+        from pyspark import TaskContext
+
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            words = batch.column("words")
-            off = words.offsets.to_numpy(zero_copy_only=False)
-            flat = words.flatten().cast(pa.binary()).dictionary_encode()
-            distinct = flat.dictionary.cast(pa.large_binary())
-            at = pc.index_in(distinct, names)
-            new: list[bytes] = []
-            lacking = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
-            number = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int32)
-            for i, word in zip(lacking, distinct.take(pa.array(lacking)).to_pylist(), strict=True):
-                k = more.get(word)
-                if k is None:
-                    k = more[word] = len(names) + len(more)
-                    new.append(word)
-                number[i] = k
-            codes = number[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(off - off[0], pa.int32()), pa.array(codes))
-            fresh = [[w.decode("utf-8") for w in new]] + [[]] * (batch.num_rows - 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(fresh[: batch.num_rows], pa.list_(pa.string()))], ["doc_id", "codes", "fresh"])
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            # an offset of four bytes beside some five of text
+            if size > 2 * chunk_bytes:
+                yield rows(chunk(number, held))
+                number, held, size = number + 1, [], 0
+        if held:
+            yield rows(chunk(number, held))
 
     return run
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     off = column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
     return column.flatten().to_numpy(zero_copy_only=False), off - off[0]
 
 
-class _Table:
-    """Ids of numbered words; grows."""
+def _rows(bodies, words):
+    """(ids, which are null, word counts' offsets, token ids, their offsets) of each of a chunk's messages."""
+    order = np.argsort(words["number"].to_numpy())
+    ids, off = _lists(words["ids"])
+    start, size = off[:-1][order], np.diff(off)[order]
+    for body in bodies.column("body"):
+        doc_id, null, counts, codes = C.expand(body.as_py(), np.int64, np.uint8, np.int32, np.int32)
+        tokens, at = C.slices(ids, start[codes], size[codes])
+        yield pa.array(doc_id, pa.int64(), mask=null > 0), tokens, at[np.append(0, np.cumsum(counts, dtype=np.int64))]
+
+
+def _encoded(bodies, words):
+    if not bodies.num_rows:
+        return None
+    parts = [pa.table({"doc_id": doc_id, "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))}) for doc_id, ids, at in _rows(bodies, words)]
+    return pa.concat_tables(parts)
 
-    def __init__(self, ids, off):
-        self.ids, self.off, self.n = np.asarray(ids, np.int32), np.asarray(off, np.int64), len(off) - 1
 
-    def add(self, ids, sizes):
-        end = self.off[self.n]
-        self.ids = self._fit(self.ids, end + len(ids))
-        self.off = self._fit(self.off, self.n + 1 + len(sizes))
-        self.ids[end : end + len(ids)] = ids
-        self.off[self.n + 1 : self.n + 1 + len(sizes)] = end + np.cumsum(sizes)
-        self.n += len(sizes)
+class Pieces:
+    """The vocabulary's bytes, one piece after the other, and the decimal digits of all ids, a space behind each."""
+
+    def __init__(self, path: str):
+        pieces = read_ranks(path)
+        self.data, self.off = self._flat(pieces)
+        self.digits, self.digits_off = self._flat([b"%d " % i for i in range(len(pieces))])
 
     @staticmethod
-    def _fit(a, n):
-        if n <= len(a):
-            return a
-        out = np.empty(max(n, 2 * len(a)), a.dtype)
-        out[: len(a)] = a
-        return out
+    def _flat(items):
+        return np.frombuffer(b"".join(items), np.uint8), np.append(0, np.cumsum([len(x) for x in items]))
 
+    def decode(self, ids, at):
+        """The concatenated pieces of lists of ids: bytes and offsets."""
+        data, off = C.slices(self.data, self.off[ids], self.off[ids + 1] - self.off[ids])
+        return data, off[at]
 
-def _joined(known, path):
-    """Numbers back to words' ids, with the fold's results for the words that came along."""
+    def decimals(self, ids, at):
+        """The ids' digits, one space between: bytes, and from where to where each list has them."""
+        data, off = C.slices(self.digits, self.digits_off[ids], self.digits_off[ids + 1] - self.digits_off[ids])
+        return data, off[at[:-1]], np.maximum(off[at[:-1]], off[at[1:]] - 1)
 
-    def run(batches):
-        table = _Table(*_lists(pa.ipc.open_stream(known.value).read_all()["ids"].combine_chunks()))
-        ranks: dict[bytes, int] = {}
-        for batch in batches:
-            new, sizes = batch.column("ids"), pc.list_value_length(batch.column("fresh")).to_numpy(zero_copy_only=False)
-            if sizes.any():
-                ids, off = _lists(new.flatten())
-                lens = np.diff(off)
-                long_ = np.flatnonzero(lens == 0)  # left to the heap
-                if len(long_):
-                    ranks = ranks or {p: i for i, p in enumerate(read_ranks(path))}
-                    words = batch.column("fresh").flatten()
-                    rows = [ids[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
-                    for i in long_:
-                        rows[i] = np.array(heap_merge(words[int(i)].as_py().encode(), ranks), np.int32)
-                    ids, lens = np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
-                table.add(ids, lens)
-            codes, ends = _lists(batch.column("codes"))
-            n = table.off[codes + 1] - table.off[codes] if len(codes) else np.zeros(0, np.int64)
-            ids, at = C.slices(table.ids, table.off[codes], n) if len(codes) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at[ends], pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
-    return run
+#: Of this Python worker, by path.
+_PIECES: dict[str, Pieces] = {}
 
 
-def _distinct(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pc.unique(batch.column("words").flatten())], ["word"])
+def _digested(path):
+    def run(bodies, words):
+        if not bodies.num_rows:
+            return None
+        pieces = _PIECES.get(path) or _PIECES.setdefault(path, Pieces(path))
+        sha = lambda data, a, z: pa.array([hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(a, z, strict=True)], pa.string())
+        parts = []
+        for doc_id, ids, at in _rows(bodies, words):
+            decoded, off = pieces.decode(ids, at)
+            parts.append(pa.table({"doc_id": doc_id, "n_tokens": np.diff(at), "ids_sha256": sha(*pieces.decimals(ids, at)), "decoded_sha256": sha(decoded, off[:-1], off[1:])}))
+        return pa.concat_tables(parts)
 
+    return run
 
-def _broadcast(spark, name: str, column):
-    """One column as Arrow's stream bytes, which workers read without a copy."""
-    sink = pa.BufferOutputStream()
-    table = pa.table({name: column}).combine_chunks()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    return spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
+def _path(ranks: str | None) -> str:
+    import public_tokenizers as public
 
-def encode(df: DataFrame, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row per row of df: doc_id, ids (array<int>).  A null text is empty and has no ids.
+    return ranks or public.path("byte_bpe_50k.tiktoken")
 
-    Special tokens are ordinary text.  Repeated rows are encoded row by row; an empty table gives an empty
-    result; other columns of df are ignored.
-    """
+
+def _chunks(df: DataFrame, ranks: str | None, pattern: str | None, id_col: str, text_col: str, chunk_bytes: int):
+    """The chunks' rows and their words' ids, both by chunk."""
     import public_tokenizers as public
 
     spark = df.sparkSession
     C.prepare(spark)
-    path, pattern = ranks or public.path("byte_bpe_50k.tiktoken"), pattern or public.PATTERN
-    table = rank_table(read_ranks(path))
-    rows = C.rows_of(df, id_col, text_col)
     # (?U): white space as Unicode has it
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), F.lit(0)).alias("words")
-    parted = rows.select("doc_id", words)
-    n = rows.count()
-    some = rows if n <= sample_rows else rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample_rows / n * (1 << 30)))
-    found = some.select(words).mapInArrow(_distinct, "word string").filter(F.octet_length("word") <= DICTIONARY_BYTES).distinct().limit(DICTIONARY)
-    # the fold costs far more than its rows' bytes say: many small partitions
-    found = found.repartition(C.slots(spark), "word").select("word", fold(F.col("word"), table).alias("ids"))
-    got = found.toArrow()
-    # one task needs the words, the next their ids: neither gets both
-    words_sent = _broadcast(spark, "word", got["word"].cast(pa.large_binary()))
-    ids_sent = _broadcast(spark, "ids", got["ids"])
-    numbered = parted.mapInArrow(_numbered(words_sent), "doc_id long, codes array<int>, fresh array<string>")
-    one = lambda w: F.when(F.octet_length(w) <= LONGEST_FOLD, fold(w, table)).otherwise(F.array().cast("array<int>"))
-    merged = numbered.select("doc_id", "codes", "fresh", F.transform("fresh", one).alias("ids"))
-    return merged.mapInArrow(_joined(ids_sent, path), "doc_id long, ids array<int>")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + (pattern or public.PATTERN)), F.lit(0)).alias("words")
+    numbered = C.rows_of(df, id_col, text_col).select("doc_id", words).mapInArrow(_numbered(chunk_bytes), "chunk long, start int, body binary, words array<string>")
+    path = C.shared_dir(spark, "words")
+    C.written(numbered, "words", path)
+    read = lambda: spark.read.schema(numbered.schema).parquet(path)
+    # dealt by word once: the distinct words and the join use the same partitions
+    dealt = read().filter("words is not null").select("chunk", "start", F.posexplode("words").alias("at", "word")).select("chunk", (F.col("start") + F.col("at")).alias("number"), "word").repartition("word")
+    merged = dealt.select("word").distinct().select("word", fold(F.col("word"), Ranks(read_ranks(_path(ranks)))).alias("ids"))
+    found = dealt.join(merged.hint("merge"), "word").select("chunk", "number", "ids")
+    return read().filter("body is not null").select("chunk", "body").groupBy("chunk").cogroup(found.groupBy("chunk"))
+
+
+def encode(df: DataFrame, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """One row per row of df: doc_id, ids (array<int>).  A null text is empty and has no ids.
+
+    Special tokens are ordinary text.  Repeated rows and null ids are encoded row by row; an empty table gives an
+    empty result; other columns of df are ignored.
+    """
+    return _chunks(df, ranks, pattern, id_col, text_col, chunk_bytes).applyInArrow(_encoded, "doc_id long, ids array<int>")
 
 
 def _decoded(path):
     def run(batches):
-        pieces = read_ranks(path)
-        table = np.frombuffer(b"".join(pieces), np.uint8)
-        off = np.append(0, np.cumsum([len(p) for p in pieces]))
+        pieces = Pieces(path)
         for batch in batches:
-            ids, ends = _lists(batch.column("ids"))
-            data, at = C.slices(table, off[ids], off[ids + 1] - off[ids]) if len(ids) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, C.binary(data, at[ends]).cast(pa.binary())], [*batch.schema.names, "decoded"])
+            ids, at = _lists(batch.column("ids"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, C.binary(*pieces.decode(ids, at)).cast(pa.binary())], [*batch.schema.names, "decoded"])
 
     return run
 
 
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
     """encode()'s rows with `decoded`, the concatenated pieces (binary)."""
-    import public_tokenizers as public
-
     C.prepare(encoded.sparkSession)
-    return encoded.select("doc_id", "ids").mapInArrow(_decoded(ranks or public.path("byte_bpe_50k.tiktoken")), "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(_decoded(_path(ranks)), "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(df: DataFrame, **named) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids, spaces between) and decoded_sha256 of each row."""
-    rows = decode(encode(df, **named))
-    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(df: DataFrame, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids, spaces between) and decoded_sha256 of each row, where encode()
+    finds the ids and decode()'s pieces are the bytes.  Nulls, repeated rows and empty tables: as encode() has them."""
+    return _chunks(df, ranks, pattern, id_col, text_col, chunk_bytes).applyInArrow(_digested(_path(ranks)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -34,22 +34,44 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir (set here only where the session has none)."""
+    """A new folder's URI under spark.checkpoint.dir, which goes when the session's JVM ends.
+
+    Only a local session may have no such folder: then it is a temporary one, set here for all that follows.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         top = found.get() if found.isDefined() else None
     if not top:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         top = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", top)
+    out = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path, system = _hadoop(spark, out)
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return out
+
+
+def _hadoop(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    """Delete a folder of shared_dir() that nothing reads any more."""
+    path, system = _hadoop(spark, uri)
+    system.delete(path, True)
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Make DataFrame.checkpoint() usable."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """The rows as a table in the shared folder: what follows starts from there, whatever executors are lost."""
+    path = path or shared_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def slots(spark: SparkSession) -> int:
