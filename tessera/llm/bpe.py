@@ -4,12 +4,13 @@ Text is parted by the vocabulary's pattern in the JVM.  Each distinct part ("wor
 Spark higher-order functions: its bytes become an array of ranks, and a fold merges the neighbours of lowest rank until
 none are left.  Ranks of merges come from a literal map (in buckets) by the ranks of the two neighbours.
 
-1. Tasks cut their rows into chunks of some MB, number the distinct words of a chunk, and write for each chunk its
-   words and, for its rows, the words' numbers (compressed) to the shared folder.
-2. Words are dealt by word.  Of each, one goes through the fold, and a join hands the result to all chunks that have it.
+1. Tasks cut their rows into chunks of some MB, number the distinct words of a chunk, and write to the shared folder,
+   compressed: the rows' word numbers, and the words by bucket of their hash.
+2. A bucket's distinct words go through the fold, each once, and every chunk gets the ids of the words it sent.
 3. Each chunk's rows meet the ids of the chunk's words.  Decoding concatenates the ids' binary pieces.
 
-Only numbers and distinct words are shuffled, no text is, and a word's rows are as many as chunks have it.
+No text is shuffled.  A chunk sends a bucket at most one message, and none without words, so that messages are never
+more than the chunks' distinct words.
 """
 
 from __future__ import annotations
@@ -26,13 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .simhash import xxh64
 
 #: Buckets of the literal map; a prime, so that close keys fall apart.
-BUCKETS = 32_749
-#: Bytes of text that a chunk should have, and words in a row of its word list.
-CHUNK_BYTES, LIST = 16 << 20, 16_384
+MAPS = 65_521
+#: Bytes of a chunk's text, of the text whose words a bucket should get, and words that a row may list.
+CHUNK_BYTES, BUCKET_BYTES, LIST = 16 << 20, 32 << 20, 4096
 #: Up to so many bytes a step of the fold merges one pair; in longer words, all places of the lowest pair.
 SHORT = 64
+#: A merge is told from a symbol by its sign.
+_SHIFT = 1 << 40
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -46,40 +50,49 @@ def read_ranks(path: str) -> list[bytes]:
     return [out[i] for i in range(len(out))]
 
 
-def symbol(rank: int) -> str:
-    """The character that stands for a rank; their order is the ranks' (no surrogates, no zero)."""
-    return chr(rank + 1 if rank < 0xD7FF else rank + 0x801)
-
-
-def rank_of(char: Column) -> Column:
-    code = F.ascii(char)
-    return code - F.when(code < 0xD800, F.lit(1)).otherwise(F.lit(0x801))
-
-
 def literal(value, kind: str) -> Column:
     """A constant of any type, which the optimizer parses once."""
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
+def big(value: int) -> Column:
+    return F.lit(value).cast("bigint")
+
+
 class Ranks:
-    """The vocabulary as literals: symbols by byte, and by the symbols of two neighbours that of their merge."""
+    """The vocabulary as literals: ranks by byte, merges by the ranks of two neighbours, a character for each rank."""
 
     def __init__(self, pieces: list[bytes]):
         ranks = {p: i for i, p in enumerate(pieces)}
-        maps: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+        self.size = len(pieces)
+        maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
         for piece, rank in ranks.items():
             for i in range(1, len(piece)):
                 a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
                 if a is not None and b is not None:
-                    pair = symbol(a) + symbol(b)
-                    maps[zlib.crc32(pair.encode()) % BUCKETS][pair] = symbol(rank)
-        self.bytes = literal([symbol(ranks[bytes([i])]) for i in range(256)], "array<string>")
-        self.merges = literal([m or None for m in maps], "array<map<string,string>>")
+                    key = a * self.size + b
+                    maps[key % MAPS][str(key)] = rank - _SHIFT
+        self.bytes = literal([ranks[bytes([i])] for i in range(256)], "array<bigint>")
+        self.merges = literal([m or None for m in maps], "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
+        self.chars = literal([chr(symbol(i)) for i in range(self.size)], "array<string>")
         # a piece that its own merges don't reach is still one token where it is a whole word
-        whole = {p: r for p, r in ranks.items() if _merged(p, ranks) != [r]}
-        self.whole = F.lit(None).cast("int")
-        for p, r in whole.items():
-            self.whole = F.coalesce(self.whole, F.when(F.col("word").cast("binary") == F.lit(p), F.lit(r)))
+        self.whole = {p: r for p, r in ranks.items() if _merged(p, ranks) != [r]}
+
+    def lookup(self, merges: Column, left: Column, right: Column, less: int = 0) -> Column:
+        """What two neighbours (whose key is greater by `less`) merge to, as its rank - _SHIFT, or null."""
+        key = left * big(self.size) + right
+        key = key + big(less) if less else key
+        return F.element_at(F.get(merges, (key % big(MAPS)).cast("int")), key)
+
+
+def symbol(rank: int) -> int:
+    """The code point that stands for a rank, in the ranks' order: no surrogates, no zero."""
+    return rank + 1 if rank < 0xD7FF else rank + 0x801
+
+
+def rank_of(char: Column) -> Column:
+    code = F.ascii(char).cast("bigint")
+    return code - F.when(code < 0xD800, big(1)).otherwise(big(0x801))
 
 
 def _merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -98,97 +111,109 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def lookup(merges: Column, pair: Column) -> Column:
-    """The symbol that two neighbours merge to, or null."""
-    return F.element_at(F.get(merges, F.pmod(F.crc32(pair.cast("binary")), F.lit(BUCKETS)).cast("int")), pair)
-
-
 def steps(n: Column, state: Column, step) -> Column:
     """The state after as many steps as a word of n bytes can have merges."""
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), state, lambda s, _: step(s))
 
 
-def fold_short(symbols: Column, merges: Column) -> Column:
+def fold_short(symbols: Column, merges: Column, ranks: Ranks) -> Column:
     """A step merges one pair: the leftmost of the lowest.
 
-    State: the symbols, a null before and behind them, and for each what it and its right neighbour merge to.  Only
-    the two merges around the new symbol are looked up anew.
+    The state is one array: each symbol, and behind it what it and the next merge to (less than zero) or null; a null
+    stands before the first and behind the last.  Only the two merges around a new symbol are looked up anew.
     """
-    two = lambda a, b: lookup(merges, F.concat(a, b))
-
-    def step(s):
-        parts, found = s["parts"], s["found"]
+    rest = F.lit(1 << 30)
 
+    def step(z):
         def merge(low):
-            def at(i):  # counted from one
-                new = F.array(two(F.get(parts, i - 2), low), two(low, F.get(parts, i + 1)))
-                return F.struct(
-                    F.concat(F.slice(parts, F.lit(1), i - 1), F.array(low), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
-                    F.concat(F.slice(found, F.lit(1), i - 2), new, F.slice(found, i + 2, F.size(parts))).alias("found"),
-                )
+            def at(i):  # the merge's place, counted from one
+                new = low + big(_SHIFT)
+                middle = F.array(ranks.lookup(merges, F.get(z, i - 4), low, _SHIFT), new, ranks.lookup(merges, new, F.get(z, i + 2)))
+                return F.concat(F.slice(z, F.lit(1), i - 3), middle, F.slice(z, i + 3, rest))
 
-            return F.when(low.isNull(), s).otherwise(let(F.array_position(found, low).cast("int"), at))
+            return F.when(low < 0, let(F.array_position(z, low).cast("int"), at)).otherwise(z)
 
-        return let(F.array_min(found), merge)
+        return let(F.array_min(z), merge)
 
-    none = F.array(F.lit(None).cast("string"))
-    start = let(F.concat(none, symbols, none), lambda p: F.struct(p.alias("parts"), F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), two).alias("found")))
-    return let(steps(F.size(symbols), start, step)["parts"], lambda p: F.slice(p, F.lit(2), F.size(p) - 2))
+    none = F.array(F.lit(None).cast("bigint"))
+    start = let(F.concat(none, symbols, none), lambda p: F.flatten(F.zip_with(p, F.slice(p, F.lit(2), rest), lambda a, b: F.array(a, ranks.lookup(merges, a, b)))))
+    return F.filter(steps(F.size(symbols), start, step), lambda x: x.isNotNull())
 
 
-def fold_long(symbols: Column, merges: Column) -> Column:
-    """A step merges all places of the lowest pair, from the left; the symbols are one string.
+def fold_long(symbols: Column, merges: Column, ranks: Ranks) -> Column:
+    """A step merges all places of the lowest pair, from the left; the symbols are the characters of a string.
 
     That is what merging them one by one gives, unless a merge brings about a pair that is lower still: then the
     step merges the leftmost place only.
     """
 
-    def looked(s):
-        """The string with its lowest merge (low, pair)."""
-        pairs = lambda c: F.array_distinct(F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c)), lambda a, b: F.concat(a, b)))
-        found = let(F.split(s, ""), lambda c: F.transform(pairs(c), lambda p: F.struct(lookup(merges, p).alias("low"), p.alias("pair"))))
-        return F.struct(s.alias("s"), F.array_min(F.filter(found, lambda x: x["low"].isNotNull())).alias("next"))
+    def folded(chars):
+        def looked(s):
+            """The string with its lowest merge (low, pair)."""
+            pairs = lambda c: F.array_distinct(F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c)), lambda a, b: F.concat(a, b)))
+            merge = lambda p: F.struct(ranks.lookup(merges, rank_of(p), rank_of(F.substring(p, 2, 1))).alias("low"), p.alias("pair"))
+            found = let(F.split(s, ""), lambda c: F.transform(pairs(c), merge))
+            return F.struct(s.alias("s"), F.array_min(F.filter(found, lambda x: x["low"].isNotNull())).alias("next"))
+
+        def step(state):
+            s, low, pair = state["s"], state["next"]["low"], state["next"]["pair"]
+            higher = lambda x: F.coalesce(x > low, F.lit(True))
+
+            def merge(new):
+                first = lambda i: F.concat(F.substring(s, F.lit(1), i - 1), new, F.substring(s, i + 2, F.length(s)))
+                safe = lambda x: higher(x["next"]["low"]) & higher(ranks.lookup(merges, low, rank_of(pair), _SHIFT * ranks.size))
+                return let(let(F.replace(s, pair, new), looked), lambda x: F.when(safe(x), x).otherwise(let(let(F.instr(s, pair), first), looked)))
+
+            return F.when(state["next"].isNull(), state).otherwise(let(F.get(chars, (low + big(_SHIFT)).cast("int")), merge))
 
-    def step(state):
-        s, low, pair = state["s"], state["next"]["low"], state["next"]["pair"]
-        first = lambda i: F.concat(F.substring(s, F.lit(1), i - 1), low, F.substring(s, i + 2, F.length(s)))
-        higher = lambda x: F.coalesce(x > low, F.lit(True))
-        safe = lambda x: higher(x["next"]["low"]) & higher(lookup(merges, F.concat(low, F.substring(pair, 1, 1))))
-        both = let(let(F.replace(s, pair, low), looked), lambda x: F.when(safe(x), x).otherwise(let(let(F.instr(s, pair), first), looked)))
-        return F.when(state["next"].isNull(), state).otherwise(both)
+        text = F.array_join(F.transform(symbols, lambda x: F.get(chars, x.cast("int"))), "")
+        return F.transform(F.split(steps(F.size(symbols), let(text, looked), step)["s"], ""), rank_of)
 
-    return F.split(steps(F.size(symbols), let(F.array_join(symbols, ""), looked), step)["s"], "")
+    return let(ranks.chars, folded)
 
 
 def fold(word: Column, ranks: Ranks) -> Column:
-    """The ranks of a word's pieces after all merges (array<int>), for a non-empty string column named word."""
+    """The ranks of a word's pieces after all merges (array<int>), for a non-empty string column."""
     symbols = let(ranks.bytes, lambda table: F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(table, F.ascii(c))))
-    folded = lambda x, m: F.when(F.size(x) <= SHORT, fold_short(x, m)).otherwise(fold_long(x, m))
-    parts = let(ranks.merges, lambda m: let(symbols, lambda x: folded(x, m)))
-    return F.when(ranks.whole.isNotNull(), F.array(ranks.whole)).otherwise(F.transform(parts, rank_of))
+    folded = lambda x, m: F.when(F.size(x) <= SHORT, fold_short(x, m, ranks)).otherwise(fold_long(x, m, ranks))
+    out = let(ranks.merges, lambda m: let(symbols, lambda x: folded(x, m))).cast("array<int>")
+    for piece, rank in ranks.whole.items():
+        out = F.when(word.cast("binary") == F.lit(piece), F.array(F.lit(rank))).otherwise(out)
+    return out
 
 
-def _numbered(chunk_bytes):
-    """Rows' words as numbers within a chunk; the chunk's distinct words, in lists, after its rows."""
+def _numbered(chunk_bytes, buckets):
+    """Of each chunk: its rows' words as numbers, the buckets of its words, and a message for each of these buckets.
+
+    Numbers go by falling count, so that most are small, then by word, so that messages are nearly sorted.
+    """
 
     def chunk(number, held):
         flat = pa.concat_arrays([b.column("words").flatten() for b in held]).dictionary_encode()
-        codes, at = flat.indices.to_numpy(zero_copy_only=False), 0
+        codes, names = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
+        count = np.bincount(codes, minlength=len(names))
+        order = pc.sort_indices(pa.table({"n": -count, "w": names}), sort_keys=[("n", "ascending"), ("w", "ascending")]).to_numpy()
+        place = np.empty(len(names), np.uint32)
+        place[order] = np.arange(len(names))
+        codes, at = place[codes], 0
         for b in held:
-            counts = pc.list_value_length(b.column("words")).to_numpy(zero_copy_only=False).astype(np.int32)
-            n = int(counts.sum())
-            body = C.squeeze(C.ids_of(b.column("doc_id")), pc.is_null(b.column("doc_id")).to_numpy(zero_copy_only=False).astype(np.uint8), counts, codes[at : at + n])
-            yield number, None, body, None
-            at += n
-        for a in range(0, len(flat.dictionary), LIST):
-            yield number, a, None, flat.dictionary[a : a + LIST]
+            counts = pc.list_value_length(b.column("words")).to_numpy(zero_copy_only=False).astype(np.uint32)
+            mine = codes[at : at + int(counts.sum())]
+            null = pc.is_null(b.column("doc_id")).to_numpy(zero_copy_only=False).astype(np.uint8)
+            yield number, -1, C.squeeze(C.ids_of(b.column("doc_id")), null, counts, np.minimum(mine, 255).astype(np.uint8), mine[mine >= 255])
+            at += len(mine)
+        data, off = C.flat(names.take(pa.array(order)))
+        which = (xxh64(data, off[:-1], np.diff(off)) % np.uint64(buckets)).astype(np.uint32)
+        yield number, -2, C.squeeze(which)
+        by = np.argsort(which, kind="stable")
+        cut = np.flatnonzero(np.append(True, which[by][1:] != which[by][:-1])) if len(by) else []
+        for a, z in zip(cut, [*cut[1:], len(by)], strict=True):
+            text, ends = C.slices(data, off[by[a:z]], np.diff(off)[by[a:z]])
+            yield number, int(which[by[a]]), C.squeeze(np.diff(ends).astype(np.uint32), text)
 
     def rows(found):
-        number, start, body, words = zip(*found, strict=True)
-        lists = [w if w is not None else pa.array([], pa.string()) for w in words]
-        off = np.append(0, np.cumsum([len(w) for w in lists]))
-        arrays = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.concat_arrays(lists), mask=pa.array([w is None for w in words]))
-        return pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(start, pa.int32()), pa.array(body, pa.binary()), arrays], ["chunk", "start", "body", "words"])
+        number, bucket, body = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(bucket, pa.int32()), pa.array(body, pa.binary())], ["chunk", "bucket", "body"])
 
     def run(batches):
         from pyspark import TaskContext
@@ -208,6 +233,43 @@ def _numbered(chunk_bytes):
     return run
 
 
+def _distinct(table: pa.Table) -> pa.Table:
+    """A bucket's distinct words, in lists, then which of them each message has."""
+    sent = [C.expand(x, np.uint32, np.uint8) for x in table["body"].to_pylist()]
+    sizes = np.concatenate([n for n, _ in sent]).astype(np.int64)
+    coded = C.binary(np.concatenate([t for _, t in sent]), np.append(0, np.cumsum(sizes))).dictionary_encode()
+    names, codes = coded.dictionary.cast(pa.large_string()).cast(pa.string()), coded.indices.to_numpy(zero_copy_only=False)
+    cuts = np.arange(0, len(names), LIST)
+    ends = np.cumsum([len(n) for n, _ in sent])
+    lists = pa.ListArray.from_arrays(pa.array([*cuts, *[len(names)] * (len(sent) + 1)], pa.int32()), names)
+    bodies = [None] * len(cuts) + [C.squeeze(codes[z - len(n) : z]) for z, (n, _) in zip(ends, sent, strict=True)]
+    n = len(cuts) + len(sent)
+    return pa.table({"chunk": pa.array([None] * len(cuts) + table["chunk"].to_pylist(), pa.int64()), "bucket": pa.array([table["bucket"][0].as_py()] * n, pa.int32()), "body": pa.array(bodies, pa.binary()), "words": lists})
+
+
+def _answered(batches):
+    """The ids of each message's words, in its order; a bucket's words come before its messages."""
+    bucket, parts, table = None, [], None
+    for batch in batches:
+        out = []
+        ids = batch.column("ids")
+        for i, (chunk, number, body) in enumerate(zip(batch.column("chunk").to_pylist(), batch.column("bucket").to_pylist(), batch.column("body").to_pylist(), strict=True)):
+            if number != bucket:
+                bucket, parts, table = number, [], None
+            if body is None:
+                parts.append(ids[i].values)
+                continue
+            if table is None:
+                every = pa.concat_arrays(parts)
+                table, parts = _lists(every), []
+            codes = C.expand(body, np.int32)[0]
+            values, off = table
+            size = off[codes + 1] - off[codes]
+            out.append((chunk, bucket, C.squeeze(size.astype(np.uint32), C.slices(values, off[codes], size)[0].astype(np.uint32))))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["chunk", "bucket", "body"])
+
+
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -215,21 +277,30 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), off - off[0]
 
 
-def _rows(bodies, words):
-    """(ids, which are null, word counts' offsets, token ids, their offsets) of each of a chunk's messages."""
-    order = np.argsort(words["number"].to_numpy())
-    ids, off = _lists(words["ids"])
-    start, size = off[:-1][order], np.diff(off)[order]
-    for body in bodies.column("body"):
-        doc_id, null, counts, codes = C.expand(body.as_py(), np.int64, np.uint8, np.int32, np.int32)
-        tokens, at = C.slices(ids, start[codes], size[codes])
-        yield pa.array(doc_id, pa.int64(), mask=null > 0), tokens, at[np.append(0, np.cumsum(counts, dtype=np.int64))]
-
-
-def _encoded(bodies, words):
-    if not bodies.num_rows:
+def _rows(sent, answers):
+    """(doc ids, token ids, their offsets) of each of a chunk's batches of rows."""
+    which = next(C.expand(body, np.uint32)[0] for bucket, body in zip(sent["bucket"].to_pylist(), sent["body"].to_pylist(), strict=True) if bucket == -2)
+    said = dict(zip(answers["bucket"].to_pylist(), answers["body"].to_pylist(), strict=True)) if answers.num_rows else {}
+    got = [C.expand(said[k], np.uint32, np.uint32) for k in sorted(said)]
+    size, start = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+    if got:
+        sizes = np.concatenate([n for n, _ in got]).astype(np.int64)
+        order = np.argsort(which, kind="stable")
+        size[order], start[order] = sizes, np.cumsum(sizes) - sizes
+    ids = np.concatenate([x for _, x in got]).astype(np.int32) if got else np.zeros(0, np.int32)
+    for bucket, body in zip(sent["bucket"], sent["body"], strict=True):
+        if bucket.as_py() == -1:
+            doc_id, null, counts, low, rest = C.expand(body.as_py(), np.int64, np.uint8, np.uint32, np.uint8, np.uint32)
+            codes = low.astype(np.int64)
+            codes[low == 255] = rest
+            tokens, at = C.slices(ids, start[codes], size[codes])
+            yield pa.array(doc_id, pa.int64(), mask=null > 0), tokens, at[np.append(0, np.cumsum(counts, dtype=np.int64))]
+
+
+def _encoded(sent, answers):
+    if not sent.num_rows:
         return None
-    parts = [pa.table({"doc_id": doc_id, "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))}) for doc_id, ids, at in _rows(bodies, words)]
+    parts = [pa.table({"doc_id": doc_id, "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))}) for doc_id, ids, at in _rows(sent, answers)]
     return pa.concat_tables(parts)
 
 
@@ -261,13 +332,13 @@ _PIECES: dict[str, Pieces] = {}
 
 
 def _digested(path):
-    def run(bodies, words):
-        if not bodies.num_rows:
+    def run(sent, answers):
+        if not sent.num_rows:
             return None
         pieces = _PIECES.get(path) or _PIECES.setdefault(path, Pieces(path))
         sha = lambda data, a, z: pa.array([hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(a, z, strict=True)], pa.string())
         parts = []
-        for doc_id, ids, at in _rows(bodies, words):
+        for doc_id, ids, at in _rows(sent, answers):
             decoded, off = pieces.decode(ids, at)
             parts.append(pa.table({"doc_id": doc_id, "n_tokens": np.diff(at), "ids_sha256": sha(*pieces.decimals(ids, at)), "decoded_sha256": sha(decoded, off[:-1], off[1:])}))
         return pa.concat_tables(parts)
@@ -287,17 +358,18 @@ def _chunks(df: DataFrame, ranks: str | None, pattern: str | None, id_col: str,
 
     spark = df.sparkSession
     C.prepare(spark)
+    rows = C.rows_of(df, id_col, text_col)
+    buckets = max(C.slots(spark), C.block_count(rows, "text", BUCKET_BYTES))
     # (?U): white space as Unicode has it
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + (pattern or public.PATTERN)), F.lit(0)).alias("words")
-    numbered = C.rows_of(df, id_col, text_col).select("doc_id", words).mapInArrow(_numbered(chunk_bytes), "chunk long, start int, body binary, words array<string>")
-    path = C.shared_dir(spark, "words")
-    C.written(numbered, "words", path)
-    read = lambda: spark.read.schema(numbered.schema).parquet(path)
-    # dealt by word once: the distinct words and the join use the same partitions
-    dealt = read().filter("words is not null").select("chunk", "start", F.posexplode("words").alias("at", "word")).select("chunk", (F.col("start") + F.col("at")).alias("number"), "word").repartition("word")
-    merged = dealt.select("word").distinct().select("word", fold(F.col("word"), Ranks(read_ranks(_path(ranks)))).alias("ids"))
-    found = dealt.join(merged.hint("merge"), "word").select("chunk", "number", "ids")
-    return read().filter("body is not null").select("chunk", "body").groupBy("chunk").cogroup(found.groupBy("chunk"))
+    schema, path = "chunk long, bucket int, body binary", C.shared_dir(spark, "words")
+    rows.select("doc_id", words).mapInArrow(_numbered(chunk_bytes, buckets), schema).write.mode("overwrite").parquet(path)
+    read = lambda: spark.read.schema(schema).parquet(path)
+    # the fold costs far more than its rows' bytes say: as many partitions as buckets
+    found = read().filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_distinct, f"{schema}, words array<string>")
+    vocabulary = Ranks(read_ranks(_path(ranks)))
+    folded = found.select("chunk", "bucket", "body", F.transform("words", lambda w: fold(w, vocabulary)).alias("ids"))
+    return read().filter("bucket < 0").groupBy("chunk").cogroup(folded.mapInArrow(_answered, schema).groupBy("chunk"))
 
 
 def encode(df: DataFrame, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

@@ -158,19 +158,33 @@ def test_ppm_is_a_distribution():
     assert math.isclose((10 ** ppm.log_probabilities(keys, counts, pairs)).sum(), 1.0, rel_tol=1e-9)
 
 
-def test_bpe(spark):
+@pytest.fixture(scope="module")
+def own():
     import public_tokenizers as public
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public.path("byte_bpe_50k.tiktoken"), "rb"))}
-    own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    data = [(1, "Hello  world's   \n\n test  x\u0085y 'll  "), (2, None), (2, ""), (None, "日本語 🎉🎉 naïve ١٢٣ ½"), (3, "a" * 300 + " " * 400 + "é" * 200), (4, "<|endoftext|> \x00\x1c '''s 'S")]
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    got = sorted(((r["doc_id"], list(r["ids"]), bytes(r["decoded"])) for r in bpe.decode(bpe.encode(df, sample_rows=1)).collect()), key=str)
+    return tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("chunk_bytes", [500, 10**8])
+def test_bpe(spark, own, chunk_bytes):
+    rng = random.Random(4)
+    data = [(1, "Hello  world's   \n\n test  x\u0085y 'll  "), (2, None), (2, ""), (None, "日本語 🎉🎉 naïve ١٢٣ ½"), (3, "a" * 300 + " " * 400 + "é" * 200), (4, "<|endoftext|> \x00\x1c '''s 'S"), (4, "<|endoftext|> \x00\x1c '''s 'S")]
+    letters = ["a", "b", "e", "ing", "THE", "é", "日本", "の", "tion", "aaa"]
+    data += [(9, "".join(rng.choice(letters) for _ in range(n))) for n in (3, 20, 30, 31, 32, 64, 65, 66, 200, 500) for _ in range(4)]  # long letter runs
+    df = spark.createDataFrame([(*x, 7, "w") for x in data], "doc_id long, text string, chunk int, bucket string")
+    got = sorted(((r["doc_id"], list(r["ids"]), bytes(r["decoded"])) for r in bpe.decode(bpe.encode(df, chunk_bytes=chunk_bytes)).collect()), key=str)
     assert got == sorted(((i, own.encode_ordinary(t or ""), (t or "").encode()) for i, t in data), key=str)
-    assert bpe.encode(df.limit(0)).count() == 0
-    for w in (b"a" * 3000, "é".encode() * 99, b" " * 500):
-        assert bpe.heap_merge(w, ranks) == own._encode_single_piece(w)
+    assert bpe.encode(df.limit(0)).count() == bpe.digests(df.limit(0)).count() == 0
+
+
+def test_bpe_digests(docs, own):
+    want = []
+    for i, t in of(docs):
+        ids = own.encode_ordinary(t or "")
+        want.append((i, len(ids), H.sha(" ".join(map(str, ids)).encode()), H.sha((t or "").encode())))
+    assert rows(bpe.digests(docs)) == sorted(want, key=str)
 
 
 def test_packing(odd, spark):
