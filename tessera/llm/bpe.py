@@ -32,7 +32,7 @@ from .simhash import xxh64
 #: Buckets of the literal map; a prime, so that close keys fall apart.
 MAPS = 65_521
 #: Bytes of a chunk's text, of the text whose words a bucket should get, and words that a row may list.
-CHUNK_BYTES, BUCKET_BYTES, LIST = 16 << 20, 32 << 20, 4096
+CHUNK_BYTES, BUCKET_BYTES, LIST = 12 << 20, 32 << 20, 4096
 #: Up to so many bytes a step of the fold merges one pair; in longer words, all places of the lowest pair.
 SHORT = 64
 #: A merge is told from a symbol by its sign.
@@ -227,8 +227,11 @@ def _numbered(chunk_bytes, buckets):
             if size > 2 * chunk_bytes:
                 yield rows(chunk(number, held))
                 number, held, size = number + 1, [], 0
+                C.trim()
         if held:
             yield rows(chunk(number, held))
+        del held
+        C.trim()
 
     return run
 
@@ -362,14 +365,15 @@ def _chunks(df: DataFrame, ranks: str | None, pattern: str | None, id_col: str,
     buckets = max(C.slots(spark), C.block_count(rows, "text", BUCKET_BYTES))
     # (?U): white space as Unicode has it
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + (pattern or public.PATTERN)), F.lit(0)).alias("words")
-    schema, path = "chunk long, bucket int, body binary", C.shared_dir(spark, "words")
-    rows.select("doc_id", words).mapInArrow(_numbered(chunk_bytes, buckets), schema).write.mode("overwrite").parquet(path)
-    read = lambda: spark.read.schema(schema).parquet(path)
+    schema = "chunk long, bucket int, body binary"
+    # dealt by chunk, so that only the answers are shuffled to the rows
+    sent = C.bucketed(rows.select("doc_id", words).mapInArrow(_numbered(chunk_bytes, buckets), schema), "words", "chunk", buckets)
     # the fold costs far more than its rows' bytes say: as many partitions as buckets
-    found = read().filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_distinct, f"{schema}, words array<string>")
+    asked = sent.select(*(F.col(c).alias(c) for c in sent.columns)).filter("bucket >= 0")
+    found = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_distinct, f"{schema}, words array<string>")
     vocabulary = Ranks(read_ranks(_path(ranks)))
     folded = found.select("chunk", "bucket", "body", F.transform("words", lambda w: fold(w, vocabulary)).alias("ids"))
-    return read().filter("bucket < 0").groupBy("chunk").cogroup(folded.mapInArrow(_answered, schema).groupBy("chunk"))
+    return sent.filter("bucket < 0").groupBy("chunk").cogroup(folded.mapInArrow(_answered, schema).groupBy("chunk"))
 
 
 def encode(df: DataFrame, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

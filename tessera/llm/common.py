@@ -74,6 +74,36 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int):
+    """The rows as a table in the shared folder, dealt by key: what groups or joins by key reads it without a shuffle.
+
+    The catalog has it only until the plan that reads it is made.
+    """
+    spark = df.sparkSession
+    table = f"tessera_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", shared_dir(spark, name)).mode("overwrite").format("parquet").saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # not its files, which are in a folder of ours
+    return found
+
+
+_LIBC = None
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task."""
+    global _LIBC
+    pa.default_memory_pool().release_unused()
+    if _LIBC is None:
+        import ctypes
+
+        try:
+            _LIBC = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):
+            _LIBC = lambda _: 0
+    _LIBC(0)
+
+
 def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
