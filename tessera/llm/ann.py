@@ -1,71 +1,60 @@
 """Approximate nearest neighbours by cosine: a forest of sorted hash strings.
 
-Each tree hashes a vector to a string of bits, the sides of random hyperplanes.  A shard of vectors keeps a
-tree as its strings in sorted order, so all strings that share a prefix with a query's are one range.  A query
-descends to its longest match in each tree and then ascends in all trees together, a bit at a time, gathering
-what shares the shorter prefixes, until it has come up to the depth that the forest was calibrated to.
-Candidates are compared exactly, in double precision.
-
-The stopping depth comes from a bounded sample of queries, answered by brute force: the greatest depth at
-which the sample's recall is high enough.  So well-clustered vectors stop early, and vectors without structure
-are searched widely.  All vectors are indexed.  Queries meet shards in blocks; a task holds one of each.
+Each tree hashes a vector to a long string of bits, the sides of random hyperplanes, and is the sorted array of these
+strings, so that all strings that share a prefix with a query's are one range.  A query descends to its longest match in
+each tree and then ascends in all trees together, a bit at a time, until the strings that share the prefixes are as many
+as the forest was calibrated to.  Candidates are compared exactly, in double precision.
+
+1. Trees are cut by their first bits into pieces of a bounded size, sorted and written once, dealt by (tree, prefix).
+2. A query's string in each tree meets the one piece that has its prefix: how many strings share each longer prefix.
+3. Summed over the trees, these counts say at which depth the query's ascent ends.
+4. From there, pieces hand the candidates to the shards that hold their vectors; each shard returns its nearest.
+
+How many candidates to ask for comes from a bounded sample of queries, answered by brute force: what so large a share of
+their true neighbours needs.  Well-clustered vectors stop early, vectors without structure are searched widely.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
-TREES = 32
-BITS = 24
-#: Queries that the stopping depth is calibrated on, and the recall that they must reach.
+TREES = 128
+BITS = 32
+#: Queries that the number of candidates is calibrated on, and the recall that they must reach.
 SAMPLE = 64
-RECALL = 0.96
-#: Vectors of a shard and queries of a block.
-SHARD, QUERIES = 16_384, 4_096
+RECALL = 0.97
+#: Vectors of a shard, and strings of a piece of a tree.
+SHARD, PIECE = 16_384, 65_536
+#: Vectors that are hashed at a time, and that a task hashes before it sends their strings.
+STEP, HELD = 1024, 32_768
+
+KEYS = ["dim", "tree", "prefix"]
+MESSAGE = "dim int, tree int, prefix long, body binary"
 
 
 def planes(dim: int, trees: int, bits: int, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((dim, trees * bits)).astype(np.float32)
+    return np.random.default_rng(seed).standard_normal((dim, trees * bits), np.float32)
 
 
 def strings(unit: np.ndarray, trees: int, bits: int) -> np.ndarray:
-    """(trees, n) hash strings as integers, first bit highest."""
-    side = (unit.astype(np.float32) @ planes(unit.shape[1], trees, bits) > 0).reshape(len(unit), trees, bits)
-    return (side @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).T.copy()
+    """(trees, n) hash strings as integers, first bit highest; bits is a multiple of 8, 32 at most."""
+    sides = planes(unit.shape[1], trees, bits)
+    out = np.zeros((len(unit), trees), np.uint64)
+    for a in range(0, len(unit), STEP):
+        packed = np.packbits(unit[a : a + STEP].astype(np.float32) @ sides > 0, axis=1).reshape(-1, trees, bits // 8)
+        for k in range(bits // 8):
+            out[a : a + STEP] = out[a : a + STEP] << np.uint64(8) | packed[:, :, k]
+    return out.T.copy()
 
 
-class Forest:
-    def __init__(self, unit: np.ndarray, trees: int = TREES, bits: int = BITS):
-        self.bits = bits
-        hashed = strings(unit, trees, bits)
-        self.order = np.argsort(hashed, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(hashed, self.order, axis=1)
-
-    def ranges(self, hashed: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """(trees, queries) bounds of the strings that share the first `depth` bits."""
-        shift = self.bits - depth
-        low = hashed >> shift << shift
-        a = np.stack([np.searchsorted(s, q) for s, q in zip(self.sorted, low, strict=True)])
-        z = np.stack([np.searchsorted(s, q + (1 << shift)) for s, q in zip(self.sorted, low, strict=True)])
-        return a, z
-
-    def gather(self, hashed: np.ndarray, stop: int, least: int):
-        """For each query the candidates of the ascent down to depth `stop`, or further up until there are `least`."""
-        held = {d: self.ranges(hashed, d) for d in range(stop, -1, -1)}
-        for q in range(hashed.shape[1]):
-            for depth in range(stop, -1, -1):
-                a, z = held[depth][0][:, q], held[depth][1][:, q]
-                if int((z - a).sum()) < least and depth:
-                    continue
-                found = np.unique(np.concatenate([o[x:y] for o, x, y in zip(self.order, a, z, strict=True)])) if depth else np.arange(self.order.shape[1])
-                if len(found) >= min(least, self.order.shape[1]) or not depth:
-                    yield found
-                    break
+def shared(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """How many first bits two strings share."""
+    return bits - np.ceil(np.log2((a ^ b).astype(np.float64) + 1)).astype(np.int64)
 
 
 def clean(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -93,84 +82,271 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -score))[:k]
+def prefixes(hashed: np.ndarray, bits: int, depth: int) -> np.ndarray:
+    return hashed >> np.uint64(bits - depth)
+
+
+def _messages(dim: int, hashed: np.ndarray, extra: list[np.ndarray], bits: int, depth: int) -> pa.RecordBatch:
+    """A row per tree and prefix: its strings, sorted, and what belongs to each."""
+    rows = []
+    for tree, h in enumerate(hashed):
+        order = np.argsort(h, kind="stable")
+        which = prefixes(h[order], bits, depth)
+        cut = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+        for a, z in zip(cut, [*cut[1:], len(order)], strict=True):
+            rows.append((dim, tree, int(which[a]), C.squeeze(h[order[a:z]].astype(np.uint32), *(x[order[a:z]] for x in extra))))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["dim", "tree", "prefix", "body"])
+
+
+def _by_dim(batch):
+    dims = batch.column("dim").to_numpy(zero_copy_only=False)
+    for dim in np.unique(dims):
+        mine = batch.filter(pa.array(dims == dim))
+        yield int(dim), mine, matrix(mine.column("v"), int(dim))
+
+
+def _hashed(trees, bits, depth, stops: bool):
+    """Messages of vectors' strings with their row numbers and, for queries, the depth at which their ascent ends."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+
+        def sent(dim):
+            hashed, rows, stop = (np.concatenate(x, axis=-1) for x in zip(*held.pop(dim), strict=True))
+            return _messages(dim, hashed, [rows, stop] if stops else [rows], bits, depth)
+
+        for batch in batches:
+            for dim, mine, v in _by_dim(batch):
+                stop = mine.column("stop").to_numpy(zero_copy_only=False).astype(np.int32) if stops else np.zeros(len(v), np.int32)
+                held.setdefault(dim, []).append((strings(unit(v), trees, bits), mine.column("row").to_numpy(zero_copy_only=False), stop))
+                if sum(len(x[1]) for x in held[dim]) >= HELD:
+                    yield sent(dim)
+        for dim in list(held):
+            yield sent(dim)
+
+    return run
+
+
+def _sorted(table: pa.Table) -> pa.Table:
+    """One piece of a tree."""
+    hashed, rows = (np.concatenate(x) for x in zip(*(C.expand(b, np.uint32, np.int64) for b in table["body"].to_pylist()), strict=True))
+    order = np.argsort(hashed, kind="stable")
+    body = C.squeeze(np.diff(hashed[order], prepend=np.uint32(0)), rows[order])
+    return pa.table({"dim": table["dim"][:1], "tree": table["tree"][:1], "prefix": table["prefix"][:1], "body": pa.array([body], pa.binary())})
+
+
+def _piece(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    gaps, rows = C.expand(table["body"][0].as_py(), np.uint32, np.int64)
+    return np.cumsum(gaps, dtype=np.uint64), rows
+
+
+def _range(hashed: np.ndarray, wanted: np.ndarray, shift) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the strings that agree with the wanted ones but for the last `shift` bits."""
+    shift = np.asarray(shift, np.uint64)
+    low = wanted >> shift << shift
+    return np.searchsorted(hashed, low), np.searchsorted(hashed, low + (np.uint64(1) << shift))
+
+
+def _count(bits, depth):
+    """How many strings of a piece share 0, 1, 2, ... bits with each query's; below `depth`, as many as at depth."""
+    names = [f"c{d}" for d in range(depth, bits + 1)]
+
+    def run(piece, asked):
+        if not piece.num_rows or not asked.num_rows:
+            return pa.table({"query": pa.array([], pa.int64()), **{n: pa.array([], pa.int64()) for n in names}})
+        hashed, _ = _piece(piece)
+        wanted, query, _ = (np.concatenate(x) for x in zip(*(C.expand(b, np.uint32, np.int64, np.int32) for b in asked["body"].to_pylist()), strict=True))
+        wanted = wanted.astype(np.uint64)
+        out = {"query": pa.array(query)}
+        for d, name in zip(range(depth, bits + 1), names, strict=True):
+            a, z = _range(hashed, wanted, bits - d)
+            out[name] = pa.array(z - a)
+        return pa.table(out)
 
+    return run
+
+
+def _gather(bits, shards):
+    """The rows whose strings share as many bits with a query's as its ascent goes up to, by shard and query."""
+
+    def run(piece, asked):
+        kinds = {"shard": pa.int64(), "dim": pa.int32(), "query": pa.int64(), "found": pa.list_(pa.int64())}
+        if not piece.num_rows or not asked.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in kinds.items()})
+        hashed, rows = _piece(piece)
+        wanted, query, stop = (np.concatenate(x) for x in zip(*(C.expand(b, np.uint32, np.int64, np.int32) for b in asked["body"].to_pylist()), strict=True))
+        a, z = _range(hashed, wanted.astype(np.uint64), bits - stop)
+        n = z - a
+        at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        row, who = rows[at], np.repeat(np.arange(len(query)), n)
+        shard = row % shards
+        order = np.lexsort((row, shard, who))
+        row, who, shard = row[order], who[order], shard[order]
+        cut = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (shard[1:] != shard[:-1]))) if len(row) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(row)), pa.int32()), pa.array(row))
+        return pa.table({"shard": pa.array(shard[cut]), "dim": pa.array([piece["dim"][0].as_py()] * len(cut), pa.int32()), "query": pa.array(query[who[cut]]), "found": lists})
+
+    return run
+
+
+FOUND = "query long, query_id long, vec_id long, row long, score double"
+
+
+def _top(score: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    return np.lexsort((rows, ids, -score))[:k]
+
+
+def _table(cols) -> pa.Table:
+    return pa.table({n: pa.array(np.concatenate(c) if c else [], t) for n, c, t in zip(("query", "query_id", "vec_id", "row", "score"), cols, (pa.int64(),) * 4 + (pa.float64(),), strict=True)})
 
-def _nearest(k, trees, bits, stop, exact):
-    """The k nearest within one shard for each query of one block."""
 
-    def run(queries, vectors):
-        if not queries.num_rows or not vectors.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in (("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("deep", pa.int32()))})
-        dim = queries["dim"][0].as_py()
-        q, v = matrix(queries["v"], dim), matrix(vectors["v"], dim)
-        qid, qrow = queries["vec_id"].to_numpy(), queries["row"].to_numpy()
-        vid, vrow = vectors["vec_id"].to_numpy(), vectors["row"].to_numpy()
-        units, ours = unit(v), unit(q)
-        forest, hashed = Forest(units, trees, bits), strings(ours, trees, bits)
+def _compare(q, own, v, units, ids, rows, at, k, cols, query, query_id):
+    """The k nearest to q among the vectors at these places."""
+    at = at[rows[at] != own]
+    if len(at) > 8 * k:  # a cheap pass leaves out what is surely not among the k nearest
+        rough = units[at] @ unit(q[None])[0]
+        at = at[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
+    s = cosines(q, v[at]) if len(at) else np.zeros(0)
+    best = _top(s, ids[at], rows[at], k)
+    for c, x in zip(cols, (np.full(len(best), query), np.full(len(best), query_id), ids[at[best]], rows[at[best]], s[best]), strict=True):
+        c.append(x)
+
+
+def _nearest(k):
+    """The k nearest within one shard for each query that has candidates there."""
+
+    def run(asked, vectors):
         cols: list[list] = [[] for _ in range(5)]
-        found = None if exact else forest.gather(hashed, stop, 4 * k)
-        own = strings(units, trees, bits) if exact else None
-        for i in range(len(qid)):
-            at = np.arange(len(vid)) if exact else next(found)
-            at = at[vrow[at] != qrow[i]]
-            rough = units[at] @ ours[i]
-            if len(at) > 8 * k:  # a cheap pass leaves out what is surely not among the k nearest
-                at = at[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
-            s = cosines(q[i], v[at]) if len(at) else np.zeros(0)
-            best = _top(s, vid[at], k)
-            cols[0].append(np.full(len(best), qid[i]))
-            cols[1].append(np.full(len(best), qrow[i]))
-            cols[2].append(vid[at[best]])
-            cols[3].append(s[best])
-            if exact:  # the longest prefix that each neighbour shares with the query in any tree
-                apart = own[:, at[best]] ^ hashed[:, [i]]
-                cols[4].append((bits - np.ceil(np.log2(apart.min(axis=0) + 1))).astype(np.int32))
-            else:
-                cols[4].append(np.zeros(len(best), np.int32))
-        return pa.table({n: pa.array(np.concatenate(c) if c else [], t) for n, c, t in zip(("query_id", "query_row", "vec_id", "score", "deep"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)})
+        if asked.num_rows and vectors.num_rows:
+            dim = vectors["dim"][0].as_py()
+            rows, ids, v = vectors["row"].to_numpy(), vectors["vec_id"].to_numpy(), matrix(vectors["v"], dim)
+            order = np.argsort(rows)
+            rows, ids, v = rows[order], ids[order], v[order]
+            units, queries = unit(v), matrix(asked["v"], dim)
+            for i, (query, query_id, found) in enumerate(zip(asked["query"].to_pylist(), asked["query_id"].to_pylist(), asked["found"], strict=True)):
+                at = np.searchsorted(rows, np.unique(found.values.to_numpy()))
+                _compare(queries[i], query, v, units, ids, rows, at, k, cols, query, query_id)
+        return _table(cols)
 
     return run
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k best of what the shards found, by sorted prefixes of arrays: partial results shrink before they move."""
-    item = F.struct((-F.col("score")).alias("s"), "vec_id", "deep")
-    tops = found.groupBy("query_row", "query_id").agg(F.slice(F.array_sort(F.collect_list(item)), 1, k).alias("top"))
-    rows = tops.select("query_id", "query_row", F.posexplode("top").alias("p", "x"))
-    return rows.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"), F.col("x.deep").alias("deep"))
+def _brute(k, sample):
+    """The k nearest in each batch to the sampled queries."""
 
+    def run(batches):
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(5)]
+            for dim, mine, v in _by_dim(batch):
+                rows, ids, units = mine.column("row").to_numpy(zero_copy_only=False), mine.column("vec_id").to_numpy(zero_copy_only=False), unit(v)
+                for query, query_id, q in sample.value:
+                    if len(q) == dim:
+                        _compare(np.array(q), query, v, units, ids, rows, np.arange(len(v)), k, cols, query, query_id)
+            yield from _table(cols).combine_chunks().to_batches()
 
-def _search(queries, vectors, k, shards, blocks, trees, bits, stop, exact):
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    held = vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    keys = ["block", "shard", "dim"]
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_nearest(k, trees, bits, stop, exact), "query_id long, query_row long, vec_id long, score double, deep int")
-    return _best(found, k)
+    return run
 
 
-def nearest(df: DataFrame, query_filter, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, bits: int = BITS, recall: float = RECALL, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+class Forest:
+    """The index of a table of vectors."""
+
+    def __init__(self, df: DataFrame, id_col: str, vector_col: str, trees: int, bits: int, shard: int, piece: int):
+        self.spark, self.trees, self.bits = df.sparkSession, trees, bits
+        # rows get fixed numbers
+        self.vectors = C.written(clean(df, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
+        self.size = self.vectors.count()
+        self.depth = min(bits, max(0, int(np.ceil(np.log2(max(1, self.size) / piece)))))
+        self.shards = max(1, -(-self.size // shard))
+        rows = self.vectors.withColumn("shard", F.col("row") % self.shards)
+        self.dealt = C.bucketed(rows.repartition(self.shards, "shard", "dim"), "shards", ["shard", "dim"], self.shards)
+        pieces = max(C.slots(self.spark), trees << self.depth >> 3)
+        messages = self.vectors.mapInArrow(_hashed(trees, bits, self.depth, False), MESSAGE)
+        self.pieces = C.bucketed(messages.repartition(pieces, *KEYS).groupBy(*KEYS).applyInArrow(_sorted, MESSAGE), "forest", KEYS, pieces)
+
+    def _meet(self, queries: DataFrame, run, schema: str) -> DataFrame:
+        """Each query's strings (row, v, dim, stop) with the pieces that have their prefixes."""
+        asked = queries.mapInArrow(_hashed(self.trees, self.bits, self.depth, True), MESSAGE)
+        return self.pieces.groupBy(*KEYS).cogroup(asked.groupBy(*KEYS)).applyInArrow(run, schema)
+
+    def counts(self, queries: DataFrame) -> DataFrame:
+        """query, c<depth>: how many strings of all trees share so many bits with it."""
+        names = [f"c{d}" for d in range(self.depth, self.bits + 1)]
+        found = self._meet(queries.withColumn("stop", F.lit(0)), _count(self.bits, self.depth), "query long, " + ", ".join(f"{n} long" for n in names))
+        return found.groupBy("query").agg(*(F.sum(n).alias(n) for n in names))
+
+    def wanted(self, queries: DataFrame, k: int, recall: float) -> int:
+        """How many strings an ascent should gather, from a bounded sample of queries answered by brute force."""
+        few = queries.orderBy(F.xxhash64("vec_id"), "row").limit(SAMPLE)
+        held = [(r["row"], r["vec_id"], r["v"]) for r in few.select("row", "vec_id", "v").collect()]
+        # a batch or shard sends k rows for each sampled query
+        true = _best(self.vectors.mapInArrow(_brute(k, self.spark.sparkContext.broadcast(held)), FOUND), k).select("query", "row")
+        near = true.join(self.vectors.select("row", "v"), "row").select("query", "v").collect()  # SAMPLE x k rows
+        count = {r["query"]: r for r in self.counts(few).collect()}
+        mine = {row: strings(unit(np.array([v])), self.trees, self.bits) for row, _, v in held}
+        needs = [4 * k]
+        for r in near:
+            deep = int(shared(strings(unit(np.array([r["v"]])), self.trees, self.bits), mine[r["query"]], self.bits).max())
+            # it is gathered unless the strings that share one bit more are enough
+            needs.append(count[r["query"]][f"c{deep + 1}"] + 1 if self.depth <= deep < self.bits else 0 if deep >= self.bits else self.trees * self.size >> deep)
+        return max(4 * k, sorted(needs)[int(np.ceil(recall * (len(needs) - 1)))])
+
+    def search(self, queries: DataFrame, k: int, most: int) -> DataFrame:
+        enough = F.greatest(*(F.when(F.col(f"c{d}") >= most, F.lit(d)) for d in range(self.depth, self.bits + 1)), F.lit(-1))
+        # above the pieces' own depth an ascent goes on to all pieces below a shorter prefix
+        short = max(0, min(self.depth, int(np.floor(np.log2(max(1, self.trees * self.size / most))))))
+        stops = self.counts(queries).select(F.col("query").alias("row"), enough.alias("stop"))
+        asked = C.written(queries.join(stops, "row", "left").withColumn("stop", F.when(F.coalesce("stop", F.lit(-1)) >= 0, F.col("stop")).otherwise(short)), "stops")
+        schema = "shard long, dim int, query long, found array<long>"
+        found = self._meet(asked.filter(F.col("stop") >= self.depth), _gather(self.bits, self.shards), schema)
+        if self.depth:
+            found = found.unionByName(self._above(asked.filter(F.col("stop") < self.depth), schema))
+        # a query's candidates in a shard: from each tree once
+        lists = found.groupBy("shard", "dim", "query").agg(F.flatten(F.collect_list("found")).alias("found"))
+        with_vectors = lists.join(queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "v"), "query")
+        near = with_vectors.groupBy("shard", "dim").cogroup(self.dealt.groupBy("shard", "dim")).applyInArrow(_nearest(k), FOUND)
+        return _best(near, k).select("query_id", "rank", "vec_id", "score")
+
+    def _above(self, queries: DataFrame, schema: str) -> DataFrame:
+        """The candidates of ascents that end above the pieces' depth: whole pieces under a shorter prefix."""
+        trees, bits, depth, shards = self.trees, self.bits, self.depth, self.shards
+
+        def spread(batches):
+            for batch in _hashed(trees, bits, depth, True)(batches):
+                rows = []
+                for dim, tree, prefix, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    _, query, stop = C.expand(body, np.uint32, np.int64, np.int32)
+                    for x in np.unique(stop):
+                        first = prefix >> (depth - int(x)) << (depth - int(x))
+                        rows += [(dim, tree, first + i, C.squeeze(query[stop == x])) for i in range(1 << (depth - int(x)))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["dim", "tree", "prefix", "body"])
+
+        def whole(piece, asked):
+            hashed, rows = _piece(piece) if piece.num_rows else (None, np.zeros(0, np.int64))
+            query = np.concatenate([C.expand(b, np.int64)[0] for b in asked["body"].to_pylist()]) if asked.num_rows else np.zeros(0, np.int64)
+            rows = np.sort(rows)
+            parts = [rows[rows % shards == s] for s in np.unique(rows % shards)]
+            out = [(int(p[0] % shards), q, p) for q in query.tolist() for p in parts]
+            return pa.table({"shard": pa.array([x[0] for x in out], pa.int64()), "dim": pa.array([piece["dim"][0].as_py()] * len(out) if out else [], pa.int32()), "query": pa.array([x[1] for x in out], pa.int64()), "found": pa.array([x[2] for x in out], pa.list_(pa.int64()))})
+
+        return self.pieces.groupBy(*KEYS).cogroup(queries.mapInArrow(spread, MESSAGE).groupBy(*KEYS)).applyInArrow(whole, schema)
+
+
+def nearest(df: DataFrame, query_filter, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, bits: int = BITS, recall: float = RECALL, shard: int = SHARD, piece: int = PIECE) -> DataFrame:
     """For each row that query_filter (a condition on vec_id) picks, its k nearest other rows: query_id, rank,
-    vec_id, score, deep (unused).
+    vec_id, score.
 
     The largest cosine is nearest, ties go to the smaller id.  Rows whose id or vector is null, or whose vector
     is empty, zero, or holds a null or non-finite component, take no part; vectors only meet those of their own
     length.  A repeated row is a row of its own: it is another's neighbour, never its own.  Fewer than k others
     give fewer rows; an empty table gives an empty result.  Other columns of df are ignored.
     """
-    spark = df.sparkSession
-    C.prepare(spark)
-    path = C.shared_dir(spark, "vectors")
-    clean(df, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)  # rows get fixed numbers
-    vectors = spark.read.schema("vec_id long, v array<double>, dim int, row long").parquet(path)
-    queries = vectors.filter(query_filter)
-    n, asked = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-asked // block))
-    stop = bits
-    if asked:
-        few = queries.orderBy(F.xxhash64("vec_id"), "row").limit(SAMPLE)
-        deep = sorted(r["deep"] for r in _search(few, vectors, k, shards, 1, trees, bits, 0, True).select("deep").collect())  # SAMPLE x k rows
-        # the depth that so large a share of the sample's true neighbours share with their query in some tree
-        stop = max(0, min(bits, deep[int((1 - recall) * len(deep))])) if deep else 0
-    return _search(queries, vectors, k, shards, blocks, trees, bits, stop, False)
+    C.prepare(df.sparkSession)
+    forest = Forest(df, id_col, vector_col, trees, bits, shard, piece)
+    queries = forest.vectors.filter(query_filter)
+    return forest.search(queries, k, forest.wanted(queries, k, recall))

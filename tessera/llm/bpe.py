@@ -269,6 +269,7 @@ def _answered(batches):
             values, off = table
             size = off[codes + 1] - off[codes]
             out.append((chunk, bucket, C.squeeze(size.astype(np.uint32), C.slices(values, off[codes], size)[0].astype(np.uint32))))
+        C.trim()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["chunk", "bucket", "body"])
 
@@ -343,6 +344,7 @@ def _digested(path):
         parts = []
         for doc_id, ids, at in _rows(sent, answers):
             decoded, off = pieces.decode(ids, at)
+            C.trim()
             parts.append(pa.table({"doc_id": doc_id, "n_tokens": np.diff(at), "ids_sha256": sha(*pieces.decimals(ids, at)), "decoded_sha256": sha(decoded, off[:-1], off[1:])}))
         return pa.concat_tables(parts)
 
@@ -367,7 +369,7 @@ def _chunks(df: DataFrame, ranks: str | None, pattern: str | None, id_col: str,
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + (pattern or public.PATTERN)), F.lit(0)).alias("words")
     schema = "chunk long, bucket int, body binary"
     # dealt by chunk, so that only the answers are shuffled to the rows
-    sent = C.bucketed(rows.select("doc_id", words).mapInArrow(_numbered(chunk_bytes, buckets), schema), "words", "chunk", buckets)
+    sent = C.bucketed(rows.select("doc_id", words).mapInArrow(_numbered(chunk_bytes, buckets), schema), "words", ["chunk"], buckets)
     # the fold costs far more than its rows' bytes say: as many partitions as buckets
     asked = sent.select(*(F.col(c).alias(c) for c in sent.columns)).filter("bucket >= 0")
     found = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_distinct, f"{schema}, words array<string>")

@@ -74,14 +74,14 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int):
-    """The rows as a table in the shared folder, dealt by key: what groups or joins by key reads it without a shuffle.
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """The rows as a table in the shared folder, dealt by keys: what groups or joins by key reads it without a shuffle.
 
     The catalog has it only until the plan that reads it is made.
     """
     spark = df.sparkSession
     table = f"tessera_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("path", shared_dir(spark, name)).mode("overwrite").format("parquet").saveAsTable(table)
+    df.write.bucketBy(buckets, *keys).option("path", shared_dir(spark, name)).mode("overwrite").format("parquet").saveAsTable(table)
     found = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # not its files, which are in a folder of ours
     return found
@@ -104,6 +104,37 @@ def trim() -> None:
     _LIBC(0)
 
 
+#: Bits of the map of keys that may_hold() sends to all tasks: 8 MB whatever the input; a full map only moves more rows.
+MAP_BITS = 26
+
+
+def packed(df: DataFrame, **named) -> DataFrame:
+    """df's rows as one struct, so that no name clashes with those of the columns beside it."""
+    return df.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias("row"), *(c.alias(k) for k, c in named.items()))
+
+
+def may_hold(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """df with `may`: false only if the row's key is surely not in `keys` (a table with a column of that name)."""
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << MAP_BITS)) + 1
+    maps = keys.select(slot.alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("number")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
+    rows = df.withColumn("s", slot).withColumns({"number": F.expr("bitmap_bucket_number(s)"), "place": F.expr("bitmap_bit_position(s)")})
+    byte = F.ascii(F.decode(F.expr("substring(bits, CAST(place DIV 8 AS INT) + 1, 1)"), "ISO-8859-1"))
+    found = rows.join(F.broadcast(maps), "number", "left").withColumn("may", F.coalesce(F.bit_get(byte, (F.col("place") % 8).cast("int")) == 1, F.lit(False)))
+    return found.drop("s", "number", "place", "bits")
+
+
+def join_to(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined to table, which has each of their keys once and in `weight` how many rows have it.
+
+    A key that many rows share does not put them in one task: keys of more than an eighth of a partition's share of
+    all `total` rows are fewer than eight times the partitions, and what the table has for them goes to all tasks.
+    """
+    most = max(256, total // (8 * slots(rows.sparkSession)))
+    heavy = F.broadcast(table.filter(F.col("weight") > most))
+    rest = rows.join(heavy.select(key), key, "left_anti").join(table, key)
+    return rows.join(heavy, key).unionByName(rest).drop("weight")
+
+
 def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -258,3 +289,16 @@ def loose(column):
         return t
 
     return column.cast(kind(column.type))
+
+
+def nullable(kind):
+    """The Spark type of what loose() returns."""
+    from pyspark.sql.types import ArrayType, MapType, StructField, StructType
+
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, nullable(f.dataType)) for f in kind])
+    if isinstance(kind, ArrayType):
+        return ArrayType(nullable(kind.elementType))
+    if isinstance(kind, MapType):
+        return MapType(nullable(kind.keyType), nullable(kind.valueType))
+    return kind

@@ -8,20 +8,15 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = C.shared_dir(df.sparkSession, "links")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _star(links: DataFrame, larger: bool) -> DataFrame:
+def _star(links: DataFrame, larger: bool, total: int) -> DataFrame:
     """Link each node's neighbours (the larger ones, or the smaller ones and itself) to the least around it."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     around = both if larger else both.filter("b < a")
-    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
-    moved = around.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
+    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"), F.count(F.lit(1)).alias("weight"))
+    # a star's centre has as many rows as neighbours: they stay spread
+    moved = C.join_to(around.filter("b > a") if larger else around, least, "a", 2 * total).select(F.col("b").alias("a"), F.col("root").alias("b"))
     if not larger:
-        moved = around.join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).unionByName(least.select("a", F.col("root").alias("b")))
+        moved = moved.unionByName(least.select("a", F.col("root").alias("b")))
     return moved.filter("a != b").distinct()
 
 
@@ -30,14 +25,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Self-links are ignored; no links give no rows.  Rounds grow with the logarithm of the longest chain.
     """
-    now = _written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
+    spark = links.sparkSession
     sums = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30))).alias("s")]
-    before = None
-    while True:
+    path = C.shared_dir(spark, "links")
+    now = C.written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links", path)
+    state, before = tuple(now.agg(*sums).first()), None
+    while state != before and state[0]:
         # small stars last: in a fixed point every node is linked to its root and to nothing else
-        now = _written(_star(_star(now, True), False))
-        state = tuple(now.agg(*sums).first())
-        if state == before:
-            break
-        before = state
+        for larger in (True, False):
+            path, last = C.shared_dir(spark, "links"), path
+            now = C.written(_star(now, larger, state[0]), "links", path)
+            C.remove(spark, last)
+        state, before = tuple(now.agg(*sums).first()), state
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import anchors as A
 from . import common as C
@@ -247,18 +248,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     C.prepare(df.sparkSession)
     rows = C.rows_of(df, id_col, text_col)
-    if texts:
-        others = [F.col(c) for c in df.columns if c not in (id_col, text_col)]
-        rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*others, F.when(F.col(text_col).isNull(), True).alias("_null")).alias("carried"))
-    blocks = C.block_count(rows, "text", block_bytes)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if texts:
-        schema += f", kept string, carried {rows.schema['carried'].dataType.simpleString()}"
+        carried = [F.col(f"`{c}`") for c in df.columns if c != text_col]
+        none = F.col(text_col).isNull().alias("none")
+        rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.struct(*carried).alias("row"), none).alias("carried"))
+        schema = StructType.fromDDL(schema).add("kept", "string").add("carried", C.nullable(rows.schema["carried"].dataType))
+    blocks = C.block_count(rows, "text", block_bytes)
     return A.exchange(C.in_blocks(rows, blocks), _offered(words, blocks), _sent(words, blocks), _settled(words), _finished(words, blocks, texts), schema)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:
-    """df with the repeated words cut from its texts; texts that lose none stay as they are, null ones null."""
+    """df with the repeated words cut from its texts; texts that lose none stay as they are, null ones null.  An empty
+    table stays empty; columns may have any names."""
     found = remove_repeats(df, id_col, text_col, **named)
-    cols = {id_col: F.col("doc_id").cast(df.schema[id_col].dataType), text_col: F.when(F.col("carried._null").isNull(), F.col("kept"))}
-    return found.select(*(cols.get(c, F.col("carried").getField(c)).alias(c) for c in df.columns))
+    row = F.col("carried").getField("row")
+    text = F.when(~F.col("carried").getField("none"), F.col("kept"))
+    return found.select(*((text if c == text_col else row.getField(c)).alias(c) for c in df.columns))

@@ -12,16 +12,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common as C
 
-#: The bounded sample that the classifier is fitted on: labelled characters of a language at most, labelled rows
-#: of a language looked at, and languages.
-SAMPLE_CHARS = 40_000
+#: The bounded sample that the classifier is fitted on: labelled characters of a language at most and of all together,
+#: and labelled rows of a language looked at.
+SAMPLE_CHARS, SAMPLE_TOTAL = 40_000, 480_000
 SAMPLE_ROWS = 96
-LANGUAGES = 64
 #: Characters that are parsed as one; a longer text is several such stretches, all of which count.
 SEGMENT = 256
 _BETWEEN = re.compile(r"[\W\d_]+")
@@ -120,17 +120,23 @@ class Model:
         return out
 
 
-def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, chars: int = SAMPLE_CHARS, rows: int = SAMPLE_ROWS) -> dict[str, str]:
+def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, chars: int = SAMPLE_CHARS, rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL) -> dict[str, str]:
     """Labelled text by language, bounded: whole texts of the rows of least hash, as many as fit, then stretches
-    of equal length from the start of texts that are longer than the bound."""
-    named = df.filter(F.col(lang_col).isNotNull())
-    sizes = named.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
+    of equal length from the start of texts that are longer than the bound.
+
+    All languages share `total` characters, each at most `chars`; that is room for a segment each of total / SEGMENT
+    languages, and only if there are more labels than that do the rarest of them go without a model.
+    """
+    named = df.filter(F.col(lang_col).isNotNull() & (F.length(text_col) >= 1))
+    sizes = named.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(total // SEGMENT).collect()
     if not sizes:
         return {}
+    chars = min(chars, total // len(sizes))
     spread = F.pmod(F.xxhash64(F.col(id_col).cast("bigint"), F.lit("sample")), F.lit(1 << 40))
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["l"]), F.lit(int(min(1.0, rows / r["count"]) * (1 << 40))))))
-    got = named.filter(spread < share[F.col(lang_col)]).select(F.col(lang_col).alias("l"), spread.alias("h"), F.col(id_col).alias("i"), F.substring(F.col(text_col), 1, chars + 1).alias("t"))
-    got = got.filter(F.length("t") >= 1).orderBy("h", "i").limit(2 * rows * len(sizes)).collect()
+    share = F.create_map(*(x for r in sizes for x in (F.lit(r["l"]), F.lit(int(min(1.0, 2 * rows / r["count"]) * (1 << 40))))))
+    few = named.filter(spread < share[F.col(lang_col)]).select(F.col(lang_col).alias("l"), spread.alias("h"), F.col(id_col).cast("bigint").alias("i"), F.substring(F.col(text_col), 1, chars + 1).alias("t"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h", "i", "t"))
+    got = few.withColumn("n", place).filter(F.col("n") <= rows).orderBy("h", "i", "t").collect()
     out: dict[str, list[str]] = {r["l"]: [] for r in sizes}
     held, longer = dict.fromkeys(out, 0), {k: [] for k in out}
     for r in got:
@@ -143,12 +149,24 @@ def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, chars: int
         part = max(SEGMENT, (chars - held[k]) // max(1, len(texts)) - 1)
         for t in texts[: max(0, chars - held[k]) // (part + 1)]:
             out[k].append(t[:part])
+        if not out[k] and texts:
+            out[k].append(texts[0][:chars])
     return {k: "\n".join(v) for k, v in out.items() if v}
 
 
+#: Of this Python worker: the model of the last samples, which its next tasks have too.
+_LAST: list = [None, None]
+
+
+def _model(samples: dict[str, str]) -> Model | None:
+    if _LAST[0] != samples:
+        _LAST[:] = samples, Model(samples) if samples else None
+    return _LAST[1]
+
+
 def _predict(samples):
     def run(batches):
-        model = Model(samples.value) if samples.value else None
+        model = _model(samples.value)
         for batch in batches:
             texts = batch.columns[-1].to_pylist()
             found: list[tuple] = [("und", 0.0)] * len(texts)
@@ -189,19 +207,22 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     C.prepare(spark)
     if samples is None:
         samples = sample(df.filter(~held_out(id_col)), id_col, text_col, lang_col)
-    found = _with_predictions(C.rows_of(df, id_col, text_col), "doc_id long", samples)
+    found = _with_predictions(C.rows_of(df, id_col, text_col), samples)
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-def _with_predictions(rows: DataFrame, kinds: str, samples: dict[str, str]) -> DataFrame:
+def _with_predictions(rows: DataFrame, samples: dict[str, str]) -> DataFrame:
     """The rows with lang_pred, score and letters (whether it has any) in place of the last column, the text."""
-    return rows.mapInArrow(_predict(rows.sparkSession.sparkContext.broadcast(samples)), f"{kinds}, lang_pred string, score double, letters boolean")
+    kinds = C.nullable(StructType(rows.schema.fields[:-1])).add("lang_pred", "string").add("score", "double").add("letters", "boolean")
+    return rows.mapInArrow(_predict(rows.sparkSession.sparkContext.broadcast(samples)), kinds)
 
 
 def without_rejects(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """df without the rows whose language can't be told: texts that are null or have no letter, whatever was learned."""
+    """df without the rows whose language can't be told (texts that are null or have no letter, whatever was learned);
+    rows without a label get the predicted one.  An empty table stays empty; columns may have any names."""
     C.prepare(df.sparkSession)
     samples = sample(df.filter(~held_out(id_col)), id_col, text_col, lang_col)
-    packed = df.select(F.struct(*map(F.col, df.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
-    found = _with_predictions(packed, f"row {packed.schema['row'].dataType.simpleString()}", samples)
-    return found.filter("letters").select(*(F.col("row").getField(c).alias(c) for c in df.columns))
+    rows = C.packed(df, text=F.col(text_col).cast("string"))
+    found = _with_predictions(rows, samples).filter("letters")
+    told = F.coalesce(F.col("row").getField(lang_col), F.when(F.col("lang_pred") != "und", F.col("lang_pred")).cast(df.schema[lang_col].dataType))
+    return found.select(*((told if c == lang_col else F.col("row").getField(c)).alias(c) for c in df.columns))

@@ -5,10 +5,11 @@ the longest context of up to five bytes before it that was seen in training; a b
 escape, after which the next shorter context is asked without the symbols that the longer one has had, down to
 256 equal shares.  log10 of these adds up to the document's code length.
 
-The byte-context trie is spread by the two bytes next to the symbol: all longer contexts hang below them.  The
-two shortest orders are 256 x 256 counts, whatever the input, and go to every task.  Blocks of documents send
-their distinct six-byte grams with counts to the trie's parts, and distinct words with counts to parts of the
-vocabulary; both parts answer in the order asked.  A gram's probability is worked out once per part.
+The byte-context trie is spread by the three bytes next to the symbol: all longer contexts hang below them.  The
+three shortest orders are counts of three bytes (2^24 at most, whatever the input; some 10^5 in text) and go to every
+task.  Blocks of documents send their distinct six-byte grams with counts to the trie's parts, and distinct words with
+counts to parts of the vocabulary, each only to parts that it has something for; both answer in the order asked.  A
+gram's probability is worked out once per part.
 """
 
 from __future__ import annotations
@@ -65,17 +66,17 @@ def grams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return code << np.uint64(8) | data
 
 
-def _pairs(batches):
-    """Counts of (byte before, byte) in training texts, as rows of a 256 x 256 table."""
-    total = np.zeros(1 << 16, np.int64)
+def _triples(batches):
+    """Counts of (byte before, the one before that, byte) in training texts."""
+    keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
     for batch in batches:
         for part, buf, off in by_bytes(batch, 2 << 20):
             data, ends, _ = stream(buf, off)
-            learn = np.repeat(part.column("train").to_numpy(zero_copy_only=False), np.diff(ends))
-            before = np.append(np.uint8(END), data[:-1])  # the byte before a text's first is the last text's end
-            total += np.bincount((before.astype(np.int64) << 8 | data)[learn], minlength=1 << 16)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+            code = grams(data, ends)[np.repeat(part.column("train").to_numpy(zero_copy_only=False), np.diff(ends))]
+            if len(code):
+                new, n = np.unique((code >> np.uint64(32) << np.uint64(8) | code & np.uint64(255)).astype(np.uint32), return_counts=True)
+                keys, counts = summed(np.concatenate([keys, new]), np.concatenate([counts, n]))
+    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["triple", "n"])
 
 
 class Block:
@@ -122,6 +123,8 @@ class Block:
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return keys, counts
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -129,7 +132,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def gram_parts(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (C.mix(keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    return (C.mix(keys >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
 
 
 def word_parts(names: pa.Array, parts: int) -> np.ndarray:
@@ -158,20 +161,24 @@ def _ask(parts):
             rows.append((int(k), 0, C.squeeze(np.diff(keys[i], prepend=np.uint64(0)), counts[i].astype(np.uint32))))
         names, counts, _ = block.words()
         order, at = by_part(word_parts(names, parts), parts)
-        for k in range(parts):  # to all parts, for each says how many words it has
+        for k in np.flatnonzero(np.diff(at)):
             i = order[at[k] : at[k + 1]]
             text, off = C.flat(names.take(pa.array(i)))
-            rows.append((-1 - k, 1, C.squeeze(counts[i].astype(np.uint32), np.diff(off).astype(np.uint32), text)))
+            rows.append((-1 - int(k), 1, C.squeeze(counts[i].astype(np.uint32), np.diff(off).astype(np.uint32), text)))
         return _messages(int(table["block"][0].as_py()), rows)
 
     return run
 
 
-def log_probabilities(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """log10 of each gram's probability, from the counts of all grams with the same two last context bytes.
+def log_probabilities(keys: np.ndarray, counts: np.ndarray, triples: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 of each gram's probability, from the counts of all grams with the same three last context bytes.
 
-    keys: sorted; the context's bytes nearest first, then the symbol.  pairs: training counts of order one.
+    keys: sorted; the context's bytes nearest first, then the symbol.  triples: training counts of order two, by sorted
+    (byte before, the one before that, symbol).
     """
+    pairs = summed((triples[0] >> 16 << 8 | triples[0] & 255).astype(np.uint64), triples[1])
+    single = summed(pairs[0] & np.uint64(255), pairs[1])
+    short = {2: (triples[0].astype(np.uint64), triples[1]), 1: pairs, 0: single}
     symbol = keys & np.uint64(255)
     seen = counts > 0
     out, todo = np.zeros(len(keys)), np.ones(len(keys), bool)
@@ -197,17 +204,12 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -
         at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
         return np.where(table[at] == wanted, values[at], 0)
 
-    ones = np.arange(1 << 16, dtype=np.uint64)
     for order in range(ORDER, -1, -1):
-        if order > 1:
+        if order > 2:
             context, k, c = level(order)
-        elif order == 1:
-            context = keys >> np.uint64(8 * ORDER)
-            k, c = ones[pairs > 0], pairs[pairs > 0]
         else:
-            context = np.zeros(len(keys), np.uint64)
-            single = pairs.reshape(256, 256).sum(axis=0)
-            k, c = ones[:256][single > 0], single[single > 0]
+            context = keys >> np.uint64(8 * (ORDER - order) + 8)
+            k, c = short[order]
         names, total, kinds = stats(k >> np.uint64(8), c)
         total, kinds = find(names, context, total), find(names, context, kinds)
         if escaped_from is not None:
@@ -225,11 +227,11 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -
         todo &= ~hit
         escaped_from = k, context
         # the next shorter context drops the byte farthest away
-    out[todo] -= np.log10(256 - (pairs.reshape(256, 256).sum(axis=0) > 0).sum())
+    out[todo] -= np.log10(256 - len(single[0])) if len(single[0]) < 256 else 0
     return out
 
 
-def _answer(pairs):
+def _answer(triples):
     def run(table):
         blocks, bodies, kind, part = table["block"].to_pylist(), table["body"].to_pylist(), table["kind"][0].as_py(), table["part"][0].as_py()
         rows = []
@@ -237,9 +239,10 @@ def _answer(pairs):
             sent = [C.expand(x, np.uint64, np.uint32) for x in bodies]
             keys = [np.cumsum(k, dtype=np.uint64) for k, _ in sent]
             every, counts = summed(np.concatenate(keys), np.concatenate([c for _, c in sent]).astype(np.int64))
-            found = log_probabilities(every, counts, pairs.value)
+            found = log_probabilities(every, counts, triples.value)
             for block, mine in zip(blocks, keys, strict=True):
-                rows.append((block, C.squeeze(found[np.searchsorted(every, mine)].astype(np.float32))))
+                # as bytes, so that equal values are found as such
+                rows.append((block, C.squeeze(found[np.searchsorted(every, mine)].view(np.uint8))))
         else:
             sent = [C.expand(x, np.uint32, np.uint32, np.uint8) for x in bodies]
             names = [C.binary(t, np.append(0, np.cumsum(n, dtype=np.int64))) for _, n, t in sent]
@@ -247,9 +250,9 @@ def _answer(pairs):
             code = coded.indices.to_numpy(zero_copy_only=False)
             counts = np.zeros(len(coded.dictionary), np.int64)
             np.add.at(counts, code, np.concatenate([c for c, _, _ in sent]).astype(np.int64))
-            of_all, at = np.array([counts.sum(), (counts > 0).sum()], np.int64), 0
+            at = 0
             for block, mine in zip(blocks, names, strict=True):
-                rows.append((block, C.squeeze(of_all, counts[code[at : at + len(mine)]])))
+                rows.append((block, C.squeeze(counts[code[at : at + len(mine)]])))
                 at += len(mine)
         n = len(rows)
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([part] * n, pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "body": pa.array([r[1] for r in rows], pa.binary())})
@@ -257,6 +260,18 @@ def _answer(pairs):
     return run
 
 
+def _totals(table: pa.Table) -> pa.Table:
+    """Training tokens of a part of the vocabulary, and how many different ones."""
+    n = kinds = 0
+    if table["kind"][0].as_py():
+        sent = [C.expand(x, np.uint32, np.uint32, np.uint8) for x in table["body"].to_pylist()]
+        seen = [c > 0 for c, _, _ in sent]
+        n = sum(int(c.sum(dtype=np.int64)) for c, _, _ in sent)
+        names = [C.binary(t, np.append(0, np.cumsum(m, dtype=np.int64))).filter(pa.array(s)) for s, (_, m, t) in zip(seen, sent, strict=True)]
+        kinds = len(pa.concat_arrays(names).unique())
+    return pa.table({"trained": pa.array([n], pa.int64()), "kinds": pa.array([kinds], pa.int64())})
+
+
 def _score(parts):
     def run(texts, messages):
         if not texts.num_rows:
@@ -265,32 +280,27 @@ def _score(parts):
         said = {k: body for k, body in zip(messages["part"].to_pylist(), messages["body"].to_pylist(), strict=True)}
         names, _, codes = block.words()
         known = np.zeros(len(names), np.int64)
-        of_all = np.zeros(2, np.int64)
         order, at = by_part(word_parts(names, parts), parts)
-        for k in range(parts):
-            sums, counts = C.expand(said[-1 - k], np.int64, np.int64)
-            of_all = of_all + sums
-            known[order[at[k] : at[k + 1]]] = counts
-        trained, kinds = int(of_all[0]), int(of_all[1])
-        share = np.log10((known + 1) / (trained + kinds + 1))
+        for k in np.flatnonzero(np.diff(at)):
+            known[order[at[k] : at[k + 1]]] = C.expand(said[-1 - int(k)], np.int64)[0]
+        share = np.log10(known + 1)
         keys, _ = block.grams()
         bits = np.zeros(len(keys))
         order, at = by_part(gram_parts(keys, parts), parts)
         for k in np.flatnonzero(np.diff(at)):
-            bits[order[at[k] : at[k + 1]]] = C.expand(said[int(k)], np.float32)[0]
+            bits[order[at[k] : at[k + 1]]] = C.expand(said[int(k)], np.uint8)[0].view(np.float64)
         cols = [[] for _ in range(4)]
         table = pa.array(keys)
         for (_, _, data, off, word_off), code in zip(block.pieces, codes, strict=True):
             edge = np.searchsorted(word_off, off)[:-1]
-            words = np.diff(np.append(edge, len(code)))
-            cols[0].append(words)
+            cols[0].append(np.diff(np.append(edge, len(code))))
             cols[1].append(np.add.reduceat((known[code] > 0).astype(np.int64), edge))
             cols[2].append(np.add.reduceat(share[code], edge))
             coded = pa.array(grams(data, off)).dictionary_encode()
             value = bits[pc.index_in(coded.dictionary, table).to_numpy(zero_copy_only=False)]
             cols[3].append(np.add.reduceat(value[coded.indices.to_numpy(zero_copy_only=False)], off[:-1]))
-        n_tokens, n_known, base, score = map(np.concatenate, cols)
-        return pa.table({"doc_id": block.ids, "train": pa.array(block.train), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(len(n_tokens), trained), "base_score": base, "score": score})
+        n_tokens, n_known, counted, score = map(np.concatenate, cols)
+        return pa.table({"doc_id": block.ids, "train": pa.array(block.train), "n_tokens": n_tokens, "n_known": n_known, "counted": counted, "score": score})
 
     return run
 
@@ -307,12 +317,15 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_b
     C.prepare(spark)
     rows = C.rows_of(df, id_col, text_col).withColumn("train", ~held_out(F.col("doc_id")))
     blocks = C.block_count(rows, "text", block_bytes)
-    pairs = np.zeros(1 << 16, np.int64)
-    for r in rows.mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
-        pairs[r["pair"]] = r["n"]
+    found = rows.mapInArrow(_triples, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).orderBy("triple").toArrow()  # at most 2^24 rows
+    triples = spark.sparkContext.broadcast((found["triple"].to_numpy().astype(np.uint32), found["n"].to_numpy()))
     rows = C.in_blocks(rows, blocks)
     asked = rows.groupBy("block").applyInArrow(_ask(blocks), MESSAGE)
-    answered = asked.groupBy("part").applyInArrow(_answer(spark.sparkContext.broadcast(pairs)), MESSAGE)
-    schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    found = rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(blocks), schema)
-    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    answered = asked.groupBy("part").applyInArrow(_answer(triples), MESSAGE)
+    schema = "doc_id long, train boolean, n_tokens long, n_known long, counted double, score double"
+    scored = rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(blocks), schema)
+    totals = asked.groupBy("part").applyInArrow(_totals, "trained long, kinds long").agg(F.coalesce(F.sum("trained"), F.lit(0)).alias("trained"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"))
+    # each token's share is (count + 1) over the same sum: the sum comes in at the end, one row for all tasks
+    all_ = F.broadcast(totals.withColumn("one", F.lit(1)))
+    base = F.col("counted") - F.col("n_tokens") * F.log10(F.col("trained") + F.col("kinds") + 1)
+    return scored.withColumn("one", F.lit(1)).join(all_, "one").select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.col("trained").alias("train_tokens"), base.alias("base_score"), "score")

@@ -30,7 +30,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0").drop("deep")
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,7 +231,7 @@ def _fingerprinted(shingle):
     def run(batches):
         for batch in batches:
             for part, buf, off in by_bytes(batch, 1 << 20):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(buf, off, shingle).view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fingerprints(buf, off, shingle).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     return run
 
@@ -276,28 +276,39 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     differ in at most `bits` (up to 4) bits; component_id is the smallest id that a row reaches, null ids being
     left out unless there is no other.  An empty table gives an empty result; other columns are ignored.
     """
+    found = _grouped(df, id_col, text_col, shingle, bits, buckets)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(df, id_col, text_col, shingle=SHINGLE, bits=BITS, buckets=None) -> DataFrame:
+    """doc_id, text_hash, fp, component_id of each row."""
     if not 0 <= bits <= 4:
         raise ValueError("the keys find fingerprints of at most 4 different bits")
-    spark = df.sparkSession
-    C.prepare(spark)
-    path = C.shared_dir(spark, "fingerprints")
-    rows = C.rows_of(df, id_col, text_col)
-    rows.mapInArrow(_fingerprinted(shingle), "doc_id long, fp long").write.parquet(path)
-    found = spark.read.schema("doc_id long, fp long").parquet(path)
+    C.prepare(df.sparkSession)
+    rows = C.rows_of(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    found = C.written(rows.mapInArrow(_fingerprinted(shingle), "doc_id long, text_hash long, fp long"), "fingerprints")
+    total = found.count()
     # copies are one fingerprint from here on
-    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = C.written(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "nodes")
     # a fingerprint's rows are up to 129 keys of some 17 bytes; a bucket is to hold a few MB of them
-    buckets = buckets or max(C.slots(spark), found.count() * 129 * 17 // BUCKET_BYTES)
+    buckets = buckets or max(C.slots(df.sparkSession), total * 129 * 17 // BUCKET_BYTES)
     links = nodes.select("fp").mapInArrow(_keyed(buckets), "bucket int, body binary").groupBy("bucket").applyInArrow(_linked(bits), "a long, b long")
     roots = components(links)
-    labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return found.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labelled = C.written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "components")
+    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("weight"))
+    known = C.join_to(labelled.select("fp", "root", "rows"), least, "root", total).select("fp", "component_id", F.col("rows").alias("weight"))
+    return C.join_to(found, C.written(known, "known"), "fp", total)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:
-    """df without the rows that a near copy of smaller id stands for; rows without id stay."""
-    found = near_groups(df, id_col, text_col, **named)
-    goes = found.filter("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return df.join(goes, df[id_col].cast("bigint") == goes["_id"], "left_anti")
+    """df without the rows that a near copy of smaller id stands for; rows without id stay, as do all rows of a
+    component that have its smallest id.  An empty table stays empty.
+
+    Only rows whose id and text's hash may be in the list of those that go are shuffled.
+    """
+    goes = _grouped(df, id_col, text_col, **named).filter("doc_id != component_id")
+    listed = C.written(goes.select(F.xxhash64("doc_id", "text_hash").alias("key"), "doc_id", "text_hash").distinct(), "near-copies")
+    row_id, text_hash = F.col(id_col).cast("bigint"), F.xxhash64(F.col(text_col).cast("string"))
+    rows = C.may_hold(C.packed(df, key=F.xxhash64(row_id, text_hash), doc_id=row_id, text_hash=text_hash), "key", listed.select("key"))
+    stays = rows.filter("may").join(listed, ["key", "doc_id", "text_hash"], "left_anti")
+    return rows.filter("NOT may").select("row.*").unionByName(stays.select("row.*"))
