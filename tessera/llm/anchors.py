@@ -125,6 +125,6 @@ def exchange(rows: DataFrame, offered, sent, settled, finished, schema: str) ->
     offered(table) and answer(): which keys are seen again; sent(texts, messages): the runs that have them,
     by bucket; settled(table): what a bucket finds; finished(texts, messages): the result of a block.
     """
-    seen = rows.groupBy("block").applyInArrow(offered, MESSAGE).groupBy("bucket").applyInArrow(answer, MESSAGE)
-    found = rows.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(sent, MESSAGE).groupBy("bucket").applyInArrow(settled, MESSAGE)
-    return rows.groupBy("block").cogroup(seen.unionByName(found).groupBy("block")).applyInArrow(finished, schema)
+    seen = rows.groupBy("block").applyInArrow(C.lean(offered), MESSAGE).groupBy("bucket").applyInArrow(C.lean(answer), MESSAGE)
+    found = rows.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(C.lean_pair(sent), MESSAGE).groupBy("bucket").applyInArrow(C.lean(settled), MESSAGE)
+    return rows.groupBy("block").cogroup(seen.unionByName(found).groupBy("block")).applyInArrow(C.lean_pair(finished), schema)

@@ -344,7 +344,6 @@ def _digested(path):
         parts = []
         for doc_id, ids, at in _rows(sent, answers):
             decoded, off = pieces.decode(ids, at)
-            C.trim()
             parts.append(pa.table({"doc_id": doc_id, "n_tokens": np.diff(at), "ids_sha256": sha(*pieces.decimals(ids, at)), "decoded_sha256": sha(decoded, off[:-1], off[1:])}))
         return pa.concat_tables(parts)
 
@@ -372,10 +371,10 @@ def _chunks(df: DataFrame, ranks: str | None, pattern: str | None, id_col: str,
     sent = C.bucketed(rows.select("doc_id", words).mapInArrow(_numbered(chunk_bytes, buckets), schema), "words", ["chunk"], buckets)
     # the fold costs far more than its rows' bytes say: as many partitions as buckets
     asked = sent.select(*(F.col(c).alias(c) for c in sent.columns)).filter("bucket >= 0")
-    found = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_distinct, f"{schema}, words array<string>")
+    found = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(C.lean(_distinct), f"{schema}, words array<string>")
     vocabulary = Ranks(read_ranks(_path(ranks)))
     folded = found.select("chunk", "bucket", "body", F.transform("words", lambda w: fold(w, vocabulary)).alias("ids"))
-    return sent.filter("bucket < 0").groupBy("chunk").cogroup(folded.mapInArrow(_answered, schema).groupBy("chunk"))
+    return sent.filter("bucket < 0").groupBy("chunk").cogroup(folded.mapInArrow(C.lean_map(_answered), schema).groupBy("chunk"))
 
 
 def encode(df: DataFrame, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -384,7 +383,7 @@ def encode(df: DataFrame, ranks: str | None = None, pattern: str | None = None,
     Special tokens are ordinary text.  Repeated rows and null ids are encoded row by row; an empty table gives an
     empty result; other columns of df are ignored.
     """
-    return _chunks(df, ranks, pattern, id_col, text_col, chunk_bytes).applyInArrow(_encoded, "doc_id long, ids array<int>")
+    return _chunks(df, ranks, pattern, id_col, text_col, chunk_bytes).applyInArrow(C.lean_pair(_encoded), "doc_id long, ids array<int>")
 
 
 def _decoded(path):
@@ -406,4 +405,4 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
 def digests(df: DataFrame, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids, spaces between) and decoded_sha256 of each row, where encode()
     finds the ids and decode()'s pieces are the bytes.  Nulls, repeated rows and empty tables: as encode() has them."""
-    return _chunks(df, ranks, pattern, id_col, text_col, chunk_bytes).applyInArrow(_digested(_path(ranks)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _chunks(df, ranks, pattern, id_col, text_col, chunk_bytes).applyInArrow(C.lean_pair(_digested(_path(ranks))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -207,14 +207,14 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = cut.mapInArrow(_hash_pieces, "sha256 string, n long, piece int, fp long, size long")
     combined = C.written(hashed.groupBy("sha256", "n").applyInArrow(_combine, "sha256 string, n long, fp long"), "huge")
     large = C.written(named.select("doc_id", "sha256", "n", F.concat_ws("-", "sha256", F.spark_partition_id()).alias("rep")).join(combined, ["sha256", "n"]), "huge-rows")
-    every = some.mapInArrow(_hash_only, "fp long, n long").unionByName(large.select("fp", "n"))
+    every = some.mapInArrow(C.lean_map(_hash_only), "fp long, n long").unionByName(large.select("fp", "n"))
     twice = C.written(every.groupBy("fp", "n").count().filter("count > 1").select("fp", "n"), "twice")
     slot = F.col("fp").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
     maps = twice.select((slot + 1).alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
     bits = np.zeros(1 << BITMAP_BITS >> 3, np.uint8)
     for r in maps.collect():  # at most 2^26 / 2^15 rows of 4 KB
         bits[(r.k - 1) * 4096 :][: len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)  # buckets count from one
-    sent = some.mapInArrow(_sender(spark.sparkContext.broadcast(bits.tobytes())), "doc_id long, fp long, n long, sha256 string, rep string, body binary")
+    sent = some.mapInArrow(C.lean_map(_sender(spark.sparkContext.broadcast(bits.tobytes()))), "doc_id long, fp long, n long, sha256 string, rep string, body binary")
     table = C.written(sent, "exact")
     texts = table.filter("body IS NOT NULL").select("fp", "n", "rep", _pieces(F.col("body"), F.col("n")))
     # a huge text that may occur again is sent once

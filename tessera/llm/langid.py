@@ -154,19 +154,9 @@ def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, chars: int
     return {k: "\n".join(v) for k, v in out.items() if v}
 
 
-#: Of this Python worker: the model of the last samples, which its next tasks have too.
-_LAST: list = [None, None]
-
-
-def _model(samples: dict[str, str]) -> Model | None:
-    if _LAST[0] != samples:
-        _LAST[:] = samples, Model(samples) if samples else None
-    return _LAST[1]
-
-
 def _predict(samples):
     def run(batches):
-        model = _model(samples.value)
+        model = Model(samples.value) if samples.value else None
         for batch in batches:
             texts = batch.columns[-1].to_pylist()
             found: list[tuple] = [("und", 0.0)] * len(texts)
@@ -214,7 +204,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 def _with_predictions(rows: DataFrame, samples: dict[str, str]) -> DataFrame:
     """The rows with lang_pred, score and letters (whether it has any) in place of the last column, the text."""
     kinds = C.nullable(StructType(rows.schema.fields[:-1])).add("lang_pred", "string").add("score", "double").add("letters", "boolean")
-    return rows.mapInArrow(_predict(rows.sparkSession.sparkContext.broadcast(samples)), kinds)
+    return rows.mapInArrow(C.lean_map(_predict(rows.sparkSession.sparkContext.broadcast(samples))), kinds)
 
 
 def without_rejects(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

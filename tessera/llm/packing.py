@@ -3,7 +3,8 @@
 Bounded-space online best-fit: a task holds a fixed number of open bins.  A bitset has a bit for each amount
 of free space that some open bin has, so the tightest bin that takes a piece is the lowest set bit at or
 above the piece's length.  If a piece fits nowhere and all bins are in use, the fullest closes first.
-A task keeps its open bins from batch to batch and never moves a text, so packing needs no shuffle.
+A task keeps its open bins from batch to batch and never moves a text.  When it ends, the pieces of bins that are not
+full go to a second round of the same, in few tasks: what a task throws away doesn't grow with the number of tasks.
 """
 
 from __future__ import annotations
@@ -22,22 +23,28 @@ from . import common as C
 LENGTH = 4096
 OPEN_BINS = 4096
 END_ID = 1
+#: A bin with more free space than this share of its length is packed anew when its task ends; pieces that a task holds
+#: back for that at most; bins that a task of the second round should make.
+SLACK, HELD, ROUND = 1 / 64, 1 << 17, 1 << 14
 
 
 class Packer:
-    """place(n) says which bin takes n more tokens, and at which offset."""
+    """place(n) says which bin takes n more tokens, and at which offset; `closed` has the bins that closed since."""
 
     def __init__(self, length: int = LENGTH, most: int = OPEN_BINS):
         self.length, self.most = length, most
         self.free: list[list[int]] = [[] for _ in range(length + 1)]  # open bins by their free space
         self.bits = 0
         self.open = self.made = 0
+        self.closed: list[int] = []
 
     def _put(self, number: int, space: int) -> None:
         if space:
             self.free[space].append(number)
             self.bits |= 1 << space
             self.open += 1
+        else:
+            self.closed.append(number)
 
     def _take(self, space: int) -> int:
         number = self.free[space].pop()
@@ -46,6 +53,12 @@ class Packer:
         self.open -= 1
         return number
 
+    def close(self) -> int:
+        """The fullest bin closes; its free space."""
+        space = (self.bits & -self.bits).bit_length() - 1
+        self.closed.append(self._take(space))
+        return space
+
     def place(self, n: int) -> tuple[int, int]:
         fits = self.bits >> n << n
         if fits:
@@ -53,7 +66,7 @@ class Packer:
             number = self._take(space)
         else:
             if self.open >= self.most:
-                self._take((self.bits & -self.bits).bit_length() - 1)
+                self.close()
             number, space = self.made, self.length
             self.made += 1
         self._put(number, space - n)
@@ -177,17 +190,60 @@ class Words:
         return ids, word_off[np.append(0, place + 1)]
 
 
+NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+
+
+class Bins:
+    """Pieces in a packer's bins: rows leave when their bin closes."""
+
+    def __init__(self, length: int, most: int, top: int):
+        self.packer, self.top, self.rows, self.held = Packer(length, most), top, {}, 0
+        self.out: list[tuple] = []
+
+    def add(self, doc, piece, start, n, crc) -> None:
+        number, offset = self.packer.place(n)
+        self.rows.setdefault(number, []).append((doc, piece, start, n, crc, self.top + number, offset))
+        self.held += 1
+        while self.held > HELD and self.packer.open:
+            self.packer.close()
+            self._leave()
+        self._leave()
+
+    def _leave(self) -> None:
+        for number in self.packer.closed:
+            rows = self.rows.pop(number)
+            self.held -= len(rows)
+            self.out += rows
+        self.packer.closed.clear()
+
+    def end(self, slack: int) -> list[tuple]:
+        """All bins close; the rows of those with more free space than slack are returned instead."""
+        while self.packer.open and (self.packer.bits & -self.packer.bits).bit_length() - 1 <= slack:
+            self.packer.close()
+        self._leave()
+        loose = [r for rows in self.rows.values() for r in rows]
+        self.rows.clear()
+        return loose
+
+    def batch(self, loose: list[tuple] | None = None) -> pa.RecordBatch:
+        rows, self.out = (self.out, []) if loose is None else (loose, self.out)
+        cols = np.array(rows, np.int64).reshape(-1, 7).T
+        placed = [pa.array(c, mask=np.full(len(c), loose is not None)) for c in cols[5:]]
+        return pa.RecordBatch.from_arrays([C.ids_back(cols[0]), pa.array(cols[1].astype(np.int32)), *map(pa.array, cols[2:5]), *placed], NAMES)
+
+
 def _pack(path: str, length: int, most: int):
+    """Rows of texts' pieces; those without a sequence are for the second round."""
+
     def run(batches):
         from pyspark import TaskContext
 
         from .exact_dedup import by_bytes
 
-        top = TaskContext.get().partitionId() << 40
-        packer = Packer(length, most)
+        bins = Bins(length, most, TaskContext.get().partitionId() << 40)
         words = _WORDS.get(path) or _WORDS.setdefault(path, Words(*word_encoder(path)))
         for batch in batches:
-            out: list[tuple] = []
             for part, buf, off in by_bytes(batch):
                 ids, ends = words(buf, off)
                 docs, raw = C.ids_of(part.column("doc_id")), ids.astype("<u4")
@@ -196,10 +252,27 @@ def _pack(path: str, length: int, most: int):
                 for i in np.argsort(-sizes, kind="stable"):
                     for piece, at in enumerate(range(0, int(sizes[i]), length)):
                         n = min(length, int(sizes[i]) - at)
-                        bin_, place = packer.place(n)
-                        out.append((docs[i], piece, at, n, zlib.crc32(raw[ends[i] + at : ends[i] + at + n]), top + bin_, place))
-            cols = np.array(out, np.int64).reshape(-1, 7).T
-            yield pa.RecordBatch.from_arrays([C.ids_back(cols[0]), pa.array(cols[1].astype(np.int32)), *map(pa.array, cols[2:])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+                        bins.add(docs[i], piece, at, n, zlib.crc32(raw[ends[i] + at : ends[i] + at + n]))
+            yield bins.batch()
+        loose = bins.end(int(length * SLACK))
+        yield bins.batch()
+        yield bins.batch(loose)
+
+    return run
+
+
+def _pack_again(length: int, most: int):
+    def run(batches):
+        from pyspark import TaskContext
+
+        bins = Bins(length, most, (TaskContext.get().partitionId() << 40) + (1 << 62))
+        for batch in batches:
+            cols = [C.ids_of(batch.column(0)), *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))]
+            for i in np.argsort(-cols[3], kind="stable"):
+                bins.add(*(int(c[i]) for c in cols))
+            yield bins.batch()
+        bins.end(length)
+        yield bins.batch()
 
     return run
 
@@ -217,4 +290,10 @@ def pack(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", te
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     rows = C.rows_of(df, id_col, text_col)
-    return rows.mapInArrow(_pack(tokenizer, length, open_bins), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    first = C.written(rows.mapInArrow(C.lean_map(_pack(tokenizer, length, open_bins)), SCHEMA), "packed")
+    loose = first.filter("sequence_id IS NULL")
+    left = loose.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, left // (length * ROUND))
+    # by size, so that a batch is a stretch of falling lengths
+    again = loose.repartition(tasks, "ids_crc32").sortWithinPartitions(F.desc("length"), "ids_crc32", "start")
+    return first.filter("sequence_id IS NOT NULL").unionByName(again.mapInArrow(_pack_again(length, open_bins), SCHEMA))

@@ -317,14 +317,14 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_b
     C.prepare(spark)
     rows = C.rows_of(df, id_col, text_col).withColumn("train", ~held_out(F.col("doc_id")))
     blocks = C.block_count(rows, "text", block_bytes)
-    found = rows.mapInArrow(_triples, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).orderBy("triple").toArrow()  # at most 2^24 rows
+    found = rows.mapInArrow(C.lean_map(_triples), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).orderBy("triple").toArrow()  # at most 2^24 rows
     triples = spark.sparkContext.broadcast((found["triple"].to_numpy().astype(np.uint32), found["n"].to_numpy()))
     rows = C.in_blocks(rows, blocks)
-    asked = rows.groupBy("block").applyInArrow(_ask(blocks), MESSAGE)
-    answered = asked.groupBy("part").applyInArrow(_answer(triples), MESSAGE)
+    asked = rows.groupBy("block").applyInArrow(C.lean(_ask(blocks)), MESSAGE)
+    answered = asked.groupBy("part").applyInArrow(C.lean(_answer(triples)), MESSAGE)
     schema = "doc_id long, train boolean, n_tokens long, n_known long, counted double, score double"
-    scored = rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(blocks), schema)
-    totals = asked.groupBy("part").applyInArrow(_totals, "trained long, kinds long").agg(F.coalesce(F.sum("trained"), F.lit(0)).alias("trained"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"))
+    scored = rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(C.lean_pair(_score(blocks)), schema)
+    totals = asked.groupBy("part").applyInArrow(C.lean(_totals), "trained long, kinds long").agg(F.coalesce(F.sum("trained"), F.lit(0)).alias("trained"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"))
     # each token's share is (count + 1) over the same sum: the sum comes in at the end, one row for all tasks
     all_ = F.broadcast(totals.withColumn("one", F.lit(1)))
     base = F.col("counted") - F.col("n_tokens") * F.log10(F.col("trained") + F.col("kinds") + 1)

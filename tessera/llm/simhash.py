@@ -286,13 +286,13 @@ def _grouped(df, id_col, text_col, shingle=SHINGLE, bits=BITS, buckets=None) ->
         raise ValueError("the keys find fingerprints of at most 4 different bits")
     C.prepare(df.sparkSession)
     rows = C.rows_of(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    found = C.written(rows.mapInArrow(_fingerprinted(shingle), "doc_id long, text_hash long, fp long"), "fingerprints")
+    found = C.written(rows.mapInArrow(C.lean_map(_fingerprinted(shingle)), "doc_id long, text_hash long, fp long"), "fingerprints")
     total = found.count()
     # copies are one fingerprint from here on
     nodes = C.written(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "nodes")
     # a fingerprint's rows are up to 129 keys of some 17 bytes; a bucket is to hold a few MB of them
     buckets = buckets or max(C.slots(df.sparkSession), total * 129 * 17 // BUCKET_BYTES)
-    links = nodes.select("fp").mapInArrow(_keyed(buckets), "bucket int, body binary").groupBy("bucket").applyInArrow(_linked(bits), "a long, b long")
+    links = nodes.select("fp").mapInArrow(C.lean_map(_keyed(buckets)), "bucket int, body binary").groupBy("bucket").applyInArrow(C.lean(_linked(bits)), "a long, b long")
     roots = components(links)
     labelled = C.written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "components")
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("weight"))

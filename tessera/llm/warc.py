@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -124,22 +124,32 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     return sent.mapInArrow(_based(_writer(folder, date, level)), "name string, records long").agg(F.sum("records")).first()[0] or 0
 
 
+#: Rows whose decisions come to them in one piece.
+TOGETHER = 4096
+
+
 def typed_records(df: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
-    """Each row as a response, with its payload, or as a revisit of its payload's largest id."""
+    """Each row as a response, with its payload, or as a revisit of its payload's largest id.
+
+    No payload is shuffled: rows are written once with their digests, dealt by their place, and what the digests decide
+    comes to them there, one list for each TOGETHER rows.
+    """
+    spark = df.sparkSession
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    rows = df.select(F.col(id_col).cast("bigint").alias("own_id"), F.col(url_col).cast("string").alias("own_url"), payload.alias("payload"))
-    rows = rows.withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload").cast("bigint")})
-    by_page = rows.groupBy("sha1", "own_id").agg(F.count(F.lit(1)).alias("n"))
-    tops = by_page.groupBy("sha1").agg(F.max("own_id").alias("top"), F.sum("n").alias("copies"))
-    # every branch is the same inner join, so that the payloads are shuffled once and the exchange is used again:
-    # conditions that one side could take, or that could become another join key, would set the branches apart, as
-    # would aliases that the optimizer finds redundant in one branch only (so the names are new)
-    joined = rows.join(tops, "sha1")
-    alone = F.greatest((F.col("size") < least_bytes).cast("int"), (F.col("copies") == 1).cast("int")) == 1
-    mine = F.coalesce(F.col("own_id") >= F.col("top"), F.col("own_id").isNull() & F.col("top").isNull())
-    one = F.row_number().over(Window.partitionBy("sha1", "size").orderBy("own_url")) == 1
-    typed = joined.filter(alone | ~mine).withColumn("first", alone).unionByName(joined.filter(~alone & mine).withColumn("first", one))
-    return typed.select(F.col("own_id").alias("page_id"), F.col("own_url").alias("url"), F.when(F.col("first"), F.col("payload")).alias("payload"), F.col("sha1").alias("digest"), "size", "top", F.when(F.col("first"), "response").otherwise("revisit").alias("record_type"))
+    rows = df.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("bigint"), "row": F.monotonically_increasing_id()})
+    rows = C.bucketed(rows.withColumn("place", F.expr(f"row DIV {TOGETHER}")), "pages", ["place"], C.slots(spark))
+    each = rows.select("row", "place", "page_id", "digest", "size")
+    # of a digest's rows, the first of those with the largest id
+    best = F.max(F.struct("page_id", (-F.col("row")).alias("row")))
+    tops = each.filter(F.col("size") >= least_bytes).groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("weight"))
+    tops = C.written(tops.filter("weight > 1").select("digest", "weight", F.col("best.page_id").alias("top"), (-F.col("best.row")).alias("top_row")), "digests")
+    copies = C.join_to(each.select("row", "digest"), tops, "digest", int(tops.agg(F.sum("weight")).first()[0] or 0))
+    revisits = copies.filter("row != top_row").select("row", "top")
+    lists = revisits.groupBy(F.expr(f"row DIV {TOGETHER}").alias("place")).agg(F.map_from_entries(F.collect_list(F.struct("row", F.struct("top").alias("to")))).alias("revisits"))
+    typed = rows.join(lists, "place", "left").withColumn("to", F.element_at("revisits", F.col("row")))
+    first = F.col("to").isNull()
+    return typed.select("page_id", "url", F.when(first, F.col("payload")).alias("payload"), "digest", "size", F.col("to.top").alias("top"), F.when(first, "response").otherwise("revisit").alias("record_type"))
 
 
 def _based(write):

@@ -57,3 +57,19 @@ def test_warc_long_url(spark, tmp_path, url):
     assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == [(1, 4, "revisit", 2), (2, 4, "response", None), (3, 5, "response", None)]
     said = {r["target_uri"] for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()}
     assert said == {url.replace(" ", "%20"), "u"}
+
+
+@pytest.mark.parametrize("partitions", [1, 64])
+def test_packing_waste(spark, partitions):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(partitions, "doc_id")
+    found = packing.pack(docs).select("length", "sequence_id", "offset").collect()
+    bins: dict = {}
+    for r in found:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in bins.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at <= packing.LENGTH
+    assert len(bins) <= 1.01 * -(-sum(r["length"] for r in found) // packing.LENGTH) + 1
