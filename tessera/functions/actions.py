@@ -26,35 +26,84 @@ def codes(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(1 << n).select(F.col("id").alias("code"), F.array(*(F.shiftright("id", k).bitwiseAND(F.lit(1)).cast("int") for k in range(n))).alias("bits"))
 
 
+def _rest(array: Column, skip: int) -> Column:
+    return F.slice(array, F.lit(skip + 1), F.greatest(F.size(array) - skip, F.lit(0)))
+
+
+def _clipped(array: Column) -> Column:
+    return F.transform(array, lambda x: F.greatest(F.lit(-10.0), F.least(F.lit(10.0), x)))
+
+
+def _tip(state: dict) -> Column:
+    """Height of the pole's tip, the second of its coordinates."""
+    return F.get(state["tip"], F.lit(1))
+
+
+#: What an agent sees, by name; a state has columns q and v (arrays) and, where a rule needs them, tip and force.
 OBSERVATIONS = {
-    "full": lambda q, v: F.concat(q, v),
-    "exclude_x": lambda q, v: F.concat(F.slice(q, F.lit(2), F.greatest(F.size(q) - 1, F.lit(0))), v),
-    "exclude_xy": lambda q, v: F.concat(F.slice(q, F.lit(3), F.greatest(F.size(q) - 2, F.lit(0))), v),
-    "idp": lambda q, v: F.concat(F.slice(q, 1, 1), F.transform(F.slice(q, F.lit(2), F.greatest(F.size(q) - 1, F.lit(0))), F.sin), F.transform(F.slice(q, F.lit(2), F.greatest(F.size(q) - 1, F.lit(0))), F.cos), F.transform(v, lambda x: F.greatest(F.lit(-10.0), F.least(F.lit(10.0), x)))),
+    "full": lambda s: F.concat(s["q"], s["v"]),
+    "exclude_x": lambda s: F.concat(_rest(s["q"], 1), s["v"]),
+    "exclude_xy": lambda s: F.concat(_rest(s["q"], 2), s["v"]),
+    "idp": lambda s: F.concat(F.slice(s["q"], 1, 1), F.transform(_rest(s["q"], 1), F.sin), F.transform(_rest(s["q"], 1), F.cos), _clipped(s["v"]), _clipped(F.slice(s["force"], 1, 1))),
+}
+
+
+def _locomotion(spec: dict, before: dict, after: dict, ctrl: Column) -> Column:
+    """Way made, less the cost of control, and a bonus while the height is in its closed range."""
+    x = F.lit(int(spec.get("x_index", 0)))
+    forward = F.lit(float(spec.get("forward_weight", 1.0))) * (F.get(after["q"], x) - F.get(before["q"], x)) / F.lit(float(spec.get("dt", 0.05)))
+    out = forward - F.lit(float(spec.get("ctrl_weight", 0.5))) * F.aggregate(ctrl, F.lit(0.0), lambda a, u: a + u * u)
+    bonus = float(spec.get("healthy_reward", 0.0))
+    if bonus and spec.get("z_idx") is not None:
+        z = F.get(after["q"], F.lit(int(spec["z_idx"])))
+        out = out + F.when(z.between(float(spec["z_lo"]), float(spec["z_hi"])), bonus).otherwise(0.0)
+    return out
+
+
+def _balance(spec: dict, before: dict, after: dict, ctrl: Column) -> Column:
+    """A bonus while the tip is above 1, less its distance from upright and what the two hinges move."""
+    x, y = F.get(after["tip"], F.lit(0)), _tip(after)
+    v1, v2 = F.get(after["v"], F.lit(1)), F.get(after["v"], F.lit(2))
+    return F.when(y <= 1.0, 0.0).otherwise(10.0) - (0.01 * x * x + (y - 2.0) * (y - 2.0)) - (1e-3 * v1 * v1 + 5e-3 * v2 * v2)
+
+
+REWARDS = {"locomotion": _locomotion, "idp": _balance}
+
+
+def _at(state: dict, spec: dict, key: str) -> Column:
+    return F.get(state["q"], F.lit(int(spec[key])))
+
+
+#: When an episode ends, by name: never; height out of a closed range; height or angle out of open ranges; tip at most 1.
+ENDS = {
+    "never": lambda spec, s: F.lit(False),
+    "z_healthy": lambda spec, s: ~_at(s, spec, "z_idx").between(float(spec["z_lo"]), float(spec["z_hi"])),
+    "z_angle": lambda spec, s: ~((_at(s, spec, "z_idx") > float(spec["z_lo"])) & (_at(s, spec, "z_idx") < float(spec["z_hi"])) & (_at(s, spec, "ang_idx") > float(spec["ang_lo"])) & (_at(s, spec, "ang_idx") < float(spec["ang_hi"]))),
+    "idp_tip": lambda spec, s: _tip(s) <= 1.0,
 }
 
 
-def observation(kind: str, qpos: Column, qvel: Column) -> Column:
-    if kind not in OBSERVATIONS:
-        raise ValueError(f"unknown observation rule {kind}")
-    return OBSERVATIONS[kind](qpos, qvel)
+class Environment:
+    """A data-only descriptor compiled to columns.  Unknown rules are errors; what is left out has its default."""
 
+    def __init__(self, spec: dict):
+        self.base, self.dims = spec["base_env"], int(spec["n_action_dims"])
+        self.frame_skip, self.needs = int(spec.get("frame_skip", 5)), list(spec.get("needs", []))
+        self.low, self.high = float(spec.get("action_low", -1.0)), float(spec.get("action_high", 1.0))
+        self.threshold, self.noise = float(spec.get("success_threshold", float("inf"))), float(spec.get("reset_noise_scale", 0.1))
+        self.rules = {}
+        for part, kinds, usual in (("obs", OBSERVATIONS, "exclude_x"), ("reward", REWARDS, "locomotion"), ("terminated", ENDS, "never")):
+            rule = dict(spec.get(part) or {})
+            rule.setdefault("type", usual)
+            if rule["type"] not in kinds:
+                raise ValueError(f"unknown {part} type: {rule['type']}")
+            self.rules[part] = rule
 
-def reward(spec: dict, forward: Column, ctrl: Column) -> Column:
-    """forward_weight x forward + healthy - ctrl_weight x |ctrl|^2."""
-    cost = F.aggregate(ctrl, F.lit(0.0), lambda a, x: a + x * x)
-    return F.lit(float(spec.get("forward_weight", 1.0))) * forward + F.lit(float(spec.get("healthy_reward", 0.0))) - F.lit(float(spec.get("ctrl_weight", 0.1))) * cost
+    def observation(self, state: dict) -> Column:
+        return OBSERVATIONS[self.rules["obs"]["type"]](state)
 
+    def reward(self, before: dict, after: dict, ctrl: Column) -> Column:
+        return REWARDS[self.rules["reward"]["type"]](self.rules["reward"], before, after, ctrl)
 
-def done(spec: dict, z: Column, angle: Column | None = None) -> Column:
-    """never; z outside a closed range; z or angle outside open ranges; the tip at or below 1."""
-    kind = spec["type"]
-    if kind == "never":
-        return F.lit(False)
-    if kind == "z_range":
-        return ~((z >= float(spec["low"])) & (z <= float(spec["high"])))
-    if kind == "z_angle":
-        return ~((z > float(spec["low"])) & (z < float(spec["high"])) & (F.abs(angle) < float(spec["angle"])))
-    if kind == "tip":
-        return z <= 1.0
-    raise ValueError(f"unknown termination rule {kind}")
+    def ended(self, state: dict) -> Column:
+        return ENDS[self.rules["terminated"]["type"]](self.rules["terminated"], state)

@@ -28,9 +28,9 @@ def lex_score(trace: Column, most: Column) -> Column:
 
 
 def feasible_horizon(n: Column, h: Column, budget: Column) -> Column:
-    """The largest k up to h with n^1 + ... + n^(k+1) within budget; at least 1."""
+    """The largest k up to h with n^1 + ... + n^k within budget; at least 1."""
     n, budget = n.cast("double"), budget.cast("double")
-    start = F.struct(n.alias("sum"), n.alias("power"), F.lit(0).alias("k"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("power"), F.lit(0).alias("k"))
 
     def step(s, i):
         power = s["power"] * n

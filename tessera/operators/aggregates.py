@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import predicate
@@ -28,10 +28,12 @@ def score_bit(observations: DataFrame, candidates: list, current, episode: str,
     return both.filter("idx > 0").crossJoin(F.broadcast(base)).select((F.col("idx") - 1).alias("idx"), "reward", "landings", "baseline")
 
 
-def summary(results: DataFrame, key: str = "batch_id") -> DataFrame:
-    """best, baseline (the first chunk's), n, sum, sum of squares, last time of each batch."""
+def summary(results: DataFrame, key: str = "batch_id", position: str = "item_id") -> DataFrame:
+    """best, baseline, n, sum, sum of squares, last time of each batch, from deliveries that count (the first of each
+    chunk).  The baseline is the reward of the first chunk's first item by `position`, if it has one."""
     r = F.col("reward")
-    return results.groupBy(key).agg(F.max(r).alias("best"), F.max(F.when(F.col("chunk_index") == 0, r)).alias("baseline"), F.count(r).alias("n"), F.sum(r).alias("total"), F.sum(r * r).alias("squares"), F.max("arrived").alias("last_at"))
+    first = F.min_by(r, F.when(F.col("chunk_index") == 0, F.col(position)))
+    return results.groupBy(key).agg(F.max(r).alias("best"), first.alias("baseline"), F.count(r).alias("n"), F.sum(r).alias("total"), F.sum(r * r).alias("squares"), F.max("arrived").alias("last_at"))
 
 
 def mean_sd(n: Column, total: Column, squares: Column) -> tuple[Column, Column]:
@@ -49,8 +51,9 @@ def contributions(results: DataFrame) -> DataFrame:
     return results.groupBy("batch_id", "worker_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("candidates").cast("bigint").alias("candidates"), F.min("arrived").alias("first_at"), F.max("arrived").alias("last_at"))
 
 
-def leaderboard(contributed: DataFrame, name: str, limit: int = 20) -> DataFrame:
-    return contributed.groupBy(name).agg(F.sum("candidates").alias("candidates"), F.sum("chunks").alias("chunks"), F.countDistinct("batch_id").alias("batches"), F.max("last_at").alias("last_at")).orderBy(F.desc("candidates"), name).limit(limit)
+def leaderboard(completed: DataFrame, name: str, limit: int = 20) -> DataFrame:
+    """Who has evaluated most, from completed chunks with their workers' names: one aggregate, no roll-up before it."""
+    return completed.groupBy(name).agg(F.sum("candidates").cast("bigint").alias("candidates"), F.count(F.lit(1)).alias("chunks"), F.countDistinct("batch_id").alias("batches"), F.max("arrived").alias("last_at")).orderBy(F.desc("candidates"), name).limit(limit)
 
 
 def logical(name: Column) -> Column:
@@ -68,9 +71,18 @@ def logical_groups(batches: DataFrame) -> DataFrame:
         first.alias("first_batch"),
         F.min("inserted_at").alias("first_at"),
         F.max("inserted_at").alias("last_at"),
+        F.sum("total_chunks").alias("total_chunks"),
+        F.sum("completed_chunks").alias("completed_chunks"),
+        F.max("polled_at").alias("polled_at"),
     )
 
 
+def surfaced(groups: DataFrame) -> DataFrame:
+    """The group that an environment shows: the last polled (never counts as the epoch), then the newest."""
+    order = F.struct(F.coalesce("polled_at", F.timestamp_seconds(F.lit(0))), "last_at", "grp")
+    return groups.groupBy("env_name").agg(F.max_by("grp", order).alias("grp"))
+
+
 def stitch(keys: list[DataFrame], parts: list[tuple[DataFrame, dict]], key: str) -> DataFrame:
     """All keys of any source, with each part's columns or their defaults."""
     out = keys[0].select(key)
@@ -80,3 +92,16 @@ def stitch(keys: list[DataFrame], parts: list[tuple[DataFrame, dict]], key: str)
     for df, defaults in parts:
         out = out.join(df, key, "left").fillna(defaults)
     return out
+
+
+def tails(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """cvar10, worst, p10, mean, n of each key's values, over the k = max(1, n div 10) smallest; nulls and NaN left out.
+
+    Values are ranked, not collected: a key with any number of rows is sorted as a stream.
+    """
+    v = F.col(value)
+    fine = rows.filter(v.isNotNull() & ~F.isnan(v)).select(key, value)
+    ranked = fine.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(value)))
+    sizes = fine.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") / 10)))
+    low = F.when(F.col("i") <= F.col("k"), v)
+    return ranked.join(sizes, key).groupBy(key).agg(F.avg(low).alias("cvar10"), F.min(v).alias("worst"), F.max(low).alias("p10"), F.avg(v).alias("mean"), F.max("n").alias("n"))

@@ -42,7 +42,8 @@ def inactive(workers: DataFrame, as_of: Column, seconds: int) -> DataFrame:
 
 def stalled(experiments: DataFrame, live: DataFrame, as_of: Column, seconds: int = ORPHAN) -> DataFrame:
     """Active experiments not updated for long that no live job belongs to."""
-    old = experiments.filter(F.col("updated_at") < as_of - F.make_interval(secs=F.lit(seconds)))
+    active = experiments.filter(F.col("status").isin("pending", "running"))
+    old = active.filter(F.col("updated_at") < as_of - F.make_interval(secs=F.lit(seconds)))
     return old.join(live, "experiment_id", "left_anti")
 
 

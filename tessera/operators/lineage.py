@@ -61,3 +61,37 @@ def moved(status: str, to: str) -> str:
     if to not in TRANSITIONS[status]:
         raise ValueError(f"{status} can't become {to}")
     return to
+
+
+def open_bits(settled: DataFrame, key: str, bit: str, n: int) -> DataFrame:
+    """Of each lineage the bits of 0..n-1 that no row has settled."""
+    had = settled.groupBy(key).agg(F.collect_set(bit).alias("had"))  # at most as many as there are bits
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    return had.select(key, F.explode(F.array_except(every, "had")).alias(bit))
+
+
+def find_or_create(existing: DataFrame, submissions: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """submissions with `created`: true for the first of a key that no existing row has, which makes that row.
+
+    All others find a row.
+    """
+    there = existing.select(*keys).distinct().withColumn("_there", F.lit(True))
+    marked = submissions.join(there, keys, "left")
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
+    return marked.withColumn("created", F.col("_there").isNull() & first).drop("_there")
+
+
+def replace_rows(existing: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """existing with the last of new rows of the same key in place of its own, and with what it lacks."""
+    last = new.groupBy(*keys).agg(F.max_by(F.struct(*new.columns), order).alias("r")).select("r.*")
+    return existing.join(last, keys, "left_anti").unionByName(last)
+
+
+def moves_to(status: Column, to: Column) -> tuple[Column, Column]:
+    """(next status, error): an ended status stays, what isn't allowed stays with an error."""
+    ended = ~status.isin(*TRANSITIONS)
+    allowed = F.lit(False)
+    for name, nexts in TRANSITIONS.items():
+        allowed = allowed | ((status == name) & to.isin(*nexts))
+    error = F.when(~ended & ~allowed, F.concat(status, F.lit(" can't become "), to))
+    return F.when(allowed, to).otherwise(status), error

@@ -105,3 +105,11 @@ def split_names(name: str, n: int, most: int = 50_000) -> list[tuple[str, int, i
     if n <= most:
         return [(name, 0, n)]
     return [(f"{name}-part{i}", a, min(n, a + most)) for i, a in enumerate(range(0, n, most))]
+
+
+def split_batches(batches: DataFrame, name: str, n: str, most: int = 50_000) -> DataFrame:
+    """split_names() for a table: sub-batches (name, first, last) of at most `most` candidates; one keeps the name."""
+    parts = F.greatest(F.ceil(F.col(n) / most), F.lit(1)).cast("bigint")
+    rows = batches.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    own = F.when(F.col(n) <= most, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-part"), F.col("part").cast("string")))
+    return rows.select(own.alias("name"), (F.col("part") * most).alias("first"), F.least(F.col(n).cast("bigint"), (F.col("part") + 1) * most).alias("last"))

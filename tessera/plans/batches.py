@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, queue
+from ..operators import aggregates, lineage, queue
+from ..sources import json_commands
 from .bind import Tables
 from .registry import query
 
 #: Order in which deliveries count as first: the whole row, so that it is total.
 ARRIVAL = ["arrived", "reward", "worker_id", "item_id", "candidates"]
 FIRST = "SELECT *, row_number() OVER (PARTITION BY batch_id, chunk_index ORDER BY arrived, reward, worker_id, item_id, candidates) AS rn FROM {results}"
+#: Deliveries that count: a chunk that is delivered again is completed already.
+ONCE = "(SELECT * EXCLUDE (rn) FROM (" + FIRST + ") WHERE rn = 1)"
 
 
-@query("E1 B1 B2 I2 A12", "WITH n AS (SELECT p_brand AS batch_id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 10 AS c, p_partkey FROM part) SELECT batch_id, CAST(c AS BIGINT) AS chunk_index, concat(batch_id, '_chunk_', c) AS chunk_id, count(*) AS n, CAST(min(p_partkey) AS BIGINT) AS first_item FROM n GROUP BY batch_id, c")
+def once(t: Tables):
+    return queue.first_delivery(t.results(), ["batch_id", "chunk_index"], ARRIVAL)
+
+
+@query("E1 B1 B2 I2", "WITH n AS (SELECT p_brand AS batch_id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 10 AS c, p_partkey FROM part) SELECT batch_id, CAST(c AS BIGINT) AS chunk_index, concat(batch_id, '_chunk_', c) AS chunk_id, count(*) AS n, CAST(min(p_partkey) AS BIGINT) AS first_item FROM n GROUP BY batch_id, c")
 def chunk_plan(t: Tables):
     c = queue.chunk_plan(t.part, "p_brand", "p_partkey")
     return c.select("batch_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_id", F.size("items").cast("bigint").alias("n"), F.get("items", F.lit(0)).alias("first_item"))
@@ -26,11 +33,10 @@ def chunk_assemble(t):
     return got.select("batch_id", "n", F.array_join(F.transform("items", lambda i: i["idx"].cast("string")), ",").alias("idxs"))
 
 
-@query("J4", "WITH k AS (SELECT DISTINCT batch_id FROM {batches} WHERE batch_id % 10 = 0), r AS (SELECT DISTINCT batch_id, chunk_index FROM {results}) SELECT k.batch_id, CAST(i AS BIGINT) AS idx, CASE WHEN r.batch_id IS NULL THEN 'missing result from oracle' END AS error FROM k CROSS JOIN range(7) g(i) LEFT JOIN r ON r.batch_id = k.batch_id AND r.chunk_index = i")
+@query("J4", "WITH r AS (SELECT DISTINCT batch_id, chunk_index FROM {results}) SELECT k.batch_id, CAST(i AS BIGINT) AS idx, CASE WHEN r.batch_id IS NULL THEN 'missing result from oracle' END AS error FROM {batches} k CROSS JOIN range(7) g(i) LEFT JOIN r ON r.batch_id = k.batch_id AND r.chunk_index = i")
 def chunk_padding(t):
-    keys = t.batches().filter("batch_id % 10 = 0").select("batch_id").distinct()
-    got = t.results().filter("batch_id % 10 = 0").select("batch_id", F.col("chunk_index").alias("idx")).distinct()
-    return queue.pad(got, keys, 7).select("batch_id", F.col("idx").cast("bigint").alias("idx"), "error")
+    got = t.results().select("batch_id", F.col("chunk_index").alias("idx")).distinct()
+    return queue.pad(got, t.batches().select("batch_id"), 7).select("batch_id", F.col("idx").cast("bigint").alias("idx"), "error")
 
 
 @query("B3 J13 J1", "SELECT batch_id, CAST(chunk_index AS BIGINT) AS chunk_index, reward, worker_id FROM (" + FIRST + ") WHERE rn = 1")
@@ -38,15 +44,15 @@ def dedup_first_write(t):
     return queue.first_delivery(t.results(), ["batch_id", "chunk_index"], ARRIVAL).select("batch_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "reward", "worker_id")
 
 
-@query("E2 B7 I14", "SELECT batch_id, max(reward) AS best, max(reward) FILTER (chunk_index = 0) AS baseline, count(reward) AS n, round(sum(reward), 2) AS total, round(sum(reward * reward) / 1e6, 2) AS squares_m, epoch_us(max(arrived)) AS last_us FROM {results} GROUP BY batch_id")
+@query("E2 B7 I14", "SELECT batch_id, max(reward) AS best, arg_min(reward, item_id) FILTER (chunk_index = 0) AS baseline, count(reward) AS n, round(sum(reward), 2) AS total, round(sum(reward * reward) / 1e6, 2) AS squares_m, epoch_us(max(arrived)) AS last_us FROM " + ONCE + " GROUP BY batch_id")
 def score_summary(t):
-    s = aggregates.summary(t.results())
+    s = aggregates.summary(once(t))
     return s.select("batch_id", "best", "baseline", "n", F.round("total", 2).alias("total"), F.round(F.col("squares") / 1e6, 2).alias("squares_m"), F.unix_micros("last_at").alias("last_us"))
 
 
-@query("E3 C19", "WITH s AS (SELECT batch_id, count(reward) AS n, sum(reward) AS t, sum(reward * reward) AS q FROM {results} GROUP BY batch_id) SELECT batch_id, round(t / n / 30, 7) AS mean, round(CASE WHEN n > 1 THEN sqrt(greatest(q / n - (t / n) * (t / n), 0.0::DOUBLE)) END / 30, 4) AS sd FROM s")
+@query("E3 C19", "WITH s AS (SELECT batch_id, count(reward) AS n, sum(reward) AS t, sum(reward * reward) AS q FROM " + ONCE + " GROUP BY batch_id) SELECT batch_id, round(t / n / 30, 7) AS mean, round(CASE WHEN n > 1 THEN sqrt(greatest(q / n - (t / n) * (t / n), 0.0::DOUBLE)) END / 30, 4) AS sd FROM s")
 def mean_stddev(t):
-    s = aggregates.summary(t.results())
+    s = aggregates.summary(once(t))
     mean, sd = aggregates.mean_sd(F.col("n"), F.col("total"), F.col("squares"))
     return s.select("batch_id", F.round(mean / 30, 7).alias("mean"), F.round(sd / 30, 4).alias("sd"))
 
@@ -64,38 +70,38 @@ def keyset_page(t):
     return queue.page(once, 7, 0, queue.page_size("500")).select("batch_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "reward")
 
 
-@query("A2 A3 A4 H5 D6 D13", "WITH p AS (SELECT r.* FROM {results} r JOIN {batches} b ON b.batch_id = r.batch_id WHERE b.status = 'completed'), l AS (SELECT r.* FROM {results} r WHERE r.batch_id NOT IN (SELECT batch_id FROM p) AND batch_id % 3 = 0), u AS (SELECT * FROM p UNION ALL SELECT * FROM l) SELECT batch_id, CAST(chunk_index AS BIGINT) AS chunk_index, row_number() OVER (PARTITION BY batch_id, chunk_index ORDER BY reward, item_id) - 1 AS pos, reward FROM u")
+@query("A2 A3 A4 H5 D6 D13", "WITH p AS (SELECT r.* FROM {results} r JOIN {batches} b ON b.batch_id = r.batch_id WHERE b.status = 'completed'), l AS (SELECT r.* FROM {results} r WHERE r.batch_id NOT IN (SELECT batch_id FROM p)), u AS (SELECT * FROM p UNION ALL SELECT * FROM l) SELECT batch_id, CAST(chunk_index AS BIGINT) AS chunk_index, row_number() OVER (PARTITION BY batch_id, chunk_index ORDER BY reward, item_id) - 1 AS pos, reward FROM u")
 def batch_reassemble(t):
     chunks = t.results().groupBy("batch_id", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("reward", "item_id"))).alias("items"))
     done = t.batches().filter("status = 'completed'").select("batch_id")
-    rows = queue.reassemble(chunks.join(done, "batch_id", "left_semi"), chunks.filter("batch_id % 3 = 0"))
+    rows = queue.reassemble(chunks.join(done, "batch_id", "left_semi"), chunks)
     return rows.select("batch_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("pos").cast("bigint").alias("pos"), "item.reward")
 
 
-CONTRIBUTED = "SELECT batch_id, worker_id, count(*) AS chunks, CAST(sum(candidates) AS BIGINT) AS candidates, min(arrived) AS first_at, max(arrived) AS last_at FROM {results} GROUP BY batch_id, worker_id"
+CONTRIBUTED = "SELECT batch_id, worker_id, count(*) AS chunks, CAST(sum(candidates) AS BIGINT) AS candidates, min(arrived) AS first_at, max(arrived) AS last_at FROM " + ONCE + " GROUP BY batch_id, worker_id"
 
 
 @query("B4", "SELECT batch_id, worker_id, chunks, candidates, epoch_us(first_at) AS first_us, epoch_us(last_at) AS last_us FROM (" + CONTRIBUTED + ")")
 def contributions(t):
-    return aggregates.contributions(t.results()).select("batch_id", "worker_id", "chunks", "candidates", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
+    return aggregates.contributions(once(t)).select("batch_id", "worker_id", "chunks", "candidates", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
 
 
 def _named(t):
     names = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("worker_id"), F.col("n_name").alias("display_name"))
-    return aggregates.contributions(t.results()).join(names, "worker_id")
+    return once(t).join(names, "worker_id")
 
 
-NAMED = "SELECT c.*, n_name AS display_name FROM (" + CONTRIBUTED + ") c JOIN supplier ON s_suppkey = worker_id JOIN nation ON n_nationkey = s_nationkey"
+NAMED = "SELECT c.*, n_name AS display_name FROM " + ONCE + " c JOIN supplier ON s_suppkey = worker_id JOIN nation ON n_nationkey = s_nationkey"
 
 
-@query("E5", "SELECT display_name, CAST(sum(candidates) AS BIGINT) AS candidates, CAST(sum(chunks) AS BIGINT) AS chunks, count(DISTINCT batch_id) AS batches, epoch_us(max(last_at)) AS last_us FROM (" + NAMED + ") GROUP BY display_name ORDER BY candidates DESC, display_name LIMIT 20")
+@query("E5", "SELECT display_name, CAST(sum(candidates) AS BIGINT) AS candidates, count(*) AS chunks, count(DISTINCT batch_id) AS batches, epoch_us(max(arrived)) AS last_us FROM (" + NAMED + ") GROUP BY display_name ORDER BY candidates DESC, display_name LIMIT 20")
 def leaderboard(t):
     return aggregates.leaderboard(_named(t), "display_name").withColumn("last_us", F.unix_micros("last_at")).drop("last_at")
 
 
-@query("E6", "SELECT display_name, CAST(sum(candidates) AS BIGINT) AS candidates, CAST(sum(chunks) AS BIGINT) AS chunks, epoch_us(min(first_at)) AS first_us, epoch_us(max(last_at)) AS last_us FROM (" + NAMED + ") WHERE batch_id = 7 GROUP BY display_name")
+@query("E6", "SELECT display_name, CAST(sum(candidates) AS BIGINT) AS candidates, count(*) AS chunks, epoch_us(min(arrived)) AS first_us, epoch_us(max(arrived)) AS last_us FROM (" + NAMED + ") WHERE batch_id = 7 GROUP BY display_name")
 def batch_contributors(t):
-    return _named(t).filter("batch_id = 7").groupBy("display_name").agg(F.sum("candidates").alias("candidates"), F.sum("chunks").alias("chunks"), F.unix_micros(F.min("first_at")).alias("first_us"), F.unix_micros(F.max("last_at")).alias("last_us"))
+    return _named(t).filter("batch_id = 7").groupBy("display_name").agg(F.sum("candidates").cast("bigint").alias("candidates"), F.count(F.lit(1)).alias("chunks"), F.unix_micros(F.min("arrived")).alias("first_us"), F.unix_micros(F.max("arrived")).alias("last_us"))
 
 
 @query("E4 C16", "SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'completed') AS completed, round(coalesce(sum(best_reward) FILTER (status = 'failed'), 0.0::DOUBLE), 2) AS failed_sum FROM {batches}")
@@ -109,39 +115,44 @@ def public_status(t):
     return t.batches().agg(F.count_if(F.col("status") != "completed").alias("active"), F.count_if(F.col("status") == "completed").alias("experiments_completed"), F.countDistinct("experiment_id").alias("submitters"))
 
 
-GROUPS = "SELECT env_name, regexp_replace(name, '-part\\d+$', '') AS grp, count(*) AS parts, bool_and(status = 'completed') AS all_done, max(best_reward) AS best, arg_min(batch_id, (inserted_at, batch_id)) AS first_batch, min(inserted_at) AS first_at, max(inserted_at) AS last_at FROM {batches} GROUP BY env_name, grp"
+TRACKED = "SELECT b.*, b.batch_id % 5 AS total_chunks, coalesce(p.n, 0) AS completed_chunks, p.polled_at FROM {batches} b LEFT JOIN (SELECT batch_id, count(DISTINCT chunk_index) AS n, max(arrived) AS polled_at FROM {results} GROUP BY batch_id) p ON p.batch_id = b.batch_id"
 
 
-@query("E7 I1", "SELECT env_name, grp, parts, all_done, best, CAST(first_batch AS BIGINT) AS first_batch FROM (" + GROUPS.replace("arg_min(batch_id, (inserted_at, batch_id))", "(array_agg(batch_id ORDER BY inserted_at, batch_id))[1]") + ")")
-def logical_groups(t):
-    return aggregates.logical_groups(t.batches()).select("env_name", "grp", "parts", "all_done", "best", "first_batch")
+def tracked(t):
+    """Batches with their chunks, how many are complete, and when one was last fetched."""
+    p = t.results().groupBy("batch_id").agg(F.countDistinct("chunk_index").alias("n"), F.max("arrived").alias("polled_at"))
+    return t.batches().join(p, "batch_id", "left").withColumns({"total_chunks": (F.col("batch_id") % 5).cast("bigint"), "completed_chunks": F.coalesce("n", F.lit(0).cast("bigint"))}).drop("n")
 
 
-GROUPS = GROUPS.replace("arg_min(batch_id, (inserted_at, batch_id)) AS first_batch, ", "")
+GROUPS = "SELECT env_name, regexp_replace(name, '-part\\d+$', '') AS grp, count(*) AS parts, bool_and(status = 'completed') AS all_done, max(best_reward) AS best, min(inserted_at) AS first_at, max(inserted_at) AS last_at, CAST(sum(total_chunks) AS BIGINT) AS total_chunks, CAST(sum(completed_chunks) AS BIGINT) AS completed_chunks, max(polled_at) AS polled_at, CAST((array_agg(batch_id ORDER BY inserted_at, batch_id))[1] AS BIGINT) AS first_batch FROM (" + TRACKED + ") GROUP BY env_name, grp"
+
+
+@query("E7 I1", "SELECT env_name, grp, parts, all_done, best, first_batch, total_chunks, completed_chunks, epoch_us(polled_at) AS polled_us FROM (" + GROUPS + ")")
+def logical_groups(t):
+    return aggregates.logical_groups(tracked(t)).select("env_name", "grp", "parts", "all_done", "best", "first_batch", "total_chunks", "completed_chunks", F.unix_micros("polled_at").alias("polled_us"))
 
 
-@query("G5", "SELECT env_name, grp FROM (SELECT *, row_number() OVER (PARTITION BY env_name ORDER BY last_at DESC, first_at DESC, grp DESC) AS rn FROM (" + GROUPS + ") WHERE NOT all_done) WHERE rn = 1")
+@query("G5", "SELECT env_name, grp FROM (SELECT *, row_number() OVER (PARTITION BY env_name ORDER BY coalesce(polled_at, TIMESTAMP '1970-01-01') DESC, last_at DESC, grp DESC) AS rn FROM (" + GROUPS + ") WHERE NOT all_done) WHERE rn = 1")
 def group_pick(t):
-    g = aggregates.logical_groups(t.batches()).filter("NOT all_done")
-    return g.groupBy("env_name").agg(F.max_by("grp", F.struct("last_at", "first_at", "grp")).alias("grp"))
+    return aggregates.surfaced(aggregates.logical_groups(tracked(t)).filter("NOT all_done"))
 
 
 @query("E8", "SELECT env_name, count(*) AS n, max(best) AS best FROM (" + GROUPS + ") WHERE all_done GROUP BY env_name")
 def history_per_env(t):
-    return aggregates.logical_groups(t.batches()).filter("all_done").groupBy("env_name").agg(F.count(F.lit(1)).alias("n"), F.max("best").alias("best"))
+    return aggregates.logical_groups(tracked(t)).filter("all_done").groupBy("env_name").agg(F.count(F.lit(1)).alias("n"), F.max("best").alias("best"))
 
 
 @query("E9 F6", "SELECT env_name, grp, best FROM (SELECT *, row_number() OVER (PARTITION BY env_name ORDER BY last_at DESC, grp DESC) AS rn FROM (" + GROUPS + ") WHERE all_done) WHERE rn = 1")
 def latest_completed(t):
-    g = aggregates.logical_groups(t.batches()).filter("all_done").groupBy("env_name").agg(F.max_by(F.struct("grp", "best"), F.struct("last_at", "grp")).alias("x"))
+    g = aggregates.logical_groups(tracked(t)).filter("all_done").groupBy("env_name").agg(F.max_by(F.struct("grp", "best"), F.struct("last_at", "grp")).alias("x"))
     return g.select("env_name", "x.grp", "x.best")
 
 
-@query("E11 H1 D8 E10", "WITH h AS (SELECT env_name, count(*) AS completed FROM {batches} WHERE status = 'completed' AND batch_id % 1000 = 1 GROUP BY env_name), a AS (SELECT env_name, count(*) AS active FROM {batches} WHERE status <> 'completed' AND batch_id % 1000 = 2 GROUP BY env_name), k AS (SELECT env_name FROM h UNION SELECT env_name FROM a) SELECT k.env_name, coalesce(completed, 0) AS completed, coalesce(active, 0) AS active FROM k LEFT JOIN h USING (env_name) LEFT JOIN a USING (env_name)")
+@query("E11 H1 D8 E10", "WITH h AS (SELECT env_name, count(*) AS completed FROM {batches} WHERE status = 'completed' GROUP BY env_name), a AS (SELECT env_name, count(*) AS active FROM {batches} WHERE status <> 'completed' GROUP BY env_name), k AS (SELECT env_name FROM h UNION SELECT env_name FROM a) SELECT k.env_name, coalesce(completed, 0) AS completed, coalesce(active, 0) AS active FROM k LEFT JOIN h USING (env_name) LEFT JOIN a USING (env_name)")
 def env_stitch(t):
     b = t.batches()
-    h = b.filter("status = 'completed' AND batch_id % 1000 = 1").groupBy("env_name").agg(F.count(F.lit(1)).alias("completed"))
-    a = b.filter("status <> 'completed' AND batch_id % 1000 = 2").groupBy("env_name").agg(F.count(F.lit(1)).alias("active"))
+    h = b.filter("status = 'completed'").groupBy("env_name").agg(F.count(F.lit(1)).alias("completed"))
+    a = b.filter("status <> 'completed'").groupBy("env_name").agg(F.count(F.lit(1)).alias("active"))
     return aggregates.stitch([h, a], [(h, {"completed": 0}), (a, {"active": 0})], "env_name")
 
 
@@ -179,7 +190,7 @@ def live_worker(t):
     return w.groupBy((F.col("worker_id") % 3).cast("bigint").alias("adapter")).agg(F.count(F.lit(1)).alias("live"))
 
 
-@query("B9 B10", "WITH o AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0), b AS (SELECT batch_id, CASE WHEN status IN ('pending', 'running') AND experiment_id IN (SELECT c_custkey FROM o) THEN 'cancelled' ELSE status END AS status, status IN ('pending', 'running') AND experiment_id IN (SELECT c_custkey FROM o) AS hit FROM {batches}), j AS (SELECT r.batch_id, CASE WHEN hit AND chunk_index % 2 = 0 THEN 'cancelled' WHEN chunk_index % 2 = 0 THEN 'available' ELSE 'executing' END AS state FROM {results} r JOIN b ON b.batch_id = r.batch_id) SELECT 'batch' AS what, status AS state, count(*) AS n FROM b GROUP BY status UNION ALL SELECT 'job', state, count(*) FROM j GROUP BY state")
+@query("B9", "WITH o AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0), b AS (SELECT batch_id, CASE WHEN status IN ('pending', 'running') AND experiment_id IN (SELECT c_custkey FROM o) THEN 'cancelled' ELSE status END AS status, status IN ('pending', 'running') AND experiment_id IN (SELECT c_custkey FROM o) AS hit FROM {batches}), j AS (SELECT r.batch_id, CASE WHEN hit AND chunk_index % 2 = 0 THEN 'cancelled' WHEN chunk_index % 2 = 0 THEN 'available' ELSE 'executing' END AS state FROM {results} r JOIN b ON b.batch_id = r.batch_id) SELECT 'batch' AS what, status AS state, count(*) AS n FROM b GROUP BY status UNION ALL SELECT 'job', state, count(*) FROM j GROUP BY state")
 def cancel_cascade(t):
     jobs = t.results().select("batch_id", F.expr("CASE WHEN chunk_index % 2 = 0 THEN 'available' ELSE 'executing' END").alias("state")).join(t.batches().select("batch_id"), "batch_id", "left_semi")
     owners = t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("experiment_id"))
@@ -188,19 +199,65 @@ def cancel_cascade(t):
     return count(b, "status", "batch").unionByName(count(j, "state", "job"))
 
 
+@query("B10", "WITH o AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0), h AS (SELECT batch_id FROM {batches} WHERE status IN ('pending', 'running') AND experiment_id IN (SELECT c_custkey FROM o)), j AS (SELECT r.batch_id, CASE WHEN r.batch_id IN (SELECT batch_id FROM h) AND chunk_index % 3 < 2 THEN 'cancelled' WHEN chunk_index % 3 = 0 THEN 'available' WHEN chunk_index % 3 = 1 THEN 'executing' ELSE 'completed' END AS state FROM {results} r) SELECT state, count(*) AS n FROM j GROUP BY state")
+def cancel_chunks(t):
+    jobs = t.results().select("batch_id", F.expr("CASE chunk_index % 3 WHEN 0 THEN 'available' WHEN 1 THEN 'executing' ELSE 'completed' END").alias("state"))
+    owners = t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("experiment_id"))
+    _, j = queue.cancel(t.batches(), jobs, owners, also_executing=True)
+    return j.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("B17 J9", "SELECT CASE WHEN status = 'pending' AND inserted_at < TIMESTAMP '2001-07-01' - INTERVAL 180 SECOND THEN 'available' ELSE CASE WHEN status = 'pending' THEN 'executing' ELSE 'completed' END END AS state, count(*) AS n FROM {batches} GROUP BY 1")
 def lease_rescue(t):
     jobs = t.batches().select(F.expr("CASE WHEN status = 'pending' THEN 'executing' ELSE 'completed' END").alias("state"), F.col("inserted_at").alias("attempted_at"))
     return queue.rescue(jobs, F.lit("2001-07-01").cast("timestamp")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("D9 E17", "WITH x AS (SELECT batch_id, list(reward) AS items FROM {results} GROUP BY batch_id), u AS (SELECT batch_id, unnest(items) AS r FROM x), s AS (SELECT batch_id, count(*) FILTER (r > 50000) AS good, round(sum(r), 2) AS total FROM u GROUP BY batch_id) SELECT b.batch_id, coalesce(good, 0) AS good, coalesce(total, b.best_reward) AS total FROM {batches} b LEFT JOIN s ON s.batch_id = b.batch_id")
+@query("D9 E17", "WITH s AS (SELECT batch_id, count(*) FILTER (reward > 50000) AS good, round(sum(reward), 2) AS total FROM {results} GROUP BY batch_id) SELECT b.batch_id, coalesce(good, 0) AS good, coalesce(total, b.best_reward) AS total FROM {batches} b LEFT JOIN s ON s.batch_id = b.batch_id")
 def backfill_join(t):
-    lists = t.results().groupBy("batch_id").agg(F.collect_list("reward").alias("items"))
-    s = lists.select("batch_id", F.explode("items").alias("r")).groupBy("batch_id").agg(F.count_if(F.col("r") > 50000).alias("good"), F.round(F.sum("r"), 2).alias("total"))
+    s = t.results().groupBy("batch_id").agg(F.count_if(F.col("reward") > 50000).alias("good"), F.round(F.sum("reward"), 2).alias("total"))
     return t.batches().join(s, "batch_id", "left").select("batch_id", F.coalesce("good", F.lit(0).cast("bigint")).alias("good"), F.coalesce("total", "best_reward").alias("total"))
 
 
 @query("A7 A5", "SELECT batch_id, status, epoch_us(inserted_at) AS at_us FROM {batches} ORDER BY inserted_at DESC, batch_id DESC LIMIT 50")
 def recent_batches(t):
     return t.batches().orderBy(F.desc("inserted_at"), F.desc("batch_id")).limit(50).select("batch_id", "status", F.unix_micros("inserted_at").alias("at_us"))
+
+
+@query("B6", "WITH e AS (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer WHERE c_acctbal < -900), s AS (SELECT c.*, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS n, e.c_nationkey IS NOT NULL AS there FROM customer c LEFT JOIN e USING (c_mktsegment, c_nationkey)) SELECT c_custkey AS submission, CASE WHEN NOT there AND n = 1 THEN 'created' ELSE 'existing' END AS tag FROM s")
+def policy_upsert(t):
+    keys = ["env_name", "config_sig"]
+    every = t.customer.select(F.col("c_custkey").alias("submission"), F.col("c_mktsegment").alias("env_name"), F.col("c_nationkey").alias("config_sig"), "c_acctbal")
+    found = lineage.find_or_create(every.filter("c_acctbal < -900"), every, keys, ["submission"])
+    return found.select("submission", F.when(F.col("created"), "created").otherwise("existing").alias("tag"))
+
+
+@query("B5 B8", "WITH n AS (SELECT l_suppkey, max(l_shipdate) AS beat FROM lineitem WHERE l_quantity > 25 GROUP BY l_suppkey) SELECT s_suppkey AS worker_id, CASE WHEN beat IS NULL THEN 'registered' ELSE 'seen' END AS state, coalesce(epoch_us(beat), 0) AS beat_us FROM supplier LEFT JOIN n ON l_suppkey = s_suppkey UNION ALL SELECT l_suppkey, 'seen', epoch_us(beat) FROM n WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)")
+def register_workers(t):
+    had = t.supplier.select(F.col("s_suppkey").alias("worker_id"), F.lit("registered").alias("state"), F.lit(0).cast("bigint").alias("beat_us"))
+    beats = t.results().filter("candidates > 25").select("worker_id", F.lit("seen").alias("state"), F.unix_micros("arrived").alias("beat_us"))
+    return lineage.replace_rows(had, beats, ["worker_id"], "beat_us")
+
+
+@query("L2", "WITH b AS (SELECT c_mktsegment AS name, count(*) AS n FROM customer GROUP BY c_mktsegment) SELECT CASE WHEN n <= 100 THEN name ELSE concat(name, '-part', p.i) END AS name, CAST(p.i * 100 AS BIGINT) AS first, CAST(least(n, (p.i + 1) * 100) AS BIGINT) AS last FROM b, range(100000) p(i) WHERE p.i * 100 < n")
+def client_split(t):
+    return queue.split_batches(t.customer.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")), "c_mktsegment", "n", 100)
+
+
+@query("L12", "WITH m AS (SELECT batch_id, status, CASE batch_id % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' ELSE 'failed' END AS wish FROM {batches}), x AS (SELECT *, (status = 'pending' AND wish IN ('running', 'failed')) OR (status = 'running' AND wish IN ('completed', 'failed')) AS ok FROM m) SELECT batch_id, CASE WHEN ok THEN wish ELSE status END AS status, CASE WHEN NOT ok AND status <> 'completed' THEN concat(status, ' can''t become ', wish) END AS error FROM x")
+def status_moves(t):
+    wish = F.expr("CASE batch_id % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' ELSE 'failed' END")
+    status, error = lineage.moves_to(F.col("status"), wish)
+    return t.batches().select("batch_id", status.alias("status"), error.alias("error"))
+
+
+ENVS = "SELECT n_name AS env_name, CAST(n_nationkey % 7 AS INT) AS n_action_dims, -1.0::DOUBLE AS action_low, CAST(n_regionkey AS DOUBLE) AS action_high, CAST(100 * n_nationkey AS INT) AS max_steps FROM nation WHERE n_regionkey > 0"
+
+
+@query("A11 A9", "WITH e AS (" + ENVS + ") SELECT s_suppkey AS job, n_name AS env_name, CAST(e.n_action_dims AS BIGINT) AS dims, e.action_high AS high, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 7 ELSE e.max_steps END AS BIGINT) AS steps, CASE WHEN e.env_name IS NULL THEN concat('unknown environment ', n_name) END AS error FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN e ON e.env_name = n_name")
+def command_environment(t):
+    envs = t.nation.filter("n_regionkey > 0").select(F.col("n_name").alias("env_name"), (F.col("n_nationkey") % 7).cast("int").alias("n_action_dims"), F.lit(-1.0).alias("action_low"), F.col("n_regionkey").cast("double").alias("action_high"), (100 * F.col("n_nationkey")).cast("int").alias("max_steps"), F.lit(0.0).alias("success_threshold"))
+    jobs = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    fields = F.struct(F.col("s_suppkey").cast("string").alias("job_id"), F.lit("score").alias("cmd"), F.col("n_name").alias("env_name"), F.when(F.col("s_suppkey") % 2 == 0, 7).alias("max_steps"))
+    found = json_commands.with_environment(json_commands.commands(jobs.select(F.to_json(fields).alias("value"))), envs)
+    return found.select(F.col("job_id").cast("bigint").alias("job"), "env_name", F.col("n_action_dims").cast("bigint").alias("dims"), F.col("action_high").alias("high"), F.col("max_steps").cast("bigint").alias("steps"), "error")

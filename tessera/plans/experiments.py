@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import signature
 from ..operators import aggregates, health, lineage, windows
 from ..sources import json_commands
+from .batches import ONCE, once
 from .bind import Tables
 from .registry import query
 
@@ -108,11 +109,11 @@ def eta_wave(t):
     return _flow(t).select("experiment_id", e.cast("bigint").alias("eta"))
 
 
-POLLED = "SELECT b.*, p.polled_at FROM {batches} b LEFT JOIN (SELECT batch_id, max(arrived) AS polled_at FROM {results} WHERE item_id % 2 = 0 GROUP BY batch_id) p ON p.batch_id = b.batch_id"
+POLLED = "SELECT b.*, p.polled_at FROM {batches} b LEFT JOIN (SELECT batch_id, max(arrived) AS polled_at FROM {results} GROUP BY batch_id) p ON p.batch_id = b.batch_id"
 
 
 def _polled(t):
-    p = t.results().filter("item_id % 2 = 0").groupBy("batch_id").agg(F.max("arrived").alias("polled_at"))
+    p = t.results().groupBy("batch_id").agg(F.max("arrived").alias("polled_at"))
     return t.batches().join(p, "batch_id", "left")
 
 
@@ -123,42 +124,42 @@ def health_batch(t):
     return _polled(t).select("batch_id", health.batch_health(age, ago).alias("health"))
 
 
-@query("I20 C15", f"WITH f AS (SELECT *, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_at)) // 86400000000 AS days FROM (" + FLOW + ")) SELECT experiment_id, CASE WHEN done = 0 THEN CASE WHEN days * 60 >= 300 THEN 'idle' ELSE 'healthy' END WHEN pending = 0 THEN 'unknown' WHEN days > 300 THEN 'stalled' WHEN days * 3 > 300 AND wave < 3 THEN CASE WHEN bits > 5 THEN 'idle' ELSE 'paused' END WHEN done % 3 = 0 AND days * 30 > 3600 AND wave > 1 THEN 'slow' ELSE 'healthy' END AS health FROM f")
+@query("I20 C15", f"WITH f AS (SELECT *, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_at)) // 86400000000 AS days FROM (" + FLOW + ")) SELECT experiment_id, CASE WHEN done = 0 THEN CASE WHEN days * 60 >= 300 THEN 'idle' ELSE 'healthy' END WHEN pending = 0 THEN 'unknown' WHEN days > 300 THEN 'stalled' WHEN days * 30 > 300 AND wave < 3 THEN CASE WHEN bits > 5 THEN 'idle' ELSE 'paused' END WHEN done % 3 = 0 AND days * 30 > 3600 AND wave > 1 THEN 'slow' ELSE 'healthy' END AS health FROM f")
 def health_experiment(t):
     days = F.expr("(unix_micros(timestamp'" + AS_OF + "') - unix_micros(last_at)) div 86400000000")
     f = _flow(t).withColumn("days", days)
     status = F.when(F.col("done") == 0, "pending").when(F.col("pending") > 0, "running").otherwise("completed")
-    h = health.experiment_health(status, F.col("days") * 60, F.col("days"), F.col("days") * 3, F.col("wave") < 3, F.col("bits") > 5, F.col("done") % 3, F.col("wave") > 1)
-    # the last clause's clock is coarser here, so that all classes occur
-    h = F.when((status == "running") & (F.col("days") <= 300) & ~((F.col("days") * 3 > 300) & (F.col("wave") < 3)) & (F.col("done") % 3 == 0) & (F.col("days") * 30 > 3600) & (F.col("wave") > 1), "slow").otherwise(F.when((h == "slow"), "healthy").otherwise(h))
+    h = health.experiment_health(status, F.col("days") * 60, F.col("days"), F.col("days") * 30, F.col("wave") < 3, F.col("bits") > 5, F.col("done") % 3, F.col("wave") > 1)
     return f.select("experiment_id", h.alias("health"))
 
 
+#: Raw configurations as submitted, the text that the rule signs for each, and its label.
 CONFIGS = [
-    ("a", 3.0, 1.0, ["axis", "diag"], None, None, None, None),
-    ("b", None, None, ["diag", "axis", "axis"], None, "random", "enumerate", 0),
-    ("c", 4.0, 2.0, ["tridiag"], [0, 5], "ga_qd", "ga", 7),
-    ("d", 3.9, 1.0, None, [2, 3], "random", "ga", None),
+    ("a", '{"bits_per_dim": 3, "feature_types": ["axis", "diag"]}', '{"bits_per_dim":3,"depth":1,"feature_types":["axis","diag"],"max_coeff":5,"tridiag_max_coeff":2,"tridiag_dims":null}', "b=3 · d=1 · f=axis,diag"),
+    ("b", '{"feature_types": ["diag", "axis", "axis"], "max_coeff": 5.9, "verifier": "other", "top_k": 9, "run_seed": 0}', '{"bits_per_dim":3,"depth":1,"feature_types":["axis","diag"],"max_coeff":5,"tridiag_max_coeff":2,"tridiag_dims":null}', "b=3 · d=1 · f=axis,diag"),
+    ("c", '{"bits_per_dim": 4, "depth": 2, "feature_types": ["tridiag"], "max_coeff": 3, "tridiag_dims": {"lo": 0, "hi": 5}, "verifier": "ga_qd", "proposer": "ga", "scorer": "successor", "run_seed": "7x"}', '{"bits_per_dim":4,"depth":2,"feature_types":["tridiag"],"max_coeff":3,"tridiag_max_coeff":2,"tridiag_dims":[0,5],"verifier":"ga_qd","run_seed":7,"proposer":"ga","scorer":"successor"}', "b=4 · d=2 · f=tridiag · c=3 · t=0:5 · r7 · GAQD · GA · SUCC"),
+    ("d", '{"depth": null, "feature_types": null, "tridiag_dims": [2, 3], "successor_continuation": {"type": "cycle", "actions": [[1, -0.5], [0.25, 0]]}}', '{"bits_per_dim":3,"depth":null,"feature_types":null,"max_coeff":5,"tridiag_max_coeff":2,"tridiag_dims":[2,3],"successor_continuation":{"type":"cycle","hold":1,"actions":[[1.0,-0.5],[0.25,0.0]]}}', "b=3 · t=2:3"),
+    ("e", "{}", '{"bits_per_dim":3,"depth":1,"feature_types":null,"max_coeff":5,"tridiag_max_coeff":2,"tridiag_dims":null}', "b=3 · d=1"),
+    ("f", '{"feature_types": [], "run_seed": -4, "successor_continuation": {"type": "cycle", "actions": []}}', '{"bits_per_dim":3,"depth":1,"feature_types":[],"max_coeff":5,"tridiag_max_coeff":2,"tridiag_dims":null}', "b=3 · d=1 · f="),
 ]
 
 
 def _configs(t):
-    c = t.spark.createDataFrame(CONFIGS, "name string, bits_per_dim double, depth double, feature_types array<string>, tridiag_dims array<int>, verifier string, proposer string, run_seed int")
-    none = [F.lit(None).cast("double").alias("max_coeff"), F.lit(None).cast("double").alias("tridiag_max_coeff"), F.lit(None).cast("string").alias("scorer")]
-    return c.select("name", F.struct("bits_per_dim", "depth", "feature_types", "tridiag_dims", "verifier", "proposer", "run_seed", *none).alias("config"))
+    return t.spark.createDataFrame([c[:2] for c in CONFIGS], "name string, config string")
 
 
-SIGNED = [("a", "bits_per_dim=3;depth=1;max_coeff=3;tridiag_max_coeff=2;features=axis+diag;dims="), ("b", "bits_per_dim=3;depth=1;max_coeff=3;tridiag_max_coeff=2;features=axis+diag;dims="), ("c", "bits_per_dim=4;depth=2;max_coeff=3;tridiag_max_coeff=2;features=tridiag;dims=0:5;verifier=ga_qd;proposer=ga;run_seed=7"), ("d", "bits_per_dim=3;depth=1;max_coeff=3;tridiag_max_coeff=2;features=;dims=2:3;proposer=ga")]
+def _said(column: int) -> str:
+    return "(VALUES " + ", ".join(str((c[0], c[column])) for c in CONFIGS) + ") v(name, x)"
 
 
-@query("I4 I5 B6", "SELECT name, substring(sha256(x), 1, 16) AS sig FROM (VALUES " + ", ".join(map(str, SIGNED)) + ") v(name, x)")
+@query("I4 I5", "SELECT name, substring(sha256(x), 1, 16) AS sig FROM " + _said(2))
 def config_signature(t):
-    return _configs(t).select("name", signature.signature().alias("sig"))
+    return _configs(t).select("name", signature.signature(F.col("config")).alias("sig"))
 
 
-@query("I6", "SELECT * FROM (VALUES ('a', 'b=3 · d=1 · f=axis+diag'), ('b', 'b=3 · d=1 · f=axis+diag'), ('c', 'b=4 · d=2 · f=tridiag · t=0:5 · r7 · GAQD · GA'), ('d', 'b=3 · d=1 · f= · t=2:3 · GA')) v(name, label)")
+@query("I6", "SELECT name, x AS label FROM " + _said(3))
 def config_label(t):
-    return _configs(t).select("name", signature.label().alias("label"))
+    return _configs(t).select("name", signature.label(F.col("config")).alias("label"))
 
 
 GATE = "WITH RECURSIVE p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn, CAST(length(text) AS DOUBLE) AS r, CASE WHEN turn % 4 = 3 THEN 0 END AS e FROM conversations), g AS (SELECT conv_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS turn, CAST('' AS VARCHAR) AS outcome, CAST(0 AS BIGINT) AS version, CAST(NULL AS DOUBLE) AS best FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL SELECT p.conv_id, p.k, p.turn, CASE WHEN e IS NOT NULL AND e <> version THEN 'stale' WHEN best IS NULL OR r > best + 1e-9 THEN 'committed' ELSE 'no_improvement' END, version + CASE WHEN (e IS NULL OR e = version) AND (best IS NULL OR r > best + 1e-9) THEN 1 ELSE 0 END, CASE WHEN (e IS NULL OR e = version) AND (best IS NULL OR r > best + 1e-9) THEN r ELSE best END FROM g JOIN p ON p.conv_id = g.conv_id AND p.k = g.k + 1)"
@@ -194,10 +195,11 @@ def validation_stale(t):
     return v.select("c_custkey", lineage.stale(F.col("a"), F.col("validated"), F.col("version")).alias("stale"))
 
 
-@query("M1 D6", f"WITH u AS (SELECT experiment_id, max(inserted_at) AS updated_at FROM {{batches}} GROUP BY experiment_id) SELECT experiment_id FROM u WHERE updated_at < TIMESTAMP '{AS_OF}' - INTERVAL 360 DAY AND experiment_id NOT IN (SELECT experiment_id FROM {{batches}} WHERE status = 'pending' AND inserted_at >= TIMESTAMP '2000-01-01')")
+@query("M1 D6", f"WITH u AS (SELECT experiment_id, max(inserted_at) AS updated_at, bool_or(status IN ('pending', 'running')) AS active FROM {{batches}} GROUP BY experiment_id) SELECT experiment_id FROM u WHERE active AND updated_at < TIMESTAMP '{AS_OF}' - INTERVAL 360 DAY AND experiment_id NOT IN (SELECT experiment_id FROM {{batches}} WHERE status = 'pending' AND inserted_at >= TIMESTAMP '2000-01-01')")
 def reap_stalled(t):
     b = t.batches()
-    u = b.groupBy("experiment_id").agg(F.max("inserted_at").alias("updated_at"))
+    active = F.bool_or(F.col("status").isin("pending", "running"))
+    u = b.groupBy("experiment_id").agg(F.max("inserted_at").alias("updated_at"), F.when(active, "running").otherwise("completed").alias("status"))
     live = b.filter("status = 'pending' AND inserted_at >= TIMESTAMP '2000-01-01'").select("experiment_id")
     return health.stalled(u, live, as_of(), 360 * 86400).select("experiment_id")
 
@@ -229,17 +231,16 @@ def incidents(t):
     return t.events.filter("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id")
 
 
-@query("F8 H6", "WITH b AS (SELECT o.i AS bit FROM range(18) o(i)), c AS (SELECT DISTINCT CAST(length(text) % 18 AS BIGINT) AS bit FROM conversations WHERE conv_id = 3), s AS (SELECT CAST(conv_id % 18 AS BIGINT) AS bit FROM conversations WHERE turn = 7) SELECT CAST(bit AS BIGINT) AS bit FROM b WHERE bit NOT IN (SELECT bit FROM c) AND bit NOT IN (SELECT bit FROM s)")
+@query("F8 H6", "WITH c AS (SELECT DISTINCT conv_id, CAST(length(text) % 18 AS BIGINT) AS bit FROM conversations), k AS (SELECT DISTINCT conv_id FROM conversations) SELECT k.conv_id, CAST(o.i AS BIGINT) AS bit FROM k, range(18) o(i) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = k.conv_id AND c.bit = o.i)")
 def open_bits(t):
-    c = t.conversations.filter("conv_id = 3").select((F.length("text") % 18).cast("bigint").alias("bit"))
-    s = t.conversations.filter("turn = 7").select((F.col("conv_id") % 18).alias("bit"))
-    return t.spark.range(18).withColumnRenamed("id", "bit").join(c.unionByName(s), "bit", "left_anti")
+    settled = t.conversations.select("conv_id", (F.length("text") % 18).cast("bigint").alias("bit"))
+    return lineage.open_bits(settled, "conv_id", "bit", 18)
 
 
-@query("E21 L8", GATE + ", w AS (SELECT conv_id % 10 AS wave, count(*) FILTER (outcome = 'committed') AS commits, count(*) FILTER (outcome = 'stale') AS stale, count(*) FILTER (outcome = 'no_improvement') AS none FROM g WHERE turn > 2 GROUP BY conv_id % 10) SELECT wave, commits, stale, none, commits = 0 AND stale = 0 AS saturated FROM w")
+@query("E21 L8", GATE + ", w AS (SELECT conv_id % 10 AS wave, count(*) FILTER (outcome = 'committed') AS commits, count(*) FILTER (outcome = 'stale') AS stale, count(*) FILTER (outcome = 'no_improvement') AS none FROM g WHERE k > 0 GROUP BY conv_id % 10) SELECT wave, commits, stale, none, commits = 0 AND stale = 0 AS saturated FROM w")
 def pass_tally(t):
     n = lambda o, name: F.count_if(F.col("outcome") == o).alias(name)
-    w = _gate(t).filter("turn > 2").groupBy((F.col("conv_id") % 10).alias("wave")).agg(n("committed", "commits"), n("stale", "stale"), n("no_improvement", "none"))
+    w = _gate(t).groupBy((F.col("conv_id") % 10).alias("wave")).agg(n("committed", "commits"), n("stale", "stale"), n("no_improvement", "none"))
     return w.withColumn("saturated", (F.col("commits") == 0) & (F.col("stale") == 0))
 
 
@@ -287,15 +288,15 @@ def key_sets(t):
     return one.join(two, "user_id", "left_anti").select(F.lit("evicted").alias("what"), "user_id").unionByName(one.join(two, "user_id", "left_semi").select(F.lit("retained").alias("what"), "user_id"))
 
 
-@query("G4 G10", "SELECT event_id, user_id, value, row_number() OVER (ORDER BY user_id, event_id) AS place FROM events WHERE event_type <> 'error' AND user_id < 3")
+@query("G4 G10", "SELECT event_id, user_id, value, row_number() OVER (ORDER BY user_id, event_id) AS place FROM events WHERE event_type <> 'error'")
 def sort_lists(t):
-    rows = t.events.filter("event_type <> 'error' AND user_id < 3")
+    rows = t.events.filter("event_type <> 'error'")
     return windows.places(rows, "user_id", ["event_id"]).select("event_id", "user_id", "value", "place")
 
 
-@query("A14", "WITH b AS (SELECT *, rank() OVER (PARTITION BY experiment_id ORDER BY inserted_at DESC) AS k FROM {batches} WHERE status <> 'completed'), s AS (SELECT batch_id, count(reward) AS n, sum(reward) AS t FROM {results} GROUP BY batch_id) SELECT experiment_id, count(*) AS batches, coalesce(CAST(sum(n) AS BIGINT), 0) AS results, round(sum(t) / sum(n) / 30, 7) AS mean FROM b LEFT JOIN s ON s.batch_id = b.batch_id WHERE k = 1 GROUP BY experiment_id")
+@query("A14", "WITH b AS (SELECT *, rank() OVER (PARTITION BY experiment_id ORDER BY inserted_at DESC) AS k FROM {batches} WHERE status <> 'completed'), s AS (SELECT batch_id, count(reward) AS n, sum(reward) AS t FROM " + ONCE + " GROUP BY batch_id) SELECT experiment_id, count(*) AS batches, coalesce(CAST(sum(n) AS BIGINT), 0) AS results, round(sum(t) / sum(n) / 30, 7) AS mean FROM b LEFT JOIN s ON s.batch_id = b.batch_id WHERE k = 1 GROUP BY experiment_id")
 def aggregate_payload(t):
     last = windows.latest(t.batches().filter("status <> 'completed'"), ["experiment_id"], "inserted_at")
-    s = aggregates.summary(t.results()).select("batch_id", "n", "total")
+    s = aggregates.summary(once(t)).select("batch_id", "n", "total")
     g = last.join(s, "batch_id", "left").groupBy("experiment_id").agg(F.count(F.lit(1)).alias("batches"), F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("results"), F.sum("total").alias("t"))
     return g.select("experiment_id", "batches", "results", F.round(F.when(F.col("results") > 0, F.col("t") / F.col("results")) / 30, 7).alias("mean"))

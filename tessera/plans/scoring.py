@@ -55,7 +55,7 @@ def scored(t: Tables):
     return aggregates.score_bit(t.embeddings, CANDIDATES, CURRENT, "label", F.expr(X(7)))
 
 
-@query("E14 L1 D11 D12 C22 K2 K3 A11", _scores_sql() + " SELECT CAST(idx AS BIGINT) AS idx, round(reward, 6) + 0.0 AS reward, CAST(landings AS BIGINT) AS landings, round(baseline, 6) + 0.0 AS baseline FROM r")
+@query("E14 L1 D11 D12 C22", _scores_sql() + " SELECT CAST(idx AS BIGINT) AS idx, round(reward, 6) + 0.0 AS reward, CAST(landings AS BIGINT) AS landings, round(baseline, 6) + 0.0 AS baseline FROM r")
 def score_bit_flagship(t):
     return scored(t).select("idx", (F.round("reward", 6) + 0.0).alias("reward"), "landings", (F.round("baseline", 6) + 0.0).alias("baseline"))
 
@@ -128,30 +128,90 @@ def trace_compare(t):
 HORIZONS = [(64, 10, 1_000_000), (729, 10, 1_000_000), (64, 2, 1_000_000), (4096, 5, 100), (2, 8, 300), (8, 6, 100_000)]
 
 
-@query("I9", f"WITH g(n, h, budget) AS (VALUES {', '.join(map(str, HORIZONS))}), k AS (SELECT n, h, budget, i, (SELECT sum(pow(n, d + 1)) FROM range(0, 20) r(d) WHERE d <= i) AS used FROM g, range(1, 20) r(i) WHERE i <= h) SELECT CAST(n AS BIGINT) AS n, CAST(h AS BIGINT) AS h, CAST(budget AS BIGINT) AS budget, CAST(greatest(1, coalesce(max(i) FILTER (used <= budget), 1)) AS BIGINT) AS k FROM k GROUP BY n, h, budget")
+@query("I9", f"WITH g(n, h, budget) AS (VALUES {', '.join(map(str, HORIZONS))}), k AS (SELECT n, h, budget, i, (SELECT sum(pow(n, d)) FROM range(1, 20) r(d) WHERE d <= i) AS used FROM g, range(1, 20) r(i) WHERE i <= h) SELECT CAST(n AS BIGINT) AS n, CAST(h AS BIGINT) AS h, CAST(budget AS BIGINT) AS budget, CAST(greatest(1, coalesce(max(i) FILTER (used <= budget), 1)) AS BIGINT) AS k FROM k GROUP BY n, h, budget")
 def horizon_clamp(t):
     g = t.spark.createDataFrame(HORIZONS, "n bigint, h bigint, budget bigint")
     return g.withColumn("k", traces.feasible_horizon(F.col("n"), F.col("h").cast("int"), F.col("budget")).cast("bigint"))
 
 
-@query("L4", "WITH RECURSIVE s AS (SELECT i AS state FROM range(16) r(i)), m AS (SELECT state, (state * 2 + b) % 16 AS nxt, CASE WHEN (state * 7 + b * 3) % 5 = 0 THEN 1.5::DOUBLE ELSE 0.25::DOUBLE * b END AS r FROM s, range(2) q(b)), v AS (SELECT 0 AS d, state, state AS at, 0.0::DOUBLE AS total FROM s UNION ALL SELECT d + 1, v.state, m.nxt, total + m.r FROM v JOIN m ON m.state = v.at WHERE d < 4) SELECT CAST(state AS BIGINT) AS state, max(total) AS value FROM v WHERE d = 4 GROUP BY state")
+#: A toy world: 16 states, 3 actions; some steps end the episode.
+MOVES = "SELECT s.i AS state, b.i AS action, (s.i * 3 + b.i * 5 + 1) % 16 AS next_state, CAST((s.i * 7 + b.i * 3) % 11 - 4 AS DOUBLE) / 2 AS reward, (s.i + b.i) % 6 = 5 AS done FROM range(16) s(i), range(3) b(i)"
+
+
+def _moves(t):
+    s = t.spark.range(16).withColumnRenamed("id", "state").withColumn("action", F.explode(F.expr("sequence(0L, 2L)")))
+    return s.select("state", "action", F.expr("(state * 3 + action * 5 + 1) % 16").alias("next_state"), F.expr("CAST((state * 7 + action * 3) % 11 - 4 AS DOUBLE) / 2").alias("reward"), F.expr("(state + action) % 6 = 5").alias("done"))
+
+
+@query("L4", "WITH RECURSIVE m AS (" + MOVES + "), r AS (SELECT 0 AS d, i AS state, i AS at FROM range(16) s(i) UNION SELECT d + 1, r.state, m.next_state FROM r JOIN m ON m.state = r.at AND NOT m.done WHERE d < 3), b AS (SELECT state, max(reward) AS best FROM m GROUP BY state) SELECT CAST(s.i AS BIGINT) AS state, greatest(-1.0::DOUBLE, coalesce(max(b.best), -1.0::DOUBLE)) AS value FROM range(16) s(i) LEFT JOIN r ON r.state = s.i AND r.d = 3 LEFT JOIN b ON b.state = r.at GROUP BY s.i")
 def value_iteration(t):
-    s = t.spark.range(16).withColumnRenamed("id", "state")
-    moves = s.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(1)))).select("state", F.expr("(state * 2 + b) % 16").alias("next_state"), F.expr("CASE WHEN (state * 7 + b * 3) % 5 = 0 THEN 1.5D ELSE 0.25D * b END").alias("reward"))
-    return rollout.value_iteration(s, moves, 4)
+    return rollout.value_iteration(_moves(t), 3, bottom=-1.0)
+
+
+def _rollout_sql(action: str) -> str:
+    return "WITH RECURSIVE m AS (" + MOVES + "), r AS (SELECT 0 AS t, s.i AS id, b.i AS branch, s.i AS state, b.i * 2 AS action, 0.0::DOUBLE AS total, FALSE AS over FROM range(16) s(i), range(2) b(i) UNION ALL SELECT t + 1, id, branch, CASE WHEN over THEN r.state ELSE next_state END, " + action + ", total + CASE WHEN over THEN 0.0::DOUBLE ELSE reward END, over OR done FROM r JOIN m ON m.state = r.state AND m.action = r.action WHERE t < 5) SELECT CAST(id AS BIGINT) AS id, sum(total) FILTER (branch = 1) - sum(total) FILTER (branch = 0) AS advantage FROM r WHERE t = 5 GROUP BY id"
+
+
+def _starts(t):
+    s = t.spark.range(16).withColumn("branch", F.explode(F.expr("sequence(0L, 1L)")))
+    return s.select("id", "branch", F.col("id").alias("state"), (F.col("branch") * 2).alias("action"))
+
+
+def _advantage(t, **named):
+    policy = t.spark.range(16).select(F.col("id").alias("state"), (F.col("id") % 3).alias("action"))
+    return rollout.branch_advantage(rollout.lookahead(_starts(t), _moves(t), policy, 5, **named))
+
+
+@query("L5", _rollout_sql("(CASE WHEN over THEN r.state ELSE next_state END) % 3"))
+def rollout_advantage(t):
+    return _advantage(t)
+
+
+@query("L5", _rollout_sql("[1, 1, 0, 0, 2, 2][t % 6 + 1]"))
+def cycle_advantage(t):
+    return _advantage(t, cycle=[1, 0, 2], hold=2)
+
+
+#: One descriptor for each observation, reward and termination rule, and one with nothing but what it must have.
+WORLDS = {
+    "plain": {"base_env": "a", "n_action_dims": 2},
+    "ant": {"base_env": "b", "n_action_dims": 2, "obs": {"type": "exclude_xy"}, "reward": {"healthy_reward": 1.5, "z_idx": 2, "z_lo": -0.1, "z_hi": 0.2, "ctrl_weight": 0.1, "forward_weight": 2.0, "x_index": 1, "dt": 0.5}, "terminated": {"type": "z_healthy", "z_idx": 2, "z_lo": -0.1, "z_hi": 0.2}},
+    "hopper": {"base_env": "c", "n_action_dims": 2, "obs": {"type": "full"}, "reward": {"type": "locomotion", "dt": 0.1}, "terminated": {"type": "z_angle", "z_idx": 1, "z_lo": -0.2, "z_hi": 0.2, "ang_idx": 3, "ang_lo": -0.25, "ang_hi": 0.15}},
+    "pole": {"base_env": "d", "n_action_dims": 2, "obs": {"type": "idp"}, "reward": {"type": "idp"}, "terminated": {"type": "idp_tip"}},
+}
+
+
+def _sum_sql(*parts: str) -> str:
+    return "round(" + " + ".join(parts) + ", 6) + 0.0"
+
+
+def _clip_sql(x: str) -> str:
+    return f"greatest(-10.0::DOUBLE, least(10.0::DOUBLE, {x}))"
+
+
+#: q is components 0 to 3, v 4 to 6, the controls 7 and 8, the q before 9 to 12, the tip 13 and 14 (its height 20 times, so that it crosses 1), the force 15.
+_Q, _V, _COST, _Y = [D(i) for i in range(4)], [D(i) for i in range(4, 7)], f"({D(7)} * {D(7)} + {D(8)} * {D(8)})", f"(20.0::DOUBLE * {D(14)})"
+WORLDS_SQL = {
+    "plain": (_sum_sql(*_Q[1:], *_V), _sum_sql(f"1.0::DOUBLE * ({D(0)} - {D(9)}) / 0.05::DOUBLE - 0.5::DOUBLE * {_COST}"), "FALSE"),
+    "ant": (_sum_sql(*_Q[2:], *_V), _sum_sql(f"2.0::DOUBLE * ({D(1)} - {D(10)}) / 0.5::DOUBLE - 0.1::DOUBLE * {_COST} + CASE WHEN {D(2)} BETWEEN -0.1::DOUBLE AND 0.2::DOUBLE THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END"), f"NOT ({D(2)} BETWEEN -0.1::DOUBLE AND 0.2::DOUBLE)"),
+    "hopper": (_sum_sql(*_Q, *_V), _sum_sql(f"1.0::DOUBLE * ({D(0)} - {D(9)}) / 0.1::DOUBLE - 0.5::DOUBLE * {_COST}"), f"NOT ({D(1)} > -0.2::DOUBLE AND {D(1)} < 0.2::DOUBLE AND {D(3)} > -0.25::DOUBLE AND {D(3)} < 0.15::DOUBLE)"),
+    "pole": (_sum_sql(_Q[0], *(f"sin({x})" for x in _Q[1:]), *(f"cos({x})" for x in _Q[1:]), *map(_clip_sql, [*_V, D(15)])), _sum_sql(f"CASE WHEN {_Y} <= 1.0 THEN 0.0::DOUBLE ELSE 10.0::DOUBLE END - (0.01::DOUBLE * {D(13)} * {D(13)} + ({_Y} - 2.0::DOUBLE) * ({_Y} - 2.0::DOUBLE)) - (0.001::DOUBLE * {D(5)} * {D(5)} + 0.005::DOUBLE * {D(6)} * {D(6)})"), f"{_Y} <= 1.0"),
+}
 
 
-@query("C23 C24 C25 C26 K6", "SELECT vec_id, round(" + " + ".join(D(i) for i in (1, 2, 3, 4)) + ", 6) AS obs_sum, round(2.0::DOUBLE * " + D(4) + " + 0.5 - 0.1::DOUBLE * (" + " + ".join(f"{D(i)} * {D(i)}" for i in (5, 6)) + "), 6) + 0.0 AS reward, NOT (" + D(0) + " > -0.2 AND " + D(0) + " < 0.2 AND abs(" + D(1) + ") < 0.25) AS ended FROM embeddings")
+@query("C23 C24 C25 C26 K6", " UNION ALL ".join(f"SELECT '{name}' AS world, vec_id, {obs} AS obs_sum, {rew} AS reward, {end} AS ended FROM embeddings" for name, (obs, rew, end) in WORLDS_SQL.items()))
 def env_rules(t):
     e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    spec = {"forward_weight": 2.0, "healthy_reward": 0.5, "ctrl_weight": 0.1}
-    obs = actions.observation("exclude_x", F.slice("x", 1, 3), F.slice("x", 4, 2))
-    rew = actions.reward(spec, F.get("x", F.lit(4)), F.slice("x", 6, 2))
-    end = actions.done({"type": "z_angle", "low": -0.2, "high": 0.2, "angle": 0.25}, F.get("x", F.lit(0)), F.get("x", F.lit(1)))
-    return e.select("vec_id", F.round(traces.mass(obs), 6).alias("obs_sum"), (F.round(rew, 6) + 0.0).alias("reward"), end.alias("ended"))
+    part = lambda at, n: F.slice("x", at + 1, n)
+    after = {"q": part(0, 4), "v": part(4, 3), "tip": F.array(F.get("x", F.lit(13)), 20.0 * F.get("x", F.lit(14))), "force": part(15, 1)}
+    shown = []
+    for name, spec in WORLDS.items():
+        w = actions.Environment(spec)
+        shown.append(F.struct(F.lit(name).alias("world"), (F.round(traces.mass(w.observation(after)), 6) + 0.0).alias("obs_sum"), (F.round(w.reward({"q": part(9, 4)}, after, part(7, 2)), 6) + 0.0).alias("reward"), w.ended(after).alias("ended")))
+    return e.select("vec_id", F.explode(F.array(*shown)).alias("w")).select("w.world", "vec_id", "w.obs_sum", "w.reward", "w.ended")
 
 
 @query("E16", "WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), k AS (SELECT *, greatest(1, n // 10) AS k FROM r) SELECT user_id, round(avg(value) FILTER (i <= k), 6) AS cvar10, min(value) AS worst, max(value) FILTER (i = k) AS p10, round(avg(value), 6) AS mean, CAST(max(n) AS BIGINT) AS n FROM k GROUP BY user_id")
 def tail_stats(t):
-    s = t.events.groupBy("user_id").agg(traces.tail_stats(F.collect_list("value")).alias("s"))
-    return s.select("user_id", F.round("s.cvar10", 6).alias("cvar10"), "s.worst", "s.p10", F.round("s.mean", 6).alias("mean"), F.col("s.n").cast("bigint").alias("n"))
+    s = aggregates.tails(t.events, "user_id", "value")
+    return s.select("user_id", F.round("cvar10", 6).alias("cvar10"), "worst", "p10", F.round("mean", 6).alias("mean"), F.col("n").cast("bigint").alias("n"))
