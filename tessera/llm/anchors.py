@@ -119,12 +119,18 @@ def candidates(runs: Runs, messages: pa.Table, buckets: int) -> np.ndarray:
     return np.flatnonzero(hit[place])
 
 
-def exchange(rows: DataFrame, offered, sent, settled, finished, schema: str) -> DataFrame:
-    """Four rounds between blocks of rows and buckets of keys.
+def settled_messages(rows: DataFrame, offered, sent, settled) -> DataFrame:
+    """Three rounds between blocks of rows and buckets of keys; all that the buckets say, by block.
 
     offered(table) and answer(): which keys are seen again; sent(texts, messages): the runs that have them,
-    by bucket; settled(table): what a bucket finds; finished(texts, messages): the result of a block.
+    by bucket; settled(table): what a bucket finds.
     """
     seen = rows.groupBy("block").applyInArrow(C.lean(offered), MESSAGE).groupBy("bucket").applyInArrow(C.lean(answer), MESSAGE)
     found = rows.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(C.lean_pair(sent), MESSAGE).groupBy("bucket").applyInArrow(C.lean(settled), MESSAGE)
-    return rows.groupBy("block").cogroup(seen.unionByName(found).groupBy("block")).applyInArrow(C.lean_pair(finished), schema)
+    return seen.unionByName(found)
+
+
+def exchange(rows: DataFrame, offered, sent, settled, finished, schema) -> DataFrame:
+    """These rounds, and finished(texts, messages): the result of a block."""
+    said = settled_messages(rows, offered, sent, settled)
+    return rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(C.lean_pair(finished), schema)

@@ -2,11 +2,13 @@
 
 Edges are windows of 20 words (k-mers), nodes their 19-word overlaps.  Only edges that may repeat are made
 (see anchors.py): they travel, as stretches of text with source coordinates, to the bucket of their least
-gram, where edges of equal words meet.  Each edge gets its first source, (document, word).  Edges that follow
-one another along a stretch while their first sources advance in step form one unbranched path from that
-source, and go on as a single row.  A Spark join on the block brings the paths back to the stretches they
-came from, across the borders of buckets, and their source coordinates, compared with a document's own, say
-which of its windows repeat earlier ones.
+gram, where edges of equal words meet.  Each edge gets its first source, (document, word).  Edges that follow one
+another inside a bucket while their first sources advance in step are one row from there on.
+
+Where a document has such a row, it has an edge of the graph from node to node.  Spark joins on the nodes, a place in the
+document and the place in the source that it goes on to, put the rows together across the borders of buckets: a node
+that just one edge leaves on the same source is no branching, and all edges along it become one path.  Each path says,
+by its source coordinates, which words of a document repeat earlier ones.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -76,14 +78,24 @@ def same_windows(tokens: np.ndarray, starts: np.ndarray, words: int) -> tuple[np
     return group, shared
 
 
-class Block:
-    def __init__(self, table: pa.Table, words: int):
+class Texts:
+    """The rows of a block in a fixed order, and their words."""
+
+    def __init__(self, table: pa.Table):
         self.table = table = C.in_order(table)
         self.buf, self.off = C.flat(table["text"])
         self.ids = C.ids_of(table["doc_id"])
         self.starts, self.ends, self.before = C.words_of(self.buf, self.off)
-        n, gram = len(self.starts), min(GRAM, words)
-        row = np.repeat(np.arange(len(self.off) - 1), np.diff(self.before))
+        self.row = np.repeat(np.arange(len(self.off) - 1), np.diff(self.before))
+        self.words = len(self.starts)
+
+
+class Block(Texts):
+    """And the runs of their windows."""
+
+    def __init__(self, table: pa.Table, words: int):
+        super().__init__(table)
+        gram, row = min(GRAM, words), self.row
         h = folded(word_hashes(self.buf, self.starts), gram)
         span = words - gram + 1
         least = C.sliding_min(h, span)
@@ -95,7 +107,6 @@ class Block:
         close = np.cumsum(close)
         again = close[np.minimum(starts + counts + span - 1, len(h))] > close[starts]
         self.runs = A.Runs(A.key_of(least[starts]), starts, counts, row[starts], again)
-        self.row, self.words = row, n
 
     def collapse(self, picked: np.ndarray, words: int):
         """Distinct stretches of the picked runs by key: keys, least source (id, word) of each, its text, each run's place."""
@@ -194,27 +205,62 @@ def _settled(words):
     return run
 
 
-def _finished(words, buckets, texts_too):
+#: An edge or path: a document's windows from `start` on, and where their words stand first.
+SPAN = "block int, row int, start int, windows int, source long, at int"
+
+
+def _spread(words, buckets):
+    """The rows of the graph that each document of a block has."""
+
     def run(texts, messages):
-        if not texts.num_rows:
-            return None
-        block = Block(texts, words)
-        runs, starts, lengths = block.runs, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        picked = A.candidates(runs, messages, buckets) if messages.num_rows else starts
-        if len(picked):
+        cols = [np.zeros(0, np.int64)] * 5
+        if texts.num_rows and messages.num_rows:
+            block = Block(texts, words)
+            runs = block.runs
+            picked = A.candidates(runs, messages, buckets)
             keys, first_id, first_place, _, _, _, place, ids, places = block.collapse(picked, words)
-            local = earlier(first_id[place], first_place[place], ids, places)
-            starts, lengths = [runs.start[picked][local]], [runs.count[picked][local]]
+            row = runs.row[picked]
+            local = np.flatnonzero(earlier(first_id[place], first_place[place], ids, places))  # the block itself has it before
+            parts = [(row[local], places[local], runs.count[picked][local], first_id[place[local]], first_place[place[local]])]
             said = {b: body for b, k, body in zip(messages["bucket"].to_pylist(), messages["kind"].to_pylist(), messages["body"].to_pylist(), strict=True) if k == 1}
             found = [(x[0] + a, *x[1:]) for k, a, _ in A.cuts(keys, buckets) if k in said for x in [C.expand(said[k], np.int32, np.int32, np.int32, np.int64, np.int64)]]
             if found:
                 item, start, count, source, at = (np.concatenate(x) for x in zip(*found, strict=True))
                 run_no, which = expand_by(item, place, len(keys))
                 hit = earlier(source[which], at[which], ids[run_no], places[run_no] + start[which])
-                starts.append(runs.start[picked][run_no[hit]] + start[which[hit]])
-                lengths.append(count[which[hit]])
-            starts, lengths = np.concatenate(starts), np.concatenate(lengths)
-        gone = covered(block.words, starts, lengths + words - 1)
+                run_no, which = run_no[hit], which[hit]
+                parts.append((row[run_no], places[run_no] + start[which], count[which], source[which], at[which]))
+            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        n = len(cols[0])
+        number = int(texts["block"][0].as_py()) if texts.num_rows else 0
+        ints = [pa.array(c.astype(np.int32)) for c in cols[:3]]
+        return pa.table({"block": pa.array(np.full(n, number, np.int32)), "row": ints[0], "start": ints[1], "windows": ints[2], "source": pa.array(cols[3].astype(np.int64)), "at": pa.array(cols[4].astype(np.int32))})
+
+    return run
+
+
+def compacted(edges: DataFrame) -> DataFrame:
+    """Edges put together to unbranched paths, in the same columns.
+
+    An edge goes on where another ends if both the document's place and the source's are the same there; it begins a path
+    if no edge does.  Along a document and a source, the beginnings so far number the paths.
+    """
+    node = ["block", "row", "source"]
+    ends = edges.select(*node, (F.col("start") + F.col("windows")).alias("start"), (F.col("at") + F.col("windows")).alias("at"), F.lit(0).alias("begins"))
+    linked = edges.join(ends, [*node, "start", "at"], "left").withColumn("begins", F.coalesce("begins", F.lit(1))).withColumn("ahead", F.col("at") - F.col("start"))
+    path = F.sum("begins").over(Window.partitionBy(*node, "ahead").orderBy("start"))
+    found = linked.withColumn("path", path).groupBy(*node, "ahead", "path").agg(F.min("start").alias("start"), F.sum("windows").cast("int").alias("windows"), F.min("at").alias("at"))
+    return found.select("block", "row", "start", "windows", "source", "at")
+
+
+def _finished(words, texts_too):
+    def run(texts, paths):
+        if not texts.num_rows:
+            return None
+        block = Texts(texts)
+        starts = paths["start"].to_numpy() + block.before[paths["row"].to_numpy()] if paths.num_rows else np.zeros(0, np.int64)
+        lengths = paths["windows"].to_numpy() + words - 1 if paths.num_rows else np.zeros(0, np.int64)
+        gone = covered(block.words, starts, lengths)
         lost = np.append(0, np.cumsum(gone))[block.before]
         stay = np.flatnonzero(~gone)
         buf = np.append(block.buf, np.uint8(0x20))
@@ -240,7 +286,7 @@ def _finished(words, buckets, texts_too):
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, block_bytes: int = C.BLOCK_BYTES, texts: bool = True) -> DataFrame:
     """One row per row of df: doc_id, n_words, n_removed, kept_sha256 and, if texts are asked for, kept (the text
-    without the removed words) and carried (a struct of df's other columns).
+    without the removed words) and carried (a struct: df's other columns, and whether the text was null).
 
     Words are runs of bytes other than ASCII white space, as they stand; a null text has none.  A word goes if
     a window of `words` words covers it whose words also start earlier: in a row of smaller id, or at an earlier
@@ -255,7 +301,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.struct(*carried).alias("row"), none).alias("carried"))
         schema = StructType.fromDDL(schema).add("kept", "string").add("carried", C.nullable(rows.schema["carried"].dataType))
     blocks = C.block_count(rows, "text", block_bytes)
-    return A.exchange(C.in_blocks(rows, blocks), _offered(words, blocks), _sent(words, blocks), _settled(words), _finished(words, blocks, texts), schema)
+    rows = C.in_blocks(rows, blocks)
+    said = A.settled_messages(rows, _offered(words, blocks), _sent(words, blocks), _settled(words))
+    edges = rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(C.lean_pair(_spread(words, blocks)), SPAN)
+    # both sides of the join read what this deals out, so that the edges are made once
+    paths = compacted(edges.repartition("block", "row", "source"))
+    return rows.groupBy("block").cogroup(paths.groupBy("block")).applyInArrow(C.lean_pair(_finished(words, texts)), schema)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:
