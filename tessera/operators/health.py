@@ -55,3 +55,54 @@ def unowned(batches: DataFrame, as_of: Column, seconds: int) -> DataFrame:
     """Active batches of no experiment that were never polled, or long ago."""
     old = F.col("polled_at").isNull() | (F.col("polled_at") < as_of - F.make_interval(secs=F.lit(seconds)))
     return batches.filter(F.col("experiment_id").isNull() & F.col("status").isin("pending", "running") & old)
+
+
+#: Workers whose end for good fails their experiment.
+MASTERS = ("ExperimentBootstrap", "ExperimentController")
+#: Fixed values, in seconds: idle time that counts as a pause while no worker is there, as a stall, and a batch's most.
+GRACE, TIMEOUT, DEADLINE = 30, 7200, 30 * 86400
+
+
+def discarded(jobs: DataFrame, experiments: DataFrame, masters: tuple = MASTERS) -> DataFrame:
+    """An event for each job that ran out of attempts: job_id, experiment_id, message.
+
+    jobs: job_id, worker, state, attempt, reason, experiment_id.  A master's job fails its experiment (and says so) unless
+    that has ended or isn't known; other workers' jobs are events without an experiment.
+    """
+    gone = jobs.filter(F.col("state") == "discard").withColumn("reason", F.substring("reason", 1, 500))
+    master = F.col("worker").isin(*masters)
+    open_ = experiments.filter(~F.col("status").isin("completed", "cancelled")).select("experiment_id")
+    failed = gone.filter(master).join(open_, "experiment_id", "left_semi")
+    text = F.concat("worker", F.lit(" failed after "), F.col("attempt").cast("string"), F.lit(" attempts: "), "reason")
+    others = gone.filter(~master)
+    return failed.select("job_id", "experiment_id", text.alias("message")).unionByName(others.select("job_id", F.lit(None).cast("bigint").alias("experiment_id"), F.concat("worker", F.lit(" job exhausted retries: "), "reason").alias("message")))
+
+
+def mark_failed(experiments: DataFrame, events: DataFrame) -> DataFrame:
+    """experiments with those that an event names failed, under the last event's message."""
+    last = events.filter(F.col("experiment_id").isNotNull()).groupBy("experiment_id").agg(F.max_by("message", "job_id").alias("_message"))
+    joined = experiments.join(last, "experiment_id", "left")
+    return joined.withColumn("status", F.when(F.col("_message").isNotNull(), "failed").otherwise(F.col("status"))).withColumnRenamed("_message", "error")
+
+
+def stall_clock(ticks: DataFrame, key: str, grace: int = GRACE, timeout: int = TIMEOUT, deadline: int = DEADLINE) -> DataFrame:
+    """What a batch's polls come to: key, verdict (running, stalled or deadline), pauses.
+
+    ticks: key, at (seconds), progressed, live (some worker can take its chunks).  Without progress for longer than the
+    grace and without a worker the clock stands still just past the grace; with one it runs on to the timeout.  Only the
+    state goes along a batch's ticks, which are serial.
+    """
+    items = ticks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("bigint").alias("at"), "progressed", "live"))).alias("x"))
+    first = F.get("x", F.lit(0))["at"]
+    start = F.struct(first.alias("clock"), F.lit("running").alias("verdict"), F.lit(0).cast("bigint").alias("pauses"))
+
+    def step(s, x):
+        idle = x["at"] - s["clock"]
+        over, late = s["verdict"] != "running", x["at"] - first > deadline
+        paused = ~over & ~late & (idle > grace) & ~x["live"]
+        stalled = ~over & ~late & ~paused & (idle > timeout)
+        clock = F.when(paused, x["at"] - grace - 1).when(x["progressed"] & ~over & ~late & ~stalled, x["at"]).otherwise(s["clock"])
+        verdict = F.when(over, s["verdict"]).when(late, "deadline").when(stalled, "stalled").otherwise("running")
+        return F.struct(clock.alias("clock"), verdict.alias("verdict"), (s["pauses"] + F.when(paused, 1).otherwise(0)).alias("pauses"))
+
+    return items.select(key, F.aggregate("x", start, step).alias("s")).select(key, "s.verdict", "s.pauses")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signature
 from ..operators import aggregates, health, lineage, windows
-from ..sources import json_commands
+from ..sources import json_commands, read_api
 from .batches import ONCE, once
 from .bind import Tables
 from .registry import query
@@ -300,3 +300,31 @@ def aggregate_payload(t):
     s = aggregates.summary(once(t)).select("batch_id", "n", "total")
     g = last.join(s, "batch_id", "left").groupBy("experiment_id").agg(F.count(F.lit(1)).alias("batches"), F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("results"), F.sum("total").alias("t"))
     return g.select("experiment_id", "batches", "results", F.round(F.when(F.col("results") > 0, F.col("t") / F.col("results")) / 30, 7).alias("mean"))
+
+
+@query("M5", "WITH j AS (SELECT batch_id AS job_id, CASE WHEN batch_id % 2 = 0 THEN 'ExperimentController' ELSE 'Pruner' END AS worker, batch_id % 5 + 1 AS attempt, status AS reason, experiment_id FROM {batches} WHERE batch_id % 3 = 0), e AS (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) SELECT job_id, experiment_id, concat(worker, ' failed after ', attempt, ' attempts: ', reason) AS message FROM j WHERE worker = 'ExperimentController' AND experiment_id IN (SELECT c_custkey FROM e) UNION ALL SELECT job_id, NULL, concat(worker, ' job exhausted retries: ', reason) FROM j WHERE worker <> 'ExperimentController'")
+def discarded_jobs(t):
+    jobs = t.batches().select(F.col("batch_id").alias("job_id"), F.expr("CASE WHEN batch_id % 2 = 0 THEN 'ExperimentController' ELSE 'Pruner' END").alias("worker"), F.expr("CASE WHEN batch_id % 3 = 0 THEN 'discard' ELSE 'failure' END").alias("state"), (F.col("batch_id") % 5 + 1).alias("attempt"), F.col("status").alias("reason"), "experiment_id")
+    owners = t.customer.select(F.col("c_custkey").alias("experiment_id"), F.when(F.col("c_acctbal") < 0, "cancelled").otherwise("running").alias("status"))
+    return health.discarded(jobs, owners)
+
+
+CLOCK = "WITH RECURSIVE k AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_type = 'purchase', value < 50) AS k, epoch_us(ts) // 1000000 AS sec, event_type = 'purchase' AS p, value < 50 AS live FROM events), s AS (SELECT user_id, CAST(0 AS BIGINT) AS k, sec AS start_sec, sec AS clock, 'running' AS verdict, CAST(0 AS BIGINT) AS pauses FROM k WHERE k = 1 UNION ALL SELECT user_id, k, start_sec, CASE WHEN NOT over AND NOT late AND paused THEN sec - 20001 WHEN p AND NOT over AND NOT late AND NOT (sec - clock > 60000) THEN sec ELSE clock END, CASE WHEN over THEN verdict WHEN late THEN 'deadline' WHEN NOT paused AND sec - clock > 60000 THEN 'stalled' ELSE 'running' END, pauses + CASE WHEN NOT over AND NOT late AND paused THEN 1 ELSE 0 END FROM (SELECT s.user_id, k.k, s.start_sec, s.clock, s.verdict, s.pauses, k.sec, k.p, s.verdict <> 'running' AS over, k.sec - s.start_sec > 1500000 AS late, k.sec - s.clock > 20000 AND NOT k.live AS paused FROM s JOIN k ON k.user_id = s.user_id AND k.k = s.k + 1) x)"
+
+
+@query("J10", CLOCK + " SELECT user_id, arg_max(verdict, k) AS verdict, max(pauses) AS pauses FROM s GROUP BY user_id")
+def pause_clock(t):
+    ticks = t.events.select("user_id", F.unix_seconds("ts").alias("at"), (F.col("event_type") == "purchase").alias("progressed"), (F.col("value") < 50).alias("live"))
+    return health.stall_clock(ticks, "user_id", 20_000, 60_000, 1_500_000)
+
+
+@query("A13 B16", "WITH a AS (SELECT DISTINCT l_orderkey AS batch_id FROM lineitem UNION SELECT -1) SELECT a.batch_id, CAST(CASE WHEN b.batch_id IS NULL THEN 404 ELSE 200 END AS BIGINT) AS status, CASE WHEN b.batch_id IS NULL THEN '{\"error\":\"not_found\",\"batch_id\":' || a.batch_id || '}' ELSE '{\"batch_id\":' || b.batch_id || ',\"status\":\"' || b.status || '\"}' END AS body FROM a LEFT JOIN {batches} b ON b.batch_id = a.batch_id")
+def fetch_batches(t):
+    asked = t.results().select("batch_id").distinct().union(t.spark.createDataFrame([(-1,)], "batch_id bigint"))
+    return read_api.fetch(t.batches().select("batch_id", "status"), asked, "batch_id", "not_found")
+
+
+@query("B16", "SELECT '{\"batches\":[' || string_agg('{\"batch_id\":' || batch_id || ',\"status\":\"' || status || '\"}', ',' ORDER BY inserted_at DESC, batch_id DESC) || ']}' AS value FROM (SELECT * FROM {batches} ORDER BY inserted_at DESC, batch_id DESC LIMIT 50)")
+def recent_document(t):
+    recent = t.batches().select("batch_id", "status", "inserted_at")
+    return read_api.document(recent, "batches", [F.desc("inserted_at"), F.desc("batch_id")], 50).withColumn("value", F.regexp_replace("value", r',"inserted_at":"[^"]*"', ""))
