@@ -207,7 +207,7 @@ def _numbered(chunk_bytes, buckets):
         yield number, -2, C.squeeze(which)
         by = np.argsort(which, kind="stable")
         cut = np.flatnonzero(np.append(True, which[by][1:] != which[by][:-1])) if len(by) else []
-        for a, z in zip(cut, [*cut[1:], len(by)], strict=True):
+        for a, z in zip(cut, [*cut[1:], len(by)][: len(cut)], strict=True):
             text, ends = C.slices(data, off[by[a:z]], np.diff(off)[by[a:z]])
             yield number, int(which[by[a]]), C.squeeze(np.diff(ends).astype(np.uint32), text)
 

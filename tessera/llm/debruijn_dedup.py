@@ -5,9 +5,9 @@ Edges are windows of 20 words (k-mers), nodes their 19-word overlaps.  Only edge
 gram, where edges of equal words meet.  Each edge gets its first source, (document, word).  Edges that follow one
 another inside a bucket while their first sources advance in step are one row from there on.
 
-Where a document has such a row, it has an edge of the graph from node to node.  Spark joins on the nodes, a place in the
-document and the place in the source that it goes on to, put the rows together across the borders of buckets: a node
-that just one edge leaves on the same source is no branching, and all edges along it become one path.  Each path says,
+Where a document has such a row, it has an edge of the graph from node to node.  Joined in Spark on their nodes, a place
+in the document and the place in the source that it goes on to, the rows come together across the borders of buckets: a
+node that one edge enters and one leaves is no branching, and all edges along such nodes become one path.  Each path says,
 by its source coordinates, which words of a document repeat earlier ones.
 """
 
@@ -242,14 +242,20 @@ def _spread(words, buckets):
 def compacted(edges: DataFrame) -> DataFrame:
     """Edges put together to unbranched paths, in the same columns.
 
-    An edge goes on where another ends if both the document's place and the source's are the same there; it begins a path
-    if no edge does.  Along a document and a source, the beginnings so far number the paths.
+    Edges meet at their nodes: a place in the document and the place in the source.  An edge goes on where just one other
+    enters its node and it alone leaves it; else it begins a path.  Along a document and a source, the beginnings so far
+    number the paths.  The join on nodes is one of each edge's two ends, so that edges are made and dealt out once.
     """
-    node = ["block", "row", "source"]
-    ends = edges.select(*node, (F.col("start") + F.col("windows")).alias("start"), (F.col("at") + F.col("windows")).alias("at"), F.lit(0).alias("begins"))
-    linked = edges.join(ends, [*node, "start", "at"], "left").withColumn("begins", F.coalesce("begins", F.lit(1))).withColumn("ahead", F.col("at") - F.col("start"))
-    path = F.sum("begins").over(Window.partitionBy(*node, "ahead").orderBy("start"))
-    found = linked.withColumn("path", path).groupBy(*node, "ahead", "path").agg(F.min("start").alias("start"), F.sum("windows").cast("int").alias("windows"), F.min("at").alias("at"))
+    ends = F.array(
+        F.struct(F.lit(0).alias("enters"), F.col("start"), F.col("at"), F.col("windows")),
+        F.struct(F.lit(1).alias("enters"), (F.col("start") + F.col("windows")).alias("start"), (F.col("at") + F.col("windows")).alias("at"), F.lit(None).cast("int").alias("windows")),
+    )
+    line = ["block", "row", "source"]
+    met = edges.select(*line, F.explode(ends).alias("e")).select(*line, "e.*").groupBy(*line, "start", "at")
+    nodes = met.agg(F.sum("enters").alias("entering"), F.count_if(F.col("enters") == 0).alias("leaving"), F.max("windows").alias("windows"))
+    along = nodes.filter("leaving > 0").withColumns({"begins": F.when((F.col("entering") == 1) & (F.col("leaving") == 1), 0).otherwise(1), "ahead": F.col("at") - F.col("start")})
+    path = F.sum("begins").over(Window.partitionBy(*line, "ahead").orderBy("start"))
+    found = along.withColumn("path", path).groupBy(*line, "ahead", "path").agg(F.min("start").alias("start"), F.sum("windows").cast("int").alias("windows"), F.min("at").alias("at"))
     return found.select("block", "row", "start", "windows", "source", "at")
 
 
@@ -304,8 +310,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = C.in_blocks(rows, blocks)
     said = A.settled_messages(rows, _offered(words, blocks), _sent(words, blocks), _settled(words))
     edges = rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(C.lean_pair(_spread(words, blocks)), SPAN)
-    # both sides of the join read what this deals out, so that the edges are made once
-    paths = compacted(edges.repartition("block", "row", "source"))
+    paths = compacted(edges)
     return rows.groupBy("block").cogroup(paths.groupBy("block")).applyInArrow(C.lean_pair(_finished(words, texts)), schema)
 
 

@@ -67,12 +67,14 @@ class Automaton:
         flat, width = self.next.reshape(-1), self.next.shape[1]
         for row in grid:
             live = row >= 0
-            to = flat[state * width + np.where(live, row, 0)]
+            symbol = np.where(live, row, 0)
+            to = flat[state * width + symbol]
             broken = live & (to == 0)
-            count += broken
-            again = flat[width + np.where(live, row, 0)]  # the phrase ends; its successor starts with this symbol
+            again = flat[width + symbol]  # the next phrase starts with this symbol, or it is one by itself
+            count += broken & (state != 1)
+            count += broken & (again == 0)
             state = np.where(live, np.where(broken, np.where(again == 0, 1, again), to), state)
-        return count + 1
+        return count + (state != 1)
 
 
 class Model:
