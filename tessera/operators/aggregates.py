@@ -28,6 +28,19 @@ def score_bit(observations: DataFrame, candidates: list, current, episode: str,
     return both.filter("idx > 0").crossJoin(F.broadcast(base)).select((F.col("idx") - 1).alias("idx"), "reward", "landings", "baseline")
 
 
+def scorer(observations: DataFrame, episode: str, value: Column, fallback=None, **named):
+    """A function of requests ({cmd, candidates, current}) that holds what to score on; others go to the fallback."""
+
+    def run(request: dict) -> DataFrame:
+        if request.get("cmd") == "score_bit":
+            return score_bit(observations, request["candidates"], request["current"], episode, value, **named)
+        if fallback is None:
+            raise ValueError(f"can't score {request.get('cmd')}")
+        return fallback(request)
+
+    return run
+
+
 def summary(results: DataFrame, key: str = "batch_id", position: str = "item_id") -> DataFrame:
     """best, baseline, n, sum, sum of squares, last time of each batch, from deliveries that count (the first of each
     chunk).  The baseline is the reward of the first chunk's first item by `position`, if it has one."""

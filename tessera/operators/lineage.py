@@ -95,3 +95,10 @@ def moves_to(status: Column, to: Column) -> tuple[Column, Column]:
         allowed = allowed | ((status == name) & to.isin(*nexts))
     error = F.when(~ended & ~allowed, F.concat(status, F.lit(" can't become "), to))
     return F.when(allowed, to).otherwise(status), error
+
+
+def audit(gated: DataFrame, key: str, order: str) -> DataFrame:
+    """What gate() commits, as audit rows to append: key, version, prev_reward, new_reward, delta (null at first)."""
+    took = gated.filter(F.col("outcome") == "committed")
+    last = F.lag("best").over(Window.partitionBy(key).orderBy(order))
+    return took.select(key, "version", last.alias("prev_reward"), F.col("best").alias("new_reward"), (F.col("best") - last).alias("delta"))

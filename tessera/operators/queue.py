@@ -113,3 +113,12 @@ def split_batches(batches: DataFrame, name: str, n: str, most: int = 50_000) ->
     rows = batches.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
     own = F.when(F.col(n) <= most, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-part"), F.col("part").cast("string")))
     return rows.select(own.alias("name"), (F.col("part") * most).alias("first"), F.least(F.col(n).cast("bigint"), (F.col("part") + 1) * most).alias("last"))
+
+
+def complete(jobs: DataFrame, deliveries: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """deliveries with `outcome`: not_found without a job, already_completed if its job is or an earlier delivery was
+    first, else completed.  jobs: keys and state."""
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
+    told = deliveries.withColumn("_first", first).join(jobs.select(*keys, F.col("state").alias("_state")), keys, "left")
+    outcome = F.when(F.col("_state").isNull(), "not_found").when((F.col("_state") == "completed") | ~F.col("_first"), "already_completed").otherwise("completed")
+    return told.withColumn("outcome", outcome).drop("_first", "_state")

@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from itertools import combinations
+from random import Random
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.predicates import identity, largest_index
 from .aggregates import score_bit
@@ -99,6 +101,60 @@ def optimize_bit(observations: DataFrame, current, features: list, episode: str,
     return "improved", found[0][1], found[0][0], found[0][2]
 
 
+def elites(states: DataFrame, descriptors: dict[str, tuple[str, float]], score: str, state_id: str) -> DataFrame:
+    """Of each cell of the descriptors (column, cells per unit) the state that does worst: counterexamples that differ."""
+    cells = [F.floor(F.col(c) * F.lit(n)).cast("bigint").alias(name) for name, (c, n) in descriptors.items()]
+    return states.select(*cells, score, state_id).groupBy(*descriptors).agg(F.min_by(state_id, F.struct(score, state_id)).alias(state_id))
+
+
+def crossed(a, b, rng: Random):
+    """A child of two terms: one of them, both under a connective, or one with a part of the other in its place."""
+    kind = rng.randrange(4)
+    if kind < 2:
+        return [("and", "or")[kind], a, b]
+    if isinstance(a, list) and a[0] in ("and", "or", "not") and kind == 2:
+        return [*a[:-1], b]
+    return a
+
+
+def mutated(term, features: list, rng: Random):
+    """The term negated, or not any more, or with one of its parts replaced by a feature."""
+    if not isinstance(term, list) or term[0] == "feat" or rng.random() < 0.3:
+        return rng.choice(features) if rng.random() < 0.5 else ["not", term]
+    if term[0] == "not":
+        return term[1]
+    k = rng.randrange(1, len(term))
+    return [*term[:k], mutated(term[k], features, rng), *term[k + 1 :]]
+
+
+def evolve_bit(score: Callable[[list], list[tuple[float, object, float]]], features: list, seed: int = 0, generations: int = 6, size: int = 24, depth: int = 4):
+    """optimize_bit() by a genetic search: ("improved", term, reward, baseline) or ("no_improvement",).
+
+    score(terms) is one job a generation and returns (reward, term, baseline) rows.  The better half of each generation
+    lives on and has as many children; terms deeper than `depth` are not tried, and the same seed gives the same search.
+    """
+    rng = Random(seed)
+    height = lambda t: 1 + max((height(x) for x in t[1:]), default=0) if isinstance(t, list) and t[0] in ("and", "or", "not") else 0
+    known: dict[str, tuple[float, object, float]] = {}
+
+    def ranked(terms):
+        new = {identity(t): t for t in terms if height(t) <= depth and identity(t) not in known}
+        if new:
+            known.update((identity(r[1]), r) for r in score(list(new.values())))
+        return sorted((known[identity(t)] for t in {identity(t): t for t in terms if height(t) <= depth}.values()), key=lambda r: (-r[0], identity(r[1])))
+
+    alive = ranked(rng.sample(features, min(size, len(features))))
+    for _ in range(generations):
+        best = [t for _, t, _ in alive[: max(2, size // 2)]]
+        if not best:
+            break
+        children = [mutated(crossed(rng.choice(best), rng.choice(best), rng), features, rng) for _ in range(size - len(best))]
+        alive = ranked(best + children)
+    if not alive or not alive[0][0] > alive[0][2] + EPSILON:
+        return ("no_improvement",)
+    return "improved", alive[0][1], alive[0][0], alive[0][2]
+
+
 def run_pass(policy: Policy, bits: list[int], optimize: Callable[[object, int], tuple], parallel: bool) -> dict:
     """One pass over the open bits: the tally, and whether the policy is saturated."""
     tally = {"committed": 0, "stale": 0, "no_improvement": 0}

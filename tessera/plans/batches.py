@@ -39,7 +39,7 @@ def chunk_padding(t):
     return queue.pad(got, t.batches().select("batch_id"), 7).select("batch_id", F.col("idx").cast("bigint").alias("idx"), "error")
 
 
-@query("B3 J13 J1", "SELECT batch_id, CAST(chunk_index AS BIGINT) AS chunk_index, reward, worker_id FROM (" + FIRST + ") WHERE rn = 1")
+@query("B3 J13", "SELECT batch_id, CAST(chunk_index AS BIGINT) AS chunk_index, reward, worker_id FROM (" + FIRST + ") WHERE rn = 1")
 def dedup_first_write(t):
     return queue.first_delivery(t.results(), ["batch_id", "chunk_index"], ARRIVAL).select("batch_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "reward", "worker_id")
 
@@ -261,3 +261,10 @@ def command_environment(t):
     fields = F.struct(F.col("s_suppkey").cast("string").alias("job_id"), F.lit("score").alias("cmd"), F.col("n_name").alias("env_name"), F.when(F.col("s_suppkey") % 2 == 0, 7).alias("max_steps"))
     found = json_commands.with_environment(json_commands.commands(jobs.select(F.to_json(fields).alias("value"))), envs)
     return found.select(F.col("job_id").cast("bigint").alias("job"), "env_name", F.col("n_action_dims").cast("bigint").alias("dims"), F.col("action_high").alias("high"), F.col("max_steps").cast("bigint").alias("steps"), "error")
+
+
+@query("J1", "WITH j AS (SELECT batch_id, CAST(i AS INT) AS chunk_index, CASE WHEN status = 'completed' AND i = 0 THEN 'completed' ELSE 'executing' END AS state FROM {batches}, range(4) r(i) WHERE i < batch_id % 5), d AS (SELECT r.batch_id, CASE WHEN j.state IS NULL THEN 'not_found' WHEN j.state = 'completed' OR rn > 1 THEN 'already_completed' ELSE 'completed' END AS outcome FROM (" + FIRST + ") r LEFT JOIN j ON j.batch_id = r.batch_id AND j.chunk_index = r.chunk_index) SELECT batch_id, outcome, count(*) AS n FROM d GROUP BY batch_id, outcome")
+def chunk_completion(t):
+    chunk = F.explode(F.expr("sequence(0, CAST(batch_id % 5 AS INT) - 1)"))
+    jobs = t.batches().filter("batch_id % 5 > 0").select("batch_id", "status", chunk.alias("chunk_index")).withColumn("state", F.expr("CASE WHEN status = 'completed' AND chunk_index = 0 THEN 'completed' ELSE 'executing' END"))
+    return queue.complete(jobs, t.results(), ["batch_id", "chunk_index"], ARRIVAL).groupBy("batch_id", "outcome").agg(F.count(F.lit(1)).alias("n"))

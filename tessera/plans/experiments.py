@@ -47,13 +47,23 @@ def counter_reset_rate(t):
     return i.groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("value") - F.min("value"), 2).alias("gained"))
 
 
-@query("F7 D14", "WITH d AS (SELECT event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dv, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS du FROM events) SELECT event_id, round(CASE WHEN du > 0 THEN dv / (du / 1e9) * 100 ELSE 0.0::DOUBLE END, 1) + 0.0 AS util FROM d")
+@query("F7", "WITH d AS (SELECT event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dv, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS du FROM events) SELECT event_id, round(CASE WHEN du > 0 THEN dv / (du / 1e9) * 100 ELSE 0.0::DOUBLE END, 1) + 0.0 AS util FROM d")
 def util_delta(t):
     e = t.events.withColumn("us", F.unix_micros("ts"))
     dv, du = windows.delta(e, ["user_id"], ["ts", "event_id"], "value"), windows.delta(e, ["user_id"], ["ts", "event_id"], "us")
     return e.select("event_id", dv.alias("dv"), du.alias("du")).select("event_id", (F.round(F.when(F.col("du") > 0, F.col("dv") / (F.col("du") / F.lit(1e9)) * 100).otherwise(0.0), 1) + 0.0).alias("util"))
 
 
+SAMPLES = "SELECT epoch(l_shipdate)::BIGINT // 2592000 AS tick, l_linenumber AS id, sum(l_quantity) AS active, CAST(sum(CAST(l_extendedprice AS BIGINT)) AS DOUBLE) AS total FROM lineitem WHERE l_linenumber < 7 OR epoch(l_shipdate)::BIGINT // 2592000 % 3 > 0 GROUP BY 1, 2"
+
+
+@query("F7 D14", "WITH s AS (" + SAMPLES + "), g AS (SELECT n.tick, sum(n.active - p.active) AS a, sum(n.total - p.total) AS t, count(*) AS n, count(p.id) AS both FROM s n LEFT JOIN s p ON p.tick = n.tick - 1 AND p.id = n.id GROUP BY n.tick), c AS (SELECT tick + 1 AS tick, count(*) AS n FROM s GROUP BY tick) SELECT CAST(g.tick AS BIGINT) AS tick, CASE WHEN g.n = g.both AND g.n = c.n AND t <> 0 THEN round(a * 100 / t, 1) ELSE 0.0::DOUBLE END + 0.0 AS util FROM g LEFT JOIN c ON c.tick = g.tick")
+def utilisation(t):
+    tick = F.expr("unix_seconds(l_shipdate) div 2592000")
+    s = t.lineitem.select(tick.alias("tick"), F.col("l_linenumber").alias("id"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").cast("bigint").alias("x")).filter("id < 7 OR tick % 3 > 0")
+    return windows.utilisation(s.groupBy("tick", "id").agg(F.sum("q").alias("active"), F.sum("x").cast("double").alias("total"))).select("tick", (F.col("util") + 0.0).alias("util"))
+
+
 @query("D1 D2 D3", "WITH b AS (SELECT * FROM {batches} WHERE status <> 'completed'), r AS (SELECT *, rank() OVER (PARTITION BY experiment_id ORDER BY inserted_at DESC) AS k FROM b) SELECT r.experiment_id, r.batch_id, c_mktsegment AS env_policy FROM r LEFT JOIN customer ON c_custkey = experiment_id AND c_acctbal >= 0 WHERE k = 1")
 def latest_inflight(t):
     last = windows.latest(t.batches().filter("status <> 'completed'"), ["experiment_id"], "inserted_at")
@@ -328,3 +338,17 @@ def fetch_batches(t):
 def recent_document(t):
     recent = t.batches().select("batch_id", "status", "inserted_at")
     return read_api.document(recent, "batches", [F.desc("inserted_at"), F.desc("batch_id")], 50).withColumn("value", F.regexp_replace("value", r',"inserted_at":"[^"]*"', ""))
+
+
+@query("B13", GATE + ", c AS (SELECT conv_id, k, version, best FROM g WHERE outcome = 'committed'), l AS (SELECT *, lag(best) OVER (PARTITION BY conv_id ORDER BY k) AS prev FROM c) SELECT conv_id, version, prev AS prev_reward, best AS new_reward, best - prev AS delta FROM l")
+def commit_audit(t):
+    return lineage.audit(_gate(t), "conv_id", "turn")
+
+
+DOCUMENT = """concat('{"env_key":"k', c_nationkey, '","env_name":"', c_mktsegment, '","config":{"bits_per_dim":', c_nationkey % 4 + 2, CASE WHEN c_custkey % 2 = 0 THEN ',"max_iters":7' ELSE '' END, '}}')"""
+
+
+@query("A12 I5", "SELECT c_mktsegment AS env_name, CAST(c_nationkey % 4 + 2 AS DOUBLE) AS bits, CAST(CASE WHEN c_custkey % 2 = 0 THEN 7 END AS BIGINT) AS max_iters, concat('b=', c_nationkey % 4 + 2, ' · d=1') AS label, count(*) AS n FROM customer GROUP BY 1, 2, 3, 4")
+def experiment_documents(t):
+    e = json_commands.experiments(t.customer.select(F.expr(DOCUMENT).alias("value")))
+    return e.groupBy("env_name", F.col("config.bits_per_dim").alias("bits"), F.col("config.max_iters").cast("bigint").alias("max_iters"), signature.label(F.col("config_text")).alias("label")).agg(F.count(F.lit(1)).alias("n"))

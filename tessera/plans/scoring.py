@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import actions, predicates, traces
-from ..operators import aggregates, rollout
+from ..operators import aggregates, rollout, search
+from ..sources import json_commands
 from .bind import Tables
 from .registry import query
 
@@ -51,13 +52,15 @@ def _scores_sql() -> str:
     return f"WITH e AS ({rows}), s AS (SELECT idx, sum(ret) AS reward, count(*) FILTER (ret > 0) AS landings FROM e GROUP BY idx), r AS (SELECT s.idx, s.reward, s.landings, b.reward AS baseline FROM s, s b WHERE b.idx = -1 AND s.idx >= 0)"
 
 
-def scored(t: Tables):
-    return aggregates.score_bit(t.embeddings, CANDIDATES, CURRENT, "label", F.expr(X(7)))
+@json_commands.command("score_bit")
+def scored(t: Tables, candidates: list = CANDIDATES, current=CURRENT):
+    score = aggregates.scorer(t.embeddings, "label", F.expr(X(7)))
+    return score({"cmd": "score_bit", "candidates": candidates, "current": current})
 
 
-@query("E14 L1 D11 D12 C22", _scores_sql() + " SELECT CAST(idx AS BIGINT) AS idx, round(reward, 6) + 0.0 AS reward, CAST(landings AS BIGINT) AS landings, round(baseline, 6) + 0.0 AS baseline FROM r")
+@query("E14 L1 D11 D12 C22 K2 K3", _scores_sql() + " SELECT CAST(idx AS BIGINT) AS idx, round(reward, 6) + 0.0 AS reward, CAST(landings AS BIGINT) AS landings, round(baseline, 6) + 0.0 AS baseline FROM r")
 def score_bit_flagship(t):
-    return scored(t).select("idx", (F.round("reward", 6) + 0.0).alias("reward"), "landings", (F.round("baseline", 6) + 0.0).alias("baseline"))
+    return json_commands.run_command("score_bit", t).select("idx", (F.round("reward", 6) + 0.0).alias("reward"), "landings", (F.round("baseline", 6) + 0.0).alias("baseline"))
 
 
 @query("G7 D15 L1", _scores_sql() + " SELECT CAST(idx AS BIGINT) AS idx, round(reward - baseline, 6) + 0.0 AS gain FROM r ORDER BY reward DESC, idx LIMIT 1")
@@ -215,3 +218,9 @@ def env_rules(t):
 def tail_stats(t):
     s = aggregates.tails(t.events, "user_id", "value")
     return s.select("user_id", F.round("cvar10", 6).alias("cvar10"), "worst", "p10", F.round("mean", 6).alias("mean"), F.col("n").cast("bigint").alias("n"))
+
+
+@query("K9", "WITH c AS (SELECT vec_id, CAST(floor(" + D(0) + " * 4) AS BIGINT) AS c0, CAST(floor(" + D(1) + " * 4) AS BIGINT) AS c1, " + D(7) + " AS ret FROM embeddings) SELECT c0, c1, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY c0, c1 ORDER BY ret, vec_id) AS n FROM c) WHERE n = 1")
+def counterexample_elites(t):
+    e = t.embeddings.select("vec_id", F.expr(X(0)).alias("x0"), F.expr(X(1)).alias("x1"), F.expr(X(7)).alias("ret"))
+    return search.elites(e, {"c0": ("x0", 4.0), "c1": ("x1", 4.0)}, "ret", "vec_id")

@@ -22,9 +22,15 @@ def read_commands(spark: SparkSession, path: str) -> DataFrame:
     return commands(spark.read.text(path))
 
 
+def experiments(documents: DataFrame, column: str = "value") -> DataFrame:
+    """A row per JSON document: env_key, env_name, config (struct), and the config as it stands (text, to be signed)."""
+    read = documents.select(F.from_json(column, EXPERIMENT).alias("e"), F.get_json_object(column, "$.config").alias("config_text"))
+    return read.select("e.*", "config_text")
+
+
 def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document a file."""
-    return spark.read.schema(EXPERIMENT).json(path, multiLine=True)
+    return experiments(spark.read.text(path, wholetext=True))
 
 
 def with_environment(jobs: DataFrame, environments: DataFrame) -> DataFrame:

@@ -32,3 +32,17 @@ def test_guard():
 def test_candidates():
     good, errors = search.candidates([["feat", ["axis", 0, 1]], ["feat", ["axis", 0, 1]], ["feat", ["axis", 9, 1]]], 2)
     assert len(good) == 1 and errors == [{"idx": 2, "error": "coordinate 9 of 2"}]
+
+
+def test_genetic_search():
+    features = [["feat", ["axis", i, 0.0]] for i in range(8)]
+    wanted = search.identity(["feat", ["axis", 3, 0.0]])
+    calls = []
+
+    def score(terms):
+        calls.append(len(terms))
+        return [(str(search.identity(t)).count(wanted) - 0.01 * len(str(t)), t, -5.0) for t in terms]
+
+    found = search.evolve_bit(score, features, seed=1)
+    assert found == search.evolve_bit(score, features, seed=1) and found[0] == "improved" and wanted in search.identity(found[1])
+    assert len(calls) <= 14 and search.evolve_bit(lambda ts: [(0.0, t, 1.0) for t in ts], features) == ("no_improvement",)
