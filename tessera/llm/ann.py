@@ -27,7 +27,7 @@ TREES = 128
 BITS = 32
 #: Queries that the number of candidates is calibrated on, and the recall that they must reach.
 SAMPLE = 64
-RECALL = 0.97
+RECALL = 0.95
 #: Vectors of a shard, and strings of a piece of a tree.
 SHARD, PIECE = 16_384, 65_536
 #: Vectors that are hashed at a time, and that a task hashes before it sends their strings.
@@ -166,25 +166,30 @@ def _count(bits, depth):
     return run
 
 
+def _lists(row: np.ndarray, who: np.ndarray, query: np.ndarray, dim: int, shards: int) -> pa.Table:
+    """Pairs of a row and a query (by its number) as lists by shard and query; a list has a row's place in its shard."""
+    shard = row % shards
+    order = np.lexsort((row, shard, who))
+    row, who, shard = row[order], who[order], shard[order]
+    cut = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (shard[1:] != shard[:-1]))) if len(row) else np.zeros(0, np.int64)
+    place = (row // shards).astype("<u4")
+    lists = C.binary(place.view(np.uint8), 4 * np.append(cut, len(row))).cast(pa.binary())
+    return pa.table({"shard": pa.array(shard[cut]), "dim": pa.array(np.full(len(cut), dim, np.int32)), "query": pa.array(query[who[cut]]), "found": lists})
+
+
 def _gather(bits, shards):
     """The rows whose strings share as many bits with a query's as its ascent goes up to, by shard and query."""
 
     def run(piece, asked):
-        kinds = {"shard": pa.int64(), "dim": pa.int32(), "query": pa.int64(), "found": pa.list_(pa.int64())}
+        none = np.zeros(0, np.int64)
         if not piece.num_rows or not asked.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in kinds.items()})
+            return _lists(none, none, none, 0, shards)
         hashed, rows = _piece(piece)
         wanted, query, stop = (np.concatenate(x) for x in zip(*(C.expand(b, np.uint32, np.int64, np.int32) for b in asked["body"].to_pylist()), strict=True))
         a, z = _range(hashed, wanted.astype(np.uint64), bits - stop)
         n = z - a
         at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        row, who = rows[at], np.repeat(np.arange(len(query)), n)
-        shard = row % shards
-        order = np.lexsort((row, shard, who))
-        row, who, shard = row[order], who[order], shard[order]
-        cut = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (shard[1:] != shard[:-1]))) if len(row) else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(row)), pa.int32()), pa.array(row))
-        return pa.table({"shard": pa.array(shard[cut]), "dim": pa.array([piece["dim"][0].as_py()] * len(cut), pa.int32()), "query": pa.array(query[who[cut]]), "found": lists})
+        return _lists(rows[at], np.repeat(np.arange(len(query)), n), query, piece["dim"][0].as_py(), shards)
 
     return run
 
@@ -212,7 +217,7 @@ def _compare(q, own, v, units, ids, rows, at, k, cols, query, query_id):
         c.append(x)
 
 
-def _nearest(k):
+def _nearest(k, shards):
     """The k nearest within one shard for each query that has candidates there."""
 
     def run(asked, vectors):
@@ -222,9 +227,10 @@ def _nearest(k):
             rows, ids, v = vectors["row"].to_numpy(), vectors["vec_id"].to_numpy(), matrix(vectors["v"], dim)
             order = np.argsort(rows)
             rows, ids, v = rows[order], ids[order], v[order]
-            units, queries = unit(v), matrix(asked["v"], dim)
+            units, queries, shard = unit(v), matrix(asked["v"], dim), int(rows[0] % shards)
             for i, (query, query_id, found) in enumerate(zip(asked["query"].to_pylist(), asked["query_id"].to_pylist(), asked["found"], strict=True)):
-                at = np.searchsorted(rows, np.unique(found.values.to_numpy()))
+                places = np.unique(np.frombuffer(b"".join(found.as_py()), "<u4"))
+                at = np.searchsorted(rows, places.astype(np.int64) * shards + shard)
                 _compare(queries[i], query, v, units, ids, rows, at, k, cols, query, query_id)
         return _table(cols)
 
@@ -257,9 +263,13 @@ class Forest:
 
     def __init__(self, df: DataFrame, id_col: str, vector_col: str, trees: int, bits: int, shard: int, piece: int):
         self.spark, self.trees, self.bits = df.sparkSession, trees, bits
-        # rows get fixed numbers
-        self.vectors = C.written(clean(df, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
-        self.size = self.vectors.count()
+        # rows get fixed numbers, one after the other
+        held = C.written(clean(df, id_col, vector_col).withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "vectors")
+        sizes = held.groupBy("part").count().orderBy("part").collect()  # a row per partition of the input
+        first = np.append(0, np.cumsum([r["count"] for r in sizes])).tolist()
+        self.size = first[-1]
+        offsets = self.spark.createDataFrame([(r["part"], n) for r, n in zip(sizes, first[:-1], strict=True)], "part int, first long")
+        self.vectors = held.join(F.broadcast(offsets), "part").select("vec_id", "v", "dim", (F.col("row") + F.col("first")).alias("row"))
         self.depth = min(bits, max(0, int(np.ceil(np.log2(max(1, self.size) / piece)))))
         self.shards = max(1, -(-self.size // shard))
         rows = self.vectors.withColumn("shard", F.col("row") % self.shards)
@@ -301,14 +311,14 @@ class Forest:
         short = max(0, min(self.depth, int(np.floor(np.log2(max(1, self.trees * self.size / most))))))
         stops = self.counts(queries).select(F.col("query").alias("row"), enough.alias("stop"))
         asked = C.written(queries.join(stops, "row", "left").withColumn("stop", F.when(F.coalesce("stop", F.lit(-1)) >= 0, F.col("stop")).otherwise(short)), "stops")
-        schema = "shard long, dim int, query long, found array<long>"
+        schema = "shard long, dim int, query long, found binary"
         found = self._meet(asked.filter(F.col("stop") >= self.depth), _gather(self.bits, self.shards), schema)
         if self.depth:
             found = found.unionByName(self._above(asked.filter(F.col("stop") < self.depth), schema))
-        # a query's candidates in a shard: from each tree once
-        lists = found.groupBy("shard", "dim", "query").agg(F.flatten(F.collect_list("found")).alias("found"))
+        # a query's lists meet, each tree's and piece's, then its vector, and go to their shards
+        lists = found.repartition("query").groupBy("query", "shard", "dim").agg(F.collect_list("found").alias("found"))
         with_vectors = lists.join(queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "v"), "query")
-        near = with_vectors.groupBy("shard", "dim").cogroup(self.dealt.groupBy("shard", "dim")).applyInArrow(_nearest(k), FOUND)
+        near = with_vectors.groupBy("shard", "dim").cogroup(self.dealt.groupBy("shard", "dim")).applyInArrow(_nearest(k, self.shards), FOUND)
         return _best(near, k).select("query_id", "rank", "vec_id", "score")
 
     def _above(self, queries: DataFrame, schema: str) -> DataFrame:
@@ -327,12 +337,10 @@ class Forest:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["dim", "tree", "prefix", "body"])
 
         def whole(piece, asked):
-            hashed, rows = _piece(piece) if piece.num_rows else (None, np.zeros(0, np.int64))
+            rows = _piece(piece)[1] if piece.num_rows else np.zeros(0, np.int64)
             query = np.concatenate([C.expand(b, np.int64)[0] for b in asked["body"].to_pylist()]) if asked.num_rows else np.zeros(0, np.int64)
-            rows = np.sort(rows)
-            parts = [rows[rows % shards == s] for s in np.unique(rows % shards)]
-            out = [(int(p[0] % shards), q, p) for q in query.tolist() for p in parts]
-            return pa.table({"shard": pa.array([x[0] for x in out], pa.int64()), "dim": pa.array([piece["dim"][0].as_py()] * len(out) if out else [], pa.int32()), "query": pa.array([x[1] for x in out], pa.int64()), "found": pa.array([x[2] for x in out], pa.list_(pa.int64()))})
+            who = np.repeat(np.arange(len(query)), len(rows))
+            return _lists(np.tile(rows, len(query)), who, query, piece["dim"][0].as_py() if piece.num_rows else 0, shards)
 
         return self.pieces.groupBy(*KEYS).cogroup(queries.mapInArrow(spread, MESSAGE).groupBy(*KEYS)).applyInArrow(whole, schema)
 
