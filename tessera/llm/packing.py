@@ -10,7 +10,6 @@ full go to a second round of the same, in few tasks: what a task throws away doe
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -73,20 +72,91 @@ class Packer:
         return number, self.length - space
 
 
-def word_encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], list[bytes]]:
-    """Ids of strings, no special tokens around them, and the literals of added tokens in lower case.
+#: Fixed value: the pattern of the tokenizer whose parts of a word are known beforehand.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: By byte: a letter's, a digit, any other sign that is sure to be one, or not known here.
+LETTER, DIGIT, SIGN, UNKNOWN = 1, 2, 3, 9
+KIND = np.full(256, UNKNOWN, np.uint8)
+KIND[0x21:0x7F] = SIGN
+KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = LETTER
+KIND[48:58] = DIGIT
+KIND[ord("'")] = UNKNOWN
 
-    Spaces part tokens and no literal has one, so words may be encoded one by one.
-    """
-    import os
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    from tokenizers import Tokenizer
+def parts_in(words: list[bytes]) -> np.ndarray:
+    """Into how many parts PATTERN cuts each word; 0 where that isn't sure.
+
+    Letters are ASCII's and those of the Latin-1 block: runs of letters and of signs are parts, as is each digit.  A
+    word that may hold an added token's literal, or an apostrophe, is left out.
+    """
+    off = np.append(0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
+    data = np.frombuffer(b"".join(words), np.uint8)
+    kind = KIND[data]
+    after = np.append(data[1:], np.uint8(0))
+    unknown = (kind == UNKNOWN) | ((data == 0xC3) & ((after == 0x97) | (after == 0xB7))) | ((data == ord("<")) & (after == ord("|")))
+    new = np.ones(len(data), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    new[off[:-1]] = True
+    counts = np.add.reduceat(new, off[:-1], dtype=np.int64) if len(words) else np.zeros(0, np.int64)
+    return np.where(np.add.reduceat(unknown, off[:-1], dtype=np.int64) > 0, 0, counts) if len(words) else counts
+
+
+class Encoder:
+    """The tokenizer: ids of words, no special tokens around them.
+
+    Spaces part tokens and no added token's literal has one, so words may be encoded one by one, or many in one string
+    where it is known how many parts each has: a part's last token, and no other, ends in the word's end mark.
+    """
 
-    found = Tokenizer.from_file(path)
-    # in strips: what the library returns for a word takes far more memory than its ids
-    encode = lambda words: [e.ids for a in range(0, len(words), 4096) for e in found.encode_batch_fast(words[a : a + 4096], add_special_tokens=False)]
-    return encode, [t.content.encode().lower() for t in found.get_added_tokens_decoder().values()]
+    def __init__(self, path: str):
+        import json
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        #: Literals of added tokens in lower case.
+        self.literals = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        mark = said["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if mark and PATTERN in json.dumps(said["pre_tokenizer"]).replace("\\\\", "\\"):
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
+
+    def one_by_one(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # in strips: what the library returns for a word takes far more memory than its ids
+        got = [e.ids for a in range(0, len(words), 4096) for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words[a : a + 4096]], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+
+    def together(self, words: list[bytes], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out: list[np.ndarray] = []
+        sizes = np.zeros(len(words), np.int64)
+        for a in range(0, len(words), 2048):
+            mine = words[a : a + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(mine).decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32)
+            ends, last = np.flatnonzero(self.ends[ids]), np.cumsum(parts[a : a + 2048])
+            if len(ends) == last[-1] and ends[-1] == len(ids) - 1:
+                sizes[a : a + 2048] = np.diff(ends[last - 1], prepend=-1)
+            else:
+                ids, sizes[a : a + 2048] = self.one_by_one(mine)
+            out.append(ids)
+        return np.concatenate(out) if out else np.zeros(0, np.uint32), sizes
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and how many each has."""
+        parts = parts_in(words) if self.ends.any() else np.zeros(len(words), np.int64)
+        sure, rest = np.flatnonzero(parts), np.flatnonzero(parts == 0)
+        got = [self.together([words[i] for i in sure], parts[sure]), self.one_by_one([words[i] for i in rest])]
+        sizes, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        base = 0
+        for which, (ids, n) in zip((sure, rest), got, strict=True):
+            sizes[which], start[which] = n, base + np.cumsum(n) - n
+            base += len(ids)
+        return C.slices(np.concatenate([ids for ids, _ in got]), start, sizes)[0], sizes
 
 
 #: What the tokenizer's pattern and Python both take as white space beyond the ASCII kinds is left inside a
@@ -127,8 +197,8 @@ def parts_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.n
 class Words:
     """Encodes texts by their distinct words, remembering those of earlier batches up to a bound."""
 
-    def __init__(self, encode, literals: list[bytes]):
-        self.encode, self.literals = encode, literals
+    def __init__(self, encode: Encoder):
+        self.encode, self.literals = encode, encode.literals
         self.forget()
 
     def forget(self):
@@ -136,14 +206,13 @@ class Words:
         self.ids, self.off, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
 
     def learn(self, new: list[bytes]) -> None:
-        got = self.encode([x.decode("utf-8") for x in new])
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        n, more = len(self.places), int(sizes.sum())
+        got, sizes = self.encode(new)
+        n, more = len(self.places), len(got)
         while n + len(new) + 1 > len(self.off):
             self.off = np.concatenate([self.off, np.zeros_like(self.off)])
         while self.used + more > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + more] = np.fromiter(chain.from_iterable(got), np.uint32, more)
+        self.ids[self.used : self.used + more] = got
         self.off[n + 1 : n + 1 + len(new)] = self.used + np.cumsum(sizes)
         self.used += more
         self.places.update(zip(new, range(n, n + len(new)), strict=True))
@@ -242,7 +311,7 @@ def _pack(path: str, length: int, most: int):
         from .exact_dedup import by_bytes
 
         bins = Bins(length, most, TaskContext.get().partitionId() << 40)
-        words = _WORDS.get(path) or _WORDS.setdefault(path, Words(*word_encoder(path)))
+        words = _WORDS.get(path) or _WORDS.setdefault(path, Words(Encoder(path)))
         for batch in batches:
             for part, buf, off in by_bytes(batch):
                 ids, ends = words(buf, off)
@@ -295,5 +364,5 @@ def pack(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", te
     left = loose.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, left // (length * ROUND))
     # by size, so that a batch is a stretch of falling lengths
-    again = loose.repartition(tasks, "ids_crc32").sortWithinPartitions(F.desc("length"), "ids_crc32", "start")
+    again = loose.repartition(tasks, F.xxhash64("doc_id", "ids_crc32", "length")).sortWithinPartitions(F.desc("length"), "ids_crc32", "start")
     return first.filter("sequence_id IS NOT NULL").unionByName(again.mapInArrow(_pack_again(length, open_bins), SCHEMA))
