@@ -118,3 +118,22 @@ def tails(rows: DataFrame, key: str, value: str) -> DataFrame:
     sizes = fine.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") / 10)))
     low = F.when(F.col("i") <= F.col("k"), v)
     return ranked.join(sizes, key).groupBy(key).agg(F.avg(low).alias("cvar10"), F.min(v).alias("worst"), F.max(low).alias("p10"), F.avg(v).alias("mean"), F.max("n").alias("n"))
+
+
+def payload(batches: DataFrame, completed: DataFrame, key: str, days: int, versions: int = 5) -> DataFrame:
+    """One row per key with a batch in flight: its newest ones' results with mean and deviation, deliveries a day over
+    the days before the last one, and the key's last versions, newest first.
+
+    batches: batch_id, key, status, inserted_at; completed: deliveries that count.
+    """
+    live = batches.filter(F.col("status") != "completed")
+    newest = live.withColumn("_r", F.rank().over(Window.partitionBy(key).orderBy(F.desc("inserted_at")))).filter("_r = 1").select(key, "batch_id")
+    mine = newest.join(completed, "batch_id", "left")
+    last = F.max("arrived").over(Window.partitionBy(key))
+    r = F.col("reward")
+    recent = F.count_if(F.col("arrived") >= F.col("_last") - F.make_interval(days=F.lit(days))) / days
+    found = mine.withColumn("_last", last).groupBy(key).agg(F.countDistinct("batch_id").alias("batches"), F.count(r).alias("n"), F.sum(r).alias("total"), F.sum(r * r).alias("squares"), recent.alias("rate"))
+    mean, sd = mean_sd(F.col("n"), F.col("total"), F.col("squares"))
+    placed = batches.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("inserted_at"), F.desc("batch_id")))).filter(F.col("_n") <= versions)
+    lists = placed.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "batch_id"))), lambda x: x["batch_id"].cast("string")), ",").alias("versions"))
+    return found.select(key, "batches", "n", mean.alias("mean"), sd.alias("sd"), "rate").join(lists, key)

@@ -60,3 +60,33 @@ def test_windows(spark, tmp_path):
     stream = twins.source(spark, str(tmp_path / "e"), e.schema)
     got = drained(twins.windowed(stream, "ts", ["event_type"], "1 day"), "complete", "days")
     assert got.agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_telemetry_and_back_pressure(spark, tmp_path):
+    e = Tables(spark, SF).events.limit(300).repartition(3)
+    e.write.parquet(str(tmp_path / "e"))
+    told = twins.Progress()
+    spark.streams.addListener(told)
+    try:
+        q = twins.source(spark, str(tmp_path / "e"), e.schema, 1).writeStream.format("memory").queryName("told").trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
+        until = time.time() + 30
+        while told.rows < 300 and time.time() < until:
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(told)
+    assert told.rows == 300 and told.batches >= 3 and not told.failures  # a file a batch
+
+
+def test_failing_tick_keeps_the_last(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "k string, v double")
+    df.write.parquet(str(tmp_path / "t"))
+    stream = twins.source(spark, str(tmp_path / "t"), df.schema).withColumn("v", F.when(F.col("v") < 0, F.raise_error(F.lit("bad tick")).cast("double")).otherwise(F.col("v")))
+    q = twins.snapshots(stream.groupBy("k").agg(F.sum("v").alias("v")), "ticks", 0.2)
+    want, until = {("a", 3.0), ("b", 3.0)}, time.time() + 90
+    while {tuple(r) for r in spark.table("ticks").collect()} != want and time.time() < until:
+        time.sleep(0.3)
+    spark.createDataFrame([("a", -1.0)], "k string, v double").write.mode("append").parquet(str(tmp_path / "t"))
+    while q.isActive and time.time() < until:
+        time.sleep(0.3)
+    assert "bad tick" in str(q.exception()) and {tuple(r) for r in spark.table("ticks").collect()} == want
