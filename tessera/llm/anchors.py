@@ -6,7 +6,9 @@ Equal windows always have equal keys, wherever they stand, so a key that a singl
 the windows of its run.  Blocks of rows send their distinct keys (48 bits, compressed) to buckets of keys;
 a bucket answers each block with one bit a key: seen again, or not.  False hits only cost further work.
 
-Every message is one row per (block, bucket).  A key that a third of all rows have is sent once a block.
+A block sends a bucket at most one message, and none without a key, so that there are never more messages than the
+blocks' distinct keys, however many blocks and buckets there are.  A key that a third of all rows have is sent once a
+block.
 """
 
 from __future__ import annotations

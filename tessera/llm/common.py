@@ -23,7 +23,11 @@ LAST = np.iinfo(np.int64).max
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let the Python workers import this package from where the driver has it."""
+    """Let the Python workers import this package from where the driver has it.
+
+    Adds the package's folder to the workers' PYTHONPATH, and lowers the session's rows in a batch to Python where they
+    are Spark's default.
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -161,7 +161,7 @@ class Encoder:
 
 #: What the tokenizer's pattern and Python both take as white space beyond the ASCII kinds is left inside a
 #: word here; the tokenizer then parts it itself.
-_KNOWN_WORDS = 600_000
+_KNOWN_WORDS, _KNOWN_BYTES = 600_000, 32 << 20
 #: Of this Python worker, by vocabulary: tasks that it runs one after the other know each other's words.
 _WORDS: dict = {}
 
@@ -203,6 +203,7 @@ class Words:
 
     def forget(self):
         self.places: dict[bytes, int] = {}
+        self.held = 0
         self.ids, self.off, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
 
     def learn(self, new: list[bytes]) -> None:
@@ -215,6 +216,7 @@ class Words:
         self.ids[self.used : self.used + more] = got
         self.off[n + 1 : n + 1 + len(new)] = self.used + np.cumsum(sizes)
         self.used += more
+        self.held += sum(map(len, new))
         self.places.update(zip(new, range(n, n + len(new)), strict=True))
 
     def literal(self, low: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -240,7 +242,7 @@ class Words:
         words = C.binary(text, at).dictionary_encode()
         code, names = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
         new = [x for x in names if x not in self.places]
-        if len(self.places) + len(new) > _KNOWN_WORDS:
+        if len(self.places) + len(new) > _KNOWN_WORDS or self.held > _KNOWN_BYTES:
             self.forget()
             new = names
         self.learn(new)
