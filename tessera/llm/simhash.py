@@ -197,7 +197,20 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def near_pairs(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+#: Five bands of a fingerprint: two that differ in at most four bits agree in one of them.
+BANDS = [np.uint64(((1 << n) - 1) << a) for a, n in ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))]
+
+
+def banded_pairs(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """near_pairs() of different fingerprints that all share a key: only those that agree in a band are compared."""
+    key = np.concatenate([C.mix((values & mask) + np.uint64(k)) for k, mask in enumerate(BANDS)])
+    who = np.tile(np.arange(len(values)), len(BANDS))
+    order = np.argsort(key, kind="stable")
+    a, b = near_pairs(key[order], values[who[order]], np.zeros(len(key), bool), bits, banded=True)
+    return who[order][a], who[order][b]
+
+
+def near_pairs(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, bits: int, banded: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of rows, sorted by key, that share a key and differ in at most `bits` bits; enough to connect them."""
     if not len(key):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -215,12 +228,17 @@ def near_pairs(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, bits: int) ->
         right.append(small[hit] + lag)
         lag += 1
     for h, n in zip(head[useful & (size > 64)], size[useful & (size > 64)], strict=True):
-        # a crowded key: its different fingerprints, a strip at a time, each strip reduced to what connects it
+        # a crowded key: its different fingerprints by bands, then by strips, reduced to what connects them
         values, first = np.unique(fp[h : h + n], return_index=True)
-        for s in range(0, len(values), 256):
-            i, j = np.nonzero(np.bitwise_count(values[s : s + 256, None] ^ values[None, s:]) <= bits)
-            keep = j > i
-            root = forest(i[keep] + s, j[keep] + s, len(values))
+        if not banded:
+            pairs = [banded_pairs(values, bits)]
+        else:
+            pairs = []
+            for s in range(0, len(values), 256):
+                i, j = np.nonzero(np.bitwise_count(values[s : s + 256, None] ^ values[None, s:]) <= bits)
+                pairs.append((i[j > i] + s, j[j > i] + s))
+        for i, j in pairs:
+            root = forest(i, j, len(values))
             moved = np.flatnonzero(root != np.arange(len(values)))
             left.append(h + first[moved])
             right.append(h + first[root[moved]])

@@ -206,3 +206,19 @@ def test_paths_are_whole(spark):
     edges = spark.createDataFrame([(0, 1, 5, 3, 9, 0), (0, 1, 8, 4, 9, 3), (0, 1, 12, 1, 9, 7), (0, 1, 20, 2, 9, 15), (0, 1, 22, 2, 9, 30), (0, 2, 5, 3, 9, 0), (1, 1, 8, 4, 9, 3)], debruijn_dedup.SPAN)
     got = rows(debruijn_dedup.compacted(edges))
     assert got == sorted([(0, 1, 5, 8, 9, 0), (0, 1, 20, 2, 9, 15), (0, 1, 22, 2, 9, 30), (0, 2, 5, 3, 9, 0), (1, 1, 8, 4, 9, 3)], key=str)
+
+
+def test_crowded_keys_by_bands():
+    rng = np.random.default_rng(9)
+    centres = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    fps = [centres]
+    for _ in range(3):
+        near = centres.copy()
+        for i in range(len(near)):
+            for k in rng.choice(64, rng.integers(1, 5), replace=False):
+                near[i] ^= np.uint64(1) << np.uint64(k)
+        fps.append(near)
+    fp = np.unique(np.concatenate(fps))
+    x, y = simhash.near_pairs(np.zeros(len(fp), np.uint64), fp, np.zeros(len(fp), bool), 4)
+    i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4)
+    assert simhash.forest(x, y, len(fp)).tolist() == simhash.forest(i, j, len(fp)).tolist()
