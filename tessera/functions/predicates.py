@@ -110,3 +110,33 @@ def largest_index(term) -> int:
 def bits_code(terms: list, column: str = "embedding") -> Column:
     """The predicates' bits as one integer, the first predicate lowest."""
     return reduce(lambda a, b: a + b, (F.when(predicate(t, column), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k, t in enumerate(terms)))
+
+
+#: Which coordinates (i, j, k) and numbers (a, b, c) of a pool's row each feature kind takes, in its order.
+POOL = {"axis": "ia", "diag": "ija", "sq_diag": "ija", "prod": "ija", "tridiag": "ijkab", "sin_axis": "ia", "cos_axis": "ia", "wavelet_box": "iab"}
+
+
+def pooled(column: str = "embedding", at: str = "get({c}, {i})") -> str:
+    """SQL text of a feature whose kind, coordinates and numbers are columns: one CASE for any number of candidates."""
+    x = lambda name: "CAST(" + at.format(c=column, i=name) + " AS DOUBLE)"
+    text = {
+        "axis": f"{x('i')} < a",
+        "diag": f"a * {x('i')} + {x('j')} < 0",
+        "sq_diag": f"a * {x('i')} * {x('i')} + {x('j')} < 0",
+        "prod": f"{x('i')} * {x('j')} < a",
+        "tridiag": f"a * {x('i')} + b * {x('j')} + {x('k')} < 0",
+        "sin_axis": f"sin({x('i')}) < a",
+        "cos_axis": f"cos({x('i')}) < a",
+        "wavelet_box": f"{x('i')} >= a AND {x('i')} < b",
+    }
+    return "coalesce(CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in text.items()) + " END, FALSE)"
+
+
+def pool_row(idx: int, term: list) -> tuple:
+    """A ["feat", [kind, ...]] as a pool's row: idx, kind, i, j, k, a, b."""
+    kind, *args = term[1]
+    given = dict(zip(POOL[kind], args, strict=True))
+    return (idx, kind, *(int(given[n]) if n in given else None for n in "ijk"), *(float(given[n]) if n in given else None for n in "ab"))
+
+
+POOL_SCHEMA = "idx bigint, kind string, i int, j int, k int, a double, b double"

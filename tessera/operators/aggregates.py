@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import predicate
+from ..functions.predicates import pooled, predicate
 
 
 def score(observations: DataFrame, candidates: list, episode: str, value: Column, threshold: float = 0.0, vector: str = "embedding") -> DataFrame:
@@ -28,6 +28,25 @@ def score_bit(observations: DataFrame, candidates: list, current, episode: str,
     return both.filter("idx > 0").crossJoin(F.broadcast(base)).select((F.col("idx") - 1).alias("idx"), "reward", "landings", "baseline")
 
 
+def score_pool(observations: DataFrame, pool: DataFrame, size: int, episode: str, value: Column, threshold: float = 0.0, vector: str = "embedding", block: int = 1 << 16) -> DataFrame:
+    """score() for a table of candidates (predicates.POOL_SCHEMA, idx from 0 to size - 1), however many.
+
+    Blocks of candidates of a fixed size go to all observations in turn, so that what is broadcast is bounded; partial
+    sums leave a task with a block's candidates x episodes rows at most.
+    """
+    seen = observations.select(F.col(episode).alias("episode"), F.col(vector).alias("embedding"), value.alias("v"))
+    parts = []
+    for n in range(max(1, -(-size // block))):
+        some = F.broadcast(pool.filter(F.col("idx").between(n * block, (n + 1) * block - 1)))
+        hit = F.expr(pooled("embedding"))
+        parts.append(seen.crossJoin(some).groupBy("idx", "episode").agg(F.sum(F.when(hit, F.col("v")).otherwise(-F.col("v"))).alias("ret")))
+    returns = parts[0]
+    for p in parts[1:]:
+        returns = returns.unionByName(p)
+    good = (F.col("ret") > threshold) & ~F.isnan("ret")
+    return returns.groupBy("idx").agg(F.sum("ret").alias("reward"), F.count_if(good).alias("landings"))
+
+
 def scorer(observations: DataFrame, episode: str, value: Column, fallback=None, **named):
     """A function of requests ({cmd, candidates, current}) that holds what to score on; others go to the fallback."""
 

@@ -224,3 +224,13 @@ def tail_stats(t):
 def counterexample_elites(t):
     e = t.embeddings.select("vec_id", F.expr(X(0)).alias("x0"), F.expr(X(1)).alias("x1"), F.expr(X(7)).alias("ret"))
     return search.elites(e, {"c0": ("x0", 4.0), "c1": ("x1", 4.0)}, "ret", "vec_id")
+
+
+POOL_SQL = "SELECT r.n AS idx, CASE r.n % 3 WHEN 0 THEN 'axis' WHEN 1 THEN 'diag' ELSE 'cos_axis' END AS kind, CAST(r.n % 60 AS INT) AS i, CAST((r.n * 7 + 1) % 60 AS INT) AS j, 0 AS k, CAST(r.n // 60 AS DOUBLE) / 10 - 0.1::DOUBLE AS a, 0.0::DOUBLE AS b FROM range(240) r(n)"
+
+
+@query("E14 D11 D12", "WITH p AS (" + POOL_SQL + "), e AS (SELECT idx, label, sum(CASE WHEN " + predicates.pooled("embedding", "{c}[{i} + 1]") + f" THEN {D(7)} ELSE -{D(7)} END) AS ret FROM embeddings, p GROUP BY idx, label) SELECT idx, round(sum(ret), 6) + 0.0 AS reward, count(*) FILTER (ret > 0) AS landings FROM e GROUP BY idx")
+def pool_scores(t):
+    pool = t.spark.range(240).selectExpr("id AS idx", "CASE id % 3 WHEN 0 THEN 'axis' WHEN 1 THEN 'diag' ELSE 'cos_axis' END AS kind", "CAST(id % 60 AS INT) AS i", "CAST((id * 7 + 1) % 60 AS INT) AS j", "0 AS k", "CAST(id div 60 AS DOUBLE) / 10 - 0.1D AS a", "0D AS b")
+    scores = aggregates.score_pool(t.embeddings, pool, 240, "label", F.expr(X(7)), block=100)
+    return scores.select("idx", (F.round("reward", 6) + 0.0).alias("reward"), "landings")

@@ -124,3 +124,12 @@ def test_best_bit(spark):
     assert (one(spark, r), one(spark, b)) == (1.0, 1)
     r, b = rollout.best_bit(F.lit(3.0), [F.lit(0.0), F.lit(2.0)])
     assert (one(spark, r), one(spark, b)) == (0.0, -1)
+
+
+def test_pool_agrees_with_terms(spark):
+    terms = [["feat", x] for x in (["axis", 0, 0.5], ["diag", 0, 1, -1.0], ["sq_diag", 1, 0, 2.0], ["prod", 0, 1, 0.3], ["tridiag", 0, 1, 2, 1.0, -2.0], ["sin_axis", 1, 0.2], ["cos_axis", 2, 0.9], ["wavelet_box", 0, -0.5, 0.5], ["axis", 9, 1.0])]
+    obs = spark.createDataFrame([(e, [a, b, a * b], a - b) for e in range(2) for a in (-1.0, 0.2, 0.6) for b in (-0.7, 0.1, 0.9)], "label int, embedding array<double>, v double")
+    pool = spark.createDataFrame([predicates.pool_row(n, x) for n, x in enumerate(terms)], predicates.POOL_SCHEMA)
+    key = lambda d: sorted((r["idx"], round(r["reward"], 9), r["landings"]) for r in d.collect())
+    want = key(aggregates.score(obs, terms, "label", F.col("v")))
+    assert key(aggregates.score_pool(obs, pool, len(terms), "label", F.col("v"), block=4)) == want
