@@ -152,7 +152,7 @@ def test_least_bytes(spark, tmp_path):
     assert sorted((r["page_id"], r["record_type"]) for r in got) == [(1, "response"), (2, "response"), (3, "revisit"), (4, "response")]
 
 
-@pytest.mark.parametrize("piece", [40, 10**6])
+@pytest.mark.parametrize("piece", [300, 10**6])
 def test_forest_recall(spark, piece):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((20, 24))
@@ -164,7 +164,7 @@ def test_forest_recall(spark, piece):
         s = v @ v[i]
         s[i] = -9
         want |= {(i, int(j)) for j in np.argsort(-s)[:5]}
-    got = ann.nearest(df, "vec_id % 50 = 0", piece=piece, shard=400).collect()
+    got = ann.nearest(df, "vec_id % 50 = 0", trees=24, piece=piece, shard=400).collect()
     assert len(got) == len(want) and len(want & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.9 * len(want)
     assert all(abs(r["score"] - float(ann.cosines(np.array(data[r["query_id"]][1]), np.array([data[r["vec_id"]][1]]))[0])) < 1e-12 for r in got)
 
