@@ -234,3 +234,22 @@ def pool_scores(t):
     pool = t.spark.range(240).selectExpr("id AS idx", "CASE id % 3 WHEN 0 THEN 'axis' WHEN 1 THEN 'diag' ELSE 'cos_axis' END AS kind", "CAST(id % 60 AS INT) AS i", "CAST((id * 7 + 1) % 60 AS INT) AS j", "0 AS k", "CAST(id div 60 AS DOUBLE) / 10 - 0.1D AS a", "0D AS b")
     scores = aggregates.score_pool(t.embeddings, pool, 240, "label", F.expr(X(7)), block=100)
     return scores.select("idx", (F.round("reward", 6) + 0.0).alias("reward"), "landings")
+
+
+FEATURES = search.atoms(4) + search.atoms(3, ("prod",), (0.01,))
+
+
+def _round_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT {i} AS idx, sum(CASE WHEN {predicates.to_sql(t, D)} THEN {D(7)} ELSE -{D(7)} END) AS reward FROM embeddings" for i, t in enumerate([CURRENT, *FEATURES]))
+    return f"WITH s AS ({rows}), b AS (SELECT max(reward) FILTER (idx = 0) AS b, max(reward) FILTER (idx > 0) AS best FROM s)"
+
+
+@query("L7", _round_sql() + " SELECT CAST(1 AS BIGINT) AS round, round(b, 6) + 0.0 AS before, round(greatest(b, best), 6) + 0.0 AS after, CAST(CASE WHEN best > b + 1e-9 THEN 1 ELSE 0 END AS BIGINT) AS commits, FALSE AS reverted FROM b")
+def search_round(t):
+    """A driver's loop: one job a pass scores all candidates of the open bit, another validates."""
+    value = F.expr(X(7))
+    optimize = lambda current, bit: search.optimize_bit(t.embeddings, current, FEATURES, "label", value)
+    validate = lambda terms: aggregates.score(t.embeddings, terms, "label", value).agg(F.sum("reward")).first()[0]
+    log = search.cegar(search.Policy([CURRENT]), 1, 3, lambda policy: [0], optimize, validate)
+    shown = t.spark.createDataFrame([(r["round"], r["before"], r["after"], r["commits"], r["reverted"]) for r in log], "round bigint, before double, after double, commits bigint, reverted boolean")
+    return shown.withColumns({c: F.round(c, 6) + 0.0 for c in ("before", "after")})
