@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one block should hold.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Stands for a null id: after all others.
 LAST = np.iinfo(np.int64).max
 

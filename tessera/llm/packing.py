@@ -161,7 +161,7 @@ class Encoder:
 
 #: What the tokenizer's pattern and Python both take as white space beyond the ASCII kinds is left inside a
 #: word here; the tokenizer then parts it itself.
-_KNOWN_WORDS, _KNOWN_BYTES = 600_000, 32 << 20
+_KNOWN_WORDS, _KNOWN_BYTES = 400_000, 16 << 20
 #: Of this Python worker, by vocabulary: tasks that it runs one after the other know each other's words.
 _WORDS: dict = {}
 
