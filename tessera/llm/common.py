@@ -226,7 +226,7 @@ def in_order(table: pa.Table) -> pa.Table:
     return table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
 
 
-def slices(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def slices(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """The given pieces of buf, concatenated, and their offsets.  Index arrays are made for `most` items at a time."""
     off = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(lengths, out=off[1:])

@@ -9,6 +9,7 @@ full go to a second round of the same, in few tasks: what a task throws away doe
 
 from __future__ import annotations
 
+import re
 import zlib
 from itertools import chain
 
@@ -109,7 +110,6 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -118,13 +118,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: Literals of added tokens in lower case.
         self.literals = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        # the file is searched, not parsed: its vocabulary would take many times the tokenizer's memory
         with open(path, encoding="utf-8") as f:
-            said = json.load(f)
-        mark = said["model"].get("end_of_word_suffix")
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        if mark and PATTERN in json.dumps(said["pre_tokenizer"]).replace("\\\\", "\\"):
-            self.ends[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
+            said = f.read()
+        mark = re.search(r'"end_of_word_suffix":\s*"([^"]+)"', said)
+        if mark and PATTERN.replace("\\", "\\\\") in said:
+            self.ends[:] = [(self.tokenizer.id_to_token(i) or "").endswith(mark[1]) for i in range(len(self.ends))]
 
     def one_by_one(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         # in strips: what the library returns for a word takes far more memory than its ids
@@ -235,8 +235,8 @@ class Words:
         text, at = C.slices(buf, starts, ends - starts)
         # the tokenizer lowers case; in words of ASCII alone that may be done before, but it takes an added
         # token's literal in its own case only
-        wide = np.append(0, np.cumsum(text >= 0x80, dtype=np.int32))
-        low, lowers = C.LOWER[text], wide[at[1:]] == wide[at[:-1]]
+        low = C.LOWER[text]
+        lowers = ~np.logical_or.reduceat(text >= 0x80, at[:-1]) if len(text) else np.zeros(0, bool)
         lowers[self.literal(low, at)] = False
         text = np.where(np.repeat(lowers, np.diff(at)), low, text)
         words = C.binary(text, at).dictionary_encode()
@@ -315,7 +315,7 @@ def _pack(path: str, length: int, most: int):
         bins = Bins(length, most, TaskContext.get().partitionId() << 40)
         words = _WORDS.get(path) or _WORDS.setdefault(path, Words(Encoder(path)))
         for batch in batches:
-            for part, buf, off in by_bytes(batch):
+            for part, buf, off in by_bytes(batch, 3 << 20):
                 ids, ends = words(buf, off)
                 docs, raw = C.ids_of(part.column("doc_id")), ids.astype("<u4")
                 sizes = np.diff(ends)
@@ -325,6 +325,7 @@ def _pack(path: str, length: int, most: int):
                         n = min(length, int(sizes[i]) - at)
                         bins.add(docs[i], piece, at, n, zlib.crc32(raw[ends[i] + at : ends[i] + at + n]))
             yield bins.batch()
+            C.trim()
         loose = bins.end(int(length * SLACK))
         yield bins.batch()
         yield bins.batch(loose)
