@@ -68,6 +68,19 @@ ORACLE_SQL = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op7_warc": r"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS h FROM pages
+        ), d AS (
+            SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS top,
+                   row_number() OVER (PARTITION BY h, page_id) AS copy FROM p
+        )
+        SELECT page_id, n AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(s, CAST(i // 4 * 5 + 1 AS INT), 5) AS INTEGER) >> CAST(15 - i % 4 * 5 AS INT)) & 31), 1)), '') AS payload_digest,
+               CASE WHEN page_id = top AND copy = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = top AND copy = 1 THEN NULL ELSE top END AS refers_to
+        FROM d
+    """,
     "op10_debruijn_dedup": r"""
         WITH w AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
