@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one block should hold.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Stands for a null id: after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -25,8 +25,8 @@ LAST = np.iinfo(np.int64).max
 def prepare(spark: SparkSession) -> None:
     """Let the Python workers import this package from where the driver has it.
 
-    Adds the package's folder to the workers' PYTHONPATH, and lowers the session's rows in a batch to Python where they
-    are Spark's default.
+    Adds the package's folder to the workers' PYTHONPATH, and lowers the rows and bytes of the session's batches to
+    Python where they are Spark's defaults.
     """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
@@ -35,6 +35,8 @@ def prepare(spark: SparkSession) -> None:
     # rows may be long texts: batches to Python of Spark's default number of rows would be tens of MB
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864", "67108864b", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -20,7 +20,7 @@ from . import common as C
 
 #: The bounded sample that the classifier is fitted on: labelled characters of a language at most and of all together,
 #: and labelled rows of a language looked at.
-SAMPLE_CHARS, SAMPLE_TOTAL = 40_000, 480_000
+SAMPLE_CHARS, SAMPLE_TOTAL = 20_000, 240_000
 SAMPLE_ROWS = 96
 #: Characters that are parsed as one; a longer text is several such stretches, all of which count.
 SEGMENT = 256

@@ -162,10 +162,6 @@ class Encoder:
 #: What the tokenizer's pattern and Python both take as white space beyond the ASCII kinds is left inside a
 #: word here; the tokenizer then parts it itself.
 _KNOWN_WORDS, _KNOWN_BYTES = 400_000, 16 << 20
-#: Of this Python worker, by vocabulary: tasks that it runs one after the other know each other's words.
-_WORDS: dict = {}
-
-
 #: A byte of these at a word's end, after a letter, is a token of its own.
 MARKS = np.zeros(256, bool)
 MARKS[list(b",.;:!?")] = True
@@ -313,7 +309,7 @@ def _pack(path: str, length: int, most: int):
         from .exact_dedup import by_bytes
 
         bins = Bins(length, most, TaskContext.get().partitionId() << 40)
-        words = _WORDS.get(path) or _WORDS.setdefault(path, Words(Encoder(path)))
+        words = Words(Encoder(path))
         for batch in batches:
             for part, buf, off in by_bytes(batch, 3 << 20):
                 ids, ends = words(buf, off)
