@@ -34,7 +34,7 @@ PIECE, HUGE = 1 << 20, 8 << 20
 #: Bits of the map of fingerprints seen twice: 8 MB whatever the input; a full map only sends more texts.
 BITMAP_BITS = 26
 #: Bytes of texts that a task remembers to recognise further copies.
-REMEMBERED = 32 << 20
+REMEMBERED = 8 << 20
 
 _POWERS: list[np.ndarray] = []
 

@@ -177,6 +177,7 @@ def _predict(samples):
                 for i, k, o in zip(asked[at:to], best, odds, strict=True):
                     found[i] = (model.names[k], 1 / float(o))
                 at = to
+            C.trim()
             yield pa.RecordBatch.from_arrays([*map(C.loose, batch.columns[:-1]), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()), pa.array(letters, pa.bool_())], [*batch.schema.names[:-1], "lang_pred", "score", "letters"])
 
     return run

@@ -161,7 +161,7 @@ class Encoder:
 
 #: What the tokenizer's pattern and Python both take as white space beyond the ASCII kinds is left inside a
 #: word here; the tokenizer then parts it itself.
-_KNOWN_WORDS, _KNOWN_BYTES = 400_000, 16 << 20
+_KNOWN_WORDS, _KNOWN_BYTES = 300_000, 16 << 20
 #: A byte of these at a word's end, after a letter, is a token of its own.
 MARKS = np.zeros(256, bool)
 MARKS[list(b",.;:!?")] = True

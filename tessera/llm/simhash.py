@@ -32,7 +32,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the code.
 GENERATOR = 0xAE3
 #: Bytes of key rows that one bucket should hold.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 6 << 20
 #: Shingles hashed at a time.
 STEP = 1 << 16
 
@@ -249,6 +249,7 @@ def _fingerprinted(shingle):
     def run(batches):
         for batch in batches:
             for part, buf, off in by_bytes(batch, 1 << 20):
+                C.trim()
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fingerprints(buf, off, shingle).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     return run
@@ -258,8 +259,8 @@ def _keyed(buckets):
     def run(batches):
         for batch in batches:
             every = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for a in range(0, len(every), 4096):
-                fps = every[a : a + 4096]
+            for a in range(0, len(every), 2048):
+                fps = every[a : a + 2048]
                 key, row, probe = fuzzy_keys(fps)
                 which = (C.mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
                 order = np.lexsort((fps[row], which))
