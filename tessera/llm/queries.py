@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn_dedup, ppm, suffix_dedup
+from . import bpe, debruijn_dedup, ppm, repair, runs, sharding, suffix_dedup
 from .ann import nearest
 from .exact_dedup import exact_groups
 from .langid import identify
@@ -57,7 +57,19 @@ def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ppm, op3_bpe, op4_nearest, op5_simhash, op6_exact_dedup, op7_warc, op8_packing, op9_language_id, op10_debruijn_dedup)}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), present="present")
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.with_cycles(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ppm, op3_bpe, op4_nearest, op5_simhash, op6_exact_dedup, op7_warc, op8_packing, op9_language_id, op10_debruijn_dedup, op11_repair, op12_shards, op13_runs)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
