@@ -229,8 +229,9 @@ def _nearest(k, shards):
             rows, ids, v = rows[order], ids[order], v[order]
             units, queries, shard = unit(v), matrix(asked["v"], dim), int(rows[0] % shards)
             for i, (query, query_id, found) in enumerate(zip(asked["query"].to_pylist(), asked["query_id"].to_pylist(), asked["found"], strict=True)):
-                places = np.unique(np.frombuffer(b"".join(found.as_py()), "<u4"))
-                at = np.searchsorted(rows, places.astype(np.int64) * shards + shard)
+                listed = found.as_py()  # none: all of the shard
+                places = np.unique(np.frombuffer(b"".join(listed or []), "<u4"))
+                at = np.arange(len(rows)) if listed is None else np.searchsorted(rows, places.astype(np.int64) * shards + shard)
                 _compare(queries[i], query, v, units, ids, rows, at, k, cols, query, query_id)
         return _table(cols)
 
@@ -284,10 +285,10 @@ class Forest:
         return self.pieces.groupBy(*KEYS).cogroup(asked.groupBy(*KEYS)).applyInArrow(run, schema)
 
     def counts(self, queries: DataFrame) -> DataFrame:
-        """query, c<depth>: how many strings of all trees share so many bits with it."""
+        """query, c<depth>: how many strings of all trees share so many bits with it, its own left out."""
         names = [f"c{d}" for d in range(self.depth, self.bits + 1)]
         found = self._meet(queries.withColumn("stop", F.lit(0)), _count(self.bits, self.depth), "query long, " + ", ".join(f"{n} long" for n in names))
-        return found.groupBy("query").agg(*(F.sum(n).alias(n) for n in names))
+        return found.groupBy("query").agg(*((F.sum(n) - self.trees).alias(n) for n in names))
 
     def wanted(self, queries: DataFrame, k: int, recall: float) -> int:
         """How many strings an ascent should gather, from a bounded sample of queries answered by brute force."""
@@ -298,12 +299,14 @@ class Forest:
         near = true.join(self.vectors.select("row", "v"), "row").select("query", "v").collect()  # SAMPLE x k rows
         count = {r["query"]: r for r in self.counts(few).collect()}
         mine = {row: strings(unit(np.array([v])), self.trees, self.bits) for row, _, v in held}
-        needs = [4 * k]
+        needs = [0]
         for r in near:
             deep = int(shared(strings(unit(np.array([r["v"]])), self.trees, self.bits), mine[r["query"]], self.bits).max())
-            # it is gathered unless the strings that share one bit more are enough
-            needs.append(count[r["query"]][f"c{deep + 1}"] + 1 if self.depth <= deep < self.bits else 0 if deep >= self.bits else self.trees * self.size >> deep)
-        return max(4 * k, sorted(needs)[int(np.ceil(recall * (len(needs) - 1)))])
+            if deep < self.bits:  # copies are found anyhow, and say nothing about the others
+                # it is gathered unless the strings that share one bit more are enough
+                needs.append(count[r["query"]][f"c{deep + 1}"] + 1 if self.depth <= deep else self.trees * self.size >> deep)
+        # a vector has a string in each tree: so many are of k vectors at least
+        return max(self.trees * (k - 1) + 1, sorted(needs)[int(np.ceil(recall * (len(needs) - 1)))])
 
     def search(self, queries: DataFrame, k: int, most: int) -> DataFrame:
         enough = F.greatest(*(F.when(F.col(f"c{d}") >= most, F.lit(d)) for d in range(self.depth, self.bits + 1)), F.lit(-1))
@@ -318,8 +321,19 @@ class Forest:
         # a query's lists meet, each tree's and piece's, then its vector, and go to their shards
         lists = found.repartition("query").groupBy("query", "shard", "dim").agg(F.collect_list("found").alias("found"))
         with_vectors = lists.join(queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "v"), "query")
-        near = with_vectors.groupBy("shard", "dim").cogroup(self.dealt.groupBy("shard", "dim")).applyInArrow(_nearest(k, self.shards), FOUND)
-        return _best(near, k).select("query_id", "rank", "vec_id", "score")
+        near = C.written(_best(self._compared(with_vectors, k), k), "near")
+        few = queries.join(near.groupBy("query").count().filter(F.col("count") >= k).select(F.col("query").alias("row")), "row", "left_anti")
+        few = C.written(few, "few-found")
+        if few.isEmpty():
+            return near.select("query_id", "rank", "vec_id", "score")
+        # queries with fewer than k candidates meet all vectors, shard by shard
+        shards = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.shards - 1).cast("long")))
+        every = few.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "v", "dim", shards.alias("shard"), F.lit(None).cast("array<binary>").alias("found"))
+        rest = _best(self._compared(every, k), k)
+        return near.join(few.select(F.col("row").alias("query")), "query", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(rest.select("query_id", "rank", "vec_id", "score"))
+
+    def _compared(self, asked: DataFrame, k: int) -> DataFrame:
+        return asked.groupBy("shard", "dim").cogroup(self.dealt.groupBy("shard", "dim")).applyInArrow(_nearest(k, self.shards), FOUND)
 
     def _above(self, queries: DataFrame, schema: str) -> DataFrame:
         """The candidates of ascents that end above the pieces' depth: whole pieces under a shorter prefix."""
@@ -336,13 +350,16 @@ class Forest:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["dim", "tree", "prefix", "body"])
 
-        def whole(piece, asked):
-            rows = _piece(piece)[1] if piece.num_rows else np.zeros(0, np.int64)
-            query = np.concatenate([C.expand(b, np.int64)[0] for b in asked["body"].to_pylist()]) if asked.num_rows else np.zeros(0, np.int64)
-            who = np.repeat(np.arange(len(query)), len(rows))
-            return _lists(np.tile(rows, len(query)), who, query, piece["dim"][0].as_py() if piece.num_rows else 0, shards)
+        def whole(batches):
+            for batch in batches:
+                for dim, piece, asked in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("dim", "piece", "body")), strict=True):
+                    rows, query = C.expand(piece, np.uint32, np.int64)[1], C.expand(asked, np.int64)[0]
+                    lists = _lists(rows, np.zeros(len(rows), np.int64), query[:1], dim, shards)
+                    for q in query:  # the same lists for each
+                        yield from lists.set_column(2, "query", pa.array(np.full(len(lists), q))).combine_chunks().to_batches()
 
-        return self.pieces.groupBy(*KEYS).cogroup(queries.mapInArrow(spread, MESSAGE).groupBy(*KEYS)).applyInArrow(whole, schema)
+        pieces = self.pieces.withColumnRenamed("body", "piece")
+        return pieces.join(queries.mapInArrow(spread, MESSAGE), KEYS).mapInArrow(whole, schema)
 
 
 def nearest(df: DataFrame, query_filter, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, bits: int = BITS, recall: float = RECALL, shard: int = SHARD, piece: int = PIECE) -> DataFrame:

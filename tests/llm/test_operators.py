@@ -264,6 +264,31 @@ def test_neighbours(spark):
     assert len(got) == len(want) and len(want & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("piece", [65_536, 64])
+def test_neighbours_of_one_among_copies(spark, piece):
+    """Vectors in groups of ten copies, and one without: no query goes short."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((125, 24))
+    data = [(i, base[i // 10].tolist()) for i in range(1250)]
+    data[0] = (0, rng.standard_normal(24).tolist())
+    got = ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), "vec_id % 50 = 0", piece=piece).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(50 * q, r) for q in range(25) for r in range(1, 6)]
+    want = sorted((-float(ann.cosines(np.array(data[0][1]), np.array(v)[None])[0]), i) for i, v in data[1:])[:5]
+    assert len({r["vec_id"] for r in got if r["query_id"] == 0} & {i for _, i in want}) >= 3
+
+
+def test_neighbours_when_few_are_gathered(spark):
+    """Queries that gather too few candidates are compared with all."""
+    rng = np.random.default_rng(6)
+    data = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 8)))]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    forest = ann.Forest(df, "vec_id", "embedding", 4, 32, 100, 65_536)
+    got = forest.search(forest.vectors.filter("vec_id % 50 = 0"), 5, 1).collect()
+    for q in range(0, 300, 50):
+        true = sorted((-float(ann.cosines(np.array(data[q][1]), np.array(v)[None])[0]), i) for i, v in data if i != q)[:5]
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in true]
+
+
 def test_neighbours_odd(spark):
     data = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (50, [1.0, 1.0]), (1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0]), (100, [float("nan"), 1.0]), (150, [1.0, None]), (None, [1.0, 1.0]), (200, [1.0, 2.0, 3.0]), (7, [1e200, 1e200])]
     got = rows(ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), "vec_id % 50 = 0"), "query_id", "rank", "vec_id")
