@@ -113,12 +113,13 @@ def bits_code(terms: list, column: str = "embedding") -> Column:
 
 
 #: Which coordinates (i, j, k) and numbers (a, b, c) of a pool's row each feature kind takes, in its order.
-POOL = {"axis": "ia", "diag": "ija", "sq_diag": "ija", "prod": "ija", "tridiag": "ijkab", "sin_axis": "ia", "cos_axis": "ia", "wavelet_box": "iab"}
+POOL = {"axis": "ia", "diag": "ija", "sq_diag": "ija", "prod": "ija", "tridiag": "ijkab", "sin_axis": "ia", "cos_axis": "ia", "wavelet_box": "iab", "wavelet_ricker": "ibac"}
 
 
 def pooled(column: str = "embedding", at: str = "get({c}, {i})") -> str:
     """SQL text of a feature whose kind, coordinates and numbers are columns: one CASE for any number of candidates."""
     x = lambda name: "CAST(" + at.format(c=column, i=name) + " AS DOUBLE)"
+    z = f"(({x('i')} - b) / a)"
     text = {
         "axis": f"{x('i')} < a",
         "diag": f"a * {x('i')} + {x('j')} < 0",
@@ -128,15 +129,16 @@ def pooled(column: str = "embedding", at: str = "get({c}, {i})") -> str:
         "sin_axis": f"sin({x('i')}) < a",
         "cos_axis": f"cos({x('i')}) < a",
         "wavelet_box": f"{x('i')} >= a AND {x('i')} < b",
+        "wavelet_ricker": f"CASE WHEN a = 0 THEN FALSE ELSE (1 - {z} * {z}) * exp(-({z} * {z}) / 2) < c END",
     }
     return "coalesce(CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in text.items()) + " END, FALSE)"
 
 
 def pool_row(idx: int, term: list) -> tuple:
-    """A ["feat", [kind, ...]] as a pool's row: idx, kind, i, j, k, a, b."""
+    """A ["feat", [kind, ...]] as a pool's row: idx, kind, i, j, k, a, b, c."""
     kind, *args = term[1]
     given = dict(zip(POOL[kind], args, strict=True))
-    return (idx, kind, *(int(given[n]) if n in given else None for n in "ijk"), *(float(given[n]) if n in given else None for n in "ab"))
+    return (idx, kind, *(int(given[n]) if n in given else None for n in "ijk"), *(float(given[n]) if n in given else None for n in "abc"))
 
 
-POOL_SCHEMA = "idx bigint, kind string, i int, j int, k int, a double, b double"
+POOL_SCHEMA = "idx bigint, kind string, i int, j int, k int, a double, b double, c double"

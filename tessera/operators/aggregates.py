@@ -5,46 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import pooled, predicate
+from ..functions.predicates import predicate
+from ..storage import written
+from . import bitsets, numbering
 
 
 def score(observations: DataFrame, candidates: list, episode: str, value: Column, threshold: float = 0.0, vector: str = "embedding") -> DataFrame:
     """A row per candidate: idx, reward (sum of its episodes' returns), landings (episodes above threshold).
 
-    Each observation is read once and gives one signed value per candidate; partial sums leave a task with
-    candidates x episodes rows at most, however many observations there are.
+    One scan: each candidate is a conditional sum by episode, so that a task sends a row per episode, and the few sums
+    become rows at the end.  For hundreds of candidates or more, bitsets.score_programs().
     """
-    each = F.array(*(F.struct(F.lit(i).cast("bigint").alias("idx"), F.when(predicate(t, vector), value).otherwise(-value).alias("r")) for i, t in enumerate(candidates)))
-    rows = observations.select(F.col(episode).alias("episode"), F.explode(each).alias("c")).select("episode", "c.idx", "c.r")
-    returns = rows.groupBy("idx", "episode").agg(F.sum("r").alias("ret"))
-    good = (F.col("ret") > threshold) & ~F.isnan("ret")
-    return returns.groupBy("idx").agg(F.sum("ret").alias("reward"), F.count_if(good).alias("landings"))
-
-
-def score_bit(observations: DataFrame, candidates: list, current, episode: str, value: Column, **named) -> DataFrame:
-    """The candidates' scores beside that of the predicate in place, which is scored in the same pass."""
-    both = score(observations, [current, *candidates], episode, value, **named)
-    base = both.filter("idx = 0").select(F.col("reward").alias("baseline"))
-    return both.filter("idx > 0").crossJoin(F.broadcast(base)).select((F.col("idx") - 1).alias("idx"), "reward", "landings", "baseline")
-
-
-def score_pool(observations: DataFrame, pool: DataFrame, size: int, episode: str, value: Column, threshold: float = 0.0, vector: str = "embedding", block: int = 1 << 16) -> DataFrame:
-    """score() for a table of candidates (predicates.POOL_SCHEMA, idx from 0 to size - 1), however many.
-
-    Blocks of candidates of a fixed size go to all observations in turn, so that what is broadcast is bounded; partial
-    sums leave a task with a block's candidates x episodes rows at most.
-    """
-    seen = observations.select(F.col(episode).alias("episode"), F.col(vector).alias("embedding"), value.alias("v"))
-    parts = []
-    for n in range(max(1, -(-size // block))):
-        some = F.broadcast(pool.filter(F.col("idx").between(n * block, (n + 1) * block - 1)))
-        hit = F.expr(pooled("embedding"))
-        parts.append(seen.crossJoin(some).groupBy("idx", "episode").agg(F.sum(F.when(hit, F.col("v")).otherwise(-F.col("v"))).alias("ret")))
-    returns = parts[0]
-    for p in parts[1:]:
-        returns = returns.unionByName(p)
-    good = (F.col("ret") > threshold) & ~F.isnan("ret")
-    return returns.groupBy("idx").agg(F.sum("ret").alias("reward"), F.count_if(good).alias("landings"))
+    return _scored(observations, candidates, episode, value, threshold, vector).drop("baseline")
+
+
+def score_bit(observations: DataFrame, candidates: list, current, episode: str, value: Column, threshold: float = 0.0, vector: str = "embedding") -> DataFrame:
+    """The candidates' scores beside that of the predicate in place, which is one more sum of the same pass."""
+    both = _scored(observations, [current, *candidates], episode, value, threshold, vector)
+    return both.filter("idx > 0").select((F.col("idx") - 1).alias("idx"), "reward", "landings", "baseline")
+
+
+def _scored(observations, candidates, episode, value, threshold, vector) -> DataFrame:
+    """idx, reward, landings, baseline (the first one's reward)."""
+    seen = observations.select(F.col(episode).alias("_episode"), F.col(vector), value.alias("_v"))
+    v = F.col("_v")
+    sums = [F.sum(F.when(predicate(t, vector), v).otherwise(-v)).alias(f"r{i}") for i, t in enumerate(candidates)]
+    returns = seen.groupBy("_episode").agg(*sums)
+    good = lambda r: (F.col(r) > threshold) & ~F.isnan(r)
+    parts = [F.sum(f"r{i}").alias(f"s{i}") for i in range(len(sums))] + [F.count_if(good(f"r{i}")).alias(f"l{i}") for i in range(len(sums))]
+    totals = returns.agg(F.count(F.lit(1)).alias("_n"), *parts).filter("_n > 0")
+    rows = [F.struct(F.lit(i).cast("bigint").alias("idx"), F.col(f"s{i}").alias("reward"), F.col(f"l{i}").alias("landings"), F.col("s0").alias("baseline")) for i in range(len(sums))]
+    return totals.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
+
+
+def score_pool(observations: DataFrame, pool: DataFrame, size: int, episode: str, value: Column, threshold: float = 0.0, vector: str = "embedding", block: int = bitsets.PASS) -> DataFrame:
+    """score() for a table of features (predicates.POOL_SCHEMA, idx from 0 to size - 1), however many: one scan for each
+    `block` of them, which go to all tasks as columns of bounded size."""
+    out = None
+    for first in range(0, max(1, size), block):
+        some = pool.filter(F.col("idx").between(first, first + block - 1)).collect()
+        got = bitsets.score_programs(observations, bitsets.Programs.of_pool(some), episode, value, threshold, vector)
+        got = got.withColumn("idx", F.col("idx") + first)
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def scorer(observations: DataFrame, episode: str, value: Column, fallback=None, **named):
@@ -126,13 +129,26 @@ def stitch(keys: list[DataFrame], parts: list[tuple[DataFrame, dict]], key: str)
     return out
 
 
-def tails(rows: DataFrame, key: str, value: str) -> DataFrame:
+def tails(rows: DataFrame, key: str, value: str, most: int = numbering.MOST) -> DataFrame:
     """cvar10, worst, p10, mean, n of each key's values, over the k = max(1, n div 10) smallest; nulls and NaN left out.
 
-    Values are ranked, not collected: a key with any number of rows is sorted as a stream.
+    A key of up to `most` rows is ranked.  Larger ones are never sorted: their k-th smallest value is selected by
+    narrowing (numbering.smallest), and sums up to it do the rest, in all tasks that have rows of the key.
     """
     v = F.col(value)
     fine = rows.filter(v.isNotNull() & ~F.isnan(v)).select(key, value)
+    many = numbering.crowded(fine, key, most)
+    if many.isEmpty():
+        return _ranked_tails(fine, key, value)
+    ranks = written(many.withColumn("k", F.floor(F.col("n") / 10)), "ranks")
+    found = numbering.smallest(fine, key, value, ranks, most).join(F.broadcast(ranks), key)
+    low = fine.join(F.broadcast(found), key).groupBy(key, "k", "kth", "less").agg(F.coalesce(F.sum(F.when(v < F.col("kth"), v)), F.lit(0.0)).alias("below"), F.min(v).alias("worst"), F.avg(v).alias("mean"), F.count(F.lit(1)).alias("n"))
+    large = low.select(key, ((F.col("below") + (F.col("k") - F.col("less")) * F.col("kth")) / F.col("k")).alias("cvar10"), "worst", F.col("kth").alias("p10"), "mean", "n")
+    return _ranked_tails(fine.join(F.broadcast(ranks.select(key)), key, "left_anti"), key, value).unionByName(large)
+
+
+def _ranked_tails(fine: DataFrame, key: str, value: str) -> DataFrame:
+    v = F.col(value)
     ranked = fine.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(value)))
     sizes = fine.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") / 10)))
     low = F.when(F.col("i") <= F.col("k"), v)

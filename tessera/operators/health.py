@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import fold
+
 #: Fixed values, in seconds.
 STALL, SLOW, ORPHAN = 300, 3600, 1800
 
@@ -90,19 +92,23 @@ def stall_clock(ticks: DataFrame, key: str, grace: int = GRACE, timeout: int = T
 
     ticks: key, at (seconds), progressed, live (some worker can take its chunks).  Without progress for longer than the
     grace and without a worker the clock stands still just past the grace; with one it runs on to the timeout.  Only the
-    state goes along a batch's ticks, which are serial.
+    state goes along a batch's ticks, of any number.
     """
-    items = ticks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("bigint").alias("at"), "progressed", "live"))).alias("x"))
-    first = F.get("x", F.lit(0))["at"]
-    start = F.struct(first.alias("clock"), F.lit("running").alias("verdict"), F.lit(0).cast("bigint").alias("pauses"))
-
-    def step(s, x):
-        idle = x["at"] - s["clock"]
-        over, late = s["verdict"] != "running", x["at"] - first > deadline
-        paused = ~over & ~late & (idle > grace) & ~x["live"]
-        stalled = ~over & ~late & ~paused & (idle > timeout)
-        clock = F.when(paused, x["at"] - grace - 1).when(x["progressed"] & ~over & ~late & ~stalled, x["at"]).otherwise(s["clock"])
-        verdict = F.when(over, s["verdict"]).when(late, "deadline").when(stalled, "stalled").otherwise("running")
-        return F.struct(clock.alias("clock"), verdict.alias("verdict"), (s["pauses"] + F.when(paused, 1).otherwise(0)).alias("pauses"))
-
-    return items.select(key, F.aggregate("x", start, step).alias("s")).select(key, "s.verdict", "s.pauses")
+    kind = dict(ticks.dtypes)[key]
+    rows = ticks.select(F.col(key).alias("k"), F.col("at").cast("bigint").alias("at"), "progressed", "live")
+
+    def step(state, row):
+        first, clock, verdict, pauses = state
+        _, at, progressed, live = row
+        if verdict == "running":
+            if at - first > deadline:
+                verdict = "deadline"
+            elif at - clock > grace and not live:
+                clock, pauses = at - grace - 1, pauses + 1
+            elif at - clock > timeout:
+                verdict = "stalled"
+            elif progressed:
+                clock = at
+        return (first, clock, verdict, pauses), None
+
+    return fold(rows, "k", ["at", "progressed", "live"], lambda row: (row[1], row[1], "running", 0), step, f"{key} {kind}, verdict string, pauses bigint", lambda k, s: (k, s[2], s[3]))

@@ -5,30 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import MOST, fold, numbered
+
 EPSILON = 1e-9
 
 
-def gate(proposals: DataFrame, key: str, order: str, reward: str, evaluated_at: str | None = None, epsilon: float = EPSILON) -> DataFrame:
+def gate(proposals: DataFrame, key: str, order: str, reward: str, evaluated_at: str | None = None, epsilon: float = EPSILON, floor: str | None = None) -> DataFrame:
     """A lineage's proposals in order: outcome, version and best after each.
 
-    Stale (made for another version) comes first, then no_improvement, else committed.  The fold is serial in a
-    lineage and parallel over lineages; a lineage's rows are one array of small structs.
+    Stale (made for another version) comes first, then no_improvement, else committed.  `floor` names the column of a
+    baseline: the first one that a lineage has is what its first commit must pass.  The fold is serial in a lineage and
+    parallel over lineages; only the version and the best go along.
     """
-    items = proposals.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), F.col(reward).cast("double").alias("r"), (F.col(evaluated_at).cast("bigint") if evaluated_at else F.lit(None).cast("bigint")).alias("e")))).alias("x"))
-    kind = "array<struct<o:bigint,r:double,outcome:string,version:bigint,best:double>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("version"), F.lit(None).cast("double").alias("best"), F.array().cast(kind).alias("out"))
-
-    def step(s, x):
-        stale = x["e"].isNotNull() & (x["e"] != s["version"])
-        better = s["best"].isNull() | (x["r"] > s["best"] + epsilon)
-        outcome = F.when(stale, "stale").when(better, "committed").otherwise("no_improvement")
-        took = ~stale & better
-        version, best = s["version"] + F.when(took, 1).otherwise(0), F.when(took, x["r"]).otherwise(s["best"])
-        row = F.struct(x["o"].alias("o"), x["r"].alias("r"), outcome.alias("outcome"), version.alias("version"), best.alias("best"))
-        return F.struct(version.alias("version"), best.alias("best"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    done = items.select(key, F.explode(F.aggregate("x", start, step)["out"]).alias("y"))
-    return done.select(key, F.col("y.o").alias(order), F.col("y.r").alias(reward), F.col("y.outcome").alias("outcome"), F.col("y.version").alias("version"), F.col("y.best").alias("best"))
+    kinds = dict(proposals.dtypes)
+    rows = proposals.select(F.col(key), F.col(order).cast("bigint").alias("o"), F.col(reward).cast("double").alias("r"), (F.col(evaluated_at) if evaluated_at else F.lit(None)).cast("bigint").alias("e"), (F.col(floor) if floor else F.lit(None)).cast("double").alias("f"))
+    name = rows.columns[0]
+
+    def step(state, row):
+        (version, best), (of, at, r, seen, base) = state, row
+        if best is None:
+            best = base
+        if seen is not None and seen != version:
+            said = "stale"
+        elif r is not None and (best is None or r > best + epsilon):
+            said, version, best = "committed", version + 1, r
+        else:
+            said = "no_improvement"
+        return (version, best), (of, at, r, said, version, best)
+
+    out = fold(rows, name, ["o", "r", "e"], lambda row: (0, None), step, f"k {kinds[key]}, o bigint, r double, outcome string, version bigint, best double")
+    return out.select(F.col("k").alias(key), F.col("o").alias(order), F.col("r").alias(reward), "outcome", "version", "best")
 
 
 def replay(versions: DataFrame, key: str, version: str, state: str) -> DataFrame:
@@ -36,8 +42,9 @@ def replay(versions: DataFrame, key: str, version: str, state: str) -> DataFrame
     return versions.groupBy(key).agg(F.max_by(state, version).alias("state"), F.count(F.lit(1)).alias("versions"), ((F.max(version) - F.min(version) + 1 == F.count(F.lit(1))) & (F.min(version) == 0) & (F.countDistinct(version) == F.count(F.lit(1)))).alias("contiguous"))
 
 
-def renumber(versions: DataFrame, key: str, order: list) -> DataFrame:
-    return versions.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("bigint"))
+def renumber(versions: DataFrame, key: str, order: list, most: int = MOST) -> DataFrame:
+    """Versions numbered anew within their key, however many it has."""
+    return numbered(versions, key, order, most)
 
 
 def stale(average: Column, validated: Column, version: Column) -> Column:

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+from .numbering import MOST, numbered
+
 PAGE = 500
 CHUNK = 10
 #: Job states that a cancelled batch's jobs leave.
 WAITING = ("available", "retryable", "scheduled")
 
 
-def chunk_plan(items: DataFrame, batch: str, order: str, size: int = CHUNK) -> DataFrame:
-    """A row per chunk: batch, chunk_index, chunk_id, items (in order).  Numbering needs one shuffle by batch."""
-    at = F.row_number().over(Window.partitionBy(batch).orderBy(order)) - 1
-    cut = items.select(F.col(batch).alias("batch_id"), F.col(order).alias("item"), at.alias("pos")).withColumn("chunk_index", F.expr(f"CAST(pos DIV {size} AS int)"))
+def chunk_plan(items: DataFrame, batch: str, order: str, size: int = CHUNK, most: int = MOST) -> DataFrame:
+    """A row per chunk: batch, chunk_index, chunk_id, items (in order).  A batch of more than `most` items is numbered in
+    as many tasks as it fills."""
+    placed = numbered(items.select(F.col(batch).alias("batch_id"), F.col(order).alias("item")), "batch_id", ["item"], most)
+    cut = placed.select("batch_id", "item", (F.col("number") - 1).alias("pos")).withColumn("chunk_index", F.expr(f"CAST(pos DIV {size} AS int)"))
     chunks = cut.groupBy("batch_id", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("x"))
     return chunks.select("batch_id", "chunk_index", F.concat(F.col("batch_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.col("x.item").alias("items"))
 
@@ -77,6 +81,30 @@ def claim(jobs: DataFrame, capabilities: list[str] | None = None, k: int = 1) ->
     return jobs.withColumn("rn", rn).filter(F.col("rn") <= k).orderBy("pref", "priority", "rn", "id").limit(k)
 
 
+def claim_all(jobs: DataFrame, workers: DataFrame, default: str = "mujoco", most: int = MOST) -> DataFrame:
+    """What all workers' free slots get at once: worker_id, slot, pref, id.
+
+    jobs: id, batch_id, priority, scheduled_at, adapter; workers: worker_id, slots, capabilities (preferred ones first).
+    Slots claim in turn, all workers' first ones, then the second ones; a claim gets the next job of the first of its
+    capabilities that has one left, in order of priority, place in the batch, id.  That is claiming one by one, found by
+    deferred acceptance: claims ask for what they prefer, an adapter holds the earliest as far as its jobs go, the others
+    ask for what they prefer next.  As all adapters prefer earlier claims, there are no more rounds than adapters, and one.
+    """
+    queued = jobs.select("id", "batch_id", "priority", "scheduled_at", F.coalesce("adapter", F.lit(default)).alias("adapter"))
+    queued = numbered(queued.withColumn("_batch", F.struct("adapter", "batch_id")), "_batch", ["scheduled_at", "id"], most, "rn")
+    queued = written(numbered(queued.select("adapter", "priority", "rn", "id"), "adapter", ["priority", "rn", "id"], most, "place"), "job-queue")
+    room = queued.groupBy("adapter").agg(F.count(F.lit(1)).alias("room"))
+    every = F.explode(F.sequence(F.lit(0), F.col("slots").cast("int") - 1))
+    claims = workers.filter("slots > 0").select("worker_id", F.array_distinct("capabilities").alias("capabilities"), every.alias("slot")).withColumn("pref", F.lit(1))
+    while True:
+        asked = claims.withColumn("adapter", F.get("capabilities", F.col("pref") - 1)).filter("adapter IS NOT NULL")
+        held = numbered(asked, "adapter", ["slot", "worker_id"], most, "place").join(room, "adapter", "left")
+        held = written(held.withColumn("held", F.coalesce(F.col("place") <= F.col("room"), F.lit(False))), "claims")
+        if held.filter("NOT held").isEmpty():
+            return held.join(queued.select("adapter", "place", "id"), ["adapter", "place"]).select("worker_id", "slot", "pref", "id")
+        claims = held.select("worker_id", "capabilities", "slot", (F.col("pref") + F.when(F.col("held"), 0).otherwise(1)).alias("pref"))
+
+
 def cancel(batches: DataFrame, jobs: DataFrame, owners: DataFrame, also_executing: bool = False) -> tuple[DataFrame, DataFrame]:
     """Batches of the owners that are active, and their waiting jobs, turned to cancelled."""
     hit = batches.filter(F.col("status").isin("pending", "running")).join(owners, "experiment_id", "left_semi").select("batch_id")

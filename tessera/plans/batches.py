@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, lineage, queue
+from ..operators import aggregates, lineage, queue, windows
 from ..sources import json_commands
 from .bind import Tables
 from .registry import query
@@ -184,6 +184,18 @@ def capability_route(t):
     return queue.claim(_jobs(t), ["warp", "mujoco"], 30).select("id", "pref", F.col("rn").cast("bigint").alias("rn"))
 
 
+CAPABLE = "CASE s_suppkey % 4 WHEN 0 THEN {l}'warp', 'mujoco'{r} WHEN 1 THEN {l}'atari', 'warp'{r} WHEN 2 THEN {l}'mujoco'{r} ELSE {l}'atari', 'none', 'mujoco', 'warp'{r} END"
+CLAIMED = "WITH RECURSIVE f AS (SELECT *, coalesce(adapter, 'mujoco') AS ad FROM (" + JOBS + ")), n AS (SELECT *, row_number() OVER (PARTITION BY ad, batch_id ORDER BY scheduled_at, id) AS rn FROM f), q AS (SELECT id, ad, row_number() OVER (PARTITION BY ad ORDER BY priority, rn, id) AS place FROM n), room AS (SELECT count(*) FILTER (ad = 'warp') AS w, count(*) FILTER (ad = 'mujoco') AS m, count(*) FILTER (ad = 'atari') AS a FROM q), turns AS (SELECT s_suppkey AS worker_id, i AS slot, " + CAPABLE.replace("{l}", "[").replace("{r}", "]") + " AS caps, row_number() OVER (ORDER BY i, s_suppkey) AS turn FROM supplier, range(6) r(i) WHERE i < s_suppkey % 7), s AS (SELECT CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS w, CAST(0 AS BIGINT) AS m, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS worker_id, CAST(0 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS pref, '' AS ad UNION ALL SELECT turn, w + CASE WHEN ad = 'warp' THEN 1 ELSE 0 END, m + CASE WHEN ad = 'mujoco' THEN 1 ELSE 0 END, a + CASE WHEN ad = 'atari' THEN 1 ELSE 0 END, worker_id, slot, list_position(caps, ad), ad FROM (SELECT t.turn, s.w, s.m, s.a, t.worker_id, t.slot, t.caps, list_filter(t.caps, lambda c: CASE c WHEN 'warp' THEN s.w < room.w WHEN 'mujoco' THEN s.m < room.m WHEN 'atari' THEN s.a < room.a ELSE FALSE END)[1] AS ad FROM s JOIN turns t ON t.turn = s.turn + 1, room)) SELECT worker_id, CAST(slot AS BIGINT) AS slot, CAST(pref AS BIGINT) AS pref, q.id FROM s JOIN q ON q.ad = s.ad AND q.place = CASE s.ad WHEN 'warp' THEN s.w WHEN 'mujoco' THEN s.m ELSE s.a END WHERE s.ad IS NOT NULL"
+
+
+@query("F1 C12 C13 C14 G1", CLAIMED)
+def claim_round(t):
+    """All workers' slots at once, equal to claiming one by one."""
+    workers = t.supplier.select(F.col("s_suppkey").alias("worker_id"), (F.col("s_suppkey") % 7).alias("slots"), F.expr(CAPABLE.replace("{l}", "array(").replace("{r}", ")")).alias("capabilities"))
+    got = queue.claim_all(_jobs(t), workers)
+    return got.select("worker_id", F.col("slot").cast("bigint").alias("slot"), F.col("pref").cast("bigint").alias("pref"), "id")
+
+
 @query("C15 D6", "WITH w AS (SELECT worker_id, max(arrived) AS beat FROM {results} GROUP BY worker_id) SELECT CAST(worker_id % 3 AS BIGINT) AS adapter, count(*) AS live FROM w WHERE beat >= TIMESTAMP '2001-08-15' GROUP BY worker_id % 3")
 def live_worker(t):
     w = t.results().groupBy("worker_id").agg(F.max("arrived").alias("beat")).filter("beat >= TIMESTAMP '2001-08-15'")
@@ -219,7 +231,16 @@ def backfill_join(t):
     return t.batches().join(s, "batch_id", "left").select("batch_id", F.coalesce("good", F.lit(0).cast("bigint")).alias("good"), F.coalesce("total", "best_reward").alias("total"))
 
 
-@query("A7 A5", "SELECT batch_id, status, epoch_us(inserted_at) AS at_us FROM {batches} ORDER BY inserted_at DESC, batch_id DESC LIMIT 50")
+@query("D10 C20 F8", "WITH v AS (SELECT experiment_id, inserted_at AS arrived, max(batch_id) AS version FROM {batches} GROUP BY experiment_id, inserted_at), d AS (SELECT r.batch_id, r.chunk_index, r.item_id, r.worker_id, r.arrived, b.experiment_id FROM {results} r JOIN {batches} b ON b.batch_id = r.batch_id) SELECT d.batch_id, CAST(d.chunk_index AS BIGINT) AS chunk_index, d.item_id, d.worker_id, epoch_us(d.arrived) AS at_us, v.version, epoch_us(v.arrived) AS since_us FROM d ASOF LEFT JOIN v ON v.experiment_id = d.experiment_id AND d.arrived >= v.arrived")
+def version_in_force(t):
+    """Each delivery with the newest batch of its experiment when it arrived."""
+    b = t.batches()
+    d = t.results().join(b.select("batch_id", "experiment_id"), "batch_id").select("batch_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "item_id", "worker_id", "experiment_id", "arrived")
+    got = windows.as_of(d, b.select("experiment_id", F.col("inserted_at").alias("arrived"), F.col("batch_id").alias("version")), "experiment_id", "arrived")
+    return got.select("batch_id", "chunk_index", "item_id", "worker_id", F.unix_micros("arrived").alias("at_us"), "version", F.unix_micros("version_arrived").alias("since_us"))
+
+
+@query("A7", "SELECT batch_id, status, epoch_us(inserted_at) AS at_us FROM {batches} ORDER BY inserted_at DESC, batch_id DESC LIMIT 50")
 def recent_batches(t):
     return t.batches().orderBy(F.desc("inserted_at"), F.desc("batch_id")).limit(50).select("batch_id", "status", F.unix_micros("inserted_at").alias("at_us"))
 

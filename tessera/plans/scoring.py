@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import actions, predicates, traces
-from ..operators import aggregates, rollout, search
+from ..operators import aggregates, bitsets, rollout, search
 from ..sources import json_commands
 from .bind import Tables
 from .registry import query
@@ -220,22 +220,47 @@ def tail_stats(t):
     return s.select("user_id", F.round("cvar10", 6).alias("cvar10"), "worst", "p10", F.round("mean", 6).alias("mean"), F.col("n").cast("bigint").alias("n"))
 
 
+@query("E16", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), k AS (SELECT *, greatest(1, n // 10) AS k FROM r) SELECT event_type, round(avg(value) FILTER (i <= k), 6) AS cvar10, min(value) AS worst, max(value) FILTER (i = k) AS p10, round(avg(value), 6) AS mean, CAST(max(n) AS BIGINT) AS n FROM k GROUP BY event_type")
+def tails_by_type(t):
+    """A fifth of all rows a key: selected by narrowing, not sorted."""
+    s = aggregates.tails(t.events, "event_type", "value", most=64)
+    return s.select("event_type", F.round("cvar10", 6).alias("cvar10"), "worst", "p10", F.round("mean", 6).alias("mean"), F.col("n").cast("bigint").alias("n"))
+
+
 @query("K9", "WITH c AS (SELECT vec_id, CAST(floor(" + D(0) + " * 4) AS BIGINT) AS c0, CAST(floor(" + D(1) + " * 4) AS BIGINT) AS c1, " + D(7) + " AS ret FROM embeddings) SELECT c0, c1, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY c0, c1 ORDER BY ret, vec_id) AS n FROM c) WHERE n = 1")
 def counterexample_elites(t):
     e = t.embeddings.select("vec_id", F.expr(X(0)).alias("x0"), F.expr(X(1)).alias("x1"), F.expr(X(7)).alias("ret"))
     return search.elites(e, {"c0": ("x0", 4.0), "c1": ("x1", 4.0)}, "ret", "vec_id")
 
 
-POOL_SQL = "SELECT r.n AS idx, CASE r.n % 3 WHEN 0 THEN 'axis' WHEN 1 THEN 'diag' ELSE 'cos_axis' END AS kind, CAST(r.n % 60 AS INT) AS i, CAST((r.n * 7 + 1) % 60 AS INT) AS j, 0 AS k, CAST(r.n // 60 AS DOUBLE) / 10 - 0.1::DOUBLE AS a, 0.0::DOUBLE AS b FROM range(240) r(n)"
+POOL_SQL = "SELECT r.n AS idx, CASE r.n % 3 WHEN 0 THEN 'axis' WHEN 1 THEN 'diag' ELSE 'cos_axis' END AS kind, CAST(r.n % 60 AS INT) AS i, CAST((r.n * 7 + 1) % 60 AS INT) AS j, 0 AS k, CAST(r.n // 60 AS DOUBLE) / 10 - 0.1::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM range(240) r(n)"
 
 
 @query("E14 D11 D12", "WITH p AS (" + POOL_SQL + "), e AS (SELECT idx, label, sum(CASE WHEN " + predicates.pooled("embedding", "{c}[{i} + 1]") + f" THEN {D(7)} ELSE -{D(7)} END) AS ret FROM embeddings, p GROUP BY idx, label) SELECT idx, round(sum(ret), 6) + 0.0 AS reward, count(*) FILTER (ret > 0) AS landings FROM e GROUP BY idx")
 def pool_scores(t):
-    pool = t.spark.range(240).selectExpr("id AS idx", "CASE id % 3 WHEN 0 THEN 'axis' WHEN 1 THEN 'diag' ELSE 'cos_axis' END AS kind", "CAST(id % 60 AS INT) AS i", "CAST((id * 7 + 1) % 60 AS INT) AS j", "0 AS k", "CAST(id div 60 AS DOUBLE) / 10 - 0.1D AS a", "0D AS b")
-    scores = aggregates.score_pool(t.embeddings, pool, 240, "label", F.expr(X(7)), block=100)
+    pool = t.spark.range(240).selectExpr("id AS idx", "CASE id % 3 WHEN 0 THEN 'axis' WHEN 1 THEN 'diag' ELSE 'cos_axis' END AS kind", "CAST(id % 60 AS INT) AS i", "CAST((id * 7 + 1) % 60 AS INT) AS j", "0 AS k", "CAST(id div 60 AS DOUBLE) / 10 - 0.1D AS a", "0D AS b", "0D AS c")
+    scores = aggregates.score_pool(t.embeddings, pool, 240, "label", F.expr(X(7)))
     return scores.select("idx", (F.round("reward", 6) + 0.0).alias("reward"), "landings")
 
 
+#: Features of all nine kinds, their numbers taken from the table's first rows; then all pairs, with and, or, and not.
+ATOM_KIND = "CASE vec_id % 9 WHEN 0 THEN 'axis' WHEN 1 THEN 'diag' WHEN 2 THEN 'sq_diag' WHEN 3 THEN 'prod' WHEN 4 THEN 'tridiag' WHEN 5 THEN 'sin_axis' WHEN 6 THEN 'cos_axis' WHEN 7 THEN 'wavelet_box' ELSE 'wavelet_ricker' END"
+ATOMS_SQL = f"SELECT vec_id AS idx, {ATOM_KIND} AS kind, CAST(vec_id % 60 AS INT) AS i, CAST((vec_id * 7 + 1) % 60 AS INT) AS j, CAST((vec_id * 11 + 2) % 60 AS INT) AS k, {D(0)} * 4 AS a, {D(1)} * 4 + 0.1::DOUBLE AS b, {D(2)} * 4 AS c FROM embeddings WHERE vec_id < 100"
+PAIRS_SQL = "SELECT n AS idx, n % 100 AS l, n // 100 AS r, (n % 100 + n // 100) % 4 AS op FROM range(10000) g(n)"
+COMPOUND = "WITH a AS (" + ATOMS_SQL + "), t AS (SELECT vec_id, label, " + D(7) + " AS v, embedding AS e FROM embeddings), b AS (SELECT t.vec_id, list(" + predicates.pooled("t.e", "{c}[{i} + 1]") + " ORDER BY idx) AS bits FROM t, a GROUP BY t.vec_id), s AS (SELECT p.idx, t.label, sum(CASE WHEN CASE p.op WHEN 0 THEN bits[l + 1] AND bits[r + 1] WHEN 1 THEN bits[l + 1] OR bits[r + 1] WHEN 2 THEN bits[l + 1] AND NOT bits[r + 1] ELSE bits[l + 1] OR NOT bits[r + 1] END THEN v ELSE -v END) AS ret FROM b JOIN t ON t.vec_id = b.vec_id, (" + PAIRS_SQL + ") p GROUP BY p.idx, t.label) SELECT idx, round(sum(ret), 6) + 0.0 AS reward, count(*) FILTER (ret > 0) AS landings FROM s GROUP BY idx"
+
+
+@query("E14 D12 L1 C11", COMPOUND)
+def compound_pool(t):
+    """Ten thousand trees over a hundred features, in one scan."""
+    e = lambda i: F.expr(X(i)) * 4
+    row = t.embeddings.filter("vec_id < 100").select(F.col("vec_id").alias("idx"), F.expr(ATOM_KIND).alias("kind"), *((F.col("vec_id") * m + a).alias(n) % 60 for n, m, a in (("i", 1, 0), ("j", 7, 1), ("k", 11, 2))), e(0).alias("a"), (e(1) + 0.1).alias("b"), e(2).alias("c"))
+    atoms = row.toDF("idx", "kind", "i", "j", "k", "a", "b", "c").collect()
+    pairs = [{"left": n % 100, "right": n // 100, "op": ("and", "or")[(n % 100 + n // 100) % 2], "negated": (n % 100 + n // 100) % 4 > 1} for n in range(10_000)]
+    programs = bitsets.Programs.of_pool(atoms, [p for p in pairs if max(p["left"], p["right"]) < len(atoms)])
+    return bitsets.score_programs(t.embeddings, programs, "label", F.expr(X(7))).select("idx", (F.round("reward", 6) + 0.0).alias("reward"), "landings")
+
+
 FEATURES = search.atoms(4) + search.atoms(3, ("prod",), (0.01,))
 
 
