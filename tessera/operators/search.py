@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import identity, largest_index
+from ..storage import written
 from .aggregates import score_bit
 from .lineage import EPSILON
 
@@ -107,6 +108,36 @@ def elites(states: DataFrame, descriptors: dict[str, tuple[str, float]], score:
     return states.select(*cells, score, state_id).groupBy(*descriptors).agg(F.min_by(state_id, F.struct(score, state_id)).alias(state_id))
 
 
+def spread(key: Column, *parts: Column) -> Column:
+    """A number in [0, 1) that looks random, from texts: the same on every engine with MD5."""
+    text = F.concat_ws(":", *(p.cast("string") for p in (key, *parts)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def archive(states: DataFrame, cells: int, score: Callable[[Column], Column], generations: int, seed: int = 0, step: float = 0.25, places: int = 9) -> DataFrame:
+    """A quality-diversity archive after some generations: c0, c1, generation, id, score, x.
+
+    states: id (text), x (array of numbers).  A cell, of which the first two numbers have `cells` a unit, holds the state
+    of the lowest score (ties go to the least id).  Each generation every elite has one child, its numbers moved by up to
+    half a step by a seeded hash of its id, and the archive takes the child if its cell is empty or held by a worse state,
+    so that a cell's score never rises.  The archive is as large as it has cells, however many states there are.
+    """
+    cell = lambda k: F.floor(F.get("x", F.lit(k)) * cells).cast("bigint")
+
+    def best(rows):
+        held = F.min_by(F.struct("generation", "x"), F.struct("score", "id"))
+        top = rows.withColumns({"c0": cell(0), "c1": cell(1)}).groupBy("c0", "c1").agg(F.min(F.struct("score", "id")).alias("m"), held.alias("h"))
+        return written(top.select("c0", "c1", "h.generation", "m.id", "m.score", "h.x"), "archive")
+
+    scored = lambda rows: rows.withColumn("score", F.round(score(F.col("x")), places) + 0.0)
+    found = best(scored(states.select("id", "x", F.lit(0).alias("generation"))))
+    for n in range(1, generations + 1):
+        moved = F.transform("x", lambda v, i: F.round(v + F.lit(step) * (spread(F.lit(seed), F.lit(n), F.col("id"), i) - 0.5), places) + 0.0)
+        children = found.select("id", moved.alias("x"), F.lit(n).alias("generation")).withColumn("id", F.concat("id", F.lit(f".{n}")))
+        found = best(found.select("id", "x", "generation", "score").unionByName(scored(children)))
+    return found
+
+
 def crossed(a, b, rng: Random):
     """A child of two terms: one of them, both under a connective, or one with a part of the other in its place."""
     kind = rng.randrange(4)

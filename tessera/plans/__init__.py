@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import batches, experiments, scoring  # noqa: F401
+from . import batches, experiments, scoring, streams  # noqa: F401
 from .registry import OPERATORS, QUERIES, SQL
 
 __all__ = ["OPERATORS", "QUERIES", "SQL"]

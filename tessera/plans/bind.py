@@ -18,6 +18,12 @@ class Tables:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return df.select(*(F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in df.dtypes))
 
+    def stream(self, name: str) -> DataFrame:
+        """The table as a stream."""
+        from ..streaming.stateful import table_stream
+
+        return table_stream(self.spark, f"{self.sf_dir}/{name}.parquet")
+
     def batches(self) -> DataFrame:
         """orders as batches."""
         status = F.expr("CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'pending' END")

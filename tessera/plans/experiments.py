@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import signature
 from ..operators import aggregates, health, lineage, windows
-from ..sources import json_commands, read_api
+from ..sources import json_commands, read_api, retention
+from ..storage import shared_dir
 from .batches import ONCE, once
 from .bind import Tables
 from .registry import query
@@ -225,7 +226,18 @@ def unowned_batches(t):
     return health.unowned(b, as_of(), 900 * 86400).select("batch_id")
 
 
-@query("B12 B18 M4", f"SELECT arrived >= TIMESTAMP '{AS_OF}' - INTERVAL 400 DAY AS kept, count(*) AS n FROM {{results}} GROUP BY 1")
+@query("B12 B18 M4", f"SELECT batch_id, CAST(chunk_index AS BIGINT) AS chunk_index, worker_id, reward, epoch_us(arrived) AS at_us FROM {{results}} WHERE arrived >= TIMESTAMP '{AS_OF}' - INTERVAL 400 DAY")
+def retained_results(t):
+    """Results laid out by month, those older than 400 days deleted, and read back."""
+    path = shared_dir(t.spark, "results") + "/table"
+    cutoff = as_of() - F.expr("INTERVAL 400 DAYS")
+    retention.lay_out(t.results(), path, "arrived")
+    retention.prune(t.spark, path, "arrived", cutoff)
+    kept = retention.read_since(t.spark, path, "arrived", cutoff)
+    return kept.select("batch_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "worker_id", "reward", F.unix_micros("arrived").alias("at_us"))
+
+
+@query("B12", f"SELECT arrived >= TIMESTAMP '{AS_OF}' - INTERVAL 400 DAY AS kept, count(*) AS n FROM {{results}} GROUP BY 1")
 def prune_results(t):
     return t.results().groupBy((F.col("arrived") >= as_of() - F.expr("INTERVAL 400 DAYS")).alias("kept")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -319,13 +331,13 @@ def discarded_jobs(t):
     return health.discarded(jobs, owners)
 
 
-CLOCK = "WITH RECURSIVE k AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_type = 'purchase', value < 50) AS k, epoch_us(ts) // 1000000 AS sec, event_type = 'purchase' AS p, value < 50 AS live FROM events), s AS (SELECT user_id, CAST(0 AS BIGINT) AS k, sec AS start_sec, sec AS clock, 'running' AS verdict, CAST(0 AS BIGINT) AS pauses FROM k WHERE k = 1 UNION ALL SELECT user_id, k, start_sec, CASE WHEN NOT over AND NOT late AND paused THEN sec - 20001 WHEN p AND NOT over AND NOT late AND NOT (sec - clock > 60000) THEN sec ELSE clock END, CASE WHEN over THEN verdict WHEN late THEN 'deadline' WHEN NOT paused AND sec - clock > 60000 THEN 'stalled' ELSE 'running' END, pauses + CASE WHEN NOT over AND NOT late AND paused THEN 1 ELSE 0 END FROM (SELECT s.user_id, k.k, s.start_sec, s.clock, s.verdict, s.pauses, k.sec, k.p, s.verdict <> 'running' AS over, k.sec - s.start_sec > 1500000 AS late, k.sec - s.clock > 20000 AND NOT k.live AS paused FROM s JOIN k ON k.user_id = s.user_id AND k.k = s.k + 1) x)"
+CLOCK = "WITH RECURSIVE k AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_type = 'purchase', value < 50) AS k, epoch_us(ts) // 1000000 AS sec, event_type = 'purchase' AS p, value < 50 AS live FROM events), s AS (SELECT user_id, CAST(0 AS BIGINT) AS k, sec AS start_sec, sec AS clock, 'running' AS verdict, CAST(0 AS BIGINT) AS pauses FROM k WHERE k = 1 UNION ALL SELECT user_id, k, start_sec, CASE WHEN NOT over AND NOT late AND paused THEN sec - 40001 WHEN p AND NOT over AND NOT late AND NOT (sec - clock > 250000) THEN sec ELSE clock END, CASE WHEN over THEN verdict WHEN late THEN 'deadline' WHEN NOT paused AND sec - clock > 250000 THEN 'stalled' ELSE 'running' END, pauses + CASE WHEN NOT over AND NOT late AND paused THEN 1 ELSE 0 END FROM (SELECT s.user_id, k.k, s.start_sec, s.clock, s.verdict, s.pauses, k.sec, k.p, s.verdict <> 'running' AS over, k.sec - s.start_sec > 2540000 AS late, k.sec - s.clock > 40000 AND NOT k.live AS paused FROM s JOIN k ON k.user_id = s.user_id AND k.k = s.k + 1) x)"
 
 
 @query("J10", CLOCK + " SELECT user_id, arg_max(verdict, k) AS verdict, max(pauses) AS pauses FROM s GROUP BY user_id")
 def pause_clock(t):
     ticks = t.events.select("user_id", F.unix_seconds("ts").alias("at"), (F.col("event_type") == "purchase").alias("progressed"), (F.col("value") < 50).alias("live"))
-    return health.stall_clock(ticks, "user_id", 20_000, 60_000, 1_500_000)
+    return health.stall_clock(ticks, "user_id", 40_000, 250_000, 2_540_000)
 
 
 @query("A13 B16", "WITH a AS (SELECT DISTINCT l_orderkey AS batch_id FROM lineitem UNION SELECT -1) SELECT a.batch_id, CAST(CASE WHEN b.batch_id IS NULL THEN 404 ELSE 200 END AS BIGINT) AS status, CASE WHEN b.batch_id IS NULL THEN '{\"error\":\"not_found\",\"batch_id\":' || a.batch_id || '}' ELSE '{\"batch_id\":' || b.batch_id || ',\"status\":\"' || b.status || '\"}' END AS body FROM a LEFT JOIN {batches} b ON b.batch_id = a.batch_id")

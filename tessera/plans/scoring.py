@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import actions, predicates, traces
-from ..operators import aggregates, bitsets, rollout, search
+from ..operators import aggregates, bitsets, rollout, search, steps
 from ..sources import json_commands
 from .bind import Tables
 from .registry import query
@@ -278,3 +278,72 @@ def search_round(t):
     log = search.cegar(search.Policy([CURRENT]), 1, 3, lambda policy: [0], optimize, validate)
     shown = t.spark.createDataFrame([(r["round"], r["before"], r["after"], r["commits"], r["reverted"]) for r in log], "round bigint, before double, after double, commits bigint, reverted boolean")
     return shown.withColumns({c: F.round(c, 6) + 0.0 for c in ("before", "after")})
+
+
+#: A step's pool, the bits of a policy, and the rounds and waves of its search.
+POOL_TERMS = ["falsep", *(f("axis", i, 0.0) for i in range(8)), *(f("prod", i, i + 1, 0.0) for i in range(3)), f("cos_axis", 9, 0.995), ["or", f("axis", 2, -0.1), f("axis", 3, -0.1)], ["not", f("axis", 0, 0.0)], ["not", f("axis", 1, 0.0)], ["and", ["not", f("axis", 0, -0.1)], f("axis", 4, 0.1)]]
+STEP_BITS, ROUNDS, WAVES = 4, 2, 3
+
+
+def _payoff_sql(code: str) -> str:
+    return f"(-(o.y - (-1.0::DOUBLE + 2.0::DOUBLE * ({code}) / 15.0::DOUBLE)) * (o.y - (-1.0::DOUBLE + 2.0::DOUBLE * ({code}) / 15.0::DOUBLE)))"
+
+
+def _steps_sql() -> str:
+    """The loop unrolled: a state per wave, each from the one before it."""
+    truths = ", ".join(predicates.to_sql(t, D) for t in POOL_TERMS)
+    code = " + ".join(f"CASE WHEN o.t[s.terms[{b + 1}] + 1] THEN {1 << b} ELSE 0 END" for b in range(STEP_BITS))
+    parts = [f"o AS MATERIALIZED (SELECT label AS lineage, [{truths}] AS t, ({D(0)} + {D(1)}) * 3 AS y, vec_id % 3 = 0 AS held FROM embeddings)", f"p0 AS MATERIALIZED (SELECT DISTINCT lineage, {[0] * STEP_BITS} AS terms, 0 AS version, NULL::DOUBLE AS best, NULL::DOUBLE AS baseline FROM o WHERE NOT held)"]
+    for r in range(1, ROUNDS + 1):
+        parts.append(f"w{r}_0 AS MATERIALIZED (SELECT *, {[False] * STEP_BITS} AS settled, 0 AS commits, 0 AS stale, 0 AS idle, FALSE AS saturated FROM p{r - 1})")
+        for k in range(1, WAVES + 1):
+            old = f"w{r}_{k - 1}"
+            parts += [
+                f"e{r}_{k} AS MATERIALIZED (SELECT s.lineage, o.t, o.y, {code} AS code FROM o JOIN {old} s ON s.lineage = o.lineage WHERE NOT o.held)",
+                f"n{r}_{k} AS MATERIALIZED (SELECT lineage, round(sum({_payoff_sql('code')}), 9) AS now FROM e{r}_{k} o GROUP BY lineage)",
+                f"c{r}_{k} AS MATERIALIZED (SELECT lineage, b, c, round(sum({_payoff_sql('code - (code & (1 << b)) + CASE WHEN o.t[c + 1] THEN 1 << b ELSE 0 END')}), 9) AS rew FROM e{r}_{k} o, (SELECT CAST(range AS INT) AS b FROM range({STEP_BITS})), (SELECT CAST(range AS INT) AS c FROM range({len(POOL_TERMS)})) GROUP BY lineage, b, c)",
+                f"b{r}_{k} AS MATERIALIZED (SELECT lineage, b, max(rew) AS rew, arg_max(c, (rew, -c)) AS c FROM c{r}_{k} GROUP BY lineage, b)",
+                f"g{r}_{k} AS MATERIALIZED (SELECT s.lineage, n.now, count(*) FILTER (NOT s.settled[b + 1]) AS n_open, count(*) FILTER (NOT s.settled[b + 1] AND rew > coalesce(s.best, n.now) + 1e-9) AS n_better, min(b) FILTER (NOT s.settled[b + 1] AND rew > coalesce(s.best, n.now) + 1e-9) AS fb FROM {old} s JOIN n{r}_{k} n ON n.lineage = s.lineage JOIN b{r}_{k} b ON b.lineage = s.lineage GROUP BY s.lineage, n.now)",
+                f"w{r}_{k} AS MATERIALIZED (SELECT s.lineage, CASE WHEN took THEN list_transform(s.terms, lambda x, i: CASE WHEN i = fb + 1 THEN fc ELSE x END) ELSE s.terms END AS terms, version + took::INT AS version, CASE WHEN took THEN fr ELSE coalesce(s.best, now) END AS best, coalesce(baseline, now) AS baseline, CASE WHEN took THEN list_transform(s.settled, lambda x, i: x OR i = fb + 1) ELSE s.settled END AS settled, commits + took::INT AS commits, stale + CASE WHEN took THEN n_better - 1 ELSE 0 END AS stale, idle + CASE WHEN saturated THEN 0 ELSE n_open - n_better END AS idle, saturated OR n_better = 0 AS saturated FROM (SELECT s.*, g.now, g.n_open, g.n_better, g.fb, b.c AS fc, b.rew AS fr, NOT s.saturated AND g.n_better > 0 AS took FROM {old} s JOIN g{r}_{k} g ON g.lineage = s.lineage LEFT JOIN b{r}_{k} b ON b.lineage = s.lineage AND b.b = g.fb) s)",
+            ]
+        for name, of in (("x", f"p{r - 1}"), ("z", f"w{r}_{WAVES}")):
+            parts.append(f"{name}{r} AS MATERIALIZED (SELECT lineage, round(avg({_payoff_sql('code')}), 9) AS v FROM (SELECT s.lineage, o.y, {code} AS code FROM o JOIN {of} s ON s.lineage = o.lineage WHERE o.held) o GROUP BY lineage)")
+        parts.append(f"l{r} AS MATERIALIZED (SELECT w.*, x.v AS before, z.v AS after, coalesce(commits > 0 AND z.v < x.v - 1e-9, FALSE) AS reverted, p.terms AS old_terms, p.best AS old_best FROM w{r}_{WAVES} w JOIN p{r - 1} p ON p.lineage = w.lineage LEFT JOIN x{r} x ON x.lineage = w.lineage LEFT JOIN z{r} z ON z.lineage = w.lineage)")
+        parts.append(f"p{r} AS MATERIALIZED (SELECT lineage, CASE WHEN reverted THEN old_terms ELSE terms END AS terms, version + reverted::INT AS version, CASE WHEN reverted THEN coalesce(old_best, baseline) ELSE best END AS best, baseline FROM l{r})")
+    rows = " UNION ALL ".join(f"SELECT l.lineage, {r} AS round, l.before, l.after, l.commits, l.stale, l.idle, l.reverted, p.version, p.best, p.baseline, array_to_string(p.terms, ',') AS terms, '{'completed' if r == ROUNDS else 'running'}' AS status, {min(r + 1, ROUNDS)} AS next_round FROM l{r} l JOIN p{r} p ON p.lineage = l.lineage" for r in range(1, ROUNDS + 1))
+    whole = lambda c: f"CAST({c} AS BIGINT) AS {c}"
+    return "WITH " + ", ".join(parts) + f" SELECT {', '.join(map(whole, ('lineage', 'round', 'commits', 'stale', 'idle', 'version', 'next_round')))}, round(before, 6) + 0.0 AS before, round(after, 6) + 0.0 AS after, round(best, 6) + 0.0 AS best, round(baseline, 6) + 0.0 AS baseline, reverted, terms, status FROM ({rows})"
+
+
+@query("L7 L8 L10 L13 L9 L6 E21 H6", _steps_sql())
+def search_steps(t):
+    """Two rounds of all labels' lineages: every open bit's candidates in one job a wave."""
+    y = (F.expr(X(0)) + F.expr(X(1))) * 3
+    rows = steps.observed(t.embeddings, "label", POOL_TERMS, {"y": y, "held": F.col("vec_id") % 3 == 0})
+    error = lambda code: F.col("y") - (F.lit(-1.0) + 2.0 * code / F.lit(15.0))
+    log = steps.search(rows.filter("NOT held"), rows.filter("held"), len(POOL_TERMS), STEP_BITS, lambda code: -error(code) * error(code), ROUNDS, WAVES)
+    whole = [F.col(c).cast("bigint").alias(c) for c in ("lineage", "round", "commits", "stale", "idle", "version", "next_round")]
+    return log.select(*whole, *((F.round(c, 6) + 0.0).alias(c) for c in ("before", "after", "best", "baseline")), "reverted", F.array_join(F.transform("terms", lambda x: x.cast("string")), ",").alias("terms"), "status")
+
+
+GENERATIONS = 3
+
+
+def _archive_sql() -> str:
+    best = lambda name, rows: f"{name} AS MATERIALIZED (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY floor(x[1] * 4), floor(x[2] * 4) ORDER BY score, id) AS k FROM ({rows})) WHERE k = 1)"
+    score = "round(x[3] - x[1] * x[1] + x[2] * x[2], 9) + 0.0 AS score"
+    start = f"SELECT vec_id::VARCHAR AS id, [{', '.join(f'round({D(i)}, 9) + 0.0' for i in (0, 1, 7))}] AS x, 0 AS generation FROM embeddings"
+    parts = [best("a0", f"SELECT *, {score} FROM ({start})")]
+    for n in range(1, GENERATIONS + 1):
+        moved = f"list_transform(x, lambda v, i: round(v + 0.25::DOUBLE * (CAST('0x' || substr(md5(concat('7:{n}:', id, ':', i - 1)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE - 0.5), 9) + 0.0)"
+        parts.append(best(f"a{n}", f"SELECT id, x, generation, score FROM a{n - 1} UNION ALL SELECT nid AS id, nx AS x, generation, {score.replace('x[', 'nx[')} FROM (SELECT concat(id, '.{n}') AS nid, {moved} AS nx, {n} AS generation FROM a{n - 1})"))
+    return "WITH " + ", ".join(parts) + f" SELECT CAST(floor(x[1] * 4) AS BIGINT) AS c0, CAST(floor(x[2] * 4) AS BIGINT) AS c1, CAST(generation AS BIGINT) AS generation, id, score FROM a{GENERATIONS}"
+
+
+@query("K9 G8", _archive_sql())
+def quality_archive(t):
+    """Counterexamples in cells of two coordinates, grown from all observations by seeded mutation."""
+    states = t.embeddings.select(F.col("vec_id").cast("string").alias("id"), F.array(*(F.round(F.expr(X(i)), 9) + 0.0 for i in (0, 1, 7))).alias("x"))
+    x = lambda v, k: F.get(v, F.lit(k))
+    found = search.archive(states, 4, lambda v: x(v, 2) - x(v, 0) * x(v, 0) + x(v, 1) * x(v, 1), GENERATIONS, seed=7)
+    return found.select("c0", "c1", F.col("generation").cast("bigint").alias("generation"), "id", "score")
