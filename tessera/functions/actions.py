@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,16 +14,21 @@ def decode(bits: list[Column], low: float, high: float) -> Column:
     return F.lit(float(low)) + F.lit(float(high - low)) * code / F.lit(float((1 << len(bits)) - 1))
 
 
-def grid(spark: SparkSession, low: float, high: float, levels: int, dims: int) -> DataFrame:
-    """All actions of `levels` even steps in each dimension: id, a0, a1, ..."""
-    step = (high - low) / (levels - 1) if levels > 1 else 0.0
-    cell = F.col("id")
-    return spark.range(levels**dims).select("id", *((F.lit(float(low)) + F.expr(f"id div {levels ** k} % {levels}").cast("double") * F.lit(float(step))).alias(f"a{k}") for k in range(dims))).withColumn("id", cell)
+def grids(rows: DataFrame, levels: str, dims: str, most: int, low: float = -1.0, high: float = 1.0) -> DataFrame:
+    """For each row all actions of its number of even levels in its number of dimensions: the row, id, a0, a1, ... up to
+    `most` dimensions, null beyond its own; the first dimension moves fastest."""
+    n, d = F.col(levels).cast("bigint"), F.col(dims)
+    each = rows.withColumn("id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.pow(n, d).cast("bigint") - 1)))
+    step = F.when(n > 1, (high - low) / (n - 1)).otherwise(0.0)
+    digit = lambda k: (F.floor(F.col("id") / F.pow(n, F.lit(k))).cast("bigint") % n).cast("double")
+    return each.select("*", *(F.when(d > k, F.lit(float(low)) + digit(k) * step).alias(f"a{k}") for k in range(most)))
 
 
-def codes(spark: SparkSession, n: int) -> DataFrame:
-    """All settings of n bits: code, bits (array)."""
-    return spark.range(1 << n).select(F.col("id").alias("code"), F.array(*(F.shiftright("id", k).bitwiseAND(F.lit(1)).cast("int") for k in range(n))).alias("bits"))
+def codes(rows: DataFrame, bits: str) -> DataFrame:
+    """For each row all settings of its number of bits: the row, code, bits_set (array, the lowest first)."""
+    n = F.col(bits).cast("int")
+    each = rows.withColumn("code", F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("shiftleft", F.lit(1).cast("bigint"), n) - 1)))
+    return each.withColumn("bits_set", F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.call_function("shiftright", F.col("code"), k).bitwiseAND(F.lit(1)).cast("int")))
 
 
 def _rest(array: Column, skip: int) -> Column:
@@ -48,26 +53,34 @@ OBSERVATIONS = {
 }
 
 
-def _locomotion(spec: dict, before: dict, after: dict, ctrl: Column) -> Column:
-    """Way made, less the cost of control, and a bonus while the height is in its closed range."""
-    x = F.lit(int(spec.get("x_index", 0)))
-    forward = F.lit(float(spec.get("forward_weight", 1.0))) * (F.get(after["q"], x) - F.get(before["q"], x)) / F.lit(float(spec.get("dt", 0.05)))
-    out = forward - F.lit(float(spec.get("ctrl_weight", 0.5))) * F.aggregate(ctrl, F.lit(0.0), lambda a, u: a + u * u)
-    bonus = float(spec.get("healthy_reward", 0.0))
-    if bonus and spec.get("z_idx") is not None:
-        z = F.get(after["q"], F.lit(int(spec["z_idx"])))
-        out = out + F.when(z.between(float(spec["z_lo"]), float(spec["z_hi"])), bonus).otherwise(0.0)
-    return out
+#: A reward is a sum of weighted terms: (weight, term, what the term takes).  Terms by name, of the states before and
+#: after a step and the controls.
+TERMS = {
+    "speed": lambda s, t, u, at, dt: (F.get(t["q"], F.lit(at)) - F.get(s["q"], F.lit(at))) / F.lit(dt),
+    "effort": lambda s, t, u: F.aggregate(u, F.lit(0.0), lambda a, x: a + x * x),
+    "within": lambda s, t, u, at, lo, hi: F.get(t["q"], F.lit(at)).between(lo, hi).cast("double"),
+    "upright": lambda s, t, u, above: F.when(_tip(t) <= above, 0.0).otherwise(1.0),
+    "lean": lambda s, t, u, scale, goal: scale * F.get(t["tip"], F.lit(0)) * F.get(t["tip"], F.lit(0)) + (_tip(t) - goal) * (_tip(t) - goal),
+    "spin": lambda s, t, u, weights: reduce(lambda a, b: a + b, (w * F.get(t["v"], F.lit(k)) * F.get(t["v"], F.lit(k)) for k, w in weights.items())),
+}
 
 
-def _balance(spec: dict, before: dict, after: dict, ctrl: Column) -> Column:
-    """A bonus while the tip is above 1, less its distance from upright and what the two hinges move."""
-    x, y = F.get(after["tip"], F.lit(0)), _tip(after)
-    v1, v2 = F.get(after["v"], F.lit(1)), F.get(after["v"], F.lit(2))
-    return F.when(y <= 1.0, 0.0).otherwise(10.0) - (0.01 * x * x + (y - 2.0) * (y - 2.0)) - (1e-3 * v1 * v1 + 5e-3 * v2 * v2)
+def _moving(spec: dict) -> list[tuple]:
+    """Way made, less the cost of control, and a bonus while the height is in its range."""
+    given = lambda key: spec.get(key, REWARD_DEFAULTS[key])
+    terms = [(given("forward_weight"), "speed", (int(given("x_index")), float(given("dt")))), (-given("ctrl_weight"), "effort", ())]
+    if given("healthy_reward") and spec.get("z_idx") is not None:
+        terms.append((given("healthy_reward"), "within", (int(spec["z_idx"]), float(spec["z_lo"]), float(spec["z_hi"]))))
+    return terms
 
 
-REWARDS = {"locomotion": _locomotion, "idp": _balance}
+# The descriptor's keys of a moving body's reward, with their defaults.
+REWARD_DEFAULTS = {"x_index": 0, "forward_weight": 1.0, "dt": 0.05, "ctrl_weight": 0.5, "healthy_reward": 0.0}
+# A balanced pole's bonus, the height it needs and aims at, and the weights of lean and of its hinges' speeds.
+BALANCED = [(10.0, "upright", (1.0,)), (-1.0, "lean", (0.01, 2.0)), (-1.0, "spin", ({1: 1e-3, 2: 5e-3},))]
+# The names of rules, and those that a descriptor has if it says nothing.
+REWARDS = {"locomotion": _moving, "idp": lambda spec: BALANCED}
+USUAL = {"obs": "exclude_x", "reward": "locomotion", "terminated": "never"}
 
 
 def _at(state: dict, spec: dict, key: str) -> Column:
@@ -87,23 +100,14 @@ class Environment:
     """A data-only descriptor compiled to columns.  Unknown rules are errors; what is left out has its default."""
 
     def __init__(self, spec: dict):
-        self.base, self.dims = spec["base_env"], int(spec["n_action_dims"])
-        self.frame_skip, self.needs = int(spec.get("frame_skip", 5)), list(spec.get("needs", []))
-        self.low, self.high = float(spec.get("action_low", -1.0)), float(spec.get("action_high", 1.0))
-        self.threshold, self.noise = float(spec.get("success_threshold", float("inf"))), float(spec.get("reset_noise_scale", 0.1))
-        self.rules = {}
-        for part, kinds, usual in (("obs", OBSERVATIONS, "exclude_x"), ("reward", REWARDS, "locomotion"), ("terminated", ENDS, "never")):
-            rule = dict(spec.get(part) or {})
-            rule.setdefault("type", usual)
-            if rule["type"] not in kinds:
-                raise ValueError(f"unknown {part} type: {rule['type']}")
-            self.rules[part] = rule
-
-    def observation(self, state: dict) -> Column:
-        return OBSERVATIONS[self.rules["obs"]["type"]](state)
+        rules = {part: {"type": usual, **(spec.get(part) or {})} for part, usual in USUAL.items()}
+        for part, known in (("obs", OBSERVATIONS), ("reward", REWARDS), ("terminated", ENDS)):
+            if rules[part]["type"] not in known:
+                raise ValueError(f"unknown {part} type: {rules[part]['type']}")
+        self.observation = OBSERVATIONS[rules["obs"]["type"]]
+        self.terms = REWARDS[rules["reward"]["type"]](rules["reward"])
+        self.ended = lambda state: ENDS[rules["terminated"]["type"]](rules["terminated"], state)
 
     def reward(self, before: dict, after: dict, ctrl: Column) -> Column:
-        return REWARDS[self.rules["reward"]["type"]](self.rules["reward"], before, after, ctrl)
-
-    def ended(self, state: dict) -> Column:
-        return ENDS[self.rules["terminated"]["type"]](self.rules["terminated"], state)
+        parts = (F.lit(float(weight)) * TERMS[name](before, after, ctrl, *takes) for weight, name, takes in self.terms)
+        return reduce(lambda a, b: a + b, parts)

@@ -37,9 +37,41 @@ def gate(proposals: DataFrame, key: str, order: str, reward: str, evaluated_at:
     return out.select(F.col("k").alias(key), F.col("o").alias(order), F.col("r").alias(reward), "outcome", "version", "best")
 
 
-def replay(versions: DataFrame, key: str, version: str, state: str) -> DataFrame:
-    """The last version's state, how many there are, and whether they are 0, 1, 2, ... without gaps."""
-    return versions.groupBy(key).agg(F.max_by(state, version).alias("state"), F.count(F.lit(1)).alias("versions"), ((F.max(version) - F.min(version) + 1 == F.count(F.lit(1))) & (F.min(version) == 0) & (F.countDistinct(version) == F.count(F.lit(1)))).alias("contiguous"))
+def replayed(versions: DataFrame, key: str, version: str, bit: str, back: str, bits: int, ties: list[str] = ()) -> DataFrame:
+    """key, state (by bit the version that last set it, -1 for none), versions, contiguous (they are 0, 1, 2, ...).
+
+    A row sets its bit, or, where `back` holds, puts back what there was before the last row that set one.
+    """
+    rows = versions.select(key, version, bit, back, *ties)
+
+    def step(state, row):
+        now, old, n, whole = state
+        if row[3]:
+            now = old
+        else:
+            old, now = now, now[: row[2]] + (row[1],) + now[row[2] + 1 :]
+        return (now, old, n + 1, whole and row[1] == n), None
+
+    none = (-1,) * bits
+    kind = dict(versions.dtypes)[key]
+    return fold(rows, key, [version, *ties], lambda row: (none, none, 0, True), step, f"{key} {kind}, state array<bigint>, versions bigint, contiguous boolean", lambda k, s: (k, list(s[0]), s[2], s[3]))
+
+
+def for_experiment(experiments: DataFrame, lineages: DataFrame, policy: str) -> DataFrame:
+    """Experiments with their lineage's columns, and error where there is none."""
+    found = experiments.join(lineages.withColumn("_there", F.lit(True)), policy, "left")
+    return found.withColumn("error", F.when(F.col("_there").isNull(), "no lineage")).drop("_there")
+
+
+def session_lists(sessions: DataFrame, key: str, session: str, at: str) -> DataFrame:
+    """key, active (its newest session that is pending or running), last_run (the newest other), latest (the newest
+    completed), status (the active one's, else the last run's, else `history`), completed, total.  Ties in time go to the
+    greater session."""
+    live, done = F.col("status").isin("pending", "running"), F.col("status") == "completed"
+    order = lambda when: F.when(when, F.struct(at, session))
+    each = F.struct(F.col(session).alias("s"), F.col("status").alias("t"))
+    found = sessions.groupBy(key).agg(F.max_by(each, order(live)).alias("a"), F.max_by(each, order(~live)).alias("l"), F.max_by(each, order(done)).alias("c"), F.count_if(done).alias("completed"), F.count(F.lit(1)).alias("total"))
+    return found.select(key, F.col("a.s").alias("active"), F.col("l.s").alias("last_run"), F.col("c.s").alias("latest"), F.coalesce("a.t", "l.t", F.lit("history")).alias("status"), "completed", "total")
 
 
 def renumber(versions: DataFrame, key: str, order: list, most: int = MOST) -> DataFrame:

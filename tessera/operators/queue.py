@@ -23,6 +23,21 @@ def chunk_plan(items: DataFrame, batch: str, order: str, size: int = CHUNK, most
     return chunks.select("batch_id", "chunk_index", F.concat(F.col("batch_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.col("x.item").alias("items"))
 
 
+def submit(batches: DataFrame, items: DataFrame, size: int = CHUNK, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """What submitting leaves: the batches' rows (batch_id, total_chunks, status) and their chunks, as chunk_plan() has them.
+
+    batches: batch_id and refused (its chunks can't be inserted); items: batch_id and item.  A batch without items is
+    completed at once, a refused one is failed and has no chunks, the others are pending.
+    """
+    n = items.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    total = F.ceil(F.coalesce("n", F.lit(0)) / size).cast("bigint")
+    counted = batches.join(n, "batch_id", "left").withColumn("total_chunks", total)
+    status = F.when(F.col("total_chunks") == 0, "completed").when(F.col("refused"), "failed").otherwise("pending")
+    rows = counted.withColumn("status", status)
+    taken = items.join(rows.filter("status = 'pending'").select("batch_id"), "batch_id", "left_semi")
+    return rows.select("batch_id", "total_chunks", "status"), chunk_plan(taken, "batch_id", "item", size, most)
+
+
 def first_delivery(results: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Insert if absent: of each key's deliveries the first."""
     return results.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

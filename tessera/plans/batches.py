@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, lineage, queue, windows
-from ..sources import json_commands
+from ..sources import json_commands, read_api
 from .bind import Tables
 from .registry import query
 
@@ -20,12 +20,35 @@ def once(t: Tables):
     return queue.first_delivery(t.results(), ["batch_id", "chunk_index"], ARRIVAL)
 
 
-@query("E1 B1 B2 I2", "WITH n AS (SELECT p_brand AS batch_id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 10 AS c, p_partkey FROM part) SELECT batch_id, CAST(c AS BIGINT) AS chunk_index, concat(batch_id, '_chunk_', c) AS chunk_id, count(*) AS n, CAST(min(p_partkey) AS BIGINT) AS first_item FROM n GROUP BY batch_id, c")
+@query("E1 B2 I2", "WITH n AS (SELECT p_brand AS batch_id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 10 AS c, p_partkey FROM part) SELECT batch_id, CAST(c AS BIGINT) AS chunk_index, concat(batch_id, '_chunk_', c) AS chunk_id, count(*) AS n, CAST(min(p_partkey) AS BIGINT) AS first_item FROM n GROUP BY batch_id, c")
 def chunk_plan(t: Tables):
     c = queue.chunk_plan(t.part, "p_brand", "p_partkey")
     return c.select("batch_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_id", F.size("items").cast("bigint").alias("n"), F.get("items", F.lit(0)).alias("first_item"))
 
 
+SUBMITTED = "SELECT c_custkey AS batch_id, c_acctbal < -900 AS refused, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_acctbal"
+
+
+@query("B1 E1 I2", "SELECT batch_id, CAST(CASE WHEN refused THEN 0 ELSE (n + 3) // 4 END AS BIGINT) AS chunks, (n + 3) // 4 AS total_chunks, CASE WHEN refused AND n > 0 THEN 'failed' WHEN n = 0 THEN 'completed' ELSE 'pending' END AS status FROM (" + SUBMITTED + ")")
+def submit_batches(t: Tables):
+    """Customers submit their orders as candidates: the batches' rows, and how many chunks each has."""
+    asked = t.customer.select(F.col("c_custkey").alias("batch_id"), (F.col("c_acctbal") < -900).alias("refused"))
+    items = t.orders.select(F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("item"))
+    rows, chunks = queue.submit(asked, items, 4)
+    n = chunks.groupBy("batch_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return rows.join(n, "batch_id", "left").select("batch_id", F.coalesce("chunks", F.lit(0).cast("bigint")).alias("chunks"), "total_chunks", "status")
+
+
+@query("A5", "SELECT 'batch' AS what, batch_id AS id, status AS found FROM {batches} WHERE batch_id = 7 UNION ALL SELECT 'experiment', c_custkey, c_name FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'policy', c_custkey, concat(c_mktsegment, c_nationkey) FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 7 UNION ALL SELECT 'batch', -7, 'not_found'")
+def point_lookups(t: Tables):
+    """Rows by their keys; a key that nothing has is said to be not found."""
+    batch = t.batches().select(F.lit("batch").alias("what"), F.col("batch_id").alias("id"), F.col("status").alias("found"))
+    owner = t.customer.select(F.lit("experiment").alias("what"), F.col("c_custkey").alias("id"), F.col("c_name").alias("found"))
+    policy = t.customer.select(F.lit("policy").alias("what"), F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("found"), "c_mktsegment", "c_nationkey")
+    one = read_api.lookup(batch, id=7).unionByName(read_api.lookup(owner, id=7)).unionByName(read_api.lookup(policy, c_mktsegment="BUILDING", c_nationkey=7).drop("c_mktsegment", "c_nationkey"))
+    return one.unionByName(read_api.or_not_found(read_api.lookup(batch, id=-7), what="batch", id=-7, found="not_found"))
+
+
 @query("J2 G3 J3", "SELECT batch_id, count(*) AS n, string_agg(chunk_index::VARCHAR, ',' ORDER BY chunk_index) AS idxs FROM (" + FIRST + ") WHERE rn = 1 GROUP BY batch_id HAVING count(*) >= 4")
 def chunk_assemble(t):
     once = queue.first_delivery(t.results(), ["batch_id", "chunk_index"], ARRIVAL).withColumn("idx", F.col("chunk_index"))
@@ -57,7 +80,7 @@ def mean_stddev(t):
     return s.select("batch_id", F.round(mean / 30, 7).alias("mean"), F.round(sd / 30, 4).alias("sd"))
 
 
-@query("A6 B14 C19 A5", "WITH r AS (SELECT batch_id, count(DISTINCT chunk_index) AS done FROM {results} GROUP BY batch_id), p AS (SELECT b.batch_id, coalesce(done, 0) AS done, b.batch_id % 5 AS total FROM {batches} b LEFT JOIN r ON r.batch_id = b.batch_id) SELECT batch_id, CAST(done AS BIGINT) AS done, CAST(total AS BIGINT) AS total, round(CASE WHEN total > 0 THEN CAST(done AS DOUBLE) / total ELSE 1.0::DOUBLE END, 6) AS progress, done >= total AS finished FROM p")
+@query("A6 B14 C19", "WITH r AS (SELECT batch_id, count(DISTINCT chunk_index) AS done FROM {results} GROUP BY batch_id), p AS (SELECT b.batch_id, coalesce(done, 0) AS done, b.batch_id % 5 AS total FROM {batches} b LEFT JOIN r ON r.batch_id = b.batch_id) SELECT batch_id, CAST(done AS BIGINT) AS done, CAST(total AS BIGINT) AS total, round(CASE WHEN total > 0 THEN CAST(done AS DOUBLE) / total ELSE 1.0::DOUBLE END, 6) AS progress, done >= total AS finished FROM p")
 def batch_progress(t):
     done = t.results().groupBy("batch_id").agg(F.countDistinct("chunk_index").alias("done"))
     p = t.batches().select("batch_id", (F.col("batch_id") % 5).alias("total")).join(done, "batch_id", "left").fillna({"done": 0})
@@ -87,7 +110,7 @@ def contributions(t):
 
 
 def _named(t):
-    names = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("worker_id"), F.col("n_name").alias("display_name"))
+    names = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("worker_id"), F.col("n_name").alias("display_name"))
     return once(t).join(names, "worker_id")
 
 
@@ -253,10 +276,10 @@ def policy_upsert(t):
     return found.select("submission", F.when(F.col("created"), "created").otherwise("existing").alias("tag"))
 
 
-@query("B5 B8", "WITH n AS (SELECT l_suppkey, max(l_shipdate) AS beat FROM lineitem WHERE l_quantity > 25 GROUP BY l_suppkey) SELECT s_suppkey AS worker_id, CASE WHEN beat IS NULL THEN 'registered' ELSE 'seen' END AS state, coalesce(epoch_us(beat), 0) AS beat_us FROM supplier LEFT JOIN n ON l_suppkey = s_suppkey UNION ALL SELECT l_suppkey, 'seen', epoch_us(beat) FROM n WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)")
+@query("B5 B8", "WITH n AS (SELECT l_suppkey, max(l_shipdate) AS beat FROM lineitem GROUP BY l_suppkey) SELECT s_suppkey AS worker_id, CASE WHEN beat IS NULL THEN 'registered' ELSE 'seen' END AS state, coalesce(epoch_us(beat), 0) AS beat_us FROM supplier LEFT JOIN n ON l_suppkey = s_suppkey UNION ALL SELECT l_suppkey, 'seen', epoch_us(beat) FROM n WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)")
 def register_workers(t):
     had = t.supplier.select(F.col("s_suppkey").alias("worker_id"), F.lit("registered").alias("state"), F.lit(0).cast("bigint").alias("beat_us"))
-    beats = t.results().filter("candidates > 25").select("worker_id", F.lit("seen").alias("state"), F.unix_micros("arrived").alias("beat_us"))
+    beats = t.results().select("worker_id", F.lit("seen").alias("state"), F.unix_micros("arrived").alias("beat_us"))
     return lineage.replace_rows(had, beats, ["worker_id"], "beat_us")
 
 
@@ -278,7 +301,7 @@ ENVS = "SELECT n_name AS env_name, CAST(n_nationkey % 7 AS INT) AS n_action_dims
 @query("A11 A9", "WITH e AS (" + ENVS + ") SELECT s_suppkey AS job, n_name AS env_name, CAST(e.n_action_dims AS BIGINT) AS dims, e.action_high AS high, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 7 ELSE e.max_steps END AS BIGINT) AS steps, CASE WHEN e.env_name IS NULL THEN concat('unknown environment ', n_name) END AS error FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN e ON e.env_name = n_name")
 def command_environment(t):
     envs = t.nation.filter("n_regionkey > 0").select(F.col("n_name").alias("env_name"), (F.col("n_nationkey") % 7).cast("int").alias("n_action_dims"), F.lit(-1.0).alias("action_low"), F.col("n_regionkey").cast("double").alias("action_high"), (100 * F.col("n_nationkey")).cast("int").alias("max_steps"), F.lit(0.0).alias("success_threshold"))
-    jobs = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    jobs = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     fields = F.struct(F.col("s_suppkey").cast("string").alias("job_id"), F.lit("score").alias("cmd"), F.col("n_name").alias("env_name"), F.when(F.col("s_suppkey") % 2 == 0, 7).alias("max_steps"))
     found = json_commands.with_environment(json_commands.commands(jobs.select(F.to_json(fields).alias("value"))), envs)
     return found.select(F.col("job_id").cast("bigint").alias("job"), "env_name", F.col("n_action_dims").cast("bigint").alias("dims"), F.col("action_high").alias("high"), F.col("max_steps").cast("bigint").alias("steps"), "error")

@@ -55,13 +55,13 @@ def util_delta(t):
     return e.select("event_id", dv.alias("dv"), du.alias("du")).select("event_id", (F.round(F.when(F.col("du") > 0, F.col("dv") / (F.col("du") / F.lit(1e9)) * 100).otherwise(0.0), 1) + 0.0).alias("util"))
 
 
-SAMPLES = "SELECT epoch(l_shipdate)::BIGINT // 2592000 AS tick, l_linenumber AS id, sum(l_quantity) AS active, CAST(sum(CAST(l_extendedprice AS BIGINT)) AS DOUBLE) AS total FROM lineitem WHERE l_linenumber < 7 OR epoch(l_shipdate)::BIGINT // 2592000 % 3 > 0 GROUP BY 1, 2"
+SAMPLES = "SELECT epoch(l_shipdate)::BIGINT // 2592000 AS tick, l_linenumber AS id, sum(l_quantity) AS active, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS DOUBLE) AS total FROM lineitem GROUP BY 1, 2"
 
 
 @query("F7 D14", "WITH s AS (" + SAMPLES + "), g AS (SELECT n.tick, sum(n.active - p.active) AS a, sum(n.total - p.total) AS t, count(*) AS n, count(p.id) AS both FROM s n LEFT JOIN s p ON p.tick = n.tick - 1 AND p.id = n.id GROUP BY n.tick), c AS (SELECT tick + 1 AS tick, count(*) AS n FROM s GROUP BY tick) SELECT CAST(g.tick AS BIGINT) AS tick, CASE WHEN g.n = g.both AND g.n = c.n AND t <> 0 THEN round(a * 100 / t, 1) ELSE 0.0::DOUBLE END + 0.0 AS util FROM g LEFT JOIN c ON c.tick = g.tick")
 def utilisation(t):
     tick = F.expr("unix_seconds(l_shipdate) div 2592000")
-    s = t.lineitem.select(tick.alias("tick"), F.col("l_linenumber").alias("id"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").cast("bigint").alias("x")).filter("id < 7 OR tick % 3 > 0")
+    s = t.lineitem.select(tick.alias("tick"), F.col("l_linenumber").alias("id"), F.col("l_quantity").alias("q"), F.floor("l_extendedprice").alias("x"))
     return windows.utilisation(s.groupBy("tick", "id").agg(F.sum("q").alias("active"), F.sum("x").cast("double").alias("total"))).select("tick", (F.col("util") + 0.0).alias("util"))
 
 
@@ -144,33 +144,23 @@ def health_experiment(t):
     return f.select("experiment_id", h.alias("health"))
 
 
-#: Raw configurations as submitted, the text that the rule signs for each, and its label.
-CONFIGS = [
-    ("a", '{"bits_per_dim": 3, "feature_types": ["axis", "diag"]}', '{"bits_per_dim":3,"depth":1,"feature_types":["axis","diag"],"max_coeff":5,"tridiag_max_coeff":2,"tridiag_dims":null}', "b=3 · d=1 · f=axis,diag"),
-    ("b", '{"feature_types": ["diag", "axis", "axis"], "max_coeff": 5.9, "verifier": "other", "top_k": 9, "run_seed": 0}', '{"bits_per_dim":3,"depth":1,"feature_types":["axis","diag"],"max_coeff":5,"tridiag_max_coeff":2,"tridiag_dims":null}', "b=3 · d=1 · f=axis,diag"),
-    ("c", '{"bits_per_dim": 4, "depth": 2, "feature_types": ["tridiag"], "max_coeff": 3, "tridiag_dims": {"lo": 0, "hi": 5}, "verifier": "ga_qd", "proposer": "ga", "scorer": "successor", "run_seed": "7x"}', '{"bits_per_dim":4,"depth":2,"feature_types":["tridiag"],"max_coeff":3,"tridiag_max_coeff":2,"tridiag_dims":[0,5],"verifier":"ga_qd","run_seed":7,"proposer":"ga","scorer":"successor"}', "b=4 · d=2 · f=tridiag · c=3 · t=0:5 · r7 · GAQD · GA · SUCC"),
-    ("d", '{"depth": null, "feature_types": null, "tridiag_dims": [2, 3], "successor_continuation": {"type": "cycle", "actions": [[1, -0.5], [0.25, 0]]}}', '{"bits_per_dim":3,"depth":null,"feature_types":null,"max_coeff":5,"tridiag_max_coeff":2,"tridiag_dims":[2,3],"successor_continuation":{"type":"cycle","hold":1,"actions":[[1.0,-0.5],[0.25,0.0]]}}', "b=3 · t=2:3"),
-    ("e", "{}", '{"bits_per_dim":3,"depth":1,"feature_types":null,"max_coeff":5,"tridiag_max_coeff":2,"tridiag_dims":null}', "b=3 · d=1"),
-    ("f", '{"feature_types": [], "run_seed": -4, "successor_continuation": {"type": "cycle", "actions": []}}', '{"bits_per_dim":3,"depth":1,"feature_types":[],"max_coeff":5,"tridiag_max_coeff":2,"tridiag_dims":null}', "b=3 · d=1 · f="),
-]
+#: Raw configurations as customers submit them, of all kinds that the rule tells apart; the same text on both engines.
+CONFIG = """concat('{', CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('"bits_per_dim":', c_nationkey % 4 + 2, ',') END, CASE c_custkey % 3 WHEN 0 THEN '"depth":null,' WHEN 1 THEN '"depth":2.7,' ELSE '' END, CASE c_custkey % 4 WHEN 0 THEN '"feature_types":["diag","axis","axis"],' WHEN 1 THEN '"feature_types":[],' WHEN 2 THEN '"feature_types":null,' ELSE '' END, CASE c_custkey % 2 WHEN 0 THEN '"max_coeff":5.9,' ELSE concat('"max_coeff":', c_nationkey, ',') END, CASE c_custkey % 6 WHEN 1 THEN '"tridiag_dims":{"lo":0,"hi":5},' WHEN 2 THEN '"tridiag_dims":[2,3],' ELSE '' END, CASE c_custkey % 7 WHEN 0 THEN '"verifier":"ga_qd",' WHEN 1 THEN '"verifier":"other",' ELSE '' END, CASE c_custkey % 8 WHEN 0 THEN '"run_seed":"7x",' WHEN 1 THEN '"run_seed":-4,' WHEN 2 THEN concat('"run_seed":', c_nationkey, ',') ELSE '' END, CASE WHEN c_custkey % 9 = 0 THEN '"proposer":"ga",' ELSE '' END, CASE WHEN c_custkey % 10 = 0 THEN '"scorer":"successor",' ELSE '' END, CASE WHEN c_custkey % 11 = 0 THEN '"successor_continuation":{"type":"cycle","actions":[[1,-0.5],[0.25,0]]},' ELSE '' END, '"top_k":', c_custkey, '}')"""
+_BITS = "CASE WHEN c_custkey % 5 = 0 THEN 3 ELSE c_nationkey % 4 + 2 END"
+_MOST = "CASE c_custkey % 2 WHEN 0 THEN 5 ELSE c_nationkey END"
+_SEED = "CASE c_custkey % 8 WHEN 0 THEN 7 WHEN 2 THEN c_nationkey ELSE 0 END"
+SIGNED = f"""concat('{{"bits_per_dim":', {_BITS}, ',"depth":', CASE c_custkey % 3 WHEN 0 THEN 'null' WHEN 1 THEN '2' ELSE '1' END, ',"feature_types":', CASE c_custkey % 4 WHEN 0 THEN '["axis","diag"]' WHEN 1 THEN '[]' ELSE 'null' END, ',"max_coeff":', {_MOST}, ',"tridiag_max_coeff":2,"tridiag_dims":', CASE c_custkey % 6 WHEN 1 THEN '[0,5]' WHEN 2 THEN '[2,3]' ELSE 'null' END, CASE WHEN c_custkey % 7 = 0 THEN ',"verifier":"ga_qd"' ELSE '' END, CASE WHEN {_SEED} <> 0 THEN concat(',"run_seed":', {_SEED}) ELSE '' END, CASE WHEN c_custkey % 9 = 0 THEN ',"proposer":"ga"' ELSE '' END, CASE WHEN c_custkey % 10 = 0 THEN ',"scorer":"successor"' ELSE '' END, CASE WHEN c_custkey % 11 = 0 THEN ',"successor_continuation":{{"type":"cycle","hold":1,"actions":[[1.0,-0.5],[0.25,0.0]]}}' ELSE '' END, '}}')"""
+LABELLED = f"""concat('b=', {_BITS}, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' · d=2' ELSE ' · d=1' END, CASE c_custkey % 4 WHEN 0 THEN ' · f=axis,diag' WHEN 1 THEN ' · f=' ELSE '' END, CASE WHEN {_MOST} <> 5 THEN concat(' · c=', {_MOST}) ELSE '' END, CASE c_custkey % 6 WHEN 1 THEN ' · t=0:5' WHEN 2 THEN ' · t=2:3' ELSE '' END, CASE WHEN {_SEED} <> 0 THEN concat(' · r', {_SEED}) ELSE '' END, CASE WHEN c_custkey % 7 = 0 THEN ' · GAQD' ELSE '' END, CASE WHEN c_custkey % 9 = 0 THEN ' · GA' ELSE '' END, CASE WHEN c_custkey % 10 = 0 THEN ' · SUCC' ELSE '' END)"""
 
 
-def _configs(t):
-    return t.spark.createDataFrame([c[:2] for c in CONFIGS], "name string, config string")
-
-
-def _said(column: int) -> str:
-    return "(VALUES " + ", ".join(str((c[0], c[column])) for c in CONFIGS) + ") v(name, x)"
-
-
-@query("I4 I5", "SELECT name, substring(sha256(x), 1, 16) AS sig FROM " + _said(2))
+@query("I4 I5", f"SELECT c_custkey, substring(sha256({SIGNED}), 1, 16) AS sig FROM customer")
 def config_signature(t):
-    return _configs(t).select("name", signature.signature(F.col("config")).alias("sig"))
+    return t.customer.select("c_custkey", F.expr(CONFIG).alias("config")).select("c_custkey", signature.signature(F.col("config")).alias("sig"))
 
 
-@query("I6", "SELECT name, x AS label FROM " + _said(3))
+@query("I6", f"SELECT c_custkey, {LABELLED} AS label FROM customer")
 def config_label(t):
-    return _configs(t).select("name", signature.label(F.col("config")).alias("label"))
+    return t.customer.select("c_custkey", F.expr(CONFIG).alias("config")).select("c_custkey", signature.label(F.col("config")).alias("label"))
 
 
 GATE = "WITH RECURSIVE p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn, CAST(length(text) AS DOUBLE) AS r, CASE WHEN turn % 4 = 3 THEN 0 END AS e FROM conversations), g AS (SELECT conv_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS turn, CAST('' AS VARCHAR) AS outcome, CAST(0 AS BIGINT) AS version, CAST(NULL AS DOUBLE) AS best FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL SELECT p.conv_id, p.k, p.turn, CASE WHEN e IS NOT NULL AND e <> version THEN 'stale' WHEN best IS NULL OR r > best + 1e-9 THEN 'committed' ELSE 'no_improvement' END, version + CASE WHEN (e IS NULL OR e = version) AND (best IS NULL OR r > best + 1e-9) THEN 1 ELSE 0 END, CASE WHEN (e IS NULL OR e = version) AND (best IS NULL OR r > best + 1e-9) THEN r ELSE best END FROM g JOIN p ON p.conv_id = g.conv_id AND p.k = g.k + 1)"
@@ -186,12 +176,25 @@ def commit_gate(t):
     return _gate(t).select("conv_id", "turn", "outcome", "version", "best")
 
 
-@query("L11 B13 D5", "SELECT conv_id, CAST(max(turn) AS BIGINT) AS last_turn, count(*) AS versions, max(turn) + 1 = count(*) AND min(turn) = 0 AS contiguous FROM conversations GROUP BY conv_id")
+REPLAYED = "WITH RECURSIVE p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS k, turn, CAST(length(text) % 18 AS BIGINT) AS bit, length(text) % 5 = 0 AS back FROM conversations), s AS (SELECT conv_id, CAST(0 AS BIGINT) AS k, list_transform(range(18), lambda x: CAST(-1 AS BIGINT)) AS now, list_transform(range(18), lambda x: CAST(-1 AS BIGINT)) AS old, TRUE AS whole FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL SELECT s.conv_id, p.k, CASE WHEN p.back THEN s.old ELSE list_transform(s.now, lambda x, i: CASE WHEN i = p.bit + 1 THEN p.turn ELSE x END) END, CASE WHEN p.back THEN s.old ELSE s.now END, s.whole AND p.turn = s.k FROM s JOIN p ON p.conv_id = s.conv_id AND p.k = s.k + 1)"
+
+
+@query("L11 B13", REPLAYED + " SELECT conv_id, max(k) AS versions, arg_max(whole, k) AS contiguous, array_to_string(list_transform(arg_max(now, k), lambda x: x::VARCHAR), ',') AS state FROM s GROUP BY conv_id")
 def lineage_replay(t):
-    return lineage.replay(t.conversations, "conv_id", "turn", "turn").select("conv_id", F.col("state").cast("bigint").alias("last_turn"), "versions", "contiguous")
+    """Every lineage's policy as its versions leave it, reverts included."""
+    v = t.conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), (F.length("text") % 18).alias("bit"), (F.length("text") % 5 == 0).alias("back"), F.length("text").alias("size"))
+    return lineage.replayed(v, "conv_id", "turn", "bit", "back", 18, ["size"]).select("conv_id", "versions", "contiguous", F.array_join(F.transform("state", lambda x: x.cast("string")), ",").alias("state"))
+
+
+@query("D5 A5", "WITH v AS (SELECT conv_id, max(turn) AS version, count(*) AS n FROM conversations GROUP BY conv_id) SELECT b.batch_id, b.experiment_id, CAST(v.version AS BIGINT) AS version, v.n AS versions, CASE WHEN v.conv_id IS NULL THEN 'no lineage' END AS error FROM {batches} b LEFT JOIN v ON v.conv_id = b.experiment_id % 150")
+def lineage_of_batches(t):
+    """Each batch with the lineage of its experiment, as it is now."""
+    v = t.conversations.groupBy("conv_id").agg(F.max("turn").cast("bigint").alias("version"), F.count(F.lit(1)).alias("versions"))
+    b = t.batches().select("batch_id", "experiment_id", (F.col("experiment_id") % 150).alias("policy"))
+    return lineage.for_experiment(b, v.withColumnRenamed("conv_id", "policy"), "policy").select("batch_id", "experiment_id", "version", "versions", "error")
 
 
-@query("L9 L10", "WITH l AS (SELECT conv_id, turn, CAST(length(text) AS DOUBLE) AS after, lag(CAST(length(text) AS DOUBLE)) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT conv_id, CAST(turn + 1 AS BIGINT) AS version, CAST(-1 AS BIGINT) AS bit_idx, after, before FROM l WHERE after < before - 1e-9 AND turn % 3 > 0")
+@query("L9", "WITH l AS (SELECT conv_id, turn, CAST(length(text) AS DOUBLE) AS after, lag(CAST(length(text) AS DOUBLE)) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT conv_id, CAST(turn + 1 AS BIGINT) AS version, CAST(-1 AS BIGINT) AS bit_idx, after, before FROM l WHERE after < before - 1e-9 AND turn % 3 > 0")
 def revert_guard(t):
     from pyspark.sql import Window
 
@@ -285,13 +288,40 @@ def json_repair(t):
     return c.select(found.alias("event_id"), F.get_json_object("env_name", "$.k").cast("bigint").alias("k"), "cmd", "error")
 
 
-@query("I18 E18 L13", "WITH s AS (SELECT experiment_id, count(*) FILTER (status = 'completed') AS completed, count(*) AS total, max(inserted_at) FILTER (status <> 'completed') AS m FROM {batches} GROUP BY experiment_id) SELECT experiment_id, completed, total, epoch_us(m) AS active_us, round(greatest(0, (completed % 4 - 1) * 10 + (total % 7 - 1)) / 40.0::DOUBLE, 6) AS progress FROM s")
+@query("I18", "WITH s AS (SELECT experiment_id, count(*) FILTER (status = 'completed') AS completed, count(*) AS total, max(inserted_at) FILTER (status <> 'completed') AS m FROM {batches} GROUP BY experiment_id) SELECT experiment_id, completed, total, epoch_us(m) AS active_us, round(greatest(0, (completed % 4 - 1) * 10 + (total % 7 - 1)) / 40.0::DOUBLE, 6) AS progress FROM s")
 def session_progress(t):
     s = t.batches().groupBy("experiment_id").agg(F.count_if(F.col("status") == "completed").alias("completed"), F.count(F.lit(1)).alias("total"), F.max(F.when(F.col("status") != "completed", F.col("inserted_at"))).alias("m"))
     p = health.progress(F.col("completed") % 4, F.col("total") % 7, F.lit(10), F.lit(4))
     return s.select("experiment_id", "completed", "total", F.unix_micros("m").alias("active_us"), F.round(p, 6).alias("progress"))
 
 
+SESSIONS = "SELECT batch_id, experiment_id, inserted_at, best_reward, CASE WHEN batch_id % 11 = 0 THEN 'failed' WHEN batch_id % 13 = 0 THEN 'cancelled' ELSE status END AS status FROM {batches}"
+
+
+def _sessions(t):
+    status = F.when(F.col("batch_id") % 11 == 0, "failed").when(F.col("batch_id") % 13 == 0, "cancelled").otherwise(F.col("status"))
+    return t.batches().select("batch_id", "experiment_id", "inserted_at", "best_reward", status.alias("status"))
+
+
+@query("E18 A7 C16", "WITH s AS (SELECT *, status IN ('pending', 'running') AS live FROM (" + SESSIONS + ")), g AS (SELECT experiment_id, arg_max((batch_id, status), (inserted_at, batch_id)) FILTER (live) AS a, arg_max((batch_id, status), (inserted_at, batch_id)) FILTER (NOT live) AS l, arg_max(batch_id, (inserted_at, batch_id)) FILTER (status = 'completed') AS c, count(*) FILTER (status = 'completed') AS completed, count(*) AS total FROM s GROUP BY experiment_id) SELECT experiment_id, a[1] AS active, l[1] AS last_run, c AS latest, coalesce(a[2], l[2], 'history') AS status, completed, total FROM g")
+def session_lists(t):
+    """Of each lineage the newest session that is active, that has ended and that is completed, and its status by them."""
+    return lineage.session_lists(_sessions(t), "experiment_id", "batch_id", "inserted_at")
+
+
+@query("C16 E4", "SELECT status, count(*) AS n, round(sum(best_reward), 2) AS total, count(*) FILTER (inserted_at >= TIMESTAMP '1999-01-01') AS recent FROM (" + SESSIONS + ") GROUP BY status")
+def statuses(t):
+    return _sessions(t).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("best_reward"), 2).alias("total"), F.count_if(F.col("inserted_at") >= F.lit("1999-01-01").cast("timestamp")).alias("recent"))
+
+
+@query("C18 I13 C17", """SELECT event_id, concat('{"env":"', event_type, '",', CASE WHEN event_id % 3 = 0 THEN '"seed":"7",' ELSE '' END, '"user":"', user_id, '"}') AS payload, CAST(2 + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n, event_id % 4 = 0 AS had_secret FROM events""")
+def payload_scrub(t):
+    """Payloads without the keys that are nobody's business and without nulls, given ones over the defaults."""
+    given = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("env"), F.col("event_type"), F.lit("token"), F.when(F.col("event_id") % 4 == 0, "secret"), F.lit("candidates"), F.lit("[1,2]"), F.lit("seed"), F.when(F.col("event_id") % 3 == 0, "7"))
+    clean = json_commands.scrubbed(given, drop=["token", "candidates"], defaults={"env": "none", "user": "nobody"})
+    return t.events.select("event_id", F.to_json(clean).alias("payload"), F.size(clean).cast("bigint").alias("n"), F.get(F.map_values(F.map_filter(given, lambda k, v: k == "token")), F.lit(0)).isNotNull().alias("had_secret"))
+
+
 @query("I3 I7 I15 I21", "SELECT event_id, strftime(ts + INTERVAL 90 SECOND, '%Y-%m-%dT%H:%M:%S') AS at, substring(event_type, 1, 4) AS short, CASE WHEN value > 100 THEN 'walked' WHEN value > 20 THEN 'survived' ELSE 'fell' END AS label, CAST(trim(split_part(' a, b ,7', ',', 3)) AS BIGINT) AS third FROM events")
 def date_label(t):
     label = F.when(F.col("value") > 100, "walked").when(F.col("value") > 20, "survived").otherwise("fell")
@@ -299,15 +329,11 @@ def date_label(t):
     return t.events.select("event_id", F.date_format(F.col("ts") + F.expr("INTERVAL 90 SECONDS"), "yyyy-MM-dd'T'HH:mm:ss").alias("at"), F.substring("event_type", 1, 4).alias("short"), label.alias("label"), third.cast("bigint").alias("third"))
 
 
-DAY = "SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '{a}' AND ts < TIMESTAMP '{b}'"
-ONE, TWO = DAY.replace("{a}", "2024-01-01").replace("{b}", "2024-01-02"), DAY.replace("{a}", "2024-01-02").replace("{b}", "2024-01-03")
-
-
-@query("H2 H3 H4", f"SELECT 'evicted' AS what, user_id FROM ({ONE} EXCEPT {TWO}) UNION ALL SELECT 'retained', user_id FROM ({ONE} INTERSECT {TWO})")
+@query("H2 H3 H4", "WITH d AS (SELECT DISTINCT user_id, epoch_us(ts) // 86400000000 AS day FROM events) SELECT a.day, CASE WHEN b.user_id IS NULL THEN 'evicted' ELSE 'retained' END AS what, a.user_id FROM d a LEFT JOIN d b ON b.user_id = a.user_id AND b.day = a.day + 1 WHERE a.day < (SELECT max(day) FROM d)")
 def key_sets(t):
-    day = lambda a, b: t.events.filter(f"ts >= TIMESTAMP '{a}' AND ts < TIMESTAMP '{b}'").select("user_id").distinct()
-    one, two = day("2024-01-01", "2024-01-02"), day("2024-01-02", "2024-01-03")
-    return one.join(two, "user_id", "left_anti").select(F.lit("evicted").alias("what"), "user_id").unionByName(one.join(two, "user_id", "left_semi").select(F.lit("retained").alias("what"), "user_id"))
+    """Each day's users, and whether they are still there on the next."""
+    days = t.events.select("user_id", F.expr("unix_micros(ts) div 86400000000").alias("day")).distinct()
+    return windows.kept_keys(days, "user_id", "day").select("day", "what", "user_id")
 
 
 @query("G4 G10", "SELECT event_id, user_id, value, row_number() OVER (ORDER BY user_id, event_id) AS place FROM events WHERE event_type <> 'error'")

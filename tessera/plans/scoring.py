@@ -93,14 +93,21 @@ def policy_bits_hist(t):
     return t.embeddings.groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("I16", "SELECT CAST(i AS BIGINT) AS id, (-1.0 + CAST(i % 3 AS DOUBLE))::DOUBLE AS a0, (-1.0 + CAST(i // 3 % 3 AS DOUBLE))::DOUBLE AS a1, (-1.0 + CAST(i // 9 % 3 AS DOUBLE))::DOUBLE AS a2 FROM range(27) r(i)")
+GRID = "SELECT s_suppkey, CAST(s_suppkey % 3 + 1 AS INT) AS dims, CAST(s_nationkey % 3 + 2 AS INT) AS levels FROM supplier"
+
+
+@query("I16", "WITH s AS (" + GRID + ") SELECT s_suppkey, CAST(i AS BIGINT) AS id, " + ", ".join(f"CASE WHEN dims > {k} THEN -1.0::DOUBLE + CAST(i // CAST(pow(levels, {k}) AS BIGINT) % levels AS DOUBLE) * (2.0::DOUBLE / (levels - 1)) END AS a{k}" for k in range(3)) + " FROM s, range(64) r(i) WHERE i < pow(levels, dims)")
 def action_grid(t):
-    return actions.grid(t.spark, -1.0, 1.0, 3, 3)
+    """Each supplier's actions: two to four levels in one to three dimensions."""
+    rows = t.supplier.select("s_suppkey", (F.col("s_suppkey") % 3 + 1).cast("int").alias("dims"), (F.col("s_nationkey") % 3 + 2).cast("int").alias("levels"))
+    return actions.grids(rows, "levels", "dims", 3).select("s_suppkey", "id", "a0", "a1", "a2")
 
 
-@query("I16", "SELECT CAST(i AS BIGINT) AS code, CAST(bit_count(i) AS BIGINT) AS ones, CAST(i & 1 AS BIGINT) AS lowest FROM range(64) r(i)")
+@query("I16", "SELECT p_partkey, CAST(i AS BIGINT) AS code, CAST(bit_count(i) AS BIGINT) AS ones, CAST(i & 1 AS BIGINT) AS lowest FROM part, range(64) r(i) WHERE i < (1 << CAST(p_size % 6 + 1 AS INT))")
 def bit_codes(t):
-    return actions.codes(t.spark, 6).select("code", F.expr("aggregate(bits, CAST(0 AS BIGINT), (a, b) -> a + b)").alias("ones"), F.get("bits", F.lit(0)).cast("bigint").alias("lowest"))
+    """All settings of each part's one to six bits."""
+    each = actions.codes(t.part.select("p_partkey", (F.col("p_size") % 6 + 1).alias("n")), "n")
+    return each.select("p_partkey", "code", F.expr("aggregate(bits_set, CAST(0 AS BIGINT), (a, b) -> a + b)").alias("ones"), F.get("bits_set", F.lit(0)).cast("bigint").alias("lowest"))
 
 
 @query("J11", f"WITH o AS (SELECT label, min(vec_id) FILTER ({D(0)} > 0.1) AS e FROM embeddings GROUP BY label) SELECT CAST(label AS BIGINT) AS label, round(sum({D(7)}), 6) AS ret, count(*) AS steps FROM embeddings JOIN o USING (label) WHERE e IS NULL OR vec_id <= e GROUP BY label")
@@ -128,49 +135,61 @@ def trace_compare(t):
     return e.select("vec_id", traces.trace_le(F.col("a"), F.col("b")).alias("le"), traces.trace_advantage(F.col("a"), F.col("b")).alias("advantage"), (F.round(traces.mass(F.col("a")) - traces.mass(F.col("b")), 6) + 0.0).alias("mass"))
 
 
-HORIZONS = [(64, 10, 1_000_000), (729, 10, 1_000_000), (64, 2, 1_000_000), (4096, 5, 100), (2, 8, 300), (8, 6, 100_000)]
+HORIZONS = "SELECT p_partkey, CAST(p_size AS BIGINT) + 1 AS n, p_partkey % 10 + 1 AS h, CAST(p_retailprice AS BIGINT) * 10 AS budget FROM part"
 
 
-@query("I9", f"WITH g(n, h, budget) AS (VALUES {', '.join(map(str, HORIZONS))}), k AS (SELECT n, h, budget, i, (SELECT sum(pow(n, d)) FROM range(1, 20) r(d) WHERE d <= i) AS used FROM g, range(1, 20) r(i) WHERE i <= h) SELECT CAST(n AS BIGINT) AS n, CAST(h AS BIGINT) AS h, CAST(budget AS BIGINT) AS budget, CAST(greatest(1, coalesce(max(i) FILTER (used <= budget), 1)) AS BIGINT) AS k FROM k GROUP BY n, h, budget")
+@query("I9", "WITH g AS (" + HORIZONS + "), k AS (SELECT p_partkey, i, (SELECT sum(pow(n, d)) FROM range(1, 12) r(d) WHERE d <= i) AS used, budget FROM g, range(1, 12) r(i) WHERE i <= h) SELECT p_partkey, CAST(greatest(1, coalesce(max(i) FILTER (used <= budget), 1)) AS BIGINT) AS k FROM k GROUP BY p_partkey")
 def horizon_clamp(t):
-    g = t.spark.createDataFrame(HORIZONS, "n bigint, h bigint, budget bigint")
-    return g.withColumn("k", traces.feasible_horizon(F.col("n"), F.col("h").cast("int"), F.col("budget")).cast("bigint"))
+    """The horizon that each part's budget allows."""
+    g = t.part.select("p_partkey", (F.col("p_size").cast("bigint") + 1).alias("n"), (F.col("p_partkey") % 10 + 1).alias("h"), (F.col("p_retailprice").cast("bigint") * 10).alias("budget"))
+    return g.select("p_partkey", traces.feasible_horizon(F.col("n"), F.col("h").cast("int"), F.col("budget")).cast("bigint").alias("k"))
 
 
-#: A toy world: 16 states, 3 actions; some steps end the episode.
-MOVES = "SELECT s.i AS state, b.i AS action, (s.i * 3 + b.i * 5 + 1) % 16 AS next_state, CAST((s.i * 7 + b.i * 3) % 11 - 4 AS DOUBLE) / 2 AS reward, (s.i + b.i) % 6 = 5 AS done FROM range(16) s(i), range(3) b(i)"
+#: A world from deliveries: a part goes from supplier to supplier; the last such move of a supplier and line counts.
+MOVES = "SELECT state, action, CAST(arg_max(next_state, k) AS BIGINT) AS next_state, arg_max(reward, k) AS reward, arg_max(done, k) AS done FROM (SELECT l_suppkey AS state, l_linenumber % 3 AS action, coalesce(lead(l_suppkey) OVER w, l_suppkey) AS next_state, (l_quantity - 25) / 2 AS reward, l_discount > 0.09 OR lead(l_suppkey) OVER w IS NULL AS done, (l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS k FROM lineitem WINDOW w AS (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice)) GROUP BY state, action"
 
 
 def _moves(t):
-    s = t.spark.range(16).withColumnRenamed("id", "state").withColumn("action", F.explode(F.expr("sequence(0L, 2L)")))
-    return s.select("state", "action", F.expr("(state * 3 + action * 5 + 1) % 16").alias("next_state"), F.expr("CAST((state * 7 + action * 3) % 11 - 4 AS DOUBLE) / 2").alias("reward"), F.expr("(state + action) % 6 = 5").alias("done"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    after = F.lead("l_suppkey").over(w)
+    rows = t.lineitem.select(F.col("l_suppkey").alias("state"), (F.col("l_linenumber") % 3).cast("bigint").alias("action"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate").alias("k"), F.struct(F.coalesce(after, "l_suppkey").alias("next_state"), ((F.col("l_quantity") - 25) / 2).alias("reward"), ((F.col("l_discount") > 0.09) | after.isNull()).alias("done")).alias("m"))
+    return rows.groupBy("state", "action").agg(F.max_by("m", "k").alias("m")).select("state", "action", "m.*")
+
 
+def _values_sql(depth: int) -> str:
+    parts = ["m AS MATERIALIZED (" + MOVES + ")", "v0 AS MATERIALIZED (SELECT state, greatest(-1.0::DOUBLE, max(reward)) AS value FROM m GROUP BY state)"]
+    parts += [f"v{k} AS MATERIALIZED (SELECT m.state, greatest(-1.0::DOUBLE, max(CASE WHEN m.done THEN -1.0::DOUBLE ELSE coalesce(v.value, -1.0::DOUBLE) END)) AS value FROM m LEFT JOIN v{k - 1} v ON v.state = m.next_state GROUP BY m.state)" for k in range(1, depth + 1)]
+    return "WITH " + ", ".join(parts) + f" SELECT state, value FROM v{depth}"
 
-@query("L4", "WITH RECURSIVE m AS (" + MOVES + "), r AS (SELECT 0 AS d, i AS state, i AS at FROM range(16) s(i) UNION SELECT d + 1, r.state, m.next_state FROM r JOIN m ON m.state = r.at AND NOT m.done WHERE d < 3), b AS (SELECT state, max(reward) AS best FROM m GROUP BY state) SELECT CAST(s.i AS BIGINT) AS state, greatest(-1.0::DOUBLE, coalesce(max(b.best), -1.0::DOUBLE)) AS value FROM range(16) s(i) LEFT JOIN r ON r.state = s.i AND r.d = 3 LEFT JOIN b ON b.state = r.at GROUP BY s.i")
+
+@query("L4", _values_sql(3))
 def value_iteration(t):
     return rollout.value_iteration(_moves(t), 3, bottom=-1.0)
 
 
 def _rollout_sql(action: str) -> str:
-    return "WITH RECURSIVE m AS (" + MOVES + "), r AS (SELECT 0 AS t, s.i AS id, b.i AS branch, s.i AS state, b.i * 2 AS action, 0.0::DOUBLE AS total, FALSE AS over FROM range(16) s(i), range(2) b(i) UNION ALL SELECT t + 1, id, branch, CASE WHEN over THEN r.state ELSE next_state END, " + action + ", total + CASE WHEN over THEN 0.0::DOUBLE ELSE reward END, over OR done FROM r JOIN m ON m.state = r.state AND m.action = r.action WHERE t < 5) SELECT CAST(id AS BIGINT) AS id, sum(total) FILTER (branch = 1) - sum(total) FILTER (branch = 0) AS advantage FROM r WHERE t = 5 GROUP BY id"
-
-
-def _starts(t):
-    s = t.spark.range(16).withColumn("branch", F.explode(F.expr("sequence(0L, 1L)")))
-    return s.select("id", "branch", F.col("id").alias("state"), (F.col("branch") * 2).alias("action"))
+    """Five steps of both branches; the action after step t is told by the state s then."""
+    parts = ["m AS MATERIALIZED (" + MOVES + ")", "r0 AS MATERIALIZED (SELECT s_suppkey AS id, b.i AS branch, s_suppkey AS state, b.i * 2 AS action, 0.0::DOUBLE AS total, FALSE AS over FROM supplier, range(2) b(i))"]
+    for t in range(5):
+        chosen = action.replace("{t}", str(t))
+        parts.append(f"r{t + 1} AS MATERIALIZED (SELECT id, branch, s AS state, {chosen} AS action, total, over FROM (SELECT r.id, r.branch, CASE WHEN NOT over AND m.reward IS NOT NULL THEN m.next_state ELSE r.state END AS s, total + CASE WHEN NOT over AND m.reward IS NOT NULL THEN m.reward ELSE 0.0::DOUBLE END AS total, over OR coalesce(m.done, TRUE) AS over FROM r{t} r LEFT JOIN m ON m.state = r.state AND m.action = r.action))")
+    return "WITH " + ", ".join(parts) + " SELECT id, round(sum(total) FILTER (branch = 1) - sum(total) FILTER (branch = 0), 6) + 0.0 AS advantage FROM r5 GROUP BY id"
 
 
 def _advantage(t, **named):
-    policy = t.spark.range(16).select(F.col("id").alias("state"), (F.col("id") % 3).alias("action"))
-    return rollout.branch_advantage(rollout.lookahead(_starts(t), _moves(t), policy, 5, **named))
+    starts = t.supplier.select(F.col("s_suppkey").alias("id"), F.explode(F.expr("sequence(0L, 1L)")).alias("branch")).select("id", "branch", F.col("id").alias("state"), (F.col("branch") * 2).alias("action"))
+    policy = t.supplier.select(F.col("s_suppkey").alias("state"), (F.col("s_suppkey") % 3).alias("action"))
+    return rollout.branch_advantage(rollout.lookahead(starts, _moves(t), policy, 5, **named)).select("id", (F.round("advantage", 6) + 0.0).alias("advantage"))
 
 
-@query("L5", _rollout_sql("(CASE WHEN over THEN r.state ELSE next_state END) % 3"))
+@query("L5", _rollout_sql("s % 3"))
 def rollout_advantage(t):
     return _advantage(t)
 
 
-@query("L5", _rollout_sql("[1, 1, 0, 0, 2, 2][t % 6 + 1]"))
+@query("L5", _rollout_sql("[1, 1, 0, 0, 2, 2][{t} % 6 + 1]"))
 def cycle_advantage(t):
     return _advantage(t, cycle=[1, 0, 2], hold=2)
 

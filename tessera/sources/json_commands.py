@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COMMAND = "job_id string, cmd string, env_name string, max_steps int, seeds array<int>, candidates array<string>, env_spec struct<n_action_dims:int,action_low:double,action_high:double,max_steps:int,success_threshold:double>"
@@ -33,6 +33,15 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     return experiments(spark.read.text(path, wholetext=True))
 
 
+def scrubbed(payload: Column, drop: list[str], defaults: dict[str, str] | None = None) -> Column:
+    """A map of texts without some keys and without nulls, over defaults, its keys in order."""
+    kept = F.map_filter(payload, lambda k, v: ~k.isin(*drop) & v.isNotNull())
+    base = F.create_map(*(F.lit(x) for kv in (defaults or {}).items() for x in kv)) if defaults else None
+    # what is given goes before a default of the same key
+    both = F.map_concat(kept, F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(kept), k))) if defaults else kept
+    return F.map_from_entries(F.array_sort(F.map_entries(both)))
+
+
 def with_environment(jobs: DataFrame, environments: DataFrame) -> DataFrame:
     """Each job's environment: its own spec before the table's; neither gives an error.
 

@@ -18,3 +18,18 @@ def document(table: DataFrame, name: str, order: list, limit: int) -> DataFrame:
     top = table.orderBy(*order).limit(limit)
     place = F.struct(F.monotonically_increasing_id().alias("_at"), F.struct("*").alias("row"))
     return top.coalesce(1).select(place.alias("x")).agg(F.array_sort(F.collect_list("x")).alias("x")).select(F.to_json(F.struct(F.transform("x", lambda i: i["row"]).alias(name))).alias("value"))
+
+
+def lookup(rows: DataFrame, /, **key) -> DataFrame:
+    """The rows of a key: equalities that reach the scan."""
+    for name, value in key.items():
+        rows = rows.filter(F.col(name) == F.lit(value))
+    return rows
+
+
+def or_not_found(rows: DataFrame, /, **row) -> DataFrame:
+    """What was found, or this row if there is nothing."""
+    kinds = dict(rows.dtypes)
+    one = rows.sparkSession.range(1).select(*(F.lit(v).cast(kinds[k]).alias(k) for k, v in row.items()))
+    there = rows.limit(1).select(F.lit(1).alias("_there"))
+    return rows.unionByName(one.withColumn("_there", F.lit(1)).join(there, "_there", "left_anti").select(*rows.columns))

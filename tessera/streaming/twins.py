@@ -65,8 +65,12 @@ def assembled(stream: DataFrame, timeout_ms: int = 300_000) -> DataFrame:
     return stream.groupBy("chunk_id").applyInPandasWithState(step, "chunk_id string, n long, reward double, error string", "idxs array<int>, rewards array<double>, total int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def insert_absent_sink(path: str, keys: list[str], order: list[str | Column]):
-    """For foreachBatch: append what the table at path lacks; a replayed batch adds nothing."""
+def insert_absent_sink(path: str, keys: list[str], order: list[str | Column], by: str | None = None):
+    """For foreachBatch: append what the table at path lacks; a replayed batch adds nothing.
+
+    `by` names a text column that a key always has the same value of (the day a chunk was made, say): the table is laid out
+    by it, and a batch reads only the folders of its own values instead of the whole history.
+    """
     from ..operators.queue import first_delivery
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -78,8 +82,11 @@ def insert_absent_sink(path: str, keys: list[str], order: list[str | Column]):
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             there = None
+        if there is not None and by:
+            there = there.filter(F.col(by).isin([r[0] for r in batch.select(by).distinct().collect()]))  # a batch's days
         new = first.join(there.select(*keys), keys, "left_anti") if there is not None else first
-        new.write.mode("append").parquet(path)
+        out = new.write.mode("append")
+        (out.partitionBy(by) if by else out).parquet(path)
 
     return write
 

@@ -49,12 +49,11 @@ def test_predicates(spark):
 def test_actions(spark):
     assert one(spark, actions.decode([F.lit(b) for b in (1, 1, 1)], -1, 1)) == 1.0
     assert one(spark, actions.decode([F.lit(b) for b in (0, 0, 0)], -1, 1)) == -1.0
-    assert actions.grid(spark, -1, 1, 3, 2).count() == 9
+    assert actions.grids(spark.range(1).selectExpr("3 AS levels", "2 AS dims"), "levels", "dims", 3).count() == 9
     for part in ("obs", "reward", "terminated"):
         with pytest.raises(ValueError, match=f"unknown {part} type"):
             actions.Environment({"base_env": "x", "n_action_dims": 1, part: {"type": "?"}})
-    w = actions.Environment({"base_env": "x", "n_action_dims": 3})
-    assert (w.low, w.high, w.frame_skip, w.threshold) == (-1.0, 1.0, 5, float("inf"))
+    assert [name for _, name, _ in actions.Environment({"base_env": "x", "n_action_dims": 3}).terms] == ["speed", "effort"]
 
 
 def test_gate(spark):
@@ -103,6 +102,20 @@ def test_signature(spark):
         spark.createDataFrame([('{"feature_types": ["what"]}',)], "config string").select(signature.signature(F.col("config"))).collect()
 
 
+#: Raw configurations as submitted, the text that the rule signs for each, and its label.
+CONFIGS = [
+    ('{"bits_per_dim": 3, "feature_types": ["axis", "diag"]}', '{"bits_per_dim":3,"depth":1,"feature_types":["axis","diag"],"max_coeff":5,"tridiag_max_coeff":2,"tridiag_dims":null}', "b=3 · d=1 · f=axis,diag"),
+    ('{"feature_types": ["diag", "axis", "axis"], "max_coeff": 5.9, "verifier": "other", "top_k": 9, "run_seed": 0}', '{"bits_per_dim":3,"depth":1,"feature_types":["axis","diag"],"max_coeff":5,"tridiag_max_coeff":2,"tridiag_dims":null}', "b=3 · d=1 · f=axis,diag"),
+    ('{"bits_per_dim": 4, "depth": 2, "feature_types": ["tridiag"], "max_coeff": 3, "tridiag_dims": {"lo": 0, "hi": 5}, "verifier": "ga_qd", "proposer": "ga", "scorer": "successor", "run_seed": "7x"}', '{"bits_per_dim":4,"depth":2,"feature_types":["tridiag"],"max_coeff":3,"tridiag_max_coeff":2,"tridiag_dims":[0,5],"verifier":"ga_qd","run_seed":7,"proposer":"ga","scorer":"successor"}', "b=4 · d=2 · f=tridiag · c=3 · t=0:5 · r7 · GAQD · GA · SUCC"),
+    ("{}", '{"bits_per_dim":3,"depth":1,"feature_types":null,"max_coeff":5,"tridiag_max_coeff":2,"tridiag_dims":null}', "b=3 · d=1"),
+]
+
+
+def test_configs(spark):
+    got = spark.createDataFrame([c[:1] for c in CONFIGS], "config string").select(signature.canonical(F.col("config")).alias("c"), signature.label(F.col("config")).alias("l")).collect()
+    assert [tuple(r) for r in got] == [c[1:] for c in CONFIGS]
+
+
 def test_rate_one_sample(spark):
     df = spark.createDataFrame([("a", 0, 5), ("a", 60, 8), ("a", 200, 9)], "k string, s int, n int").withColumn("ts", F.timestamp_seconds("s"))
     assert [r["rate"] for r in windows.rate(df, ["k"], "ts", "n", 60, 60.0).orderBy("s").collect()] == [0, 3, 0]
