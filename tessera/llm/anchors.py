@@ -63,7 +63,9 @@ def message(block: int, kind: int, bodies: dict[int, bytes]) -> pa.Table:
 def cuts(sorted_keys: np.ndarray, buckets: int):
     """(bucket, from, to) of each bucket that some of the sorted keys fall in."""
     which = bucket_of(sorted_keys, buckets)
-    at = np.flatnonzero(np.append(True, which[1:] != which[:-1])) if len(which) else []
+    if not len(which):
+        return []
+    at = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
     return [(int(which[a]), int(a), int(b)) for a, b in zip(at, [*at[1:], len(which)], strict=True)]
 
 

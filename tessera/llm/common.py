@@ -80,6 +80,14 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the shuffles of jobs that are over go from the executors' disks: a collection in the driver tells Spark of them."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
     """The rows as a table in the shared folder, dealt by keys: what groups or joins by key reads it without a shuffle.
 

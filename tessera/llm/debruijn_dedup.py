@@ -1,14 +1,16 @@
 """Removal of repeated word sequences over a compacted De Bruijn graph of the corpus.
 
-Edges are windows of 20 words (k-mers), nodes their 19-word overlaps.  Only edges that may repeat are made
-(see anchors.py): they travel, as stretches of text with source coordinates, to the bucket of their least
-gram, where edges of equal words meet.  Each edge gets its first source, (document, word).  Edges that follow one
-another inside a bucket while their first sources advance in step are one row from there on.
-
-Where a document has such a row, it has an edge of the graph from node to node.  Joined in Spark on their nodes, a place
-in the document and the place in the source that it goes on to, the rows come together across the borders of buckets: a
-node that one edge enters and one leaves is no branching, and all edges along such nodes become one path.  Each path says,
-by its source coordinates, which words of a document repeat earlier ones.
+Edges are windows of 20 words (k-mers), nodes their 19-word overlaps.  Only edges that may repeat are made (see anchors.py):
+they travel, as stretches of text, to the bucket of their least gram, where edges of equal words meet and each gets its
+first source, (document, word).  Where no stretch of the bucket begins, ends or branches off, edges that follow one another
+are one segment, the same in all documents.
+
+Segments are the rows of the graph: each has the contents (hashes) of the 19 words at which it begins and ends, its first
+source and how many documents' places have it.  Nodes are these contents over the whole corpus, their degrees how many
+different segments enter and leave.  Where one enters and one leaves, no place has one without the other and their sources
+follow one another, the two are linked, and joins that double the pointers along the links (log2 of the longest chain of
+them) contract every unbranched path.  A document then has a path where its first segment is, and the path's source
+coordinates and length say which of its words repeat earlier ones.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -145,18 +147,19 @@ def _sent(words, buckets):
             return A.message(0, 0, {})
         block = Block(texts, words)
         picked = A.candidates(block.runs, messages, buckets)
-        keys, ids, places, text, off, first, *_ = block.collapse(picked, words)
+        keys, ids, places, text, off, first, place, *_ = block.collapse(picked, words)
+        many = (np.bincount(place, minlength=len(keys)) > 1).astype(np.uint8)  # the block has it several times
         out = {}
         for k, a, b in A.cuts(keys, buckets):
             size = np.diff(off)[first[a:b]]
-            out[k] = C.squeeze(ids[a:b], places[a:b], size.astype(np.int32), C.slices(text, off[first[a:b]], size)[0])
+            out[k] = C.squeeze(ids[a:b], places[a:b], size.astype(np.int32), many[a:b], C.slices(text, off[first[a:b]], size)[0])
         return A.message(_block(texts), 1, out)
 
     return run
 
 
 def paths(ids: np.ndarray, places: np.ndarray, text: np.ndarray, off: np.ndarray, words: int):
-    """(text number of each item; then of each path its text number, first window, windows, first source)."""
+    """(text number of each item; then of each segment its text number, first window, windows, first source)."""
     coded = C.binary(text, off).dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False)
     order = np.lexsort((places, ids, code))
@@ -176,7 +179,18 @@ def paths(ids: np.ndarray, places: np.ndarray, text: np.ndarray, off: np.ndarray
     head = np.flatnonzero(np.diff(group[o], prepend=-1))
     many = np.diff(np.append(head, len(o)))
     own_id[o], own_place[o] = np.repeat(own_id[o][head], many), np.repeat(own_place[o][head], many)
-    cut = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (own_id[1:] != own_id[:-1]) | (own_place[1:] != own_place[:-1] + 1))) if len(which) else np.zeros(0, np.int64)
+    if not len(which):
+        return code, which, inside, which, own_id, own_place
+    # an edge goes on into the next one unless a text begins or ends there, or other edges follow or go before
+    n, same = int(group.max()) + 1, which[1:] == which[:-1]
+    begins, ends_here = np.zeros(n, bool), np.zeros(n, bool)
+    begins[group[inside == 0]] = True
+    ends_here[group[np.append(~same, True)]] = True
+    pairs = np.unique(group[:-1][same] * n + group[1:][same])
+    splits, meets = np.bincount(pairs // n, minlength=n) > 1, np.bincount(pairs % n, minlength=n) > 1
+    on = same & (own_id[1:] == own_id[:-1]) & (own_place[1:] == own_place[:-1] + 1)
+    on &= ~(begins | meets)[group[1:]] & ~(ends_here | splits)[group[:-1]]
+    cut = np.flatnonzero(np.append(True, ~on))
     return code, which[cut], inside[cut], np.diff(np.append(cut, len(which))), own_id[cut], own_place[cut]
 
 
@@ -186,12 +200,12 @@ def earlier(id_a, place_a, id_b, place_b):
 
 def _settled(words):
     def run(table):
-        blocks, parts = table["block"].to_pylist(), [C.expand(x, np.int64, np.int64, np.int32, np.uint8) for x in table["body"].to_pylist()]
-        ids, places, sizes, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+        blocks, parts = table["block"].to_pylist(), [C.expand(x, np.int64, np.int64, np.int32, np.uint8, np.uint8) for x in table["body"].to_pylist()]
+        ids, places, sizes, many, text = (np.concatenate(x) for x in zip(*parts, strict=True))
         code, which, start, count, source, at = paths(ids, places, text, np.append(0, np.cumsum(sizes, dtype=np.int64)), words)
         item, path = expand_by(which, code, int(code.max()) + 1)
-        first = earlier(source[path], at[path], ids[item], places[item] + start[path])
-        item, path = item[first], path[first]
+        told = earlier(source[path], at[path], ids[item], places[item] + start[path]) | (many[item] > 0)
+        item, path = item[told], path[told]
         ends = np.cumsum([len(p[0]) for p in parts])
         bounds, out = np.searchsorted(item, [0, *ends]), []
         for k, block in enumerate(blocks):
@@ -205,23 +219,25 @@ def _settled(words):
     return run
 
 
-#: An edge or path: a document's windows from `start` on, and where their words stand first.
-SPAN = "block int, row int, start int, windows int, source long, at int"
+#: A segment where a document has it: windows from `start` on, where their words stand first, the hashes of the 19 words at
+#: both ends, and whether the document has segments right before and after it.
+SPAN = "block int, row int, start int, windows int, source long, at int, enter long, leave long, joined boolean, goes_on boolean"
+SEGMENT = ["source", "at", "windows", "enter", "leave"]
 
 
 def _spread(words, buckets):
-    """The rows of the graph that each document of a block has."""
+    """The segments that each document of a block has and that stand earlier too."""
 
     def run(texts, messages):
         cols = [np.zeros(0, np.int64)] * 5
+        nodes = np.zeros(0, np.uint64)
+        before = np.zeros(1, np.int64)
         if texts.num_rows and messages.num_rows:
             block = Block(texts, words)
-            runs = block.runs
+            runs, before = block.runs, block.before
             picked = A.candidates(runs, messages, buckets)
-            keys, first_id, first_place, _, _, _, place, ids, places = block.collapse(picked, words)
+            keys, _, _, _, _, _, place, ids, places = block.collapse(picked, words)
             row = runs.row[picked]
-            local = np.flatnonzero(earlier(first_id[place], first_place[place], ids, places))  # the block itself has it before
-            parts = [(row[local], places[local], runs.count[picked][local], first_id[place[local]], first_place[place[local]])]
             said = {b: body for b, k, body in zip(messages["bucket"].to_pylist(), messages["kind"].to_pylist(), messages["body"].to_pylist(), strict=True) if k == 1}
             found = [(x[0] + a, *x[1:]) for k, a, _ in A.cuts(keys, buckets) if k in said for x in [C.expand(said[k], np.int32, np.int32, np.int32, np.int64, np.int64)]]
             if found:
@@ -229,34 +245,76 @@ def _spread(words, buckets):
                 run_no, which = expand_by(item, place, len(keys))
                 hit = earlier(source[which], at[which], ids[run_no], places[run_no] + start[which])
                 run_no, which = run_no[hit], which[hit]
-                parts.append((row[run_no], places[run_no] + start[which], count[which], source[which], at[which]))
-            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        n = len(cols[0])
+                cols = [row[run_no], places[run_no] + start[which], count[which].astype(np.int64), source[which], at[which]]
+                nodes = folded(word_hashes(block.buf, block.starts), words - 1).view(np.int64)
+        order = np.lexsort((cols[1], cols[0]))
+        row, start, windows, source, at = (c[order] for c in cols)
+        first = before[row] + start if len(row) else row
+        joined = np.zeros(len(row) + 1, bool)
+        joined[1:-1] = (row[1:] == row[:-1]) & (start[:-1] + windows[:-1] == start[1:])
         number = int(texts["block"][0].as_py()) if texts.num_rows else 0
-        ints = [pa.array(c.astype(np.int32)) for c in cols[:3]]
-        return pa.table({"block": pa.array(np.full(n, number, np.int32)), "row": ints[0], "start": ints[1], "windows": ints[2], "source": pa.array(cols[3].astype(np.int64)), "at": pa.array(cols[4].astype(np.int32))})
+        ints = lambda x: pa.array(x.astype(np.int32))
+        ends = [pa.array(nodes[first + k] if len(row) else np.zeros(0, np.int64), pa.int64()) for k in (0, windows)]
+        return pa.table({"block": ints(np.full(len(row), number)), "row": ints(row), "start": ints(start), "windows": ints(windows), "source": pa.array(source.astype(np.int64)), "at": ints(at), "enter": ends[0], "leave": ends[1], "joined": pa.array(joined[:-1]), "goes_on": pa.array(joined[1:])})
 
     return run
 
 
-def compacted(edges: DataFrame) -> DataFrame:
-    """Edges put together to unbranched paths, in the same columns.
+def segments(spans: DataFrame) -> DataFrame:
+    """The graph's rows: each segment once, with the places that have it (n), those of them with one right before it
+    (n_joined) and right after it (n_on)."""
+    return spans.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("n"), F.count_if("joined").alias("n_joined"), F.count_if("goes_on").alias("n_on"))
 
-    Edges meet at their nodes: a place in the document and the place in the source.  An edge goes on where just one other
-    enters its node and it alone leaves it; else it begins a path.  Along a document and a source, the beginnings so far
-    number the paths.  The join on nodes is one of each edge's two ends, so that edges are made and dealt out once.
-    """
+
+def links(found: DataFrame) -> DataFrame:
+    """Pairs of segments (seg, next) about a node that one enters and one leaves, of which no place has one alone and whose
+    sources follow one another.  Degrees are over all segments of the corpus."""
+    this = F.struct(*SEGMENT)
     ends = F.array(
-        F.struct(F.lit(0).alias("enters"), F.col("start"), F.col("at"), F.col("windows")),
-        F.struct(F.lit(1).alias("enters"), (F.col("start") + F.col("windows")).alias("start"), (F.col("at") + F.col("windows")).alias("at"), F.lit(None).cast("int").alias("windows")),
+        F.struct(F.col("leave").alias("node"), this.alias("into"), F.lit(None).cast(found.select(this.alias("x")).schema["x"].dataType).alias("out_of"), (F.col("n_on") == F.col("n")).alias("always")),
+        F.struct(F.col("enter").alias("node"), F.lit(None).cast(found.select(this.alias("x")).schema["x"].dataType).alias("into"), this.alias("out_of"), (F.col("n_joined") == F.col("n")).alias("always")),
     )
-    line = ["block", "row", "source"]
-    met = edges.select(*line, F.explode(ends).alias("e")).select(*line, "e.*").groupBy(*line, "start", "at")
-    nodes = met.agg(F.sum("enters").alias("entering"), F.count_if(F.col("enters") == 0).alias("leaving"), F.max("windows").alias("windows"))
-    along = nodes.filter("leaving > 0").withColumns({"begins": F.when((F.col("entering") == 1) & (F.col("leaving") == 1), 0).otherwise(1), "ahead": F.col("at") - F.col("start")})
-    path = F.sum("begins").over(Window.partitionBy(*line, "ahead").orderBy("start"))
-    found = along.withColumn("path", path).groupBy(*line, "ahead", "path").agg(F.min("start").alias("start"), F.sum("windows").cast("int").alias("windows"), F.min("at").alias("at"))
-    return found.select("block", "row", "start", "windows", "source", "at")
+    nodes = found.select(F.explode(ends).alias("e")).select("e.*").groupBy("node").agg(F.count("into").alias("entering"), F.count("out_of").alias("leaving"), F.bool_and("always").alias("always"), F.max("into").alias("seg"), F.max("out_of").alias("next"))
+    plain = nodes.filter("entering = 1 AND leaving = 1 AND always")
+    step = (F.col("next.source") == F.col("seg.source")) & (F.col("next.at") == F.col("seg.at") + F.col("seg.windows"))
+    return plain.filter(step).select("seg", "next")
+
+
+#: Doublings between two looks at whether all pointers have arrived.
+DOUBLINGS = 3
+
+
+def heads(linked: DataFrame) -> DataFrame:
+    """next, head: for each segment that follows another, the first one of its path; pointers are doubled by joins."""
+    at = C.written(linked.select("next", F.col("seg").alias("head")), "pointers")
+    while True:
+        far = at
+        for _ in range(DOUBLINGS):
+            ahead = far.select(F.col("next").alias("mid"), F.col("head").alias("far"))
+            far = far.join(ahead, F.col("head") == F.col("mid"), "left").select("next", F.coalesce("far", "head").alias("head"))
+        far = C.written(far, "pointers")
+        # all have arrived if no head follows another segment
+        if far.join(far.select(F.col("next").alias("mid")), F.col("head") == F.col("mid"), "left_semi").isEmpty():
+            return far
+        at = far
+
+
+def compacted(spans: DataFrame, total: int) -> DataFrame:
+    """Where documents have paths: block, row, start, windows of the whole path, source, at.
+
+    A segment inside a path is told by the path's first one, and goes.  A segment that a third of all places have is not
+    in one task (common.join_to)."""
+    found = C.written(segments(spans), "segments")
+    inner = heads(links(found))
+    longer = inner.groupBy("head").agg(F.sum("next.windows").alias("more"))
+    this = F.struct(*SEGMENT).alias("key")
+    known = found.select(this, F.col("n").alias("weight"))
+    paths = known.join(inner.select(F.col("next").alias("key")), "key", "left_anti").join(longer.withColumnRenamed("head", "key"), "key", "left")
+    rows = spans.select("block", "row", "start", this)
+    gone = inner.select(F.col("next").alias("key"), F.lit(-1).cast("bigint").alias("more")).join(known, "key")
+    told = paths.select("key", "weight", F.coalesce("more", F.lit(0)).alias("more")).unionByName(gone.select("key", "weight", "more"))
+    put = C.join_to(rows, C.written(told, "paths"), "key", total).filter("more >= 0")
+    return put.select("block", "row", "start", (F.col("key.windows") + F.col("more")).cast("int").alias("windows"), "key.source", "key.at")
 
 
 def _finished(words, texts_too):
@@ -306,12 +364,34 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         none = F.col(text_col).isNull().alias("none")
         rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.struct(*carried).alias("row"), none).alias("carried"))
         schema = StructType.fromDDL(schema).add("kept", "string").add("carried", C.nullable(rows.schema["carried"].dataType))
+    rows, blocks = _dealt(rows, block_bytes)
+    paths = _paths(rows, blocks, words)
+    return rows.groupBy("block").cogroup(paths.groupBy("block")).applyInArrow(C.lean_pair(_finished(words, texts)), schema)
+
+
+def _dealt(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     blocks = C.block_count(rows, "text", block_bytes)
-    rows = C.in_blocks(rows, blocks)
+    return C.in_blocks(rows, blocks), blocks
+
+
+def _paths(rows: DataFrame, blocks: int, words: int) -> DataFrame:
+    """Where the dealt documents have paths."""
+    bare = rows.select("doc_id", "text", "block")
+    said = A.settled_messages(bare, _offered(words, blocks), _sent(words, blocks), _settled(words))
+    spans = C.written(bare.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(C.lean_pair(_spread(words, blocks)), SPAN), "spans")
+    C.tidy(rows.sparkSession)
+    return C.written(compacted(spans, spans.count()).select("block", "row", "start", "windows"), "paths")
+
+
+def repeated_paths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, block_bytes: int = C.BLOCK_BYTES) -> DataFrame:
+    """The unbranched paths of the graph of repeated windows: source and at (the document and word where they stand first),
+    n_words, and places (how many later places have them)."""
+    C.prepare(df.sparkSession)
+    rows, blocks = _dealt(C.rows_of(df, id_col, text_col), block_bytes)
     said = A.settled_messages(rows, _offered(words, blocks), _sent(words, blocks), _settled(words))
-    edges = rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(C.lean_pair(_spread(words, blocks)), SPAN)
-    paths = compacted(edges)
-    return rows.groupBy("block").cogroup(paths.groupBy("block")).applyInArrow(C.lean_pair(_finished(words, texts)), schema)
+    spans = C.written(rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(C.lean_pair(_spread(words, blocks)), SPAN), "spans")
+    found = compacted(spans, spans.count())
+    return found.groupBy("source", "at", (F.col("windows") + words - 1).alias("n_words")).agg(F.count(F.lit(1)).alias("places"))
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:

@@ -202,10 +202,23 @@ def test_heavy_keys(spark):
 
 
 def test_paths_are_whole(spark):
-    """A passage of many windows is one path, whatever buckets its edges met in."""
-    edges = spark.createDataFrame([(0, 1, 5, 3, 9, 0), (0, 1, 8, 4, 9, 3), (0, 1, 12, 1, 9, 7), (0, 1, 20, 2, 9, 15), (0, 1, 22, 2, 9, 30), (0, 2, 5, 3, 9, 0), (1, 1, 8, 4, 9, 3)], debruijn_dedup.SPAN)
-    got = rows(debruijn_dedup.compacted(edges))
-    assert got == sorted([(0, 1, 5, 8, 9, 0), (0, 1, 20, 2, 9, 15), (0, 1, 22, 2, 9, 30), (0, 2, 5, 3, 9, 0), (1, 1, 8, 4, 9, 3)], key=str)
+    """A passage of many windows is one path, whatever buckets its edges met in, where all places have all of it."""
+
+    def place(block, row, start, *segments):
+        """Segments (windows, source, at, node before, node after), one after the other."""
+        out = []
+        for k, (windows, source, at, enter, leave) in enumerate(segments):
+            out.append((block, row, start, windows, source, at, enter, leave, k > 0, k < len(segments) - 1))
+            start += windows
+        return out
+
+    a, b, c = (3, 9, 0, 100, 101), (4, 9, 3, 101, 102), (1, 9, 7, 102, 103)
+    d, e = (2, 9, 15, 104, 105), (2, 9, 30, 105, 106)  # the source has them apart
+    f, g, h = (5, 8, 0, 200, 201), (6, 8, 5, 201, 202), (7, 8, 5, 201, 203)  # two ways on
+    spans = [*place(0, 1, 5, a, b, c), *place(0, 2, 0, a, b, c), *place(0, 1, 20, d, e), *place(1, 1, 8, f, g), *place(1, 2, 8, f, h)]
+    got = rows(debruijn_dedup.compacted(spark.createDataFrame(spans, debruijn_dedup.SPAN), len(spans)))
+    want = [(0, 1, 5, 8, 9, 0), (0, 2, 0, 8, 9, 0), (0, 1, 20, 2, 9, 15), (0, 1, 22, 2, 9, 30), (1, 1, 8, 5, 8, 0), (1, 1, 13, 6, 8, 5), (1, 2, 8, 5, 8, 0), (1, 2, 13, 7, 8, 5)]
+    assert got == sorted(want, key=str)
 
 
 def test_crowded_keys_by_bands():

@@ -10,8 +10,9 @@ from functools import lru_cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm import queries, repair, runs, sharding
+from tessera.llm import debruijn_dedup, queries, repair, runs, sharding
 from tests.llm import helpers as H
 
 NEAR = "/root/testdata/sf0.001"
@@ -372,3 +373,42 @@ def test_found_runs_and_collapsed(spark):
     assert [tuple(x) for x in got[1]["runs"]] == [(1, 30, 3)] and got[1]["collapsed"] == "x a b c y"
     assert got[2]["runs"] == [] and got[2]["collapsed"] == ""
     assert runs.find_runs(df.limit(0)).collect() == []
+
+
+# --- paths of the graph of repeated words
+
+
+def test_paths_over_documents(spark):
+    """A passage of three documents is one path; where one of them goes on otherwise, the graph branches."""
+    rng = random.Random(9)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(300)]
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    data = [(1, f"{own(40)} {' '.join(passage)} {own(30)}"), (2, f"{own(7)} {' '.join(passage)}"), (3, f"{' '.join(passage)} {own(5)}"), (4, own(200))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    paths = lambda d: sorted(tuple(r) for r in debruijn_dedup.repeated_paths(d, block_bytes=2000).collect())
+    assert paths(df) == [(1, 40, 300, 2)]
+    # document 5 has the middle alone: what is before and after it is a path of fewer places
+    more = df.unionByName(spark.createDataFrame([(5, f"{own(3)} {' '.join(passage[100:200])} {own(3)}")], df.schema))
+    assert paths(more) == [(1, 40, 119, 2), (1, 140, 100, 3), (1, 221, 119, 2)]
+    want = H.word_repeats([*data, *(tuple(r) for r in more.filter("doc_id = 5").collect())])
+    assert sorted((tuple(r) for r in debruijn_dedup.remove_repeats(more, texts=False).collect()), key=str) == want
+
+
+def test_without_compaction_paths_are_in_pieces(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(300))
+    df = spark.createDataFrame([(i, f"u{i} {passage} v{i}") for i in range(4)], "doc_id long, text string")
+    whole = debruijn_dedup.repeated_paths(df).collect()
+    assert [(r["n_words"], r["places"]) for r in whole] == [(300, 3)]
+    monkeypatch.setattr(debruijn_dedup, "links", lambda found: found.select(F.struct(*debruijn_dedup.SEGMENT).alias("seg"), F.struct(*debruijn_dedup.SEGMENT).alias("next")).limit(0))
+    assert len(debruijn_dedup.repeated_paths(df).collect()) > 10
+
+
+def test_ends_that_only_look_alike(spark):
+    """As many places end after a passage's first half as begin with its second: the halves are no path."""
+    rng = random.Random(11)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(120)]
+    a, b = " ".join(passage[:79]), " ".join(passage[60:])
+    data = [(1, " ".join(passage)), (2, f"x {a}"), (3, f"{b} y"), (4, f"z {a}"), (5, f"{b}")]
+    got = debruijn_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), texts=False).collect()
+    assert sorted((tuple(r) for r in got), key=str) == H.word_repeats(data)
