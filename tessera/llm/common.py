@@ -8,6 +8,7 @@ the texts are one flat byte buffer with offsets, which numpy handles without a P
 from __future__ import annotations
 
 import os
+import time
 import uuid
 
 import numpy as np
@@ -86,6 +87,7 @@ def tidy(spark: SparkSession) -> None:
 
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.5)  # Spark's cleaner is a thread of its own
 
 
 def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:

@@ -261,23 +261,29 @@ def _spread(words, buckets):
 
 
 def segments(spans: DataFrame) -> DataFrame:
-    """The graph's rows: each segment once, with the places that have it (n), those of them with one right before it
-    (n_joined) and right after it (n_on)."""
-    return spans.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("n"), F.count_if("joined").alias("n_joined"), F.count_if("goes_on").alias("n_on"))
+    """The graph's rows: each segment once under a number (h, a hash of SEGMENT), with the places that have it (n) and
+    whether all of these have one right before it (joined) and right after it (goes_on).  Segments whose numbers clash are
+    told by their differing bounds and stay unlinked."""
+    h = F.xxhash64(*SEGMENT).alias("h")
+    both = [f(c).alias(f"{name}_{c}") for c in SEGMENT for name, f in (("a", F.min), ("z", F.max))]
+    found = spans.groupBy(h).agg(F.count(F.lit(1)).alias("n"), F.bool_and("joined").alias("joined"), F.bool_and("goes_on").alias("goes_on"), *both)
+    one = F.lit(True)
+    for c in SEGMENT:
+        one = one & (F.col(f"a_{c}") == F.col(f"z_{c}"))
+    return found.select("h", "n", (one & F.col("joined")).alias("joined"), (one & F.col("goes_on")).alias("goes_on"), *(F.col(f"a_{c}").alias(c) for c in SEGMENT))
 
 
 def links(found: DataFrame) -> DataFrame:
-    """Pairs of segments (seg, next) about a node that one enters and one leaves, of which no place has one alone and whose
-    sources follow one another.  Degrees are over all segments of the corpus."""
-    this = F.struct(*SEGMENT)
-    ends = F.array(
-        F.struct(F.col("leave").alias("node"), this.alias("into"), F.lit(None).cast(found.select(this.alias("x")).schema["x"].dataType).alias("out_of"), (F.col("n_on") == F.col("n")).alias("always")),
-        F.struct(F.col("enter").alias("node"), F.lit(None).cast(found.select(this.alias("x")).schema["x"].dataType).alias("into"), this.alias("out_of"), (F.col("n_joined") == F.col("n")).alias("always")),
-    )
-    nodes = found.select(F.explode(ends).alias("e")).select("e.*").groupBy("node").agg(F.count("into").alias("entering"), F.count("out_of").alias("leaving"), F.bool_and("always").alias("always"), F.max("into").alias("seg"), F.max("out_of").alias("next"))
-    plain = nodes.filter("entering = 1 AND leaving = 1 AND always")
-    step = (F.col("next.source") == F.col("seg.source")) & (F.col("next.at") == F.col("seg.at") + F.col("seg.windows"))
-    return plain.filter(step).select("seg", "next")
+    """Pairs of segments (next, head: the one before it, windows of next) about a node that one enters and one leaves, of
+    which no place has one alone and whose sources follow one another.  Degrees are over all segments of the corpus."""
+    none = F.lit(None).cast("bigint")
+    side = lambda node, into, out_of, at, always: F.struct(F.col(node).alias("node"), into.alias("into"), out_of.alias("out_of"), at.cast("bigint").alias("place"), F.col(always).alias("always"))
+    ends = F.array(side("leave", F.col("h"), none, F.col("at") + F.col("windows"), "goes_on"), side("enter", none, F.col("h"), F.col("at"), "joined"))
+    met = found.select("source", "windows", F.explode(ends).alias("e")).select("source", "windows", "e.*")
+    leaves = F.when(F.col("out_of").isNotNull(), F.col("windows"))
+    nodes = met.groupBy("node").agg(F.count("into").alias("entering"), F.count("out_of").alias("leaving"), F.bool_and("always").alias("always"), F.max("into").alias("head"), F.max("out_of").alias("next"), F.max(leaves).alias("windows"), *(f(c).alias(f"{name}_{c}") for c in ("source", "place") for name, f in (("a", F.min), ("z", F.max))))
+    plain = nodes.filter("entering = 1 AND leaving = 1 AND always AND a_source = z_source AND a_place = z_place AND head <> next")
+    return plain.select("next", "head", "windows")
 
 
 #: Doublings between two looks at whether all pointers have arrived.
@@ -285,18 +291,21 @@ DOUBLINGS = 3
 
 
 def heads(linked: DataFrame) -> DataFrame:
-    """next, head: for each segment that follows another, the first one of its path; pointers are doubled by joins."""
-    at = C.written(linked.select("next", F.col("seg").alias("head")), "pointers")
-    while True:
-        far = at
+    """next, head, windows: for each segment that follows another, the first one of its path; pointers are doubled by
+    joins until none moves."""
+    spark = linked.sparkSession
+    place = C.shared_dir(spark, "pointers")
+    at = C.written(linked.withColumn("moved", F.lit(True)), "pointers", f"{place}/0")
+    turn = 0
+    while not at.filter("moved").isEmpty():
+        far = at.drop("moved").withColumn("old", F.col("head"))
         for _ in range(DOUBLINGS):
             ahead = far.select(F.col("next").alias("mid"), F.col("head").alias("far"))
-            far = far.join(ahead, F.col("head") == F.col("mid"), "left").select("next", F.coalesce("far", "head").alias("head"))
-        far = C.written(far, "pointers")
-        # all have arrived if no head follows another segment
-        if far.join(far.select(F.col("next").alias("mid")), F.col("head") == F.col("mid"), "left_semi").isEmpty():
-            return far
-        at = far
+            far = far.join(ahead, F.col("head") == F.col("mid"), "left").select("next", F.coalesce("far", "head").alias("head"), "windows", "old")
+        turn += 1
+        at = C.written(far.select("next", "head", "windows", (F.col("head") != F.col("old")).alias("moved")), "pointers", f"{place}/{turn}")
+        C.remove(spark, f"{place}/{turn - 1}")
+    return at.drop("moved")
 
 
 def compacted(spans: DataFrame, total: int) -> DataFrame:
@@ -306,15 +315,13 @@ def compacted(spans: DataFrame, total: int) -> DataFrame:
     in one task (common.join_to)."""
     found = C.written(segments(spans), "segments")
     inner = heads(links(found))
-    longer = inner.groupBy("head").agg(F.sum("next.windows").alias("more"))
-    this = F.struct(*SEGMENT).alias("key")
-    known = found.select(this, F.col("n").alias("weight"))
-    paths = known.join(inner.select(F.col("next").alias("key")), "key", "left_anti").join(longer.withColumnRenamed("head", "key"), "key", "left")
-    rows = spans.select("block", "row", "start", this)
-    gone = inner.select(F.col("next").alias("key"), F.lit(-1).cast("bigint").alias("more")).join(known, "key")
-    told = paths.select("key", "weight", F.coalesce("more", F.lit(0)).alias("more")).unionByName(gone.select("key", "weight", "more"))
-    put = C.join_to(rows, C.written(told, "paths"), "key", total).filter("more >= 0")
-    return put.select("block", "row", "start", (F.col("key.windows") + F.col("more")).cast("int").alias("windows"), "key.source", "key.at")
+    more = inner.groupBy(F.col("head").alias("h")).agg(F.sum("windows").alias("more"))
+    known = found.select("h", F.col("n").alias("weight"))
+    told = known.join(more, "h", "left").join(inner.select(F.col("next").alias("h"), F.lit(True).alias("inside")), "h", "left")
+    told = C.written(told.select("h", "weight", F.when(F.col("inside"), -1).otherwise(F.coalesce("more", F.lit(0))).alias("more")), "told")
+    rows = spans.select(F.xxhash64(*SEGMENT).alias("h"), "block", "row", "start", "windows", "source", "at")
+    put = C.join_to(rows, told, "h", total).filter("more >= 0")
+    return put.select("block", "row", "start", (F.col("windows") + F.col("more")).cast("int").alias("windows"), "source", "at")
 
 
 def _finished(words, texts_too):
@@ -377,10 +384,18 @@ def _dealt(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
 def _paths(rows: DataFrame, blocks: int, words: int) -> DataFrame:
     """Where the dealt documents have paths."""
     bare = rows.select("doc_id", "text", "block")
+    spark = rows.sparkSession
+    place = C.shared_dir(spark, "spans")
     said = A.settled_messages(bare, _offered(words, blocks), _sent(words, blocks), _settled(words))
-    spans = C.written(bare.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(C.lean_pair(_spread(words, blocks)), SPAN), "spans")
-    C.tidy(rows.sparkSession)
-    return C.written(compacted(spans, spans.count()).select("block", "row", "start", "windows"), "paths")
+    spans = C.written(bare.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(C.lean_pair(_spread(words, blocks)), SPAN), "spans", place)
+    del said, bare
+    C.tidy(spark)
+    # only what is needed of a place goes on
+    paths = C.written(compacted(spans, spans.count()).select("block", "row", "start", "windows"), "paths")
+    del spans
+    C.remove(spark, place)
+    C.tidy(spark)
+    return paths
 
 
 def repeated_paths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, block_bytes: int = C.BLOCK_BYTES) -> DataFrame:

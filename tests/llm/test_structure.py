@@ -400,7 +400,7 @@ def test_without_compaction_paths_are_in_pieces(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"u{i} {passage} v{i}") for i in range(4)], "doc_id long, text string")
     whole = debruijn_dedup.repeated_paths(df).collect()
     assert [(r["n_words"], r["places"]) for r in whole] == [(300, 3)]
-    monkeypatch.setattr(debruijn_dedup, "links", lambda found: found.select(F.struct(*debruijn_dedup.SEGMENT).alias("seg"), F.struct(*debruijn_dedup.SEGMENT).alias("next")).limit(0))
+    monkeypatch.setattr(debruijn_dedup, "links", lambda found: found.select(F.col("h").alias("next"), F.col("h").alias("head"), F.col("windows").cast("long").alias("windows")).limit(0))
     assert len(debruijn_dedup.repeated_paths(df).collect()) > 10
 
 
