@@ -392,7 +392,7 @@ def experiment_documents(t):
     return e.groupBy("env_name", F.col("config.bits_per_dim").alias("bits"), F.col("config.max_iters").cast("bigint").alias("max_iters"), signature.label(F.col("config_text")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("J14", "WITH l AS (SELECT experiment_id, batch_id FROM (SELECT *, rank() OVER (PARTITION BY experiment_id ORDER BY inserted_at DESC) AS k FROM {batches} WHERE status <> 'completed') WHERE k = 1), m AS (SELECT l.*, d.reward, d.arrived, max(d.arrived) OVER (PARTITION BY experiment_id) AS t FROM l LEFT JOIN " + ONCE + " d ON d.batch_id = l.batch_id), g AS (SELECT experiment_id, count(DISTINCT batch_id) AS batches, count(reward) AS n, sum(reward) AS s, sum(reward * reward) AS q, CAST(count(*) FILTER (arrived >= t - INTERVAL 30 DAY) AS DOUBLE) / 30 AS rate FROM m GROUP BY experiment_id), v AS (SELECT experiment_id, string_agg(batch_id::VARCHAR, ',' ORDER BY n) AS versions FROM (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY inserted_at DESC, batch_id DESC) AS n FROM {batches}) WHERE n <= 5 GROUP BY experiment_id) SELECT g.experiment_id, batches, n, round(s / CASE WHEN n > 0 THEN n END / 30, 6) AS mean, round(CASE WHEN n > 1 THEN sqrt(greatest(q / n - (s / n) * (s / n), 0.0::DOUBLE)) END / 30, 3) AS sd, round(rate, 6) AS rate, versions FROM g JOIN v ON v.experiment_id = g.experiment_id")
+@query("J14", "WITH l AS (SELECT experiment_id, batch_id FROM (SELECT *, rank() OVER (PARTITION BY experiment_id ORDER BY inserted_at DESC) AS k FROM {batches} WHERE status <> 'completed') WHERE k = 1), m AS (SELECT l.*, d.reward, d.arrived, max(d.arrived) OVER (PARTITION BY experiment_id) AS t FROM l LEFT JOIN " + ONCE + " d ON d.batch_id = l.batch_id), g AS (SELECT experiment_id, count(DISTINCT batch_id) AS batches, count(reward) AS n, sum(reward) AS s, sum(reward * reward) AS q, CAST(count(*) FILTER (arrived >= t - INTERVAL 30 DAY) AS DOUBLE) / 30 AS rate FROM m GROUP BY experiment_id), v AS (SELECT experiment_id, string_agg(batch_id::VARCHAR, ',' ORDER BY n) AS versions FROM (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY inserted_at DESC, batch_id DESC) AS n FROM {batches}) WHERE n <= 5 GROUP BY experiment_id) SELECT g.experiment_id, batches, n, round(s / CASE WHEN n > 0 THEN n END, 6) AS mean, round(CASE WHEN n > 1 THEN sqrt(greatest(q / n - (s / n) * (s / n), 0.0::DOUBLE)) END, 3) AS sd, round(rate, 6) AS rate, versions FROM g JOIN v ON v.experiment_id = g.experiment_id")
 def assembled_payload(t):
     p = aggregates.payload(t.batches(), once(t), "experiment_id", 30)
-    return p.select("experiment_id", "batches", "n", F.round(F.col("mean") / 30, 6).alias("mean"), F.round(F.col("sd") / 30, 3).alias("sd"), F.round("rate", 6).alias("rate"), "versions")
+    return p.select("experiment_id", "batches", "n", F.round("mean", 6).alias("mean"), F.round("sd", 3).alias("sd"), F.round("rate", 6).alias("rate"), "versions")
