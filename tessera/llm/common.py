@@ -7,7 +7,6 @@ the texts are one flat byte buffer with offsets, which numpy handles without a P
 
 from __future__ import annotations
 
-import os
 import time
 import uuid
 
@@ -17,6 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..storage import shared_dir
+
 #: Bytes of text that one block should hold.
 BLOCK_BYTES = 4 << 20
 #: Stands for a null id: after all others.
@@ -24,15 +26,12 @@ LAST = np.iinfo(np.int64).max
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let the Python workers import this package from where the driver has it.
+    """Let the Python workers import this package, on whatever machine they are.
 
-    Adds the package's folder to the workers' PYTHONPATH, and lowers the rows and bytes of the session's batches to
-    Python where they are Spark's defaults.
+    Sends them the package's code by way of the shared folder, once a session, and lowers the rows and bytes of the
+    session's batches to Python where they are Spark's defaults.
     """
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    storage.ship(spark)
     # rows may be long texts: batches to Python of Spark's default number of rows would be tens of MB
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -40,37 +39,9 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir, which goes when the session's JVM ends.
-
-    Only a local session may have no such folder: then it is a temporary one, set here for all that follows.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        top = found.get() if found.isDefined() else None
-    if not top:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        top = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    out = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    path, system = _hadoop(spark, out)
-    system.mkdirs(path)
-    system.deleteOnExit(path)
-    return out
-
-
-def _hadoop(spark: SparkSession, uri: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def remove(spark: SparkSession, uri: str) -> None:
     """Delete a folder of shared_dir() that nothing reads any more."""
-    path, system = _hadoop(spark, uri)
+    path, system = storage.path_of(spark, uri)
     system.delete(path, True)
 
 

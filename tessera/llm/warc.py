@@ -104,7 +104,9 @@ def _writer(folder: str, date: str, level: int):
                     first = r["record_type"] == "response"
                     out.write(record(r["record_type"], own if first else f"{own}:{task.partitionId()}-{records}", r["url"], r["payload"] if first else b"", r["size"], r["digest"], None if first else f"urn:page:{'none' if r['top'] is None else r['top']}:{r['digest']}", date, level))
                     records += 1
-        # an attempt's whole file takes the place of an earlier one's
+        # an attempt's whole file takes the place of an earlier one's; not every store moves on to a file that is there
+        if system.get_file_info(f"{path}/{name}").is_file:
+            system.delete_file(f"{path}/{name}")
         system.move(f"{path}/{part}", f"{path}/{name}")
         yield pa.RecordBatch.from_pydict({"name": [name], "records": [records]})
 
@@ -126,19 +128,24 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
 
 #: Rows whose decisions come to them in one piece.
 TOGETHER = 4096
+#: Payload bytes that one task writes to one archive, and the most tables that Spark deals rows to by default.
+ARCHIVE_BYTES, MOST_BUCKETS = 256 << 20, 100_000
 
 
-def typed_records(df: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
+def typed_records(df: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Each row as a response, with its payload, or as a revisit of its payload's largest id.
 
     No payload is shuffled: rows are written once with their digests, dealt by their place, and what the digests decide
-    comes to them there, one list for each TOGETHER rows.
+    comes to them there, one list for each TOGETHER rows.  There are as many tasks as payloads of archive_bytes, or as
+    shuffle partitions if those are more.
     """
     spark = df.sparkSession
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("bigint"), "row": F.monotonically_increasing_id()})
-    rows = C.bucketed(rows.withColumn("place", F.expr(f"row DIV {TOGETHER}")), "pages", ["place"], C.slots(spark))
+    total = rows.agg(F.sum(F.octet_length("payload").cast("bigint"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(C.slots(spark), -(-total // archive_bytes)))
+    rows = C.bucketed(rows.withColumn("place", F.expr(f"row DIV {TOGETHER}")), "pages", ["place"], buckets)
     each = rows.select("row", "place", "page_id", "digest", "size")
     # of a digest's rows, the first of those with the largest id
     best = F.max(F.struct("page_id", (-F.col("row")).alias("row")))
