@@ -82,6 +82,10 @@ def parse(member: bytes) -> dict:
     return {"record_id": name(head["warc-record-id"]), "record_type": kind, "target_uri": head.get("warc-target-uri"), "refers_to": name(head.get("warc-refers-to")), "payload_digest": said, "payload_bytes": int(http["content-length"]), "digest_ok": ok, "payload": payload if whole else None}
 
 
+#: Payload bytes that one task writes to one archive, and the most tables that Spark deals rows to by default.
+ARCHIVE_BYTES, MOST_BUCKETS = 256 << 20, 100_000
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
@@ -113,7 +117,7 @@ def _writer(folder: str, date: str, level: int):
     return run
 
 
-def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2020-01-01T00:00:00Z", level: int = 1) -> int:
+def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2020-01-01T00:00:00Z", level: int = 1, archive_bytes: int = ARCHIVE_BYTES) -> int:
     """Write a record per row to part-*.warc.gz in a shared folder; returns how many.
 
     Of rows with equal payloads of at least least_bytes, that with the largest id (nulls are smallest; of
@@ -122,14 +126,12 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     C.prepare(df.sparkSession)
     system, path = _filesystem(folder)
     system.create_dir(path, recursive=True)
-    sent = typed_records(df, id_col, url_col, html_col, least_bytes)
+    sent = typed_records(df, id_col, url_col, html_col, least_bytes, archive_bytes)
     return sent.mapInArrow(_based(_writer(folder, date, level)), "name string, records long").agg(F.sum("records")).first()[0] or 0
 
 
 #: Rows whose decisions come to them in one piece.
 TOGETHER = 4096
-#: Payload bytes that one task writes to one archive, and the most tables that Spark deals rows to by default.
-ARCHIVE_BYTES, MOST_BUCKETS = 256 << 20, 100_000
 
 
 def typed_records(df: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

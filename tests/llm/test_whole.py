@@ -73,3 +73,16 @@ def test_packing_waste(spark, partitions):
             at += n
         assert at <= packing.LENGTH
     assert len(bins) <= 1.01 * -(-sum(r["length"] for r in found) // packing.LENGTH) + 1
+
+
+def test_warc_archives_by_bytes(spark, tmp_path):
+    pages = spark.range(40_000).selectExpr("id AS page_id", "concat('u', id) AS url", "repeat(chr(97 + CAST(id % 7 AS INT)), 50) AS html").repartition(12)
+    got = {}
+    for name, size in (("one", 1 << 30), ("many", 100_000)):
+        folder = f"file://{tmp_path}/{name}"
+        for _ in range(2):  # the second run's files take the place of the first's
+            assert warc.write_warc(pages, folder, archive_bytes=size) == 40_000
+        got[name] = sorted((r["record_type"], r["target_uri"], r["refers_to"] or "") for r in warc.read_warc(spark, folder, payloads=False).collect())
+    held = {n: [x for x in (tmp_path / n).glob("*.warc.gz")] for n in got}
+    assert got["one"] == got["many"] and sum(t == "response" for t, *_ in got["one"]) == 7
+    assert len(held["many"]) == 20 > len(held["one"])
