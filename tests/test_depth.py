@@ -241,6 +241,51 @@ def test_assembly_over_micro_batches(spark, tmp_path):
     assert [tuple(r) for r in got.filter("error IS NOT NULL").collect()] == [(2, 2, None, missing)]
 
 
+def test_assembly_keeps_a_state_for_many_chunks(spark, tmp_path):
+    spark.range(6000).selectExpr("id AS chunk_id", "2 AS total", "0 AS idx", "1D AS reward", "timestamp_seconds(1000 + id % 2) AS arrived").coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    stream = stateful.assembled(spark.readStream.schema(spark.read.parquet(f"file://{tmp_path}/in").schema).parquet(f"file://{tmp_path}/in"), 100)
+    before = spark.conf.get(stateful.PROVIDER)
+    spark.conf.set(stateful.PROVIDER, stateful.ROCKS)
+    try:
+        query = stream.writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(stateful.PROVIDER, before)
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 1024
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_assembly_of_named_chunks(spark, tmp_path, parts):
+    import random
+
+    rng = random.Random(7)
+    batches = [[(f"c{c}", len(f"{c}") + c % 3, rng.choice([None, 0, 0, 1, 1, 2, 3, -1]), rng.choice([None, 1.0, 2.0, 3.0, 4.0, 5.0]), b * 40 + rng.randrange(40)) for c in rng.choices(range(60), k=90)] for b in range(5)]
+    batches[2] += [(None, 1, 0, 1.0, 90), ("n", None, 0, 1.0, 90), ("n", 1, 0, 1.0, None)]
+    stream = stream_of(spark, tmp_path, batches, "chunk_id string, total int, idx int, reward double, s int").withColumn("arrived", F.timestamp_seconds(F.col("s") + 1000))
+    got = stateful.drained(stateful.assembled(stream, 60, parts=parts), "n")
+    held, want, now = {}, [], 0
+
+    def out(c):
+        total, _, items = held[c]
+        want.extend((c, i, items.get(i), None if i in items else stateful.MISSING) for i in range(total))
+        held[c] = None
+
+    for rows in batches:
+        whole = [(s, -1 if i is None else i, 99.0 if r is None else r, n, c, r) for c, n, i, r, s in rows if None not in (c, n, s)]
+        for s, i, _, n, c, r in sorted(whole, key=lambda x: x[:5]):
+            if held.setdefault(c, (n, s, {})) is not None and s <= held[c][1] + 60 and 0 <= i < held[c][0]:
+                held[c][2].setdefault(i, r)
+        for c, h in list(held.items()):
+            if h is not None and (len(h[2]) >= h[0] or h[1] + 60 <= now):
+                out(c)
+        now = max(x[0] for x in whole)
+    for c, h in list(held.items()):
+        if h is not None and h[1] + 60 <= now:
+            out(c)
+    assert len(want) > 60 and {w[3] for w in want} == {None, stateful.MISSING}
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 # --- search
 
 
